@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from sheaf.functions.paths import SERVICE_SUFFIX, storage_path, uuid_from_doi
 from sheaf.functions.urls import STANDARD, channel, closed_access_url
 from sheaf.operators.dedup import first_by
+from sheaf.session import durable
 
 LOC_TIE_BREAK = ["l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l_quantity", "l_extendedprice"]
 
@@ -84,7 +85,22 @@ _URL = """case when s.h % 11 = 0 then null when s.h % 11 = 1 then ''
   else concat('https://host', cast(s.h % 50 as string), '.example.org/p', cast(s.h as string), '.pdf') end"""
 
 
+_WRITTEN: dict[tuple[str, str], DataFrame] = {}
+
+
 def records(spark: SparkSession, sf: str) -> DataFrame:
+    """The nested records as a Parquet table, written once per session and input folder.
+
+    This is the one conversion a dump of JSON lines goes through; readers then take only the
+    nested fields they need.
+    """
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _WRITTEN:
+        _WRITTEN[key] = durable(build_records(spark, sf), "records")
+    return _WRITTEN[key]
+
+
+def build_records(spark: SparkSession, sf: str) -> DataFrame:
     """Nested publication records, built inside each row: no grouping of another table.
 
     A record has up to six locations in up to six observations. Among them are locations whose

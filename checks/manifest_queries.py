@@ -158,7 +158,7 @@ from manifest""",
 )
 def build_manifest(spark, sf):
     built = m.build_manifest(a.records(spark, sf))
-    return built.select("id", "doi", "domain", "filename", F.posexplode("urls").alias("pos", "url")).select(
+    return built.select("id", "doi", "domain", "filename", F.posexplode_outer("urls").alias("pos", "url")).select(
         "id", "doi", "domain", "filename", (F.col("pos") + 1).cast("bigint").alias("url_rank"), "url"
     )
 

@@ -37,7 +37,10 @@ def rank_flat_locations(
 
 def url_steps(manifest: DataFrame, wiley: bool = True, elsevier: bool = True) -> DataFrame:
     """One row per manifest URL, in order, with its channel: ``(id, doi, url_rank, url, channel)``."""
-    return manifest.select("id", "doi", F.posexplode("urls").alias("pos", "url")).select(
+    # The outer form: the inner one adds a filter on the size of ``urls``, which is pushed down
+    # with the whole ranking in it and ranks every record a second time.
+    rows = manifest.select("id", "doi", F.posexplode_outer("urls").alias("pos", "url"))
+    return rows.where(F.col("url").isNotNull()).select(
         "id",
         "doi",
         (F.col("pos") + 1).cast("bigint").alias("url_rank"),
