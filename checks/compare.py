@@ -47,8 +47,7 @@ def compare(spark, con, sf: str, name: str) -> tuple[str, str]:
         return "FAIL", f"columns {sorted(got.columns)} != {sorted(want.columns)}"
     a, b = rows(got), rows(want)
     if a != b:
-        extra = [r for r in a if r not in set(b)][:2]
-        lacking = [r for r in b if r not in set(a)][:2]
+        extra, lacking = sorted(set(a) - set(b), key=str)[:2], sorted(set(b) - set(a), key=str)[:2]
         return "FAIL", f"{len(a)} rows, SQL {len(b)}; only Spark {extra}; only SQL {lacking}"
     note = "" if kinds(got) == kinds(want) else f" types {kinds(got)} / {kinds(want)}"
     return "ok", f"{len(a)} rows{note}"

@@ -39,7 +39,7 @@ def _dump(spark, sf, label, records=None):
     return path
 
 
-RECORDS = """select r.line_no, doi, publisher_normalized, domain, is_fr, l.obs_key, l.is_oa
+RECORDS = """select r.line_no, doi, publisher_normalized, domain, is_fr, l.obs_key, coalesce(l.is_oa, false) as is_oa
 from rec r left join rlatest l using (line_no)"""
 
 
@@ -52,7 +52,7 @@ def _seen(records):
         F.col("bso_classification").alias("domain"),
         r.in_country(F.col("bso_country_corrected")).alias("is_fr"),
         r.latest_key(details).alias("obs_key"),
-        r.latest_observation(details)["is_oa"].alias("is_oa"),
+        F.coalesce(r.latest_observation(details)["is_oa"], F.lit(False)).alias("is_oa"),
     )
 
 
@@ -102,10 +102,10 @@ def write_manifest(spark, sf):
 
 
 @query("write_metadata", statement(
-    "select distinct substr(id, 1, 2) as shard, id, doi, domain from manifest", "manifest"))
+    "select distinct substr(id, 1, 1) as shard, id, doi, domain from manifest", "manifest"))
 def write_metadata(spark, sf):
     path = scratch(spark, "metadata")
-    sinks.write_metadata(m.build_manifest(a.records(spark, sf)), path)
+    sinks.write_metadata(m.build_manifest(a.records(spark, sf)), path, digits=1)
     rows = spark.read.schema("value string, shard string").text(path)
     return rows.select(
         "shard", *[F.get_json_object("value", f"$.{name}").alias(name) for name in ("id", "doi", "domain")]
@@ -159,14 +159,14 @@ def scan_payloads(spark, sf):
 
 
 @query("write_payloads", statement(
-    f"select {path_of('uuid')} as path, substr(uuid, 1, 2) as shard, concat('%PDF-', doi) as body, true as valid from status", "status"))
+    f"select {path_of('uuid')} as path, substr(uuid, 1, 1) as shard, concat('%PDF-', doi) as body, true as valid from status", "status"))
 def write_payloads(spark, sf):
     folder = scratch(spark, "payloads")
     payloads = a.status(spark, sf).select(
         paths.storage_path(F.col("uuid")).alias("path"),
         F.concat(F.lit("%PDF-"), "doi").cast("binary").alias("content"),
     )
-    sinks.write_payloads(payloads, folder)
+    sinks.write_payloads(payloads, folder, digits=1)
     from sheaf.functions.payload import valid_pdf
 
     stored = spark.read.schema("path string, content binary, shard string").parquet(folder)
@@ -183,7 +183,7 @@ def write_checkpoints(spark, sf):
     for half in range(2):
         part = a.records(spark, sf).where(F.col("line_no") % 2 == half)
         sinks.write_class_lists(c.classify(part), path, mode="append")
-    return spark.read.schema("doi string, class string").csv(path)
+    return spark.read.schema("doi string, class string").parquet(path)
 
 
 @query("write_ledgers", with_resolved(
@@ -208,8 +208,8 @@ def write_ledgers(spark, sf):
 @query("upsert_status_shards", statement(APPLIED, "status", "newest"))
 def upsert_status_shards(spark, sf):
     path = scratch(spark, "status-shards")
-    status_sink.write_status_shards(a.status(spark, sf), path)
-    status_sink.apply_versions_shards(spark, path, durable(a.version_events(spark, sf), "events"))
+    status_sink.write_status_shards(a.status(spark, sf), path, digits=1)
+    status_sink.apply_versions_shards(spark, path, durable(a.version_events(spark, sf), "events"), digits=1)
     return _plain(status_source.scan_status_shards(spark, path))
 
 
@@ -229,11 +229,11 @@ def stream_manifest(spark, sf):
 @query("stream_upsert", statement(APPLIED, "status", "newest"))
 def stream_upsert(spark, sf):
     source, path = scratch(spark, "stream-in"), scratch(spark, "status-shards")
-    status_sink.write_status_shards(a.status(spark, sf), path)
+    status_sink.write_status_shards(a.status(spark, sf), path, digits=1)
     # All events of a uuid are in one file, so the files may be taken in any order.
     a.version_events(spark, sf).repartition(3, "uuid").write.parquet(source)
     stream = spark.readStream.schema(VERSION_EVENT).option("maxFilesPerTrigger", 1).parquet(source)
-    jobs.stream_upsert(stream, path, scratch(spark, "stream-state")).awaitTermination()
+    jobs.stream_upsert(stream, path, scratch(spark, "stream-state"), digits=1).awaitTermination()
     return _plain(status_source.scan_status_shards(spark, path))
 
 

@@ -51,9 +51,12 @@ def storage_path(
     return join_path(F.lit(prefix), shard_path(identifier), F.concat(identifier, F.lit(ext)))
 
 
-def shard(identifier: Column, pairs: int = 1) -> Column:
-    """Partition value: the first ``pairs`` character pairs of the identifier."""
-    return F.substring(identifier, 1, 2 * pairs)
+def shard(identifier: Column, digits: int = 2) -> Column:
+    """Partition value: the first ``digits`` characters of the identifier, 256 folders for 2.
+
+    Take as many as give folders of some hundred megabytes.
+    """
+    return F.substring(identifier, 1, digits)
 
 
 def uuid_from_path(path: Column) -> Column:

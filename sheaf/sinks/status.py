@@ -24,10 +24,13 @@ def export_status_csv(status: DataFrame, path: str, mode: str = "errorifexists")
     )
 
 
-def write_status_shards(status: DataFrame, path: str) -> None:
-    """Write the rows' shards, replacing those shards and no other."""
+def write_status_shards(status: DataFrame, path: str, digits: int = 2) -> None:
+    """Write the rows' shards, replacing those shards and no other.
+
+    All writes to one table must use the same ``digits``.
+    """
     (
-        status.select(*STATUS.names, shard(F.col("uuid")).alias("shard"))
+        status.select(*STATUS.names, shard(F.col("uuid"), digits).alias("shard"))
         .hint("rebalance", F.col("shard"))
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
@@ -36,21 +39,22 @@ def write_status_shards(status: DataFrame, path: str) -> None:
     )
 
 
-def _touched(rows: DataFrame) -> list[str]:
-    # Two hex characters: at most 256 values.
-    return [r["shard"] for r in rows.select(shard(F.col("uuid")).alias("shard")).distinct().collect()]
+def _touched(rows: DataFrame, digits: int) -> list[str]:
+    # A few hex characters: 256 values for two.
+    shards = rows.select(shard(F.col("uuid"), digits).alias("shard")).distinct()
+    return [row["shard"] for row in shards.collect()]
 
 
-def upsert_status_shards(spark: SparkSession, path: str, incoming: DataFrame) -> None:
+def upsert_status_shards(spark: SparkSession, path: str, incoming: DataFrame, digits: int = 2) -> None:
     """Upsert into a sharded table, reading and rewriting only the shards of the new rows."""
-    current = scan_status_shards(spark, path, _touched(incoming))
-    write_status_shards(upsert_status(current, incoming), path)
+    current = scan_status_shards(spark, path, _touched(incoming, digits))
+    write_status_shards(upsert_status(current, incoming), path, digits)
 
 
-def apply_versions_shards(spark: SparkSession, path: str, events: DataFrame) -> None:
+def apply_versions_shards(spark: SparkSession, path: str, events: DataFrame, digits: int = 2) -> None:
     """Fold version events into a sharded table, rewriting only the shards they touch.
 
     Running the same events again gives the same table.
     """
-    current = scan_status_shards(spark, path, _touched(events))
-    write_status_shards(apply_versions(current, events), path)
+    current = scan_status_shards(spark, path, _touched(events, digits))
+    write_status_shards(apply_versions(current, events), path, digits)

@@ -25,25 +25,30 @@ def write_lines(lines: DataFrame, path: str, mode: str = "errorifexists") -> Non
     lines.select("value").write.mode(mode).option("compression", "gzip").text(path)
 
 
-def write_metadata(entries: DataFrame, path: str, mode: str = "errorifexists") -> None:
-    """One JSON object per publication, in folders by the first pairs of the id."""
+def write_metadata(
+    entries: DataFrame, path: str, digits: int = 2, mode: str = "errorifexists"
+) -> None:
+    """One JSON object per publication, in folders by the first characters of the id."""
     rows = entries.select(
-        shard(F.col("id"), 1).alias("shard"), F.to_json(F.struct(*entries.columns)).alias("value")
+        shard(F.col("id"), digits).alias("shard"), F.to_json(F.struct(*entries.columns)).alias("value")
     )
     _by_shard(rows, "shard").write.mode(mode).partitionBy("shard").option("compression", "gzip").text(path)
 
 
 def write_payloads(
-    payloads: DataFrame, path: str, codec: str = "gzip", mode: str = "errorifexists"
+    payloads: DataFrame, path: str, codec: str = "gzip", digits: int = 2, mode: str = "errorifexists"
 ) -> None:
-    """``(path, content)`` as compressed binary, in folders by the first pairs of the id."""
-    rows = payloads.withColumn("shard", shard(uuid_from_path(F.col("path"))))
+    """``(path, content)`` as compressed binary, in folders by the first characters of the id."""
+    rows = payloads.withColumn("shard", shard(uuid_from_path(F.col("path")), digits))
     _by_shard(rows, "shard").write.mode(mode).partitionBy("shard").option("compression", codec).parquet(path)
 
 
 def write_class_lists(classified: DataFrame, path: str, mode: str = "errorifexists") -> None:
-    """DOIs by class, as CSV in one folder per class; a later run's files add to the same table."""
-    _by_shard(class_lists(classified), "class").write.mode(mode).partitionBy("class").csv(path)
+    """DOIs by class, in one folder per class; with ``append`` a run adds to what is there.
+
+    Parquet, as a CSV of one column cannot tell a null DOI from an empty line.
+    """
+    _by_shard(class_lists(classified), "class").write.mode(mode).partitionBy("class").parquet(path)
 
 
 def write_ledgers(

@@ -79,14 +79,14 @@ def read_manifest(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def stream_upsert(
-    events: DataFrame, status_path: str, checkpoint: str, available_now: bool = True
+    events: DataFrame, status_path: str, checkpoint: str, digits: int = 2, available_now: bool = True
 ) -> StreamingQuery:
     """Fold each batch of version events into the sharded status table."""
 
     def step(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         # The batch is read for its shards and again for its versions.
-        apply_versions_shards(spark, status_path, durable(batch, "events"))
+        apply_versions_shards(spark, status_path, durable(batch, "events"), digits)
 
     return _run(events, step, checkpoint, "append", available_now)
 
