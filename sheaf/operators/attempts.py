@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from sheaf.functions.payload import redirect_target, valid_pdf
 from sheaf.functions.urls import ARXIV, ELSEVIER, STANDARD, WILEY
 from sheaf.operators.dedup import first_by
-from sheaf.session import durable
+from sheaf.session import durable, lookup_side
 
 # Outcomes, and how many redirects are followed.
 SUCCESS, FAIL, ERROR = "success", "fail", "error"
@@ -71,7 +71,7 @@ def resolve_steps(steps: DataFrame, captured: DataFrame) -> DataFrame:
         plain_ok & ~no_fallback,
         F.struct(F.lit(STANDARD).alias("h"), plain.getField("valid").alias("v")),
     )
-    tried = steps.join(by_url, "url", "left").withColumn("__out", outcome)
+    tried = steps.join(lookup_side(by_url), "url", "left").withColumn("__out", outcome)
     first = F.min_by(
         F.when(F.col("__out").isNotNull(), F.struct("__out.h", "__out.v", "url")),
         F.when(F.col("__out").isNotNull(), F.col("url_rank")),
@@ -130,7 +130,7 @@ def resolve_urls(captured: DataFrame, max_redirects: int = MAX_REDIRECTS) -> Dat
 
 def resolve_fetches(plan: DataFrame, captured: DataFrame, max_redirects: int = MAX_REDIRECTS) -> DataFrame:
     """Apply a fetch plan ``(id, attempt_no, url)`` to captured content: the first valid PDF wins."""
-    reached = resolve_urls(captured, max_redirects)
+    reached = lookup_side(resolve_urls(captured, max_redirects))
     tried = plan.join(reached, "url", "left").withColumn("__ok", F.col("final_url").isNotNull())
     first = F.min_by(
         F.when(F.col("__ok"), F.struct("url", "final_url", "hops")),

@@ -19,7 +19,8 @@ def rank_flat_locations(
     key: Sequence[str],
     tie_break: Sequence[str],
     rules: Sequence[str] = FLAT_RULES,
-    hot_rows: int | None = 1_000_000,
+    hot_rows: int = 1_000_000,
+    counted: DataFrame | None = None,
 ) -> DataFrame:
     """Rank the PDF URLs of a flat location table inside each key; adds ``url_rank`` from 1.
 
@@ -30,7 +31,12 @@ def rank_flat_locations(
         "__class", F.expr(rank_sql(rules))
     )
     ranked = rank_within(
-        usable.where(F.col("__class").isNotNull()), key, ["__class", *tie_break], "url_rank", hot_rows
+        usable.where(F.col("__class").isNotNull()),
+        key,
+        ["__class", *tie_break],
+        "url_rank",
+        hot_rows,
+        locations if counted is None else counted,
     )
     return ranked.withColumn("url_rank", F.col("url_rank") + 1).drop("__class")
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from sheaf.functions.paths import uuid_from_doi
 from sheaf.functions.records import has_doi
+from sheaf.session import lookup_side
 
 # Up to this many values a list is pushed to the scan as an IN filter.
 IN_LIST_VALUES = 1_000
@@ -28,17 +29,18 @@ def first_by(df: DataFrame, keys: Sequence[str], order_by: Sequence[str]) -> Dat
 def not_yet_harvested(records: DataFrame, status: DataFrame) -> DataFrame:
     """Records with a DOI that the status table does not have.
 
-    An anti-join, so a null DOI in the status table removes nothing. A hot DOI among the records
-    is split by the adaptive skew join, as the status side is distinct.
+    An anti-join, so a null DOI in the status table removes nothing. The status side is not made
+    distinct first: an anti-join has no use for that, and the aggregate would keep the adaptive
+    skew join from splitting a hot DOI of the records.
     """
-    done = status.select("doi").where(has_doi(F.col("doi"))).distinct()
+    done = status.select("doi").where(has_doi(F.col("doi")))
     return records.where(has_doi(F.col("doi"))).join(done, "doi", "left_anti")
 
 
 def keep_values(df: DataFrame, column: str, values: Sequence[str] | DataFrame) -> DataFrame:
     """Rows whose ``column`` is one of ``values``; a short list reaches the scan as a filter."""
     if isinstance(values, DataFrame):
-        wanted = values.select(F.col(values.columns[0]).alias(column)).distinct()
+        wanted = values.select(F.col(values.columns[0]).alias(column))
         return df.join(wanted, column, "left_semi")
     if len(values) <= IN_LIST_VALUES:
         return df.where(F.col(column).isin(list(values)))
@@ -54,11 +56,14 @@ def doi_allowlist(records: DataFrame, dois: Sequence[str] | DataFrame) -> DataFr
 
 
 def assign_ids(records: DataFrame, known: DataFrame | None = None) -> DataFrame:
-    """Add ``id``: the known uuid of the DOI, else one made from the DOI itself."""
+    """Add ``id``: the known uuid of the DOI, else one made from the DOI itself.
+
+    ``known(doi, uuid)`` is an index: one row per DOI.
+    """
     new_id = uuid_from_doi(F.col("doi"))
     if known is None:
         return records.withColumn("id", new_id)
-    pairs = known.select("doi", F.col("uuid").alias("__known")).dropDuplicates(["doi"])
+    pairs = known.select("doi", F.col("uuid").alias("__known"))
     return (
         records.join(pairs, "doi", "left")
         .withColumn("id", F.coalesce("__known", new_id))
@@ -72,19 +77,17 @@ def reprocess_filter(
     """Decide on records whose DOI is already in the index ``known(doi, uuid)``.
 
     Without ``reprocess`` they are dropped. With it they keep their uuid and are dropped only when
-    the ledger lists a PDF for it. New DOIs get an id either way.
+    the ledger lists a PDF for it. New DOIs get an id either way. The index has one row per DOI and
+    the ledger one per id.
     """
     if not reprocess:
-        return assign_ids(records.join(known.select("doi").distinct(), "doi", "left_anti"))
-    pairs = known.select("doi", F.col("uuid").alias("__known")).dropDuplicates(["doi"])
-    done = (
-        ledger.where(F.array_contains("resources", "pdf"))
-        .select(F.col("id").alias("__known"))
-        .distinct()
+        return assign_ids(records.join(known.select("doi"), "doi", "left_anti"))
+    pairs = known.select("doi", F.col("uuid").alias("__known"))
+    done = ledger.where(F.array_contains("resources", "pdf")).select(
+        F.col("id").alias("__known"), F.lit(True).alias("__done")
     )
-    # Both lookups are on unique keys, so resolving them against each other first leaves one join
-    # for the records.
-    state = pairs.join(done.withColumn("__done", F.lit(True)), "__known", "left")
+    # Resolving the two lookups against each other first leaves one join for the records.
+    state = lookup_side(pairs.join(done, "__known", "left"))
     return (
         records.join(state, "doi", "left")
         .where(F.col("__done").isNull())

@@ -10,15 +10,18 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from itertools import accumulate
+from math import ceil
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sheaf.session import broadcast_if_small, durable
+from sheaf.session import durable, lookup_side
 
 _TIE, _PART, _POS, _START, _AT = "__tie", "__part", "__pos", "__start", "__at"
 # monotonically_increasing_id keeps the row number in its lower 33 bits.
 _ROW_BITS = (1 << 33) - 1
+# Rows of a range partition when the caller does not say how many partitions to make.
+ROWS_PER_PARTITION = 4_000_000
 
 
 def _group_keys(groups: DataFrame, keys: Sequence[str], *others: str) -> DataFrame:
@@ -34,13 +37,14 @@ def _same_group(keys: Sequence[str]):
 
 
 def _sorted_table(df: DataFrame, keys: Sequence[str], partitions: int | None) -> DataFrame:
-    count = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    order = [F.col(key) for key in keys] + [F.col(_TIE)]
     # Range partitioning reads its input twice, once to sample it. Written first, the input is
     # computed once, and the tie-break of equal rows is the same whenever a task runs again.
+    rows = durable(df, "unsorted")
+    usual = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    count = partitions or max(usual, ceil(rows.count() / ROWS_PER_PARTITION))
+    order = [F.col(key) for key in keys] + [F.col(_TIE)]
     placed = (
-        durable(df, "unsorted")
-        .withColumn(_TIE, F.monotonically_increasing_id())
+        rows.withColumn(_TIE, F.monotonically_increasing_id())
         .repartitionByRange(count, *order)
         .sortWithinPartitions(*order)
         .drop(_TIE)
@@ -89,7 +93,7 @@ def group_index(
     """
     placed = global_index(df, [*group_by, *order_by], _AT, partitions)
     first = placed.groupBy(*group_by).agg(F.min(_AT).alias(_START))
-    first = broadcast_if_small(_group_keys(first, group_by, _START))
+    first = lookup_side(_group_keys(first, group_by, _START))
     return placed.join(first, _same_group(group_by)).select(
         *df.columns, (F.col(_AT) - F.col(_START)).alias(name)
     )
@@ -100,22 +104,22 @@ def rank_within(
     group_by: Sequence[str],
     order_by: Sequence[str],
     name: str = "rank",
-    hot_rows: int | None = 1_000_000,
+    hot_rows: int = 1_000_000,
+    counted: DataFrame | None = None,
 ) -> DataFrame:
     """0-based position of each row inside its group, many small groups and a few large ones.
 
     Groups of up to ``hot_rows`` rows are ranked by a window; larger ones, of which there are at
-    most ``rows / hot_rows``, are spread over tasks by :func:`group_index`. ``hot_rows=None``
-    states that no group is large and saves the counting.
+    most ``rows / hot_rows``, are spread over tasks by :func:`group_index`. Group sizes are counted
+    in ``counted`` where given: a frame cheaper to read whose groups are at least as large.
     """
     window = Window.partitionBy(*group_by).orderBy(*order_by)
     position = (F.row_number().over(window) - 1).cast("bigint")
-    if hot_rows is None:
-        return df.withColumn(name, position)
-    hot = df.groupBy(*group_by).count().where(F.col("count") > hot_rows).drop("count")
+    sizes = (df if counted is None else counted).groupBy(*group_by).count()
+    hot = _group_keys(sizes.where(F.col("count") > hot_rows), group_by)
     if hot.isEmpty():
         return df.withColumn(name, position)
-    hot = broadcast_if_small(durable(_group_keys(hot, group_by), "hot"))
+    hot, df = lookup_side(hot), durable(df, "ranked")
     small = df.join(hot, _same_group(group_by), "left_anti").withColumn(name, position)
     large = group_index(df.join(hot, _same_group(group_by), "left_semi"), group_by, order_by, name)
     return small.unionByName(large)
@@ -146,11 +150,12 @@ def line_index(lines: DataFrame, name: str = "idx") -> DataFrame:
         [(path, start) for (path, _), start in zip(files, starts)],
         "source_file string, file_start bigint",
     )
-    blocks = blocks.join(file_offsets, "source_file").select(
+    # One row per file: the list Spark's scan planning holds on the driver.
+    blocks = blocks.join(F.broadcast(file_offsets), "source_file").select(
         "source_file", "block_start", "first_seq", (F.col("before") + F.col("file_start")).alias("before")
     )
     return (
-        lines.join(broadcast_if_small(blocks), ["source_file", "block_start"])
+        lines.join(lookup_side(blocks), ["source_file", "block_start"])
         .withColumn(name, F.col("before") + F.col("scan_seq") - F.col("first_seq"))
         .drop("source_file", "block_start", "scan_seq", "first_seq", "before")
     )

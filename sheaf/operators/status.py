@@ -37,7 +37,7 @@ def confirm_uploaded(pairs: DataFrame, objects: DataFrame, match: str = "exact")
     is a component of the object's path, so this too is a join on equality.
     """
     if match == "exact":
-        stored = objects.select(F.col("path").alias("__path")).distinct()
+        stored = objects.select(F.col("path").alias("__path"))
         return pairs.withColumn("__path", storage_path(F.col("uuid"))).join(
             stored, "__path", "left_semi"
         ).drop("__path")
@@ -46,7 +46,7 @@ def confirm_uploaded(pairs: DataFrame, objects: DataFrame, match: str = "exact")
         found = objects.select(
             "path", F.get(F.split("path", "/"), F.lit(depth - 1)).alias("uuid")
         ).where(F.startswith("path", storage_path(F.col("uuid"))))
-        return pairs.join(found.select("uuid").distinct(), "uuid", "left_semi").select(*pairs.columns)
+        return pairs.join(found.select("uuid"), "uuid", "left_semi").select(*pairs.columns)
     raise ValueError(f"unknown match {match!r}")
 
 

@@ -102,7 +102,7 @@ def build_manifest_tables(
     tie_break: Sequence[str],
     country: str = "fr",
     rules: Sequence[str] = FLAT_RULES,
-    hot_rows: int | None = 1_000_000,
+    hot_rows: int = 1_000_000,
 ) -> DataFrame:
     """``(doi, domain, url_rank, url)`` from a publication table and a location table.
 
@@ -122,7 +122,12 @@ def build_manifest_tables(
     )
     opened = heads.where("is_oa").select("line_no", "obs_key", "doi", "domain")
     ranked = rank_flat_locations(
-        locations.join(opened, ["line_no", "obs_key"]), ["line_no"], tie_break, rules, hot_rows
+        locations.join(opened, ["line_no", "obs_key"]),
+        ["line_no"],
+        tie_break,
+        rules,
+        hot_rows,
+        counted=locations,
     ).select("doi", "domain", "url_rank", "url")
     closed = heads.where("not is_oa").select(
         "doi",

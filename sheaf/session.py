@@ -22,7 +22,6 @@ def spark_session(master: str | None = None, app: str = "sheaf", **conf) -> Spar
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
-        "spark.sql.sources.partitionOverwriteMode": "dynamic",
     }
     settings.update({key.replace("__", "."): value for key, value in conf.items()})
     for key, value in settings.items():
@@ -62,11 +61,13 @@ def durable(df: DataFrame, label: str = "table") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Hint a broadcast only after counting that ``df`` has at most ``max_rows`` rows.
+def lookup_side(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """Make ``df`` the lookup side of a join whose other side may be skewed.
 
-    A larger frame is returned as it is, and Spark joins it by shuffle.
+    It is written once. With at most ``max_rows`` rows, by count, it gets a broadcast hint. Above
+    that it is joined by shuffle, and as it is a plain table now, both inputs of the join are plain
+    exchanges: only then does the adaptive skew join split a hot partition of the other side. An
+    aggregate or a join left between exchange and join would stop it.
     """
-    if df.limit(max_rows + 1).count() <= max_rows:
-        return F.broadcast(df)
-    return df
+    table = durable(df, "lookup")
+    return F.broadcast(table) if table.count() <= max_rows else table
