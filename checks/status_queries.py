@@ -85,9 +85,8 @@ def confirm_uploaded(spark, sf):
 @query(
     "confirm_uploaded_prefix",
     statement(
-        f"""select doi, uuid from status where exists (select 1 from
-  (select concat(path, '.part1') as path from objects) o where o.path >= {path_of('uuid')}
-   and o.path < concat({path_of('uuid')}, '~'))""",
+        f"""select doi, uuid from status where {path_of('uuid')} in
+  (select regexp_replace(part, '[.]part1$', '') from (select concat(path, '.part1') as part from objects) o)""",
         "status",
         "objects",
     ),

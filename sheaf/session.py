@@ -61,13 +61,14 @@ def durable(df: DataFrame, label: str = "table") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def lookup_side(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
+def lookup_side(df: DataFrame, max_rows: int | None = None) -> DataFrame:
     """Make ``df`` the lookup side of a join whose other side may be skewed.
 
-    It is written once. With at most ``max_rows`` rows, by count, it gets a broadcast hint. Above
-    that it is joined by shuffle, and as it is a plain table now, both inputs of the join are plain
-    exchanges: only then does the adaptive skew join split a hot partition of the other side. An
-    aggregate or a join left between exchange and join would stop it.
+    It is written once. With at most ``max_rows`` rows (``BROADCAST_ROWS``), by count, it gets a
+    broadcast hint. Above that it is joined by shuffle, and as it is a plain table now, both inputs
+    of the join are plain exchanges: only then does the adaptive skew join split a hot partition of
+    the other side. An aggregate or a join left between exchange and join would stop it.
     """
     table = durable(df, "lookup")
-    return F.broadcast(table) if table.count() <= max_rows else table
+    limit = BROADCAST_ROWS if max_rows is None else max_rows
+    return F.broadcast(table) if table.count() <= limit else table

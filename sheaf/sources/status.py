@@ -12,6 +12,8 @@ from sheaf.schemas import STATUS
 
 # Fixed value: timestamp text of the CSV export.
 CSV_TIMESTAMP = "yyyy-MM-dd HH:mm:ss[.SSSSSS]"
+# Stands for an unquoted empty field while parsing, so that a quoted one stays an empty string.
+NO_VALUE = "\u0001"
 
 
 def scan_status(spark: SparkSession, path: str, columns: Sequence[str] | None = None) -> DataFrame:
@@ -26,6 +28,7 @@ def scan_status_csv(spark: SparkSession, path: str) -> DataFrame:
         spark.read.schema(STATUS)
         .option("header", False)
         .option("escape", '"')
+        .option("nullValue", NO_VALUE)
         .option("timestampFormat", CSV_TIMESTAMP)
         .option("mode", "FAILFAST")
         .csv(path)
