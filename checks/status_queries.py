@@ -224,7 +224,7 @@ def slice_by_index_reference(spark, sf):
 from (select {path_of('uuid')} as path from status) p) x""", "status"))
 def fixed_batches(spark, sf):
     files = a.status(spark, sf).select(storage_path(F.col("uuid")).alias("path"))
-    return ix.batch_numbers(ix.global_index(files, ["path"]), 100)
+    return ix.batch_numbers(ix.global_index(files, ["path"], unique=True), 100)
 
 
 @query("sorted_paths", "select url as path from pages order by url")

@@ -57,9 +57,12 @@ def sorted_paths(paths: DataFrame, *columns: str) -> DataFrame:
 
 
 def service_batches(status: DataFrame, spec: dict[str, str], size: int = 1_000) -> DataFrame:
-    """``(service, batch_no, idx, path)``: the sorted backlog of each service cut into batches."""
+    """``(service, batch_no, idx, path)``: the sorted backlog of each service cut into batches.
+
+    A uuid is in the status table once, so a path is once in a service's backlog.
+    """
     files = version_backlog(status, spec).select("service", storage_path(F.col("uuid")).alias("path"))
-    return batch_numbers(group_index(files, ["service"], ["path"], "idx"), size)
+    return batch_numbers(group_index(files, ["service"], ["path"], "idx", unique=True), size)
 
 
 def zip_batches(batches: DataFrame) -> DataFrame:

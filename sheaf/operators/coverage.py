@@ -84,11 +84,22 @@ def harvested_dois(status: DataFrame) -> DataFrame:
 
 
 def with_harvested(by_doi: DataFrame, status: DataFrame) -> DataFrame:
-    """Add ``is_harvested``; both sides have one row per DOI."""
-    done = harvested_dois(status).withColumn("__done", F.lit(True))
-    return by_doi.join(done, "doi", "left").withColumn(
-        "is_harvested", F.col("__done").isNotNull()
-    ).drop("__done")
+    """Add ``harvested_rows``, the status rows of the DOI, and ``is_harvested``.
+
+    Both sides have one row per DOI. A table that has the columns is returned as it is, so a report
+    can join once and keep the result.
+    """
+    if "is_harvested" in by_doi.columns:
+        return by_doi
+    rows = (
+        status.where(has_doi(F.col("doi"))).groupBy("doi").agg(F.count("*").alias("harvested_rows"))
+    )
+    number = F.coalesce("harvested_rows", F.lit(0).cast("bigint"))
+    return (
+        by_doi.join(rows, "doi", "left")
+        .withColumn("harvested_rows", number)
+        .withColumn("is_harvested", F.col("harvested_rows") > 0)
+    )
 
 
 def distinct_dois(by_doi: DataFrame, name: str) -> DataFrame:
@@ -163,26 +174,22 @@ def coverage_totals(by_doi: DataFrame) -> DataFrame:
 def coverage_harvested(by_doi: DataFrame, status: DataFrame) -> DataFrame:
     """Harvested rows by access class, with their shares, and the rows in neither class."""
     zero = F.lit(0).cast("bigint")
-    rows = harvest_flags(status, by_doi).agg(
-        F.count("*").alias("harvested"),
-        F.count_if("oa").alias("oa_harvested"),
-        F.count_if("ca").alias("ca_harvested"),
+
+    def rows_in(name: str):
+        return F.coalesce(F.sum(F.when(F.col(name), F.col("harvested_rows"))), zero)
+
+    sizes = with_harvested(by_doi, status).agg(
+        rows_in("oa").alias("oa_harvested"),
+        rows_in("ca").alias("ca_harvested"),
+        F.count_if("oa").alias("nb_oa"),
+        F.count_if("ca").alias("nb_ca"),
     )
-    sizes = by_doi.agg(F.count_if("oa").alias("nb_oa"), F.count_if("ca").alias("nb_ca"))
+    rows = status.agg(F.count("*").alias("harvested"))
     # One row from each side, added up.
     both = (
-        rows.select("*", zero.alias("nb_oa"), zero.alias("nb_ca"))
-        .unionByName(
-            sizes.select(
-                "*", zero.alias("harvested"), zero.alias("oa_harvested"), zero.alias("ca_harvested")
-            )
-        )
-        .agg(
-            *[
-                F.sum(c).alias(c)
-                for c in ("harvested", "oa_harvested", "ca_harvested", "nb_oa", "nb_ca")
-            ]
-        )
+        sizes.withColumn("harvested", zero)
+        .unionByName(rows, allowMissingColumns=True)
+        .agg(*[F.sum(c).alias(c) for c in (*sizes.columns, "harvested")])
     )
     return both.select(
         "harvested",

@@ -36,16 +36,20 @@ def _same_group(keys: Sequence[str]):
     return condition
 
 
-def _sorted_table(df: DataFrame, keys: Sequence[str], partitions: int | None) -> DataFrame:
-    # Range partitioning reads its input twice, once to sample it. Written first, the input is
-    # computed once, and the tie-break of equal rows is the same whenever a task runs again.
-    rows = durable(df, "unsorted")
-    usual = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    count = partitions or max(usual, ceil(rows.count() / ROWS_PER_PARTITION))
-    order = [F.col(key) for key in keys] + [F.col(_TIE)]
+def _sorted_table(
+    df: DataFrame, keys: Sequence[str], partitions: int | None, unique: bool
+) -> DataFrame:
+    order = [F.col(key) for key in keys]
+    count = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    if not unique:
+        # Range partitioning reads its input twice, once to sample it. Written first, the input is
+        # computed once, and the tie-break of equal rows is the same whenever a task runs again.
+        df = durable(df, "unsorted")
+        count = partitions or max(count, ceil(df.count() / ROWS_PER_PARTITION))
+        df = df.withColumn(_TIE, F.monotonically_increasing_id())
+        order.append(F.col(_TIE))
     placed = (
-        rows.withColumn(_TIE, F.monotonically_increasing_id())
-        .repartitionByRange(count, *order)
+        df.repartitionByRange(count, *order)
         .sortWithinPartitions(*order)
         .drop(_TIE)
         .withColumn(_PART, F.spark_partition_id())
@@ -74,10 +78,19 @@ def _with_offsets(table: DataFrame, name: str) -> DataFrame:
 
 
 def global_index(
-    df: DataFrame, order_by: Sequence[str], name: str = "idx", partitions: int | None = None
+    df: DataFrame,
+    order_by: Sequence[str],
+    name: str = "idx",
+    partitions: int | None = None,
+    unique: bool = False,
 ) -> DataFrame:
-    """0-based position of each row in the total order of ``order_by``."""
-    return _with_offsets(_sorted_table(df, order_by, partitions), name)
+    """0-based position of each row in the total order of ``order_by``.
+
+    ``unique=True`` says that no two rows have the same keys, which saves the copy of the input that
+    a stable tie-break needs. Should it not hold the result is still right, and equal rows meet in
+    one task.
+    """
+    return _with_offsets(_sorted_table(df, order_by, partitions, unique), name)
 
 
 def group_index(
@@ -86,12 +99,14 @@ def group_index(
     order_by: Sequence[str],
     name: str = "idx",
     partitions: int | None = None,
+    unique: bool = False,
 ) -> DataFrame:
     """0-based position of each row inside its group, for groups too large for one task.
 
-    The position is the global one minus that of the group's first row.
+    The position is the global one minus that of the group's first row. ``unique`` is as for
+    :func:`global_index`, for groups and order together.
     """
-    placed = global_index(df, [*group_by, *order_by], _AT, partitions)
+    placed = global_index(df, [*group_by, *order_by], _AT, partitions, unique)
     first = placed.groupBy(*group_by).agg(F.min(_AT).alias(_START))
     first = lookup_side(_group_keys(first, group_by, _START))
     return placed.join(first, _same_group(group_by)).select(

@@ -24,9 +24,10 @@ class CoverageReport:
 def coverage_report(records: DataFrame, status: DataFrame, hal: str = "observation") -> CoverageReport:
     """All coverage tables from one scan of the dump.
 
-    The DOI table is written once, and the universe once; every report table then reads those.
+    The DOI table is joined with the status table and written once; the cube is written once. Every
+    report table then reads those.
     """
-    by_doi = durable(c.per_doi(c.classify(records, hal)), "dois")
+    by_doi = durable(c.with_harvested(c.per_doi(c.classify(records, hal)), status), "dois")
     cube = durable(c.coverage_cube(c.harvested_universe(by_doi, status)), "cube")
     return CoverageReport(
         totals=c.coverage_totals(by_doi),

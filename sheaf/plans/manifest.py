@@ -19,6 +19,7 @@ from sheaf.functions.urls import (
 )
 from sheaf.operators.candidates import rank_flat_locations
 from sheaf.operators.dedup import assign_ids, first_by, reprocess_filter
+from sheaf.session import durable
 
 
 def first_occurrences(
@@ -120,6 +121,8 @@ def build_manifest_tables(
     heads = kept.join(latest, "line_no").select(
         *kept.columns, F.col("m.obs_key").alias("obs_key"), F.col("m.loc_oa").alias("is_oa")
     )
+    # Read for the open records and again for the closed ones.
+    heads = durable(heads, "heads")
     opened = heads.where("is_oa").select("line_no", "obs_key", "doi", "domain")
     ranked = rank_flat_locations(
         locations.join(opened, ["line_no", "obs_key"]),

@@ -74,7 +74,7 @@ def test_global_index_splits_equal_keys(spark):
     copies = spark.range(4_000).select(
         F.when(F.col("id") % 3 == 0, "same").otherwise(F.col("id").cast("string")).alias("path")
     )
-    placed = index._sorted_table(copies, ["path"], 8)
+    placed = index._sorted_table(copies, ["path"], 8, unique=False)
     sizes = [row["count"] for row in placed.groupBy("__part").count().collect()]
     assert len(sizes) >= 6 and max(sizes) < 4_000 / 3
     got = index.global_index(copies, ["path"], partitions=8).orderBy("idx").collect()
@@ -82,6 +82,12 @@ def test_global_index_splits_equal_keys(spark):
     assert [row.path for row in got] == sorted(row.path for row in got)
 
 
+def test_wrong_promise_of_unique_keys_keeps_the_result(skewed):
+    got = index.global_index(skewed, ["k"], partitions=8, unique=True).orderBy("idx").collect()
+    assert [row.idx for row in got] == list(range(ROWS))
+    assert [row.k for row in got] == sorted(row.k for row in got)
+
+
 def test_no_rows(spark):
     empty = spark.range(0).withColumn("k", F.lit(1))
     assert index.global_index(empty, ["id"]).count() == 0
