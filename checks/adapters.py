@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from sheaf.functions.paths import SERVICE_SUFFIX, storage_path, uuid_from_doi
 from sheaf.functions.urls import STANDARD, channel, closed_access_url
 from sheaf.operators.dedup import first_by
-from sheaf.session import durable
+from sheaf.session import durable, shared_folder
 
 LOC_TIE_BREAK = ["l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l_quantity", "l_extendedprice"]
 
@@ -94,7 +94,7 @@ def records(spark: SparkSession, sf: str) -> DataFrame:
     This is the one conversion a dump of JSON lines goes through; readers then take only the
     nested fields they need.
     """
-    key = (spark.sparkContext.applicationId, sf)
+    key = (spark.sparkContext.applicationId + shared_folder(spark), sf)
     if key not in _WRITTEN:
         _WRITTEN[key] = durable(build_records(spark, sf), "records")
     return _WRITTEN[key]

@@ -12,7 +12,7 @@ from sheaf.functions.paths import storage_path
 from sheaf.functions.records import has_doi
 from sheaf.operators.attempts import resolve_steps, split_outcomes
 from sheaf.operators.candidates import url_steps
-from sheaf.operators.dedup import doi_allowlist, not_yet_harvested
+from sheaf.operators.dedup import doi_allowlist
 from sheaf.operators.index import take_slice
 from sheaf.operators.ledger import failure_rows, ledger_rows
 from sheaf.operators.status import confirm_uploaded, status_rows, upsert_status
@@ -48,10 +48,7 @@ def harvest_batch(
     if slice_of:
         records = take_slice(records, slice_of[0], slice_of[1], mode)
     wanted = doi_allowlist(records.where(has_doi(F.col("doi"))), dois)
-    # Unique DOIs first: the anti-join below then meets each DOI once, and the exchange on the DOI
-    # that made them unique serves it too.
-    manifest = build_manifest(wanted, order_by=order_by)
-    manifest = durable(not_yet_harvested(manifest, status).select(*manifest.columns), "manifest")
+    manifest = durable(build_manifest(wanted, order_by=order_by, harvested=status), "manifest")
     outcomes = resolve_steps(url_steps(manifest), captured)
     entries = durable(
         manifest.select("id", "doi", "domain").join(outcomes, "id"), "outcomes"

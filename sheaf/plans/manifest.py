@@ -18,7 +18,7 @@ from sheaf.functions.urls import (
     ranked_locations,
 )
 from sheaf.operators.candidates import rank_flat_locations
-from sheaf.operators.dedup import assign_ids, first_by, reprocess_filter
+from sheaf.operators.dedup import assign_ids, first_by, not_yet_harvested, reprocess_filter
 from sheaf.session import durable
 
 
@@ -77,6 +77,7 @@ def build_manifest(
     order_by: Sequence[str] = ("line_no",),
     country: str = "fr",
     rules: Sequence[str] = LOCATION_RULES,
+    harvested: DataFrame | None = None,
     known: DataFrame | None = None,
     ledger: DataFrame | None = None,
     reprocess: bool = False,
@@ -84,10 +85,14 @@ def build_manifest(
 ) -> DataFrame:
     """``(id, doi, domain, oa_locations, urls, filename)`` of the records to fetch.
 
-    The first record of a DOI decides, even when it has no URL. ``known(doi, uuid)`` and
-    ``ledger`` bring in what earlier runs did.
+    The first record of a DOI decides, even when it has no URL. DOIs of the status table
+    ``harvested`` are left out: the anti-join stands between the dedup and the ranking, so it meets
+    each DOI once, uses the exchange that made the DOIs unique, and only what is left is ranked.
+    ``known(doi, uuid)`` and ``ledger`` bring in what an unfinished run did.
     """
     first = first_occurrences(records, order_by, country)
+    if harvested is not None:
+        first = not_yet_harvested(first, harvested)
     if known is None:
         first = assign_ids(first)
     else:

@@ -11,6 +11,10 @@ from pyspark.sql import functions as F
 # Rows above which a lookup side is no longer broadcast by this package.
 BROADCAST_ROWS = 200_000
 
+# By application: the temporary folder of a local session, and the scratch tables made.
+_LOCAL: dict[str, str] = {}
+_SCRATCH: dict[str, list[str]] = {}
+
 
 def spark_session(master: str | None = None, app: str = "sheaf", **conf) -> SparkSession:
     """A session with the settings the operators rely on."""
@@ -32,21 +36,35 @@ def spark_session(master: str | None = None, app: str = "sheaf", **conf) -> Spar
 def shared_folder(spark: SparkSession) -> str:
     """Folder every executor can reach: the one the cluster names in spark.checkpoint.dir.
 
-    Only a local session may fall back to a temporary folder.
+    A folder set on the context at run time is the second choice. Only a local session may fall back
+    to a temporary folder.
     """
-    named = spark.conf.get("spark.checkpoint.dir", None)
+    context = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if named:
         return named.rstrip("/")
-    if spark.sparkContext.master.startswith("local"):
-        folder = tempfile.mkdtemp(prefix="sheaf-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-        return folder
-    raise ValueError("set spark.checkpoint.dir to a folder all executors share")
+    if not context.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder all executors share")
+    if context.applicationId not in _LOCAL:
+        _LOCAL[context.applicationId] = tempfile.mkdtemp(prefix="sheaf-")
+    return _LOCAL[context.applicationId]
 
 
 def scratch(spark: SparkSession, label: str) -> str:
     """A new, unused path in the shared folder."""
-    return f"{shared_folder(spark)}/sheaf-{label}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/sheaf-{label}-{uuid.uuid4().hex}"
+    _SCRATCH.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
+def release(spark: SparkSession) -> int:
+    """Delete the scratch tables this application made; call it when no result needs them."""
+    paths = _SCRATCH.pop(spark.sparkContext.applicationId, [])
+    jvm, settings = spark._jvm, spark._jsc.hadoopConfiguration()
+    for path in paths:
+        target = jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(settings).delete(target, True)
+    return len(paths)
 
 
 def durable(df: DataFrame, label: str = "table") -> DataFrame:

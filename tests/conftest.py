@@ -17,8 +17,9 @@ def spark(tmp_path_factory):
         "tests",
         spark__ui__enabled="false",
         spark__ui__showConsoleProgress="false",
-        spark__sql__shuffle__partitions="4",
+        spark__sql__shuffle__partitions="3",
         spark__driver__memory="4g",
+        spark__default__parallelism="2",
         spark__checkpoint__dir=str(tmp_path_factory.mktemp("shared")),
     )
     session.sparkContext.setLogLevel("ERROR")

@@ -108,6 +108,14 @@ def test_manifest_has_one_exchange(spark):
     assert text.count("Exchange") == 1
 
 
+def test_anti_join_uses_the_exchange_of_the_dedup(spark, conf):
+    conf(spark__sql__autoBroadcastJoinThreshold="-1")
+    status = spark.createDataFrame([("10.1/x",)], "doi string")
+    text = plan(build_manifest(a.records(spark, SF), harvested=status))
+    assert "LeftAnti" in text and text.count("Exchange") == 2
+    assert text.index("LeftAnti") < text.index("Window ["), "the dedup comes first"
+
+
 def test_first_success_sends_one_row_per_key_and_task(spark):
     tries = spark.range(ROWS, numPartitions=4).select(
         F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id")).alias("key"),

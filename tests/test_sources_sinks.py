@@ -159,3 +159,39 @@ def test_annotate_spreads_and_checks(spark):
     assert got.select("uuid").distinct().count() == 100
     with pytest.raises(Exception, match="no function for service"):
         annotate(files, {"grobid": versions["grobid"]}).collect()
+
+
+def test_release_deletes_only_what_this_application_made(spark, monkeypatch, tmp_path):
+    import os
+
+    from sheaf import session
+
+    monkeypatch.setattr(session, "_SCRATCH", {})
+    monkeypatch.setattr(session, "shared_folder", lambda spark: str(tmp_path))
+    (tmp_path / "sheaf-other").mkdir()
+    session.durable(spark.range(3))
+    assert len(os.listdir(tmp_path)) == 2
+    assert session.release(spark) == 1
+    assert os.listdir(tmp_path) == ["sheaf-other"]
+
+
+class Unset:
+    """Stands for a session without a named folder."""
+
+    def __init__(self, master, at_run_time=None):
+        from types import SimpleNamespace
+
+        self.conf = SimpleNamespace(get=lambda key, default: default)
+        self.sparkContext = SimpleNamespace(
+            master=master, applicationId=f"test-{master}", getCheckpointDir=lambda: at_run_time
+        )
+
+
+def test_shared_folder_when_none_is_named():
+    from sheaf.session import shared_folder
+
+    local = shared_folder(Unset("local[2]"))
+    assert local == shared_folder(Unset("local[2]"))
+    assert shared_folder(Unset("yarn", "hdfs://x/ck/")) == "hdfs://x/ck"
+    with pytest.raises(ValueError):
+        shared_folder(Unset("yarn"))
