@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,10 +16,33 @@ from sheaf.session import durable, shared_folder
 LOC_TIE_BREAK = ["l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l_quantity", "l_extendedprice"]
 
 
+STORED: list[Callable[[SparkSession, str], DataFrame]] = []
+_TABLES: dict[tuple[str, str, str, str], DataFrame] = {}
+
+
+def stored(build):
+    """Write an input as a Parquet table, once per session and folder.
+
+    In use these are tables that exist: a converted dump, the status table, captured fetches.
+    Readers then take only the columns and nested fields they need.
+    """
+
+    @wraps(build)
+    def read(spark: SparkSession, sf: str) -> DataFrame:
+        key = (spark.sparkContext.applicationId, shared_folder(spark), sf, build.__name__)
+        if key not in _TABLES:
+            _TABLES[key] = durable(build(spark, sf), build.__name__)
+        return _TABLES[key]
+
+    STORED.append(read)
+    return read
+
+
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+@stored
 def pubs(spark: SparkSession, sf: str) -> DataFrame:
     """One flat publication per order; 1 in 97 without DOI, 1 in 50 repeats the DOI before it."""
     orders = table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_orderdate", "o_orderpriority")
@@ -85,22 +111,8 @@ _URL = """case when s.h % 11 = 0 then null when s.h % 11 = 1 then ''
   else concat('https://host', cast(s.h % 50 as string), '.example.org/p', cast(s.h as string), '.pdf') end"""
 
 
-_WRITTEN: dict[tuple[str, str], DataFrame] = {}
-
-
+@stored
 def records(spark: SparkSession, sf: str) -> DataFrame:
-    """The nested records as a Parquet table, written once per session and input folder.
-
-    This is the one conversion a dump of JSON lines goes through; readers then take only the
-    nested fields they need.
-    """
-    key = (spark.sparkContext.applicationId + shared_folder(spark), sf)
-    if key not in _WRITTEN:
-        _WRITTEN[key] = durable(build_records(spark, sf), "records")
-    return _WRITTEN[key]
-
-
-def build_records(spark: SparkSession, sf: str) -> DataFrame:
     """Nested publication records, built inside each row: no grouping of another table.
 
     A record has up to six locations in up to six observations. Among them are locations whose
@@ -150,6 +162,7 @@ def build_records(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@stored
 def status(spark: SparkSession, sf: str) -> DataFrame:
     """Status rows of every third publication, with the helper column ``line_no``."""
     line = F.col("line_no")
@@ -270,6 +283,7 @@ def record_urls(spark: SparkSession, sf: str) -> DataFrame:
     return listed.unionByName(closed).where("coalesce(url, '') <> ''").distinct()
 
 
+@stored
 def captured_outcomes(spark: SparkSession, sf: str) -> DataFrame:
     """``(url, channel, outcome, valid_file)``: what each channel gave for each URL."""
     digit = F.col("d")

@@ -48,7 +48,15 @@ def storage_path(
     identifier: Column, prefix: str = PUBLICATION_PREFIX, ext: str = PAYLOAD_EXT
 ) -> Column:
     """Full object path of one file of a publication."""
-    return join_path(F.lit(prefix), shard_path(identifier), F.concat(identifier, F.lit(ext)))
+    name = F.concat(identifier, F.lit(ext))
+    exact = join_path(F.lit(prefix), shard_path(identifier), name)
+    if ext[-1:] in ("/", "\\"):
+        return exact
+    # Without slashes in the identifier there is nothing to strip, and one concatenation is enough.
+    slashes = F.contains(identifier, F.lit("/")) | F.contains(identifier, F.lit("\\"))
+    pairs = [F.substring(identifier, start, 2) for start in (1, 3, 5, 7)]
+    joined = F.concat_ws("/", strip_slashes(F.lit(prefix)), *pairs, identifier, name)
+    return F.when((identifier != "") & ~slashes, joined).otherwise(exact)
 
 
 def shard(identifier: Column, digits: int = 2) -> Column:

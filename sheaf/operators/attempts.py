@@ -55,21 +55,21 @@ def resolve_steps(steps: DataFrame, captured: DataFrame) -> DataFrame:
     the stored file is a PDF.
     """
     valid = F.col("valid_file") if "valid_file" in captured.columns else F.lit(True)
-    seen = F.struct("outcome", valid.alias("valid"))
-    # A URL captured twice in one channel counts by its better outcome: success > fail > error.
+    # Outcome and validity as one small number: its maximum is kept in a hash aggregate. A URL
+    # captured twice in one channel counts by its better outcome.
+    better = F.when(F.col("outcome") == SUCCESS, 4).when(F.col("outcome") == FAIL, 2).when(F.col("outcome") == ERROR, 0)
+    code = better + F.when(valid, 1).otherwise(0)
     by_url = captured.groupBy("url").agg(
-        *[F.max(F.when(F.col("channel") == c, seen)).alias(f"by_{c}") for c in CHANNELS]
+        *[F.max(F.when(F.col("channel") == c, code)).alias(f"by_{c}") for c in CHANNELS]
     )
     own = F.coalesce(*[F.when(F.col("channel") == c, F.col(f"by_{c}")) for c in CHANNELS])
     plain = F.col(f"by_{STANDARD}")
-    own_ok = F.coalesce(own.getField("outcome") == SUCCESS, F.lit(False))
-    no_fallback = F.coalesce(own.getField("outcome") == ERROR, F.lit(False))
-    plain_ok = F.coalesce(plain.getField("outcome") == SUCCESS, F.lit(False))
     outcome = F.when(
-        own_ok, F.struct(F.col("channel").alias("h"), own.getField("valid").alias("v"))
+        own >= 4, F.struct(F.col("channel").alias("h"), (own == 5).alias("v"))
     ).when(
-        plain_ok & ~no_fallback,
-        F.struct(F.lit(STANDARD).alias("h"), plain.getField("valid").alias("v")),
+        # No outcome of the channel's own is a failure; an error skips the second attempt.
+        (F.coalesce(own, F.lit(2)) >= 2) & (plain >= 4),
+        F.struct(F.lit(STANDARD).alias("h"), (plain == 5).alias("v")),
     )
     tried = steps.join(lookup_side(by_url), "url", "left").withColumn("__out", outcome)
     first = F.min_by(

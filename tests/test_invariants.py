@@ -137,7 +137,10 @@ def test_batches_are_list_slices(spark, items, size):
 @given(texts=some.lists(some.text(alphabet="ab/\\", max_size=8), min_size=1, max_size=40))
 def test_path_components(spark, texts):
     rows = spark.createDataFrame([(t,) for t in texts], "x string").select(
-        "x", paths.strip_slashes(F.col("x")).alias("y"), paths.shard_path(F.col("x")).alias("z")
+        "x",
+        paths.strip_slashes(F.col("x")).alias("y"),
+        paths.shard_path(F.col("x")).alias("z"),
+        paths.storage_path(F.col("x"), "/pre/", ".gz").alias("p"),
     )
 
     def strip(t):
@@ -146,6 +149,7 @@ def test_path_components(spark, texts):
     for row in rows.collect():
         assert row.y == strip(row.x)
         assert row.z == "/".join(strip(p) for p in (row.x[:2], row.x[2:4], row.x[4:6], row.x[6:8], row.x))
+        assert row.p == "/".join(("pre", strip(row.z), strip(row.x + ".gz")))
 
 
 def test_shared_folder_is_the_named_one(spark):
