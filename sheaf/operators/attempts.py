@@ -100,16 +100,21 @@ def split_outcomes(outcomes: DataFrame) -> tuple[DataFrame, DataFrame]:
 def resolve_urls(captured: DataFrame, max_redirects: int = MAX_REDIRECTS) -> DataFrame:
     """Follow page redirects inside the captured ``(page_id, url, content)``.
 
+    The first capture of a URL counts. With a column ``status_code``, only pages with 200 are read.
     Gives ``(url, final_url, hops)`` for each URL that leads to a PDF in at most
     ``max_redirects`` steps. Pages are parsed once into a narrow table; only the chains still open
     take part in the next step, and each step is a join on a unique URL.
     """
-    pages = first_by(captured, ["url"], ["page_id"]).select(
+    answered = F.col("status_code") == 200 if "status_code" in captured.columns else F.lit(True)
+    content = F.when(answered, F.col("content"))
+    # Parsed before the exchange of the dedup, so that only narrow rows are sent.
+    pages = captured.select(
         "url",
-        valid_pdf(F.col("content")).alias("is_pdf"),
-        redirect_target(F.col("content")).alias("next_url"),
+        "page_id",
+        valid_pdf(content).alias("is_pdf"),
+        redirect_target(content).alias("next_url"),
     )
-    pages = durable(pages, "pages")
+    pages = durable(first_by(pages, ["url"], ["page_id"]).drop("page_id"), "pages")
     target = pages.select(
         F.col("url").alias("final_url"), F.col("is_pdf").alias("__pdf"), F.col("next_url").alias("__next")
     )

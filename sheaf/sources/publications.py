@@ -11,6 +11,16 @@ from pyspark.sql import types as T
 from sheaf.schemas import PUBLICATION
 
 CORRUPT = "_corrupt_record"
+# Columns that put the records of a positioned scan in dump order: file, block, place in the block.
+DUMP_ORDER = ["source_file", "block_start", "scan_seq"]
+
+
+def _positions():
+    return [
+        F.col("_metadata.file_path").alias("source_file"),
+        F.col("_metadata.file_block_start").alias("block_start"),
+        F.monotonically_increasing_id().alias("scan_seq"),
+    ]
 
 
 def scan_publications(
@@ -19,12 +29,14 @@ def scan_publications(
     schema: T.StructType = PUBLICATION,
     bad_lines: str = "fail",
     spread: int | None = None,
+    position: bool = False,
 ) -> DataFrame:
     """Records of one or more dumps; paths may hold globs.
 
     Only the fields of ``schema`` are parsed. ``bad_lines="keep"`` puts lines that are not JSON in
     ``_corrupt_record`` instead of failing. A gzip file is read by one task: ``spread`` shuffles
-    its rows over that many partitions before heavier work.
+    its rows over that many partitions before heavier work. ``position`` adds the ``DUMP_ORDER``
+    columns, which need no shuffle.
     """
     if bad_lines not in ("fail", "keep"):
         raise ValueError(f"unknown treatment of bad lines {bad_lines!r}")
@@ -38,19 +50,18 @@ def scan_publications(
             .option("columnNameOfCorruptRecord", CORRUPT)
         )
     records = reader.json(list(paths) if not isinstance(paths, str) else paths)
+    if position:
+        records = records.select("*", *_positions())
     return records.repartition(spread) if spread else records
 
 
 def scan_lines(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
-    """Raw lines with their place: ``(value, source_file, block_start, scan_seq)``.
+    """Raw lines with their place: ``value`` and the ``DUMP_ORDER`` columns.
 
     The raw line is what to write back when records must stay unchanged.
     """
     return spark.read.text(list(paths) if not isinstance(paths, str) else paths).select(
-        "value",
-        F.col("_metadata.file_path").alias("source_file"),
-        F.col("_metadata.file_block_start").alias("block_start"),
-        F.monotonically_increasing_id().alias("scan_seq"),
+        "value", *_positions()
     )
 
 

@@ -17,9 +17,11 @@ NO_VALUE = "\u0001"
 
 
 def scan_status(spark: SparkSession, path: str, columns: Sequence[str] | None = None) -> DataFrame:
-    """Status rows from Parquet; columns are read by name and pruned in the scan."""
-    table = spark.read.parquet(path)
-    return table.select(*(columns or [c for c in STATUS.names if c in table.columns]))
+    """Status rows from Parquet; columns are read by name and pruned in the scan.
+
+    Files from before a column was added give null in it.
+    """
+    return spark.read.schema(STATUS).parquet(path).select(*(columns or STATUS.names))
 
 
 def scan_status_csv(spark: SparkSession, path: str) -> DataFrame:

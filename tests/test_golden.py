@@ -547,3 +547,15 @@ def test_percent(spark, ratio, text):
 
 def test_share_of_nothing(spark):
     assert one(spark, lambda x: report.share(x, F.lit(0)), 5, "bigint") is None
+
+
+def test_pages_that_did_not_answer(spark):
+    rows = [(1, "a", "%PDF-1", 200), (2, "b", "%PDF-1", 404), (3, "c", page("c", "a"), 500), (4, "d", page("d", "a"), 200)]
+    captured = spark.createDataFrame(rows, "page_id bigint, url string, content string, status_code int")
+    assert sorted(row.url for row in att.resolve_urls(captured).collect()) == ["a", "d"]
+
+
+def test_the_first_capture_of_a_url_counts(spark):
+    rows = [(2, "a", "%PDF-1"), (1, "a", "<html>"), (3, "b", page("b", "a"))]
+    captured = spark.createDataFrame(rows, "page_id bigint, url string, content string")
+    assert att.resolve_urls(captured).count() == 0

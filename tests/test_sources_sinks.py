@@ -195,3 +195,34 @@ def test_shared_folder_when_none_is_named():
     assert shared_folder(Unset("yarn", "hdfs://x/ck/")) == "hdfs://x/ck"
     with pytest.raises(ValueError):
         shared_folder(Unset("yarn"))
+
+
+def test_dump_order_decides_the_first_record(spark, conf, tmp_path):
+    from sheaf.plans.manifest import build_manifest
+
+    conf(spark__sql__files__maxPartitionBytes="2000", spark__sql__files__openCostInBytes="0")
+
+    def line(doi, url):
+        location = {"host_type": "publisher", "url_for_pdf": url}
+        return json.dumps(
+            {"doi": doi, "bso_country_corrected": ["fr"], "oa_details": {"2021": {"is_oa": True, "oa_locations": [location]}}}
+        )
+
+    for name, start in (("b.jsonl", 100), ("a.jsonl", 0)):
+        lines = [line(f"10.1/{n % 20}", f"https://x/{start + n}") for n in range(100)]
+        (tmp_path / name).write_text("\n".join(lines))
+    records = pubs.scan_publications(spark, str(tmp_path / "*.jsonl"), position=True)
+    assert records.select("block_start").distinct().count() > 3
+    built = build_manifest(records, order_by=pubs.DUMP_ORDER)
+    assert {row.doi: row.urls for row in built.collect()} == {f"10.1/{n}": [f"https://x/{n}"] for n in range(20)}
+
+
+def test_status_files_from_before_a_column(spark, tmp_path):
+    from sheaf.operators.status import devolve_status
+
+    table = a.status(spark, SF).select(*STATUS.names)
+    devolve_status(table.limit(5)).write.parquet(str(tmp_path / "s"))
+    table.limit(3).write.mode("append").parquet(str(tmp_path / "s"))
+    read = status_source.scan_status(spark, str(tmp_path / "s"))
+    assert read.schema.names == STATUS.names and read.count() == 8
+    assert read.where("harvesting_date is null").count() == 5
