@@ -123,13 +123,17 @@ def resolve_urls(captured: DataFrame, max_redirects: int = MAX_REDIRECTS) -> Dat
         "url", F.col("next_url").alias("final_url")
     )
     for hop in range(1, max_redirects + 1):
-        reached = open_chains.join(target, "final_url")
+        # Written, as each step is read for the chains that end and for those that go on; without
+        # that every step would join all steps before it again.
+        reached = durable(
+            open_chains.join(target, "final_url").where("__pdf or __next is not null"), "hop"
+        )
         done = done.unionByName(
             reached.where("__pdf").select("url", "final_url", F.lit(hop).alias("hops"))
         )
-        open_chains = reached.where("not __pdf and __next is not null").select(
-            "url", F.col("__next").alias("final_url")
-        )
+        open_chains = reached.where("not __pdf").select("url", F.col("__next").alias("final_url"))
+        if open_chains.isEmpty():
+            break
     return done
 
 
