@@ -19,6 +19,8 @@ from sheaf.functions.records import (
     repo_label,
 )
 from sheaf.functions.report import percent, share, thousands
+from sheaf.operators.dedup import harvested_dois
+from sheaf.session import lookup_side
 
 CLASSES = ["ca", "oa", "wiley_ca", "wiley_oa", "elsevier_ca"]
 
@@ -79,10 +81,6 @@ def per_doi(classified: DataFrame) -> DataFrame:
     )
 
 
-def harvested_dois(status: DataFrame) -> DataFrame:
-    return status.select("doi").where(has_doi(F.col("doi"))).distinct()
-
-
 def with_harvested(by_doi: DataFrame, status: DataFrame) -> DataFrame:
     """Add ``harvested_rows``, the status rows of the DOI, and ``is_harvested``.
 
@@ -109,7 +107,7 @@ def distinct_dois(by_doi: DataFrame, name: str) -> DataFrame:
 
 def intersect_harvested(by_doi: DataFrame, status: DataFrame, name: str) -> DataFrame:
     """DOIs of a class that are harvested."""
-    return distinct_dois(by_doi, name).intersect(status.select("doi"))
+    return distinct_dois(by_doi, name).intersect(harvested_dois(status))
 
 
 def missing_dois(by_doi: DataFrame, status: DataFrame, name: str) -> DataFrame:
@@ -144,7 +142,7 @@ def harvest_flags(status: DataFrame, by_doi: DataFrame) -> DataFrame:
     """Status rows with ``oa`` and ``ca``: whether their DOI is in the class."""
     flags = by_doi.select("doi", F.col("oa").alias("__oa"), F.col("ca").alias("__ca"))
     return (
-        status.join(flags, "doi", "left")
+        status.join(lookup_side(flags), "doi", "left")
         .withColumn("oa", F.coalesce("__oa", F.lit(False)))
         .withColumn("ca", F.coalesce("__ca", F.lit(False)))
         .drop("__oa", "__ca")

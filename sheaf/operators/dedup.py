@@ -26,22 +26,26 @@ def first_by(df: DataFrame, keys: Sequence[str], order_by: Sequence[str]) -> Dat
     return df.withColumn("__rn", F.row_number().over(window)).where("__rn = 1").drop("__rn")
 
 
+def harvested_dois(status: DataFrame) -> DataFrame:
+    """Distinct DOIs of the status table; a null DOI there stands for nothing."""
+    return status.select("doi").where(has_doi(F.col("doi"))).distinct()
+
+
 def not_yet_harvested(records: DataFrame, status: DataFrame) -> DataFrame:
-    """Records with a DOI that the status table does not have.
+    """Records with a DOI that the status table does not have, repeated DOIs included.
 
-    An anti-join, so a null DOI in the status table removes nothing. The status side is not made
-    distinct first: an anti-join has no use for that, and the aggregate would keep the adaptive
-    skew join from splitting a hot DOI of the records.
+    An anti-join against the written DOI list: a short list spares the records their exchange, a
+    long one leaves a hot DOI of the records to the adaptive split.
     """
-    done = status.select("doi").where(has_doi(F.col("doi")))
+    done = lookup_side(harvested_dois(status))
     return records.where(has_doi(F.col("doi"))).join(done, "doi", "left_anti")
 
 
 def keep_values(df: DataFrame, column: str, values: Sequence[str] | DataFrame) -> DataFrame:
     """Rows whose ``column`` is one of ``values``; a short list reaches the scan as a filter."""
     if isinstance(values, DataFrame):
-        wanted = values.select(F.col(values.columns[0]).alias(column))
-        return df.join(wanted, column, "left_semi")
+        wanted = values.select(F.col(values.columns[0]).alias(column)).distinct()
+        return df.join(lookup_side(wanted), column, "left_semi")
     if len(values) <= IN_LIST_VALUES:
         return df.where(F.col(column).isin(list(values)))
     wanted = df.sparkSession.createDataFrame([(v,) for v in set(values)], f"{column} string")

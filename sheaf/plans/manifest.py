@@ -18,7 +18,7 @@ from sheaf.functions.urls import (
     ranked_locations,
 )
 from sheaf.operators.candidates import rank_flat_locations
-from sheaf.operators.dedup import assign_ids, first_by, not_yet_harvested, reprocess_filter
+from sheaf.operators.dedup import assign_ids, first_by, harvested_dois, reprocess_filter
 from sheaf.session import durable
 
 
@@ -92,7 +92,7 @@ def build_manifest(
     """
     first = first_occurrences(records, order_by, country)
     if harvested is not None:
-        first = not_yet_harvested(first, harvested)
+        first = first.join(harvested_dois(harvested), "doi", "left_anti")
     if known is None:
         first = assign_ids(first)
     else:

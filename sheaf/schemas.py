@@ -4,6 +4,8 @@ from pyspark.sql import types as T
 
 _S, _B = T.StringType(), T.BooleanType()
 
+# Field names of the dumps and of the status table.
+
 # A location stays a map, so that an absent key and a key holding null remain different.
 LOCATION = T.MapType(_S, _S)
 OBSERVATION = (

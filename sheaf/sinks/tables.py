@@ -36,11 +36,22 @@ def write_metadata(
 
 
 def write_payloads(
-    payloads: DataFrame, path: str, codec: str = "gzip", digits: int = 2, mode: str = "errorifexists"
+    payloads: DataFrame,
+    path: str,
+    codec: str = "gzip",
+    digits: int = 2,
+    exchange: bool = True,
+    mode: str = "errorifexists",
 ) -> None:
-    """``(path, content)`` as compressed binary, in folders by the first characters of the id."""
+    """``(path, content)`` as compressed binary, in folders by the first characters of the id.
+
+    ``exchange=False`` lets every task write what it holds to all folders: more and smaller files,
+    but the contents are not sent over the network.
+    """
     rows = payloads.withColumn("shard", shard(uuid_from_path(F.col("path")), digits))
-    _by_shard(rows, "shard").write.mode(mode).partitionBy("shard").option("compression", codec).parquet(path)
+    if exchange:
+        rows = _by_shard(rows, "shard")
+    rows.write.mode(mode).partitionBy("shard").option("compression", codec).parquet(path)
 
 
 def write_class_lists(classified: DataFrame, path: str, mode: str = "errorifexists") -> None:

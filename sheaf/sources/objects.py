@@ -38,19 +38,17 @@ def scan_payloads(spark: SparkSession, folder: str, glob: str = "*") -> DataFram
 def scan_service_outputs(spark: SparkSession, folder: str) -> DataFrame:
     """``(path, body)`` of the output files of all services, one row per file.
 
-    GROBID bodies are not needed to know a version, so only their names are kept.
+    GROBID bodies are not needed to know a version, so those files are listed but not read.
     """
     parts = []
     for service, suffix in SERVICE_SUFFIX.items():
-        files = (
-            spark.read.format("text")
-            .option("wholetext", True)
-            .option("pathGlobFilter", f"*{suffix}")
-            .option("recursiveFileLookup", True)
-            .load(folder)
-        )
-        body = F.lit(None).cast("string") if service == "grobid" else F.col("value")
-        parts.append(files.select(F.col("_metadata.file_path").alias("path"), body.alias("body")))
+        reader = spark.read.option("pathGlobFilter", f"*{suffix}").option("recursiveFileLookup", True)
+        if service == "grobid":
+            files = reader.format("binaryFile").load(folder)
+            parts.append(files.select("path", F.lit(None).cast("string").alias("body")))
+        else:
+            files = reader.format("text").option("wholetext", True).load(folder)
+            parts.append(files.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("body")))
     first, *rest = parts
     for part in rest:
         first = first.unionByName(part)

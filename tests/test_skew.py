@@ -112,7 +112,7 @@ def test_anti_join_uses_the_exchange_of_the_dedup(spark, conf):
     conf(spark__sql__autoBroadcastJoinThreshold="-1")
     status = spark.createDataFrame([("10.1/x",)], "doi string")
     text = plan(build_manifest(a.records(spark, SF), harvested=status))
-    assert "LeftAnti" in text and text.count("Exchange") == 2
+    assert "LeftAnti" in text and text.count("Exchange") == 2, "records and the distinct status DOIs"
     assert text.index("LeftAnti") < text.index("Window ["), "the dedup comes first"
 
 
@@ -148,14 +148,41 @@ def hot_records(spark):
     )
 
 
-def test_anti_join_splits_a_hot_doi(spark, conf):
+def test_anti_join_splits_a_hot_doi(spark, conf, monkeypatch):
     skew_conf(conf)
+    monkeypatch.setattr("sheaf.session.BROADCAST_ROWS", 0)
     status = spark.range(0, 30_000, numPartitions=4).select(F.concat(F.lit("10.1/"), F.col("id").cast("string")).alias("doi"))
     left = dedup.not_yet_harvested(hot_records(spark), status)
     assert "skew=true" in final_plan(left)
     assert left.count() == 20_000 + 20_000
 
 
+def test_semi_join_splits_a_hot_doi(spark, conf, monkeypatch):
+    skew_conf(conf)
+    monkeypatch.setattr("sheaf.session.BROADCAST_ROWS", 0)
+    wanted = spark.range(0, 30_000, numPartitions=4).select(F.concat(F.lit("10.1/"), F.col("id").cast("string")).alias("doi"))
+    kept = dedup.doi_allowlist(hot_records(spark), wanted.unionByName(spark.createDataFrame([("10.1/hot",)] * 9, "doi string")))
+    assert "skew=true" in final_plan(kept)
+    assert kept.count() == 20_000 + 20_000
+
+
+def test_status_rows_of_a_hot_doi_are_split(spark, conf, monkeypatch):
+    skew_conf(conf)
+    monkeypatch.setattr("sheaf.session.BROADCAST_ROWS", 0)
+    by_doi = spark.range(0, 30_000, numPartitions=4).select(
+        F.concat(F.lit("10.1/"), F.col("id").cast("string")).alias("doi"), F.lit(True).alias("oa"), F.lit(False).alias("ca")
+    ).groupBy("doi").agg(F.bool_or("oa").alias("oa"), F.bool_or("ca").alias("ca"))
+    flagged = coverage.harvest_flags(hot_records(spark), by_doi)
+    assert "skew=true" in final_plan(flagged)
+    assert flagged.where("oa").count() == 20_000 and flagged.count() == 60_000
+
+
+def test_short_lists_spare_the_records_their_exchange(spark, conf):
+    conf(spark__sql__autoBroadcastJoinThreshold="-1")
+    status = spark.createDataFrame([("10.1/1",)], "doi string")
+    assert "Exchange hashpartitioning" not in plan(dedup.not_yet_harvested(hot_records(spark), status))
+
+
 def test_lookup_side_splits_a_hot_url(spark, conf, monkeypatch):
     skew_conf(conf)
     monkeypatch.setattr("sheaf.session.BROADCAST_ROWS", 0)
