@@ -24,14 +24,16 @@ def stored(build):
     """Write an input as a Parquet table, once per session and folder.
 
     In use these are tables that exist: a converted dump, the status table, captured fetches.
-    Readers then take only the columns and nested fields they need.
+    Readers then take only the columns and nested fields they need. The given tables are one file
+    and so one task each; a table written here has a file per core.
     """
 
     @wraps(build)
     def read(spark: SparkSession, sf: str) -> DataFrame:
         key = (spark.sparkContext.applicationId, shared_folder(spark), sf, build.__name__)
         if key not in _TABLES:
-            _TABLES[key] = durable(build(spark, sf), build.__name__)
+            spread = build(spark, sf).repartition(spark.sparkContext.defaultParallelism)
+            _TABLES[key] = durable(spread, build.__name__)
         return _TABLES[key]
 
     STORED.append(read)
