@@ -79,17 +79,22 @@ class Words(NamedTuple):
         return np.flatnonzero(self.text[:n] == self.text[size - 1 :])
 
 
-def pack_words(texts: list[list[bytes]]) -> Words:
-    """Texts as lists of words without spaces and line feeds in them."""
-    data = b"".join([b" ".join(words) + b"\n" for words in texts])
+def scan_words(data: bytes) -> Words:
+    """The words of texts that are joined already."""
     buffer = np.frombuffer(data, np.uint8)
-    counts = np.fromiter(map(len, texts), np.int64, len(texts))
     stops = np.flatnonzero((buffer == 0x20) | (buffer == 0x0A))
     before = np.concatenate(([-1], stops[:-1])) if len(stops) else stops
     real = stops > before + 1  # not the line feed of a text without words
-    ends, starts = stops[real], before[real] + 1
-    first = np.concatenate(([0], np.cumsum(counts)))
-    return Words(data, buffer, starts, ends, np.repeat(np.arange(len(texts)), counts), first)
+    starts, ends = before[real] + 1, stops[real]
+    text = np.cumsum(buffer[stops] == 0x0A) - (buffer[stops] == 0x0A)
+    n = int(text[-1]) + 1 if len(text) else 0
+    text = text[real]
+    return Words(data, buffer, starts, ends, text, np.searchsorted(text, np.arange(n + 1)))
+
+
+def pack_words(texts: list[list[bytes]]) -> Words:
+    """Texts as lists of words without spaces and line feeds in them."""
+    return scan_words(b"".join([b" ".join(words) + b"\n" for words in texts]))
 
 
 def covered(n: int, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
