@@ -1,8 +1,7 @@
 """BPE encoding and decoding by speculation and verification, for vocabularies with word ends.
 
-A text is cut at white space; each piece is normalised and parted into words, and the ids of a piece are
-kept, so that a repeated piece costs one look-up. For pieces not seen yet, greedy longest match proposes
-tokens for all their words in one scan. A proposal is the exact encoding if every token encodes to itself
+A text is normalised and parted into words, and the ids of a word are kept, so that a repeated word costs
+one look-up. For words not seen yet, greedy longest match proposes tokens for all of them in one scan. A proposal is the exact encoding if every token encodes to itself
 and no merge rule crosses the border of any two neighbours, which is checked for all distinct neighbours at
 once with arrays. Only words that fail are merged rule by rule.
 
@@ -19,29 +18,30 @@ import json
 import re
 import unicodedata
 from functools import lru_cache
+from itertools import chain
 
 import ahocorasick
 import numpy as np
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from sheaf.llm.common import map_pieces, query, table
 
-# Pieces whose ids a Python worker keeps; beyond that it forgets them all.
-KEPT_PIECES = 200_000
-# Up to here, Python and the vocabulary's own normaliser know the same letters; other pieces go through the latter.
-LATIN_END = "\u0250"
+# Words whose ids a Python worker keeps twice over: of two such generations, the older one is forgotten.
+KEPT_WORDS = 150_000
+# Up to U+024F, Python and the vocabulary's own normaliser know the same letters and blanks but for these
+# four; texts with others go through the latter.
+FOREIGN = re.compile("[^\x00-\x1b\x20-\u024f]")
 # Stands for the end of a word inside this module; a private-use character that byte-level text cannot hold.
 END = "\ue000"
 NEVER = np.int64(1) << 40
 # Longer words are merged one by one, with a heap; shorter ones side by side, in a matrix.
 MATRIX_WORD = 32
 
-WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")  # fixed value: the file's own pattern
-SEPARATORS = "\x1c\x1d\x1e\x1f"
-BLANK = re.compile(rf"[^\S{SEPARATORS}]+")
+# The file's own pattern for words, for texts of those characters. All letters and all numbers there.
+LETTERS, NUMBERS = "A-Za-zªµºÀ-ÖØ-öø-\u024f", "0-9²³¹¼-¾"
+WORDS = re.compile(rf"[{LETTERS}]+|'(?:s|t|re|ve|m|ll|d)|[{NUMBERS}]|[^\s{LETTERS}{NUMBERS}]+")
 
 
 def byte_letters() -> list[str]:
@@ -51,6 +51,16 @@ def byte_letters() -> list[str]:
     return [chr(b) if b in shown else chr(next(spare)) for b in range(256)]
 
 
+def as_bytes(ids: list[int]) -> bytes:
+    return np.array(ids, "<u4").tobytes()
+
+
+def cut_bytes(ids: np.ndarray, counts: np.ndarray) -> list[bytes]:
+    """The ids as bytes, cut into runs of so many."""
+    data, ends = ids.astype("<u4").tobytes(), (4 * np.cumsum(counts)).tolist()
+    return [data[start:end] for start, end in zip([0, *ends[:-1]], ends)]
+
+
 class WordBpe:
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as file:
@@ -68,7 +78,8 @@ class WordBpe:
         self.symbol = np.full((2, 0x200), -1, np.int64)  # of a letter inside a word, of one at its end
         for letter in self.letters.values():
             self.symbol[:, ord(letter)] = self.id_of[letter], self.id_of[letter + END]
-        self.cache: dict[str, bytes] = {}
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
 
         size = max(self.tokens) + 1
         self.rank = np.full(size, -1, np.int64)  # when a token comes to be; -1 for single letters
@@ -90,19 +101,24 @@ class WordBpe:
         self.stable = np.full(size, -1, np.int8)  # does a token encode to itself? -1: not known yet
         self.scan = ahocorasick.Automaton()
         for token, i in self.id_of.items():
-            self.scan.add_word(token, (i, len(token)))
+            self.scan.add_word(token, i << 16 | len(token))
         self.scan.make_automaton()
 
     # words
 
-    def words(self, piece: str) -> list[str]:
-        """The words of a piece without white space, in the letters that stand for bytes, each with END."""
-        if max(piece) < LATIN_END:
-            found = WORDS.findall(unicodedata.normalize("NFC", piece).lower())
-            return [(w if w.isascii() and w.isprintable() else w.encode().decode("latin-1").translate(self.letters)) + END for w in found]
-        normal = self.library.normalizer.normalize_str(piece)
+    def words(self, text: str) -> list[str]:
+        """The words of a text as they are kept: as they are, or with END in the letters that stand for bytes."""
+        if not FOREIGN.search(text):
+            return WORDS.findall(unicodedata.normalize("NFC", text).lower())
+        normal = self.library.normalizer.normalize_str(text)
         return [w + END for w, _ in self.library.pre_tokenizer.pre_tokenize_str(normal)]
 
+    def spelled(self, word: str) -> str:
+        """A word in the letters that stand for its bytes, with END."""
+        if word[-1] == END:
+            return word
+        return (word if word.isascii() and word.isprintable() else word.encode().decode("latin-1").translate(self.letters)) + END
+
     # exact merging
 
     def merge(self, word: str) -> list[int]:
@@ -137,9 +153,9 @@ class WordBpe:
         at = np.minimum(np.searchsorted(self.pair_codes, code), len(self.pair_codes) - 1)
         return np.where(self.pair_codes[at] == code, self.pair_ranks[at], NEVER)
 
-    def merge_all(self, words: list[str]) -> list[list[int]]:
-        """merge() of many words; the short ones go through the rules side by side, a row each."""
-        out: list = [None if len(w) <= MATRIX_WORD + 1 else self.merge(w) for w in words]
+    def merge_all(self, words: list[str]) -> list[bytes]:
+        """merge() of many words, as bytes; the short ones go through the rules side by side, a row each."""
+        out: list = [None if len(w) <= MATRIX_WORD + 1 else as_bytes(self.merge(w)) for w in words]
         short = sorted((k for k, ids in enumerate(out) if ids is None), key=lambda k: len(words[k]))
         for at in range(0, len(short), 4096):
             part = short[at : at + 4096]
@@ -147,9 +163,13 @@ class WordBpe:
                 out[k] = ids
         return out
 
-    def merge_rows(self, words: list[str]) -> list[list[int]]:
-        n, width = len(words), max(map(len, words))
-        letters = np.array(words, f"<U{width}").view("<u4").reshape(n, width).astype(np.int64)
+    def merge_rows(self, words: list[str]) -> list[bytes]:
+        lengths = np.fromiter(map(len, words), np.int64, len(words))
+        n, width = len(words), int(lengths.max())
+        letters = np.zeros((n, width), np.int64)
+        row = np.repeat(np.arange(n), lengths)
+        place = np.arange(len(row)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+        letters[row, place] = np.frombuffer("".join(words).encode("utf-32-le"), "<u4")
         final = np.zeros_like(letters)
         final[:, :-1] = letters[:, 1:] == ord(END)
         real = (letters != 0) & (letters != ord(END))
@@ -179,7 +199,8 @@ class WordBpe:
             inner = first > 0
             i, j = line[inner], first[inner]
             ranks[i, j - 1] = self.rule_ranks(rows[i, j - 1], rows[i, j])
-        return [[s for s in row if s >= 0] for row in done.tolist()]
+        filled = done >= 0
+        return cut_bytes(done[filled], filled.sum(1))
 
     # verification
 
@@ -218,12 +239,11 @@ class WordBpe:
             self.stable[i] = self.merge(own) == [i]
         return self.stable[ids] == 1
 
-    def propose(self, words: list[str]) -> list[np.ndarray | list[int]]:
+    def propose(self, words: list[str]) -> list[bytes]:
         """The ids of each word."""
         ends = np.cumsum([len(w) for w in words])
-        found = [(end, i, n) for end, (i, n) in self.scan.iter_long("".join(words))]
-        last, ids, length = np.array(found, np.int64).reshape(-1, 3).T
-        stop = last + 1
+        last, found = np.fromiter(chain.from_iterable(self.scan.iter_long("".join(words))), np.int64).reshape(-1, 2).T
+        ids, length, stop = found >> 16, found & 0xFFFF, last + 1
         # a word is covered if its tokens lie inside it, side by side
         word = np.searchsorted(ends, stop, side="left")
         inside = stop - length >= np.where(word > 0, ends[word - 1], 0)
@@ -235,39 +255,38 @@ class WordBpe:
         pairs, which = np.unique(ids[near] * self.size + ids[near + 1], return_inverse=True)
         bad = self.crossing(pairs // self.size, pairs % self.size)[which]
         good[word[near[bad]]] = False
-        first = np.searchsorted(word, np.arange(len(words) + 1))
+        out = cut_bytes(ids, np.bincount(word, minlength=len(words)))
         failing = np.flatnonzero(~good).tolist()
-        merged = dict(zip(failing, self.merge_all([words[k] for k in failing])))
-        return [merged[k] if k in merged else ids[first[k] : first[k + 1]] for k in range(len(words))]
+        for k, merged in zip(failing, self.merge_all([words[k] for k in failing])):
+            out[k] = merged
+        return out
 
     # texts
 
-    def learn(self, pieces: set[str]) -> None:
-        """Keep the ids of all these pieces."""
-        missing = [p for p in pieces if p not in self.cache]
-        if len(self.cache) + len(missing) > KEPT_PIECES:
-            self.cache = {}
-            missing = list(pieces)
-        parts = [self.words(p) for p in missing]
-        distinct = list(dict.fromkeys(w for part in parts for w in part))
-        ids = {}
-        if distinct:
-            ids = {w: np.asarray(i, "<u4").tobytes() for w, i in zip(distinct, self.propose(distinct))}
-        for piece, part in zip(missing, parts):
-            self.cache[piece] = b"".join([ids[w] for w in part])
-
-    def pieces(self, text: str) -> list[str]:
-        if any(c in text for c in SEPARATORS):  # white space to Python, but not to the vocabulary
-            return [p for p in BLANK.split(text) if p]
-        return text.split()
+    def learn(self, words: set[str]) -> dict[str, bytes]:
+        """The ids of all these words, kept for later texts."""
+        if len(self.young) > KEPT_WORDS:
+            self.young, self.old = {}, self.young
+        known = {}
+        missing = []
+        for word in words:
+            ids = self.young.get(word) or self.old.get(word)
+            if ids is None:
+                missing.append(word)
+            else:
+                known[word] = ids
+        if missing:
+            known.update(zip(missing, self.propose([self.spelled(w) for w in missing])))
+        self.young.update(known)
+        return known
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         """The ids of each text, as little-endian unsigned 32-bit integers."""
         split = self.special_parts.split if self.special_parts else lambda text: [text]
         # every second part is a special token
-        parted = [[part if k % 2 else self.pieces(part) for k, part in enumerate(split(text or ""))] for text in texts]
-        self.learn({p for parts in parted for pieces in parts[::2] for p in pieces})
-        of, special = self.cache.__getitem__, {t: np.uint32(i).tobytes() for t, i in self.special.items()}
+        parted = [[part if k % 2 else self.words(part) for k, part in enumerate(split(text or ""))] for text in texts]
+        of = self.learn(set().union(*(words for parts in parted for words in parts[::2]))).__getitem__
+        special = {t: as_bytes([i]) for t, i in self.special.items()}
         return [
             np.frombuffer(b"".join(special[part] if k % 2 else b"".join(map(of, part)) for k, part in enumerate(parts)), "<u4")
             for parts in parted
