@@ -1,6 +1,6 @@
 """All queries of this subpackage, and their SQL."""
 
-from sheaf.llm import bpe, chat, leaks, quality, substrings, suffixes  # noqa: F401
+from sheaf.llm import bpe, chat, jaccard, leaks, quality, substrings, suffixes  # noqa: F401
 from sheaf.llm.common import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -23,7 +23,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sheaf.llm.common import map_pieces, pa_schema, query, row_key, table, text_partitions
-from sheaf.llm.hashing import covered, pack_words, prefix, runs, scan_words, span_hashes
+from sheaf.llm.hashing import covered, pack_words, prefix, scan_words, span_hashes
+from sheaf.llm.rounds import NO_ID
 from sheaf.session import durable
 
 WINDOW = 13
@@ -31,7 +32,6 @@ MINIMISER = 3
 # Bytes of text to a bucket, and windows that are sorted at a time.
 BUCKET_BYTES = 8_000_000
 SORTED_WINDOWS = 3_000_000
-NO_ID = (1 << 63) - 1
 
 
 def sliding_min(values: np.ndarray, width: int) -> np.ndarray:

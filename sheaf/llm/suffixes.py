@@ -25,19 +25,17 @@ with about sixty bytes of memory for each of its own.
 
 from __future__ import annotations
 
-import uuid
 from functools import cached_property
 
 import numpy as np
-import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sheaf.llm.common import map_pieces, pa_schema, query, table, text_partitions
+from sheaf.llm.common import query, table, text_partitions
 from sheaf.llm.hashing import covered, mix, prefix, runs, span_hashes, window_hashes
-from sheaf.llm.substrings import NO_ID, earliest
-from sheaf.session import durable
+from sheaf.llm.rounds import NO_ID, LOW, Rounds, bucket_key, bucket_runs, piece_texts, squeeze, text_pieces, unsqueeze
+from sheaf.llm.substrings import earliest
 
 LENGTH = 50
 # Perfect difference sets, by modulus.
@@ -45,7 +43,6 @@ COVERS = {3: (0, 1), 7: (1, 2, 4), 13: (0, 1, 3, 9), 21: (3, 6, 7, 12, 14), 31:
 # Names to a bucket, on average; strings that are merged at a time.
 BUCKET_NAMES = 1_500_000
 MERGED_STRINGS = 150_000
-LOW = np.uint64(0xFFFFFFFF)
 
 
 def cover_for(length: int) -> tuple[int, tuple[int, ...]]:
@@ -54,32 +51,17 @@ def cover_for(length: int) -> tuple[int, tuple[int, ...]]:
     return modulus, COVERS[modulus]
 
 
-def squeeze(values: np.ndarray) -> bytes:
-    """Compressed byte by byte: all first bytes, then all second ones."""
-    planes = np.ascontiguousarray(values).view(np.uint8).reshape(len(values), -1).T
-    return zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
-
-
-def unsqueeze(data: bytes, kind: str) -> np.ndarray:
-    size = np.dtype(kind).itemsize
-    flat = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8)
-    return np.ascontiguousarray(flat.reshape(size, -1).T).view(kind).reshape(-1)
-
-
 class Piece:
     """Some documents' texts; what is sampled in them, in the order in which every round sends it."""
 
     def __init__(self, row: dict, length: int, buckets: int):
-        self.length, self.buckets = length, np.uint64(buckets)
+        self.length, self.buckets = length, buckets
         self.modulus, self.cover = cover_for(length)
         self.depth = length - self.modulus + 1
         self.doc_ids = row["doc_ids"]
-        data = zstandard.ZstdDecompressor().decompress(row["texts"])
-        ends = np.cumsum(row["lengths"]).tolist()
-        texts = [data[a:b] for a, b in zip([0, *ends[:-1]], ends)]
         ids = [NO_ID if i is None else i for i in self.doc_ids]
         number: dict[bytes, int] = {}
-        self.row_text = [number.setdefault(t, len(number)) for t in texts]
+        self.row_text = [number.setdefault(t, len(number)) for t in piece_texts(row)]
         self.texts = list(number)
         self.row_id = np.array(ids, np.int64)
         self.owner = np.full(len(self.texts), NO_ID, np.int64)
@@ -105,7 +87,7 @@ class Piece:
         at = np.concatenate([np.empty(0, np.int64), *(pattern[:n] + s for n, s in zip(upto.tolist(), self.starts[long].tolist()))])
         text = np.repeat(long, upto)
         name = span_hashes(self.sums, at, at + self.depth)
-        key = ((name >> np.uint64(32)) % self.buckets) << np.uint64(32) | (name & LOW)
+        key = bucket_key(name, self.buckets)
         order = np.argsort(key)
         return text[order], at[order], key[order]
 
@@ -139,25 +121,19 @@ class Piece:
             first = np.empty(0, np.int64)
         return text, start, end, lead, key, more, own, first
 
-    def by_bucket(self, key: np.ndarray):
-        """(bucket, low, high) of each run of sorted keys in one bucket."""
-        bucket = (key >> np.uint64(32)).astype(np.int64)
-        cuts = np.flatnonzero(np.diff(bucket, prepend=-1))
-        return zip(bucket[cuts].tolist(), cuts.tolist(), [*cuts[1:].tolist(), len(key)])
-
     # what each round sends: (bucket, columns)
 
     def send_names(self):
         first, shared = self.names
         key = self.sampled[2][first]
-        for bucket, low, high in self.by_bucket(key):
+        for bucket, low, high in bucket_runs(key):
             half = (key[low:high] & LOW).astype("<u4")
             yield bucket, [squeeze(np.diff(half, prepend=np.uint32(0))), np.packbits(shared[low:high]).tobytes()], high - low
 
     def send_refined(self, alive: np.ndarray):
         *_, key, more, own, first = self.refined(alive)
         key, more, own = key[first], more[first], own[first]
-        for bucket, low, high in self.by_bucket(key):
+        for bucket, low, high in bucket_runs(key):
             half = (key[low:high] & LOW).astype("<u4")
             yield bucket, [squeeze(np.diff(half, prepend=np.uint32(0))), squeeze(more[low:high]), squeeze(own[low:high])], high - low
 
@@ -165,7 +141,7 @@ class Piece:
         _, start, end, _, key, _, own, first = self.refined(alive)
         first = first[fate == OPEN]
         start, end, key, own = start[first], end[first], key[first], own[first]
-        for bucket, low, high in self.by_bucket(key):
+        for bucket, low, high in bucket_runs(key):
             strings = b"".join([self.data[a:b] for a, b in zip(start[low:high].tolist(), end[low:high].tolist())])
             press = zstandard.ZstdCompressor(level=3).compress
             yield bucket, [press(strings), squeeze((end - start)[low:high].astype("u1")), squeeze(own[low:high])], high - low
@@ -254,100 +230,19 @@ def meet_strings(rows: list[list[bytes]], counts: list[int], length: int) -> lis
     return [squeeze(mask) for mask in out]
 
 
-PIECES = "piece string, doc_ids array<bigint>, lengths array<bigint>, texts binary"
-SENT = "bucket int, piece string, n int, data array<binary>"
-REPLY = "piece string, bucket int, n int, reply binary"
-
-
-def text_pieces(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """Rows gathered into pieces, written once; a piece keeps its name from then on."""
-
-    def gather(part):
-        texts = [(t or "").encode() for t in part.column("text").to_pylist()]
-        return {
-            "piece": [uuid.uuid4().hex],
-            "doc_ids": [part.column("doc_id").to_pylist()],
-            "lengths": [[len(t) for t in texts]],
-            "texts": [zstandard.ZstdCompressor(level=1).compress(b"".join(texts))],
-        }
-
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    return durable(map_pieces(rows, gather, PIECES), "pieces")
-
-
-def read_replies(cells: list[dict] | None, kind: str) -> np.ndarray:
-    """A round's replies to a piece, in the order in which it sent."""
-    parts = [np.empty(0, bool if kind == "bits" else kind)]
-    for cell in sorted(cells or [], key=lambda c: c["bucket"]):
-        if kind == "bits":
-            parts.append(np.unpackbits(np.frombuffer(cell["reply"], np.uint8), count=cell["n"]).astype(bool))
-        else:
-            parts.append(unsqueeze(cell["reply"], kind))
-    return np.concatenate(parts)
-
-
-KINDS = ("bits", "u1", "<u4")
-
-
-class Rounds:
-    def __init__(self, docs: DataFrame, length: int, doc_id: str, text: str, bucket_names: int):
-        modulus, cover = cover_for(length)
-        _, total = text_partitions(docs, 1 << 30, text)
-        self.length = length
-        self.buckets = max(1, -(-total * len(cover) // modulus // bucket_names))
-        self.pieces = text_pieces(docs, doc_id, text)
-        self.replies: list[DataFrame] = []
-
-    def known(self) -> DataFrame:
-        """The pieces with all replies so far."""
-        out = self.pieces
-        for k, reply in enumerate(self.replies):
-            lists = reply.groupBy("piece").agg(F.collect_list(F.struct("bucket", "n", "reply")).alias(f"reply{k}"))
-            out = out.join(lists, "piece", "left")
-        return out
-
-    def each(self, fn, schema: str) -> DataFrame:
-        """fn(piece, replies) for each piece gives rows as tuples."""
-        types = pa_schema(self.pieces.sparkSession, schema)
-        length, buckets, n = self.length, self.buckets, len(self.replies)
-
-        def run(batches):
-            for batch in batches:
-                for k in range(batch.num_rows):
-                    row = batch.slice(k, 1).to_pylist()[0]
-                    replies = [read_replies(row[f"reply{i}"], KINDS[i]) for i in range(n)]
-                    rows = list(fn(row["piece"], Piece(row, length, buckets), replies))
-                    yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(types)], schema=types)
-
-        return self.known().mapInArrow(run, schema)
-
-    def round(self, send, meet) -> None:
-        """Shuffle what pieces send by bucket, let it meet there, and write the replies."""
-        types = pa_schema(self.pieces.sparkSession, REPLY)
-
-        def reply(group: pa.Table) -> pa.Table:
-            rows = group.to_pydict()
-            found = meet(rows["data"], rows["n"])
-            return pa.table([pa.array(c, f.type) for c, f in zip((rows["piece"], rows["bucket"], rows["n"], found), types)], schema=types)
-
-        def sent(name, piece, replies):
-            for bucket, data, n in getattr(piece, send)(*replies):
-                yield bucket, name, n, data
-
-        out = self.each(sent, SENT).groupBy("bucket").applyInArrow(reply, REPLY)
-        self.replies.append(durable(out, "replies"))
-
-
 def suffix_dedup(
     docs: DataFrame, length: int = LENGTH, doc_id: str = "doc_id", text: str = "text", bucket_names: int = BUCKET_NAMES
 ) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans (maximal removed runs) and kept, the bytes that stay."""
-    rounds = Rounds(docs, length, doc_id, text, bucket_names)
+    modulus, cover = cover_for(length)
+    _, total = text_partitions(docs, 1 << 30, text)
+    buckets = max(1, -(-total * len(cover) // modulus // bucket_names))
+    rounds = Rounds(text_pieces(docs, doc_id, text), lambda row: Piece(row, length, buckets), ("bits", "u1", "<u4"))
     rounds.round("send_names", meet_names)
     rounds.round("send_refined", meet_refined)
     rounds.round("send_strings", lambda rows, counts: meet_strings(rows, counts, length))
 
-    def cut(_, piece, replies):
+    def cut(piece, replies):
         gone = piece.removed(*replies)
         for row, k in enumerate(piece.row_text):
             text = piece.texts[k]
