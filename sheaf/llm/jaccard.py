@@ -438,9 +438,9 @@ with recursive d as (
   union all
   select y, x from o join n nx on x = nx.doc_id join n ny on y = ny.doc_id where 100 * shared >= {PERCENT} * (nx.n + ny.n - shared)
 ), r as (
-  select x as doc_id, x as at from l union select r.doc_id, l.y from r join l on r.at = l.x
+  select x as doc_id, x as near from l union select r.doc_id, l.y from r join l on r.near = l.x
 ), c as (
-  select doc_id, min(at) as component_id from r group by doc_id
+  select doc_id, min(near) as component_id from r group by doc_id
 )
 select d.doc_id, coalesce(n, 0) as n_shingles, coalesce(component_id, d.doc_id) as component_id
 from d left join n on d.doc_id = n.doc_id left join c on d.doc_id = c.doc_id
