@@ -8,11 +8,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sheaf.session import durable
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 # A task works on texts of about so many bytes at a time, whatever the rows of an Arrow batch add up to.
-PIECE_BYTES = 4_000_000
+PIECE_BYTES = 2_000_000
 
 
 def query(name: str, sql: str | None = None):
@@ -71,6 +73,24 @@ def pa_schema(spark: SparkSession, schema: str) -> pa.Schema:
     return to_arrow_schema(StructType.fromDDL(schema))
 
 
+CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def stored(df: DataFrame, label: str) -> DataFrame:
+    """``durable``, after which the shuffle files that the write needed are deleted.
+
+    Nothing reads them again: the table is read from the shared folder from here on. This runs a job while
+    the plan is made.
+    """
+    conf = df.sparkSession.conf
+    before = conf.get(CLEAN_UP, "false")
+    conf.set(CLEAN_UP, "true")
+    try:
+        return durable(df, label)
+    finally:
+        conf.set(CLEAN_UP, before)
+
+
 def row_key(doc_id: str = "doc_id", text: str = "text") -> Column:
     """A key that tells rows apart by id and text; repeated rows share it and get the same answer."""
     return F.xxhash64(F.col(doc_id), F.col(text), F.lit(11))

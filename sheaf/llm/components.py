@@ -14,7 +14,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sheaf.session import durable
+from sheaf.llm.common import stored
+
 
 EDGES = "a long, b long"
 
@@ -89,10 +90,10 @@ def components(edges: DataFrame) -> DataFrame:
     a, b = edges.columns
     edges = edges.where(F.col(a).isNotNull() & F.col(b).isNotNull()).select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).where("a < b")
     mark = [F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("sum")]
-    current = durable(local_stars(edges).distinct(), "edges")
+    current = stored(local_stars(edges).distinct(), "edges")
     before = current.agg(*mark).first()
     while before["n"]:
-        current = durable(local_stars(small_star(large_star(current))).distinct(), "edges")
+        current = stored(local_stars(small_star(large_star(current))).distinct(), "edges")
         after = current.agg(*mark).first()
         if after == before:
             break

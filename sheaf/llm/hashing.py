@@ -36,15 +36,20 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-def prefix(buffer: np.ndarray, seed: int = 0) -> np.ndarray:
-    """Prefix sums for ``span_hashes``; buffer: uint8."""
-    _reach(len(buffer))
-    sums = np.empty(len(buffer) + 1, np.uint64)
+def prefix_of(numbers: np.ndarray) -> np.ndarray:
+    """Prefix sums for ``span_hashes`` over any numbers, uint64 that are spread well."""
+    _reach(len(numbers))
+    sums = np.empty(len(numbers) + 1, np.uint64)
     sums[0] = 0
-    np.cumsum(NUMBERS[seed][buffer] * _powers[: len(buffer)], out=sums[1:])
+    np.cumsum(numbers * _powers[: len(numbers)], out=sums[1:])
     return sums
 
 
+def prefix(buffer: np.ndarray, seed: int = 0) -> np.ndarray:
+    """The same over bytes; buffer: uint8."""
+    return prefix_of(NUMBERS[seed][buffer])
+
+
 def span_hashes(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """Of buffer[start:end], as uint64."""
     return mix((sums[ends] - sums[starts]) * _inverse[starts])

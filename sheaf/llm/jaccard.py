@@ -30,11 +30,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sheaf.llm.common import pa_schema, query, row_key, table, text_partitions
+from sheaf.llm.common import pa_schema, query, row_key, stored, table, text_partitions
 from sheaf.llm.components import EDGES, Forest, components, edge_table
 from sheaf.llm.hashing import mix, pack_words, prefix, span_hashes
 from sheaf.llm.rounds import LOW, Rounds, bucket_key, bucket_runs, piece_texts, squeeze, text_pieces, unsqueeze
-from sheaf.session import durable
 
 SHINGLE = 5
 # Links at 100 * intersection >= PERCENT * union.
@@ -323,7 +322,7 @@ def candidate_edges(sets: DataFrame) -> DataFrame:
         return shingle[first], node[first]
 
     schema = "shingle long, a long, b long"
-    near = durable(sets.select("node", "rare").mapInArrow(lambda b: meet(b, True), schema), "near")
+    near = stored(sets.select("node", "rare").mapInArrow(lambda b: meet(b, True), schema), "near")
     far = near.where("b is null").select("shingle", "a").repartition("shingle").mapInArrow(lambda b: meet(b, False), schema)
     return near.where("b is not null").select("a", "b").union(far.select("a", "b"))
 
@@ -331,7 +330,7 @@ def candidate_edges(sets: DataFrame) -> DataFrame:
 def family_tasks(members: DataFrame, percent: int, block: int) -> DataFrame:
     """task, family, side, node, shingles: small families share tasks, large ones have a task for a pair of blocks."""
     spark = members.sparkSession
-    sizes = durable(members.groupBy("family").agg(F.count("*").alias("n")), "sizes")
+    sizes = stored(members.groupBy("family").agg(F.count("*").alias("n")), "sizes")
     total, largest = sizes.agg(F.sum(F.when(F.col("n") <= block, F.col("n"))), F.max("n")).first()
     tasks = max(1, -(-(total or 0) // block))
     rows = members.join(sizes, "family")
@@ -342,11 +341,11 @@ def family_tasks(members: DataFrame, percent: int, block: int) -> DataFrame:
         return small
     by_size = Window.partitionBy("family").orderBy("size", "least", "node")
     large = rows.where(F.col("n") > block).withColumn("block", F.floor((F.row_number().over(by_size) - 1) / block))
-    large = durable(large.select("family", "block", "node", "shingles"), "blocks")
+    large = stored(large.select("family", "block", "node", "shingles"), "blocks")
     summary_types, pair_types = pa_schema(spark, BLOCKS), pa_schema(spark, "family long, x long, y long")
     summaries = large.groupBy("family", "block").applyInArrow(lambda t: table_of(summary_types, block_summary(t)), BLOCKS)
     pairs = summaries.groupBy("family").applyInArrow(lambda t: table_of(pair_types, block_pairs(t, percent)), "family long, x long, y long")
-    pairs = durable(pairs, "pairs")
+    pairs = stored(pairs, "pairs")
     sides = pairs.select("family", "x", "y", F.col("x").alias("block"), F.lit(0).alias("side")).union(
         pairs.where("x < y").select("family", "x", "y", F.col("y").alias("block"), F.lit(1).alias("side"))
     )
@@ -382,17 +381,17 @@ def jaccard_groups(
             else:
                 yield doc, key, len(piece.sets[k]), piece.nodes[k], None, None
 
-    rows = durable(rounds.each(emit, SETS), "sets")
+    rows = stored(rounds.each(emit, SETS), "sets")
     sets = rows.where("rare is not null")
     family = components(candidate_edges(sets)).withColumnRenamed("component", "family")
     one = sets.groupBy("node").agg(F.first("shingles").alias("shingles"), F.first("n_shingles").alias("size"), F.first(F.array_min("rare")).alias("least"))
-    members = durable(one.join(family, "node"), "members")
+    members = stored(one.join(family, "node"), "members")
 
     def link(group: pa.Table) -> pa.Table:
         return pa.Table.from_batches([link_task(group, percent)])
 
-    links = durable(family_tasks(members, percent, block).groupBy("task").applyInArrow(link, EDGES), "links")
-    labels = durable(components(links), "labels")
+    links = stored(family_tasks(members, percent, block).groupBy("task").applyInArrow(link, EDGES), "links")
+    labels = stored(components(links), "labels")
     return rows.select("doc_id", "key", "n_shingles", "node").join(labels, "node", "left").select(
         "doc_id", "key", "n_shingles", "node", F.coalesce("component", "node").alias("component")
     )
@@ -400,8 +399,8 @@ def jaccard_groups(
 
 def named_components(docs: DataFrame, **options) -> DataFrame:
     """doc_id, key, n_shingles and component_id, the smallest doc_id of the row's component."""
-    groups = durable(jaccard_groups(docs, **options), "groups")
-    least = durable(groups.where("component is not null").groupBy("component").agg(F.min("doc_id").alias("component_id")), "least")
+    groups = stored(jaccard_groups(docs, **options), "groups")
+    least = stored(groups.where("component is not null").groupBy("component").agg(F.min("doc_id").alias("component_id")), "least")
     return groups.join(least, "component", "left").select(
         "doc_id", "key", "n_shingles", F.when(F.col("component").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id")
     )
@@ -409,7 +408,7 @@ def named_components(docs: DataFrame, **options) -> DataFrame:
 
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """One row of each component stays: that of the smallest doc_id, nulls last. Rows without words all stay."""
-    groups = durable(jaccard_groups(docs, doc_id=doc_id, text=text, **options), "groups")
+    groups = stored(jaccard_groups(docs, doc_id=doc_id, text=text, **options), "groups")
     first = groups.where("component is not null").groupBy("component").agg(F.min(F.struct(F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("id"), "key")).alias("f"))
     names = [f"__{c}" for c in ("key", "id", "copy")]
     keyed = docs.withColumns({names[0]: row_key(doc_id, text), names[1]: F.coalesce(F.col(doc_id).cast("long"), F.lit((1 << 63) - 1))})

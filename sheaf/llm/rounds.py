@@ -17,8 +17,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sheaf.llm.common import map_pieces, pa_schema, row_key
-from sheaf.session import durable
+from sheaf.llm.common import map_pieces, pa_schema, row_key, stored
 
 NO_ID = (1 << 63) - 1
 LOW = np.uint64(0xFFFFFFFF)
@@ -53,7 +52,7 @@ SENT = "bucket int, piece string, n int, data array<binary>"
 REPLY = "piece string, bucket int, n int, reply binary"
 
 
-def text_pieces(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def text_pieces(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", piece_bytes: int = 4_000_000) -> DataFrame:
     """Rows gathered into pieces, written once; a piece keeps its name from then on."""
 
     def gather(part):
@@ -63,11 +62,11 @@ def text_pieces(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
             "doc_ids": [part.column("doc_id").to_pylist()],
             "keys": [part.column("key").to_pylist()],
             "lengths": [[len(t) for t in texts]],
-            "texts": [zstandard.ZstdCompressor(level=1).compress(b"".join(texts))],
+            "texts": [zstandard.ZstdCompressor(level=3).compress(b"".join(texts))],
         }
 
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), row_key(doc_id, text).alias("key"), F.col(text).alias("text"))
-    return durable(map_pieces(rows, gather, PIECES), "pieces")
+    return stored(map_pieces(rows, gather, PIECES, piece_bytes), "pieces")
 
 
 def piece_texts(row: dict) -> list[bytes]:
@@ -94,31 +93,39 @@ class Rounds:
         self.pieces, self.piece, self.kinds = pieces, piece, kinds
         self.replies: list[DataFrame] = []
 
-    def known(self) -> DataFrame:
-        """The pieces with all replies so far."""
+    def known(self, given: tuple[int, ...]) -> DataFrame:
+        """The pieces with the replies of these rounds."""
         out = self.pieces
-        for k, reply in enumerate(self.replies):
+        for k in given:
+            reply = self.replies[k]
             lists = reply.groupBy("piece").agg(F.collect_list(F.struct("bucket", "n", "reply")).alias(f"reply{k}"))
             out = out.join(lists, "piece", "left")
         return out
 
-    def each(self, fn, schema: str, named: bool = False) -> DataFrame:
-        """fn(piece, replies), with its name before them if ``named``, gives rows as tuples."""
+    def each(self, fn, schema: str, named: bool = False, given: tuple[int, ...] | None = None, more: DataFrame | None = None) -> DataFrame:
+        """fn(piece, replies), with its name before them if ``named``, gives rows as tuples.
+
+        ``given`` are the rounds whose replies it wants, all so far by default; ``more``, with the columns
+        piece and more, adds what it has for a piece, or None, to them.
+        """
         types = pa_schema(self.pieces.sparkSession, schema)
-        make, kinds = self.piece, self.kinds[: len(self.replies)]
+        given = tuple(range(len(self.replies))) if given is None else given
+        make, kinds = self.piece, [(k, self.kinds[k]) for k in given]
 
         def run(batches):
             for batch in batches:
                 for k in range(batch.num_rows):
                     row = batch.slice(k, 1).to_pylist()[0]
-                    replies = [read_replies(row[f"reply{i}"], kind) for i, kind in enumerate(kinds)]
+                    replies = [read_replies(row[f"reply{i}"], kind) for i, kind in kinds]
+                    replies += [row["more"]] if wants_more else []
                     rows = list(fn(*([row["piece"]] if named else []), make(row), replies))
                     columns = [pa.array([r[i] for r in rows], f.type) for i, f in enumerate(types)]
                     yield pa.RecordBatch.from_arrays(columns, schema=types)
 
-        return self.known().mapInArrow(run, schema)
+        known, wants_more = self.known(given), more is not None
+        return (known.join(more, "piece", "left") if wants_more else known).mapInArrow(run, schema)
 
-    def round(self, send: str, meet: Callable[[list, list], list[bytes]]) -> None:
+    def round(self, send: str, meet: Callable[[list, list], list[bytes]], given: tuple[int, ...] | None = None) -> None:
         """Shuffle what pieces send by bucket, let it meet there, and write the replies.
 
         ``send`` names a method of the piece that takes the replies so far and gives (bucket, columns,
@@ -135,5 +142,5 @@ class Rounds:
             for bucket, data, n in getattr(piece, send)(*replies):
                 yield bucket, name, n, data
 
-        out = self.each(sent, SENT, named=True).groupBy("bucket").applyInArrow(reply, REPLY)
-        self.replies.append(durable(out, "replies"))
+        out = self.each(sent, SENT, named=True, given=given).groupBy("bucket").applyInArrow(reply, REPLY)
+        self.replies.append(stored(out, "replies"))

@@ -30,8 +30,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sheaf.llm.common import map_pieces, pieces, query, table
-from sheaf.session import durable
+from sheaf.llm.common import map_pieces, pieces, query, stored, table
 
 SAMPLE_ROWS = 20_000
 WORDS_EACH = 400
@@ -75,7 +74,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, categories: tuple[Catego
     found = own.join(F.broadcast(drawn), "id").withColumn("same", F.xxhash64("text"))
     found = found.groupBy("same").agg(F.first("text").alias("text"), F.min("id").alias("id"), *(F.min(n).alias(n) for n in names))
     found = found.withColumn("fold", F.pmod(F.xxhash64("id", F.lit(5)), F.lit(FOLDS)))
-    return durable(found.select("text", "fold", *names), "labelled")
+    return stored(found.select("text", "fold", *names), "labelled")
 
 
 def telling_words(sample: DataFrame, names: list[str], each: int) -> list[str]:
@@ -97,7 +96,7 @@ def telling_words(sample: DataFrame, names: list[str], each: int) -> list[str]:
     counts = map_pieces(sample.select("text", *names), count, schema).groupBy("word").agg(
         F.sum("n").alias("n"), *(F.sum(f"n_{c}").alias(f"n_{c}") for c in names)
     )
-    counts = durable(counts.where("n > 1"), "words")
+    counts = stored(counts.where("n > 1"), "words")
     sums = sample.agg(F.count("*").alias("rows"), *(F.sum(c).alias(c) for c in names)).first()
     # so much evidence one word in so many has by chance, and a margin
     least = 2 * (math.log(max(1, counts.count())) + 2)
@@ -133,7 +132,7 @@ def train_chain(
         return {"words": words, "fold": part.column("fold")} | {n: part.column(n) for n in names}
 
     schema = "words array<string>, fold long, " + ", ".join(f"{n} int" for n in names)
-    rows = durable(map_pieces(sample, present, schema), "train")
+    rows = stored(map_pieces(sample, present, schema), "train")
     if vocabulary:
         rows = CountVectorizerModel.from_vocabulary(vocabulary, "words", "bag", 1.0).setBinary(True).transform(rows)
 
