@@ -31,7 +31,7 @@ from sheaf.llm.common import map_pieces, query, table
 # Words whose ids a Python worker keeps twice over: of two such generations, the older one is forgotten.
 KEPT_WORDS = 150_000
 # Up to U+024F, Python and the vocabulary's own normaliser know the same letters and blanks but for these
-# four; texts with others go through the latter.
+# four; texts that have others once they are lower-cased go through the latter.
 FOREIGN = re.compile("[^\x00-\x1b\x20-\u024f]")
 # Stands for the end of a word inside this module; a private-use character that byte-level text cannot hold.
 END = "\ue000"
@@ -108,8 +108,9 @@ class WordBpe:
 
     def words(self, text: str) -> list[str]:
         """The words of a text as they are kept: as they are, or with END in the letters that stand for bytes."""
-        if not FOREIGN.search(text):
-            return WORDS.findall(unicodedata.normalize("NFC", text).lower())
+        lowered = unicodedata.normalize("NFC", text).lower()
+        if not FOREIGN.search(lowered):
+            return WORDS.findall(lowered)
         normal = self.library.normalizer.normalize_str(text)
         return [w + END for w, _ in self.library.pre_tokenizer.pre_tokenize_str(normal)]
 

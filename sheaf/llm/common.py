@@ -7,6 +7,8 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructField, StructType
 
 from sheaf.session import durable
 
@@ -66,10 +68,25 @@ def map_pieces(
     return df.mapInArrow(run, schema)
 
 
-def pa_schema(spark: SparkSession, schema: str) -> pa.Schema:
-    from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import StructType
+def map_rows(df: DataFrame, fn: Callable[[pa.RecordBatch], list], out: DataFrame | None = None) -> DataFrame:
+    """Apply ``fn`` to slices of whole rows, of all columns by place; it gives the columns, or a filter (a mask).
+
+    The result has the columns of ``out``, by default those of ``df``. Names with any characters will do.
+    """
+    like = (df if out is None else out).schema
+    inner = StructType([StructField(f"c{k}", f.dataType) for k, f in enumerate(like)])
+    types = to_arrow_schema(inner)
+
+    def run(batches):
+        for part in pieces(batches):
+            made = fn(part)
+            columns = made if isinstance(made, list) else part.filter(made).columns
+            yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, types)], schema=types)
+
+    return df.toDF(*(f"c{k}" for k in range(len(df.columns)))).mapInArrow(run, inner).toDF(*like.names)
 
+
+def pa_schema(spark: SparkSession, schema: str) -> pa.Schema:
     return to_arrow_schema(StructType.fromDDL(schema))
 
 
@@ -96,6 +113,22 @@ def row_key(doc_id: str = "doc_id", text: str = "text") -> Column:
     return F.xxhash64(F.col(doc_id), F.col(text), F.lit(11))
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Column names like these that ``df`` does not have."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        out.append(name)
+    return out
+
+
+def own_columns(df: DataFrame) -> list[Column]:
+    """All columns by name, whatever characters are in it."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in df.columns]
+
+
 def text_partitions(docs: DataFrame, bytes_each: int, column: str = "text") -> tuple[int, int]:
     """Partitions of about ``bytes_each`` bytes of text, no fewer than the session's; and the bytes."""
     total = docs.agg(F.sum(F.octet_length(column))).first()[0] or 0

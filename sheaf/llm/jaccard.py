@@ -30,10 +30,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sheaf.llm.common import pa_schema, query, row_key, stored, table, text_partitions
+from sheaf.llm.common import fresh, own_columns, pa_schema, query, row_key, stored, table, text_partitions
 from sheaf.llm.components import EDGES, Forest, components, edge_table
 from sheaf.llm.hashing import mix, pack_words, prefix, span_hashes
-from sheaf.llm.rounds import LOW, Rounds, bucket_key, bucket_runs, piece_texts, squeeze, text_pieces, unsqueeze
+from sheaf.llm.rounds import LOW, NO_ID, Rounds, bucket_key, bucket_runs, piece_texts, squeeze, text_pieces, unsqueeze
 
 SHINGLE = 5
 # Links at 100 * intersection >= PERCENT * union.
@@ -409,15 +409,15 @@ def named_components(docs: DataFrame, **options) -> DataFrame:
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """One row of each component stays: that of the smallest doc_id, nulls last. Rows without words all stay."""
     groups = stored(jaccard_groups(docs, doc_id=doc_id, text=text, **options), "groups")
-    first = groups.where("component is not null").groupBy("component").agg(F.min(F.struct(F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("id"), "key")).alias("f"))
-    names = [f"__{c}" for c in ("key", "id", "copy")]
-    keyed = docs.withColumns({names[0]: row_key(doc_id, text), names[1]: F.coalesce(F.col(doc_id).cast("long"), F.lit((1 << 63) - 1))})
-    stay = first.select(F.col("f.key").alias(names[0]), F.col("f.id").alias(names[1]), F.lit(True).alias("__first")).union(
-        groups.where("component is null").select("key", F.coalesce("doc_id", F.lit((1 << 63) - 1)), F.lit(False)).distinct()
+    first = groups.where("component is not null").groupBy("component").agg(F.min(F.struct(F.coalesce("doc_id", F.lit(NO_ID)).alias("id"), "key")).alias("f"))
+    key, own_id, copy, single = fresh(docs, "set_key", "set_id", "set_copy", "set_single")
+    last = F.lit(NO_ID)
+    keyed = docs.withColumns({key: row_key(doc_id, text), own_id: F.coalesce(F.col(doc_id).cast("long"), last)})
+    stay = first.select(F.col("f.key").alias(key), F.col("f.id").alias(own_id), F.lit(True).alias(single)).union(
+        groups.where("component is null").select("key", F.coalesce("doc_id", last), F.lit(False)).distinct()
     )
-    copies = Window.partitionBy(*names[:2]).orderBy(F.lit(1))
-    kept = keyed.join(stay, names[:2]).withColumn(names[2], F.row_number().over(copies))
-    return kept.where(~F.col("__first") | (F.col(names[2]) == 1)).select(*docs.columns)
+    kept = keyed.join(stay, [key, own_id]).withColumn(copy, F.row_number().over(Window.partitionBy(key, own_id).orderBy(F.lit(1))))
+    return kept.where(~F.col(single) | (F.col(copy) == 1)).select(*own_columns(docs))
 
 
 SQL = rf"""

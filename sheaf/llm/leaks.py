@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sheaf.llm.common import map_pieces, pa_schema, pieces, query, table
+from sheaf.llm.common import fresh, map_pieces, map_rows, pa_schema, query, table
 from sheaf.llm.hashing import covered, pack_words, prefix, runs, span_hashes
 
 WINDOW = 10
@@ -110,45 +110,38 @@ def item_blocks(benchmark: DataFrame, item_id: str, text: str, block_bytes: int)
         yield [(r["item"], r["text"]) for r in part.collect()]
 
 
-FOUND = "n_words bigint, hit_from array<bigint>, hit_to array<bigint>, items array<string>"
+FOUND = "struct<n_words: bigint, hit_from: array<bigint>, hit_to: array<bigint>, items: array<string>>"
 
 
 def find_leaks(
     docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, text: str = "text", item_id: str = "item_id",
-    item_text: str = "text", block_bytes: int = BLOCK_BYTES,
+    item_text: str = "text", block_bytes: int = BLOCK_BYTES, name: str = "leak",
 ) -> DataFrame:
-    """All rows and columns of ``docs`` and a struct ``leak``: n_words, hit_from, hit_to, items.
+    """All rows and columns of ``docs`` and a struct called ``name``: n_words, hit_from, hit_to, items.
 
-    The spans are runs of hit words, [from, to) in word numbers. A column called ``leak`` of the input is
-    replaced.
+    The spans are runs of hit words, [from, to) in word numbers.
     """
+    if name.lower() in (c.lower() for c in docs.columns):
+        raise ValueError(f"there is a column {name} already")
     spark = docs.sparkSession
-    out = docs.withColumn("leak", F.lit(None).cast("struct<" + FOUND.replace(" bigint", ":bigint").replace(" array", ":array") + ">"))
-    schema = out.schema
-    from pyspark.sql.pandas.types import to_arrow_schema
-
-    types = to_arrow_schema(schema)
-    place = len(types) - 1 if "leak" not in docs.columns else docs.columns.index("leak")
+    out = docs.withColumn(name, F.lit(None).cast(FOUND))
     at = docs.columns.index(text)
+    kind = pa_schema(spark, f"leak {FOUND}").field(0).type
     for rows in item_blocks(benchmark, item_id, item_text, block_bytes):
         index = spark.sparkContext.broadcast(index_items(rows, window))
 
-        def run(batches, index=index):
-            for part in pieces(batches):
-                counts, spans, items = find(part.column(at).to_pylist(), index.value)
-                old = part.column(place).to_pylist()
-                found = []
-                for n, own, names, before in zip(counts.tolist(), spans, items, old):
-                    if before:
-                        earlier = np.array([before["hit_from"], before["hit_to"]], np.int64).T
-                        own, names = np.concatenate((own, earlier)), names | set(before["items"])
-                    start, end = runs(covered(n, own[:, 0], own[:, 1])) if len(own) else ((), ())
-                    found.append({"n_words": n, "hit_from": list(map(int, start)), "hit_to": list(map(int, end)), "items": sorted(names)})
-                columns = list(part.columns)
-                columns[place] = pa.array(found, types.field(place).type)
-                yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, types)], schema=types)
-
-        out = out.mapInArrow(run, schema)
+        def search(part, index=index):
+            counts, spans, items = find(part.column(at).to_pylist(), index.value)
+            found = []
+            for n, own, names, before in zip(counts.tolist(), spans, items, part.columns[-1].to_pylist()):
+                if before:
+                    earlier = np.array([before["hit_from"], before["hit_to"]], np.int64).T
+                    own, names = np.concatenate((own, earlier)), names | set(before["items"])
+                start, end = runs(covered(n, own[:, 0], own[:, 1])) if len(own) else ((), ())
+                found.append({"n_words": n, "hit_from": list(map(int, start)), "hit_to": list(map(int, end)), "items": sorted(names)})
+            return [*part.columns[:-1], pa.array(found, kind)]
+
+        out = map_rows(out, search)
     return out
 
 
@@ -167,26 +160,22 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, remove: str = "document
     """``docs`` without the documents that are hit, or (``remove="spans"``) without the runs of words hit."""
     if remove not in ("documents", "spans"):
         raise ValueError("remove is 'documents' or 'spans'")
-    found = find_leaks(docs, benchmark, text=text, **options)
+    (name,) = fresh(docs, "leak")
+    found = find_leaks(docs, benchmark, text=text, name=name, **options)
     if remove == "documents":
-        return found.where(F.size("leak.items") == 0).drop("leak")
-    types = pa_schema(docs.sparkSession, "text string")
-    at, place = docs.columns.index(text), len(docs.columns)
-    from pyspark.sql.pandas.types import to_arrow_schema
-
-    schema = to_arrow_schema(docs.schema)
-
-    def cut(batches):
-        for part in pieces(batches):
-            texts = [
-                without_spans(t, leak["hit_from"], leak["hit_to"]) if t and leak["hit_from"] else t
-                for t, leak in zip(part.column(at).to_pylist(), part.column(place).to_pylist())
-            ]
-            columns = list(part.columns)[:place]
-            columns[at] = pa.array(texts, types.field(0).type)
-            yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, schema)], schema=schema)
-
-    return found.mapInArrow(cut, docs.schema)
+        return found.where(F.size(F.col(name)["items"]) == 0).drop(name)
+    at = docs.columns.index(text)
+
+    def cut(part):
+        texts = [
+            without_spans(t, leak["hit_from"], leak["hit_to"]) if t and leak["hit_from"] else t
+            for t, leak in zip(part.column(at).to_pylist(), part.columns[-1].to_pylist())
+        ]
+        columns = part.columns[:-1]
+        columns[at] = pa.array(texts, pa.string())
+        return columns
+
+    return map_rows(found, cut, docs)
 
 
 def leak_digest(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sheaf.llm.common import pa_schema, query, row_key, stored, table, text_partitions
+from sheaf.llm.common import fresh, own_columns, query, row_key, stored, table, text_partitions
 from sheaf.llm.components import EDGES, Forest, components, edge_table
 from sheaf.llm.hashing import mix, prefix, prefix_of, span_hashes
 from sheaf.llm.jaccard import candidate_edges
@@ -375,13 +375,13 @@ def cut_lines(
 
 def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """``docs`` with the lines removed from its texts; every row stays, and a null text stays null."""
-    names = [f"__{c}" for c in ("key", "copy", "kept", "null")]
+    names = fresh(docs, "line_key", "line_copy", "line_kept", "line_null")
     copies = Window.partitionBy(names[0]).orderBy(F.lit(1))
     cut = cut_lines(docs, doc_id=doc_id, text=text, **options).select(F.col("key").alias(names[0]), F.col("kept").alias(names[2]))
     cut = cut.withColumn(names[1], F.row_number().over(copies))
     rest = docs.withColumns({names[0]: row_key(doc_id, text), names[3]: F.col(text).isNull()}).drop(text)
     out = rest.withColumn(names[1], F.row_number().over(copies)).join(cut, names[:2])
-    return out.withColumn(text, F.when(~F.col(names[3]), F.col(names[2]))).select(*docs.columns)
+    return out.withColumn(text, F.when(~F.col(names[3]), F.col(names[2]))).select(*own_columns(docs))
 
 
 @query("op6_line_dedup")

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sheaf.llm.common import pieces, query, table
+from sheaf.llm.common import map_rows, query, table
 
 ROUNDS = 10
 
@@ -300,24 +300,20 @@ def pseudonymise(docs: DataFrame, key: bytes, text: str = "text", back: bool = F
 
     ``counts=True`` adds n_<kind> for each kind.
     """
-    from pyspark.sql.pandas.types import to_arrow_schema
-
     names = [f"n_{k.name}" for k in KINDS] if counts else []
     shaped = docs.withColumns({n: F.lit(0).cast("long") for n in names}) if names else docs
-    schema, at = shaped.schema, shaped.columns.index(text)
-    types, places = to_arrow_schema(schema), [shaped.columns.index(n) for n in names]
+    at, places = shaped.columns.index(text), [shaped.columns.index(n) for n in names]
 
-    def change(batches):
+    def change(part):
         net = Feistel(key)
-        for part in pieces(batches):
-            done = [(t, {}) if t is None else pseudonymise_text(t, net, back) for t in part.column(at).to_pylist()]
-            columns = list(part.columns)
-            columns[at] = pa.array([t for t, _ in done], types.field(at).type)
-            for place, kind in zip(places, KINDS):
-                columns[place] = pa.array([c.get(kind.name, 0) for _, c in done], pa.int64())
-            yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, types)], schema=types)
-
-    return shaped.mapInArrow(change, schema)
+        done = [(t, {}) if t is None else pseudonymise_text(t, net, back) for t in part.column(at).to_pylist()]
+        columns = part.columns
+        columns[at] = pa.array([t for t, _ in done], pa.string())
+        for place, kind in zip(places, KINDS):
+            columns[place] = pa.array([c.get(kind.name, 0) for _, c in done], pa.int64())
+        return columns
+
+    return map_rows(shaped, change)
 
 
 @query("op7_private_data")

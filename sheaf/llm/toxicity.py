@@ -30,7 +30,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sheaf.llm.common import map_pieces, pieces, query, stored, table
+from sheaf.llm.common import map_pieces, map_rows, query, stored, table
 
 SAMPLE_ROWS = 20_000
 WORDS_EACH = 400
@@ -195,11 +195,10 @@ def drop_toxic(docs: DataFrame, chain: list[Link], text: str = "text", threshold
     """The documents the chain does not call toxic, with all their columns."""
     vocabulary, at = vocabulary_of(chain), docs.columns.index(text)
 
-    def clean(batches):
-        for part in pieces(batches):
-            yield part.filter(pa.array([score(t, chain, vocabulary)[-1] < threshold for t in part.column(at).to_pylist()], pa.bool_()))
+    def clean(part):
+        return pa.array([score(t, chain, vocabulary)[-1] < threshold for t in part.column(at).to_pylist()], pa.bool_())
 
-    return docs.mapInArrow(clean, docs.schema)
+    return map_rows(docs, clean)
 
 
 @query("op5_toxicity")
