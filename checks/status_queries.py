@@ -213,10 +213,10 @@ def slice_by_index(spark, sf):
 
 
 @query("slice_by_index_reference", statement(
-    f"select line_no, idx, idx // (n // 997) as slice_id from ({_LINES}) x where idx // (n // 997) <= 997", "pubs"))
+    f"select line_no, idx, case when idx // (n // 997) <= 997 then idx // (n // 997) else -1 end as slice_id from ({_LINES}) x", "pubs"))
 def slice_by_index_reference(spark, sf):
     indexed = ix.global_index(a.pubs(spark, sf).select("line_no"), ["line_no"])
-    return ix.slice_ids(indexed, 997, mode="reference")
+    return ix.slice_ids(indexed, 997, mode="reference").fillna(-1, ["slice_id"])
 
 
 @query("fixed_batches", statement(

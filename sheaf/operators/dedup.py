@@ -11,10 +11,6 @@ from sheaf.functions.paths import uuid_from_doi
 from sheaf.functions.records import has_doi
 from sheaf.session import lookup_side
 
-# Up to this many values a list is pushed to the scan as an IN filter.
-IN_LIST_VALUES = 1_000
-
-
 def first_by(df: DataFrame, keys: Sequence[str], order_by: Sequence[str]) -> DataFrame:
     """First row of each key.
 
@@ -38,25 +34,28 @@ def not_yet_harvested(records: DataFrame, status: DataFrame) -> DataFrame:
     long one leaves a hot DOI of the records to the adaptive split.
     """
     done = lookup_side(harvested_dois(status))
-    return records.where(has_doi(F.col("doi"))).join(done, "doi", "left_anti")
+    return records.where(has_doi(F.col("doi"))).join(done, "doi", "left_anti").select(*records.columns)
 
 
 def keep_values(df: DataFrame, column: str, values: Sequence[str] | DataFrame) -> DataFrame:
-    """Rows whose ``column`` is one of ``values``; a short list reaches the scan as a filter."""
-    if isinstance(values, DataFrame):
-        wanted = values.select(F.col(values.columns[0]).alias(column)).distinct()
-        return df.join(lookup_side(wanted), column, "left_semi")
-    if len(values) <= IN_LIST_VALUES:
-        return df.where(F.col(column).isin(list(values)))
-    wanted = df.sparkSession.createDataFrame([(v,) for v in set(values)], f"{column} string")
-    return df.join(wanted, column, "left_semi")
+    """Rows whose ``column`` is one of ``values``: a list, or the first column of a frame.
 
+    One semi-join for any number of values; the columns keep their order.
+    """
+    if not isinstance(values, DataFrame):
+        values = df.sparkSession.createDataFrame([(v,) for v in values], f"{column} string")
+    wanted = values.select(F.col(values.columns[0]).alias(column)).distinct()
+    return df.join(lookup_side(wanted), column, "left_semi").select(*df.columns)
 
-def doi_allowlist(records: DataFrame, dois: Sequence[str] | DataFrame) -> DataFrame:
-    """Records of the listed DOIs; an empty list is no filter. DOIs compare exactly."""
-    if isinstance(dois, DataFrame):
-        return records if dois.isEmpty() else keep_values(records, "doi", dois)
-    return keep_values(records, "doi", dois) if dois else records
+
+def doi_allowlist(records: DataFrame, dois: Sequence[str] | DataFrame | None) -> DataFrame:
+    """Records of the listed DOIs. DOIs compare exactly.
+
+    None, or an empty literal list, is no filter. A frame always filters: an empty one keeps nothing.
+    """
+    if not isinstance(dois, DataFrame) and not dois:
+        return records
+    return keep_values(records, "doi", dois)
 
 
 def assign_ids(records: DataFrame, known: DataFrame | None = None) -> DataFrame:
@@ -68,10 +67,8 @@ def assign_ids(records: DataFrame, known: DataFrame | None = None) -> DataFrame:
     if known is None:
         return records.withColumn("id", new_id)
     pairs = known.select("doi", F.col("uuid").alias("__known"))
-    return (
-        records.join(pairs, "doi", "left")
-        .withColumn("id", F.coalesce("__known", new_id))
-        .drop("__known")
+    return records.join(lookup_side(pairs), "doi", "left").select(
+        *records.columns, F.coalesce("__known", new_id).alias("id")
     )
 
 
@@ -85,7 +82,8 @@ def reprocess_filter(
     the ledger one per id.
     """
     if not reprocess:
-        return assign_ids(records.join(known.select("doi"), "doi", "left_anti"))
+        new = records.join(lookup_side(known.select("doi")), "doi", "left_anti")
+        return assign_ids(new.select(*records.columns))
     pairs = known.select("doi", F.col("uuid").alias("__known"))
     done = ledger.where(F.array_contains("resources", "pdf")).select(
         F.col("id").alias("__known"), F.lit(True).alias("__done")
@@ -95,6 +93,5 @@ def reprocess_filter(
     return (
         records.join(state, "doi", "left")
         .where(F.col("__done").isNull())
-        .withColumn("id", F.coalesce("__known", uuid_from_doi(F.col("doi"))))
-        .drop("__known", "__done")
+        .select(*records.columns, F.coalesce("__known", uuid_from_doi(F.col("doi"))).alias("id"))
     )

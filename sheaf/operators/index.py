@@ -14,6 +14,7 @@ from math import ceil
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import AtomicType
 
 from sheaf.session import durable, lookup_side
 
@@ -41,11 +42,13 @@ def _sorted_table(
 ) -> DataFrame:
     order = [F.col(key) for key in keys]
     count = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    if not unique:
-        # Range partitioning reads its input twice, once to sample it. Written first, the input is
-        # computed once, and the tie-break of equal rows is the same whenever a task runs again.
+    # Range partitioning reads its input twice, once to sample it. Written first, the input is computed
+    # once, its rows are counted from the files, and the tie-break of equal rows is the same whenever a
+    # task runs again.
+    if not unique or not partitions:
         df = durable(df, "unsorted")
         count = partitions or max(count, ceil(df.count() / ROWS_PER_PARTITION))
+    if not unique:
         df = df.withColumn(_TIE, F.monotonically_increasing_id())
         order.append(F.col(_TIE))
     placed = (
@@ -86,9 +89,10 @@ def global_index(
 ) -> DataFrame:
     """0-based position of each row in the total order of ``order_by``.
 
-    ``unique=True`` says that no two rows have the same keys, which saves the copy of the input that
-    a stable tie-break needs. Should it not hold the result is still right, and equal rows meet in
-    one task.
+    ``unique=True`` says that no two rows have the same keys, so no tie-break is needed; with
+    ``partitions`` given too, the input is not written first. Should it not hold the result is still
+    right, and equal rows meet in one task. Without ``partitions`` there are more than the session's
+    when there are more than ``ROWS_PER_PARTITION`` rows for each. Runs jobs while the plan is made.
     """
     return _with_offsets(_sorted_table(df, order_by, partitions, unique), name)
 
@@ -114,6 +118,11 @@ def group_index(
     )
 
 
+def _tie_break(df: DataFrame, used: Sequence[str]) -> list[str]:
+    # Columns of plain types; those with maps in them have no order.
+    return [f.name for f in df.schema if f.name not in used and isinstance(f.dataType, AtomicType)]
+
+
 def rank_within(
     df: DataFrame,
     group_by: Sequence[str],
@@ -125,9 +134,11 @@ def rank_within(
     """0-based position of each row inside its group, many small groups and a few large ones.
 
     Groups of up to ``hot_rows`` rows are ranked by a window; larger ones, of which there are at
-    most ``rows / hot_rows``, are spread over tasks by :func:`group_index`. Group sizes are counted
-    in ``counted`` where given: a frame cheaper to read whose groups are at least as large.
+    most ``rows / hot_rows``, are spread over tasks by :func:`group_index`. Ties of ``order_by`` are
+    broken by the other columns that can be ordered, from left to right, in both. Group sizes are
+    counted in ``counted`` where given: a frame cheaper to read whose groups are at least as large.
     """
+    order_by = [*order_by, *_tie_break(df, [*group_by, *order_by])]
     window = Window.partitionBy(*group_by).orderBy(*order_by)
     position = (F.row_number().over(window) - 1).cast("bigint")
     sizes = (df if counted is None else counted).groupBy(*group_by).count()
@@ -180,8 +191,9 @@ def slice_ids(
 ) -> DataFrame:
     """Slice of every row: ``total + 1`` slices of ``rows // total`` rows.
 
-    ``mode="reference"`` drops the rows past the last slice, as slicing one slice at a time does;
-    ``mode="complete"`` keeps them in the last one.
+    The rows past the last slice go into the last one with ``mode="complete"``. With
+    ``mode="reference"`` they get a null slice, as slicing one slice at a time never takes them; so do
+    all rows when there are fewer than ``total``.
     """
     if total < 1:
         raise ValueError("the number of slices must be at least 1")
@@ -189,9 +201,8 @@ def slice_ids(
         raise ValueError(f"unknown mode {mode!r}")
     size = indexed.count() // total
     if mode == "reference":
-        if size == 0:
-            return indexed.withColumn(name, F.lit(None).cast("bigint")).limit(0)
-        return indexed.withColumn(name, F.expr(f"{index} div {size}")).where(F.col(name) <= total)
+        slice_id = F.expr(f"{index} div {max(size, 1)}")
+        return indexed.withColumn(name, F.when((slice_id <= total) & F.lit(size > 0), slice_id))
     return indexed.withColumn(
         name, F.least(F.expr(f"{index} div {max(size, 1)}"), F.lit(total).cast("bigint"))
     )

@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Rows above which a lookup side is no longer broadcast by this package.
+# Rows, and bytes as written, above which a lookup side is no longer broadcast by this package.
 BROADCAST_ROWS = 200_000
+BROADCAST_BYTES = 16_000_000
 
 # By application: the temporary folder of a local session, and the scratch tables made.
 _LOCAL: dict[str, str] = {}
@@ -42,6 +44,11 @@ def shared_folder(spark: SparkSession) -> str:
     context = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if named:
+        # Over several executors a plain path on the local file system is each one's own disk; one
+        # that says file: itself is taken to be a mount they share.
+        alone = context.master.startswith("local") and "cluster" not in context.master
+        if not alone and "://" not in named and not named.startswith("file:") and _scheme(spark, named) == "file":
+            raise ValueError(f"{named} is on each machine's own disk; name a shared store, or file: for a shared mount")
         return named.rstrip("/")
     if not context.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder all executors share")
@@ -50,6 +57,22 @@ def shared_folder(spark: SparkSession) -> str:
     return _LOCAL[context.applicationId]
 
 
+def _file_system(spark: SparkSession, path: str):
+    return spark._jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def _scheme(spark: SparkSession, path: str) -> str:
+    return _file_system(spark, path).getScheme()
+
+
+def delete_path(spark: SparkSession, path: str) -> None:
+    _file_system(spark, path).delete(spark._jvm.org.apache.hadoop.fs.Path(path), True)
+
+
+def folder_bytes(spark: SparkSession, path: str) -> int:
+    return _file_system(spark, path).getContentSummary(spark._jvm.org.apache.hadoop.fs.Path(path)).getLength()
+
+
 def scratch(spark: SparkSession, label: str) -> str:
     """A new, unused path in the shared folder."""
     path = f"{shared_folder(spark)}/sheaf-{label}-{uuid.uuid4().hex}"
@@ -60,33 +83,50 @@ def scratch(spark: SparkSession, label: str) -> str:
 def release(spark: SparkSession) -> int:
     """Delete the scratch tables this application made; call it when no result needs them."""
     paths = _SCRATCH.pop(spark.sparkContext.applicationId, [])
-    jvm, settings = spark._jvm, spark._jsc.hadoopConfiguration()
     for path in paths:
-        target = jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(settings).delete(target, True)
+        delete_path(spark, path)
     return len(paths)
 
 
+@contextmanager
+def scratch_scope(spark: SparkSession):
+    """Delete the scratch tables made inside when it is left: for work whose result is written by then."""
+    made = _SCRATCH.setdefault(spark.sparkContext.applicationId, [])
+    before = set(made)
+    try:
+        yield
+    finally:
+        for path in [p for p in made if p not in before]:
+            delete_path(spark, path)
+            made.remove(path)
+
+
 def durable(df: DataFrame, label: str = "table") -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
     Later jobs start from the written table: the lineage is cut, and the rows stay the same
-    rows when executors are lost and tasks run again.
+    rows when executors are lost and tasks run again. This runs a job while a plan is being made.
     """
+    return _written(df, label)[0]
+
+
+def _written(df: DataFrame, label: str) -> tuple[DataFrame, str]:
     spark = df.sparkSession
     path = scratch(spark, label)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
 
 
 def lookup_side(df: DataFrame, max_rows: int | None = None) -> DataFrame:
     """Make ``df`` the lookup side of a join whose other side may be skewed.
 
-    It is written once. With at most ``max_rows`` rows (``BROADCAST_ROWS``), by count, it gets a
-    broadcast hint. Above that it is joined by shuffle, and as it is a plain table now, both inputs
+    It is written once, while the plan is being made. With at most ``max_rows`` rows
+    (``BROADCAST_ROWS``) and ``BROADCAST_BYTES`` bytes as written it gets a broadcast hint. Above
+    that it is joined by shuffle, and as it is a plain table now, both inputs
     of the join are plain exchanges: only then does the adaptive skew join split a hot partition of
     the other side. An aggregate or a join left between exchange and join would stop it.
     """
-    table = durable(df, "lookup")
+    table, path = _written(df, "lookup")
     limit = BROADCAST_ROWS if max_rows is None else max_rows
-    return F.broadcast(table) if table.count() <= limit else table
+    small = table.count() <= limit and folder_bytes(table.sparkSession, path) <= BROADCAST_BYTES
+    return F.broadcast(table) if small else table

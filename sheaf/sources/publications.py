@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 from sheaf.schemas import PUBLICATION
 
 CORRUPT = "_corrupt_record"
+COUNTRY = "bso_country_corrected"
 # Columns that put the records of a positioned scan in dump order: file, block, place in the block.
 DUMP_ORDER = ["source_file", "block_start", "scan_seq"]
 
@@ -33,7 +34,8 @@ def scan_publications(
 ) -> DataFrame:
     """Records of one or more dumps; paths may hold globs.
 
-    Only the fields of ``schema`` are parsed. ``bad_lines="keep"`` puts lines that are not JSON in
+    Only the fields of ``schema`` are parsed. A country that is not an array is null, so the country
+    filter drops the record. ``bad_lines="keep"`` puts lines that are not JSON in
     ``_corrupt_record`` instead of failing. A gzip file is read by one task: ``spread`` shuffles
     its rows over that many partitions before heavier work. ``position`` adds the ``DUMP_ORDER``
     columns, which need no shuffle.
@@ -41,6 +43,7 @@ def scan_publications(
     if bad_lines not in ("fail", "keep"):
         raise ValueError(f"unknown treatment of bad lines {bad_lines!r}")
     reader = spark.read
+    wanted, schema = schema, T.StructType([T.StructField(f.name, T.StringType()) if f.name == COUNTRY else f for f in schema])
     if bad_lines == "fail":
         reader = reader.schema(schema).option("mode", "FAILFAST")
     else:
@@ -50,6 +53,9 @@ def scan_publications(
             .option("columnNameOfCorruptRecord", CORRUPT)
         )
     records = reader.json(list(paths) if not isinstance(paths, str) else paths)
+    if COUNTRY in wanted.names:
+        # Read as text first: an array comes as its JSON, anything else does not parse as an array.
+        records = records.withColumn(COUNTRY, F.from_json(COUNTRY, wanted[COUNTRY].dataType))
     if position:
         records = records.select("*", *_positions())
     return records.repartition(spread) if spread else records

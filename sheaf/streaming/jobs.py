@@ -7,6 +7,7 @@ runs again after a failure leaves the same files.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from math import lcm
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,7 +15,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from sheaf.plans.manifest import first_occurrences, with_urls
 from sheaf.operators.dedup import assign_ids
-from sheaf.session import durable
+from sheaf.session import durable, scratch_scope
 from sheaf.sinks.status import apply_versions_shards
 
 INDEX = "doi string, uuid string"
@@ -65,11 +66,12 @@ def stream_manifest(
         spark = batch.sparkSession
         seen = read_batches(spark, index, INDEX).where(F.col("batch") < batch_id).select("doi")
         fresh = first_occurrences(batch, order_by, country).join(seen, "doi", "left_anti")
-        fresh = durable(assign_ids(fresh), "fresh")
-        with_urls(fresh).write.mode("overwrite").parquet(_folder(out, batch_id))
-        fresh.select("doi", F.col("id").alias("uuid")).write.mode("overwrite").parquet(
-            _folder(index, batch_id)
-        )
+        with scratch_scope(spark):
+            fresh = durable(assign_ids(fresh), "fresh")
+            with_urls(fresh).write.mode("overwrite").parquet(_folder(out, batch_id))
+            fresh.select("doi", F.col("id").alias("uuid")).write.mode("overwrite").parquet(
+                _folder(index, batch_id)
+            )
 
     return _run(records, step, f"{folder}/checkpoint", "append", available_now)
 
@@ -79,14 +81,25 @@ def read_manifest(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def stream_upsert(
-    events: DataFrame, status_path: str, checkpoint: str, digits: int = 2, available_now: bool = True
+    events: DataFrame,
+    status_path: str,
+    checkpoint: str,
+    digits: int | None = None,
+    available_now: bool = True,
+    seqs: str | None = None,
 ) -> StreamingQuery:
-    """Fold each batch of version events into the sharded status table."""
+    """Fold each batch of version events into the sharded status table; the greatest ``seq`` wins.
+
+    Events may come in any order, over any number of batches: the last ``seq`` taken for a uuid and
+    service is kept beside the table, in ``seqs`` (``<status_path>-seqs`` by default).
+    """
+    seqs = seqs or f"{status_path.rstrip('/')}-seqs"
 
     def step(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        # The batch is read for its shards and again for its versions.
-        apply_versions_shards(spark, status_path, durable(batch, "events"), digits)
+        with scratch_scope(spark):
+            # The batch is read for its shards and again for its versions.
+            apply_versions_shards(spark, status_path, durable(batch, "events"), digits, seqs)
 
     return _run(events, step, checkpoint, "append", available_now)
 
@@ -97,18 +110,30 @@ RATE = "window_start timestamp, client string, n bigint, over_limit boolean"
 def request_rate(
     requests: DataFrame, limits: dict[str, tuple[int, int]], seconds: int, default_max: int = 1
 ) -> DataFrame:
-    """Requests per client and tumbling window, flagged when over the client's maximum.
+    """Requests per client and window of that client, flagged when over its maximum.
 
-    ``limits`` is ``client -> (max requests, window seconds)``; the maximum is taken for windows of
-    ``seconds``. Works on a batch and on a watermarked stream.
+    ``limits`` is ``client -> (max requests, window seconds)``; other clients have ``default_max`` and
+    windows of ``seconds``. Windows start at multiples of their length. Works on a batch and on a
+    watermarked stream: each window lies in one of a common multiple of all lengths, which carries
+    the watermark, so that state of windows that are over goes.
     """
-    allowed = F.lit(default_max)
-    for client, (most, _) in limits.items():
+    allowed, length = F.lit(default_max), F.lit(seconds)
+    for client, (most, own) in limits.items():
         allowed = F.when(F.col("client") == client, F.lit(most)).otherwise(allowed)
-    counts = requests.groupBy(F.window("ts", f"{seconds} seconds"), "client").agg(F.count("*").alias("n"))
-    return counts.select(
-        F.col("window.start").alias("window_start"), "client", "n", (F.col("n") > allowed).alias("over_limit")
-    )
+        length = F.when(F.col("client") == client, F.lit(own)).otherwise(length)
+    common = lcm(seconds, *(own for _, own in limits.values()))
+    since = F.unix_seconds("ts")
+    start = F.timestamp_seconds(since - F.pmod(since, length)).alias("window_start")
+    counts = requests.groupBy(F.window("ts", f"{common} seconds"), start, "client").agg(F.count("*").alias("n"))
+    return counts.select("window_start", "client", "n", (F.col("n") > allowed).alias("over_limit"))
+
+
+def late_rows(query: StreamingQuery) -> int:
+    """Rows that came after the watermark and were dropped, over the progress the query still holds.
+
+    Rows that meet in one batch, client and window are one row by then.
+    """
+    return sum(state["numRowsDroppedByWatermark"] for p in query.recentProgress for state in p["stateOperators"])
 
 
 def stream_request_rate(
@@ -122,6 +147,8 @@ def stream_request_rate(
 ) -> StreamingQuery:
     """Keep the request counts of every window; requests later than ``delay`` are not counted.
 
+    :func:`late_rows` tells how many those were.
+
     Counts are written as they change, so the last windows are there before the watermark passes
     them; :func:`read_request_rate` takes the newest count of each window.
     """

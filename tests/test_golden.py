@@ -336,9 +336,9 @@ def test_slices(spark):
         rows = index.slice_ids(items, total, mode).groupBy("slice_id").count().collect()
         return {row.slice_id: row["count"] for row in rows}
 
-    assert sizes(6, "reference") == {k: 1 for k in range(7)}
+    assert sizes(6, "reference") == {**{k: 1 for k in range(7)}, None: 3}
     assert sizes(6, "complete") == {**{k: 1 for k in range(6)}, 6: 4}
-    assert sizes(11, "reference") == {}
+    assert sizes(11, "reference") == {None: 10}
     assert sum(sizes(11, "complete").values()) == 10
     assert sizes(3, "reference") == sizes(3, "complete") == {0: 3, 1: 3, 2: 3, 3: 1}
     assert [row.id for row in index.take_slice(items, 1, 3).orderBy("id").collect()] == [3, 4, 5]
@@ -384,6 +384,13 @@ def test_doi_lists(spark):
     assert dedup.doi_allowlist(rows, ["10.1/A"]).count() == 0
     many = ["10.1/a"] + [f"x{i}" for i in range(2_000)]
     assert [row.doi for row in dedup.doi_allowlist(rows, many).collect()] == ["10.1/a"]
+    assert dedup.doi_allowlist(rows, None).count() == 4
+    assert dedup.doi_allowlist(rows, rows.limit(0)).count() == 0
+    status = status_table(spark)
+    for count in (999, 1_000, 1_001, 5_000):
+        kept = st.select_by_uuids(status, ["uuid_3"] + [f"x{i}" for i in range(count - 1)])
+        assert kept.columns == status.columns and kept.count() == 1
+    assert dedup.not_yet_harvested(status, harvested).columns == status.columns
     assert [row.doi for row in dedup.not_yet_harvested(rows, harvested).collect()] == ["10.1/a"]
     assert st.select_by_uuids(status_table(spark), []).count() == 0
     assert st.select_by_uuids(status_table(spark), ["uuid_3", "x"]).count() == 1

@@ -120,6 +120,60 @@ def test_shards_are_replaced_one_by_one(spark, tmp_path):
     assert status_source.scan_status_shards(spark, path, ["a"]).where("uuid not like 'a%'").count() == 0
 
 
+def test_shards_keep_their_width(spark, tmp_path):
+    path, table = str(tmp_path / "status"), a.status(spark, SF).select(*STATUS.names)
+    status_sink.write_status_shards(table, path, digits=1)
+    for write in (
+        lambda: status_sink.upsert_status_shards(spark, path, table.limit(5), digits=2),
+        lambda: status_sink.write_status_shards(table, path, digits=2),
+    ):
+        with pytest.raises(ValueError):
+            write()
+    status_sink.upsert_status_shards(spark, path, table.limit(5))
+    back = status_source.scan_status_shards(spark, path)
+    assert back.count() == back.select("uuid").distinct().count() == table.count()
+
+
+def test_a_country_that_is_no_array_drops_the_record(spark, tmp_path):
+    from sheaf.plans.manifest import build_manifest
+
+    lines = [
+        '{"doi": "10.1/a", "publisher_normalized": "Wiley", "bso_country_corrected": ["fr"], "oa_details": {"2020": {"is_oa": false}}}',
+        '{"doi": "10.1/b", "publisher_normalized": "Wiley", "bso_country_corrected": "fr", "oa_details": {"2020": {"is_oa": false}}}',
+        '{"doi": "10.1/c", "publisher_normalized": "Wiley", "bso_country_corrected": null, "oa_details": {"2020": {"is_oa": false}}}',
+        '{"doi": "10.1/d", "publisher_normalized": "Wiley", "bso_country_corrected": 7}',
+    ]
+    path = tmp_path / "dump.jsonl"
+    path.write_text("\n".join(lines) + "\n")
+    records = pubs.scan_publications(spark, str(path), position=True)
+    assert [r.bso_country_corrected for r in records.orderBy("doi").collect()] == [["fr"], None, None, None]
+    assert [r.doi for r in build_manifest(records, order_by=pubs.DUMP_ORDER).collect()] == ["10.1/a"]
+    assert pubs.count_records(spark, str(path)).first().n == 4
+    parsed = pubs.parse_lines(pubs.scan_lines(spark, str(path)))
+    assert [r.bso_country_corrected for r in parsed.orderBy("doi").collect()] == [["fr"], None, None, None]
+    path.write_text("no json\n")
+    with pytest.raises(Exception):
+        pubs.scan_publications(spark, str(path)).collect()
+
+
+def test_annotate_takes_bounded_batches(spark):
+    import pandas as pd
+
+    from sheaf.operators.annotate import annotate
+
+    files = spark.range(40).selectExpr("cast(id as string) as uuid", "'grobid' as service", "repeat('x', 100000) as content").coalesce(1)
+
+    def note(rows):
+        return pd.DataFrame({"uuid": rows["uuid"], "version": str(rows["content"].str.len().sum())})
+
+    sizes = [int(r.version) for r in annotate(files, {"grobid": note}, batch_bytes=350_000).collect()]
+    assert len(sizes) == 40 and max(sizes) <= 350_000
+    assert annotate(files, {"grobid": note}, batch_bytes=10).count() == 40
+    for service in ("null", "'other'"):
+        with pytest.raises(Exception):
+            annotate(files.selectExpr("uuid", f"cast({service} as string) as service", "content"), {"grobid": note}).collect()
+
+
 def test_service_outputs_from_files(spark, tmp_path):
     folder = tmp_path / "out"
     (folder / "sub").mkdir(parents=True)

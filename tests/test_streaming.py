@@ -65,8 +65,50 @@ def test_upsert_over_batches(spark, tmp_path):
     assert rows(scan_status_shards(spark, path)) == want
 
 
+def test_upsert_takes_events_out_of_order(spark, tmp_path):
+    source, path = str(tmp_path / "in"), str(tmp_path / "status")
+    status = a.status(spark, SF).select(*STATUS.names)
+    write_status_shards(status, path, digits=1)
+    uuid = status.where("uuid is not null").orderBy("uuid").first().uuid
+    before = list((tmp_path.parent).glob("**/sheaf-events-*"))
+
+    def run(*events):
+        rows = [(seq, uuid, service, version) for seq, service, version in events]
+        spark.createDataFrame(rows, VERSION_EVENT).coalesce(1).write.mode("append").parquet(source)
+        stream = spark.readStream.schema(VERSION_EVENT).option("maxFilesPerTrigger", 1).parquet(source)
+        jobs.stream_upsert(stream, path, str(tmp_path / "state")).awaitTermination()
+        row = scan_status_shards(spark, path).where(F.col("uuid") == uuid).first()
+        return row.grobid_version, row.softcite_version
+
+    old = status.where(F.col("uuid") == uuid).first()
+    assert run((10, "grobid", "0.9")) == ("0.9", old.softcite_version)
+    assert run((5, "grobid", "0.1"), (6, "softcite", "0.2")) == ("0.9", "0.2")
+    assert run((11, "grobid", "1.0"), (4, "softcite", "0.0")) == ("1.0", "0.2")
+    assert scan_status_shards(spark, path).count() == status.count()
+    assert list((tmp_path.parent).glob("**/sheaf-events-*")) == before
+
+
+def test_rate_in_windows_of_each_client(spark):
+    start = datetime(2024, 1, 1)
+    data = [(c, start + timedelta(seconds=s)) for c in ("second", "long", "other") for s in range(10)]
+    requests = spark.createDataFrame(data, "client string, ts timestamp")
+    got = jobs.request_rate(requests, {"second": (1, 1), "long": (9, 15)}, 7, default_max=7).collect()
+    assert sorted((r.client, int((r.window_start - start).total_seconds()), r.n, r.over_limit) for r in got) == sorted(
+        [("second", s, 1, False) for s in range(10)] + [("long", 0, 10, True)]
+        + [("other", s, n, False) for s, n in other_windows(start, 10)]
+    )
+
+
+def other_windows(start, seconds, size=7):
+    from collections import Counter
+
+    zero = int((start - datetime(1970, 1, 1)).total_seconds())
+    found = Counter((zero + s) // size * size - zero for s in range(seconds))
+    return list(found.items())
+
+
 def test_rate_counts_across_batches_and_drops_late_rows(spark, tmp_path):
-    source, out = str(tmp_path / "in"), str(tmp_path / "out")
+    source, out, late = str(tmp_path / "in"), str(tmp_path / "out"), []
     start = datetime(2024, 1, 1)
 
     def write(*offsets):
@@ -75,7 +117,9 @@ def test_rate_counts_across_batches_and_drops_late_rows(spark, tmp_path):
 
     def run():
         stream = spark.readStream.schema("client string, ts timestamp").option("maxFilesPerTrigger", 1).parquet(source)
-        jobs.stream_request_rate(stream, out, {"w": (2, 15)}, 15, delay="30 seconds").awaitTermination()
+        query = jobs.stream_request_rate(stream, out, {"w": (2, 15)}, 15, delay="30 seconds")
+        query.awaitTermination()
+        late.append(jobs.late_rows(query))
 
     def counts():
         got = jobs.read_request_rate(spark, out).collect()
@@ -91,3 +135,4 @@ def test_rate_counts_across_batches_and_drops_late_rows(spark, tmp_path):
     run()
     # The row at 3 s is later than the delay allows; the one at 190 s is not.
     assert counts() == {0: (3, True), 15: (1, False), 180: (1, False), 195: (2, False)}
+    assert sum(late) == 1
