@@ -352,11 +352,13 @@ def first_success(spark, sf):
 
 
 # Attempts in order, one row each, and the first success among them.
-RESOLVED = f"""plan as (select id, doi, domain, url_rank, url, k, case when k = 0 then {channel_of('url')} else 'standard' end as ch
-  from manifest cross join (select 0 as k union all select 1) t where k = 1 or {channel_of('url')} <> 'standard'),
+def _resolved(channel) -> str:
+    """``channel``: URL -> SQL of its channel."""
+    return f"""plan as (select id, doi, domain, url_rank, url, k, case when k = 0 then {channel('url')} else 'standard' end as ch
+  from manifest cross join (select 0 as k union all select 1) t where k = 1 or {channel('url')} <> 'standard'),
 tried as (select p.*, c.outcome, c.valid_file, e.outcome as own_outcome
   from plan p left join captured c on c.url = p.url and c.channel = p.ch
-  left join captured e on e.url = p.url and p.k = 1 and e.channel = {channel_of('p.url')} and e.channel <> 'standard'),
+  left join captured e on e.url = p.url and p.k = 1 and e.channel = {channel('p.url')} and e.channel <> 'standard'),
 won as (select * from (select *, row_number() over (partition by id order by url_rank, k) as rn from tried
   where outcome = 'success' and (k = 0 or coalesce(own_outcome, '') <> 'error')) x where rn = 1),
 entries as (select m.id, m.doi, m.domain, case when w.id is not null then 'success' else 'fail' end as result,
@@ -366,10 +368,15 @@ entries as (select m.id, m.doi, m.domain, case when w.id is not null then 'succe
   left join won w on w.id = m.id where m.rn = 1)"""
 
 
-def with_resolved(body: str, *names: str, more: str = "") -> str:
+def plain_channel(url: str) -> str:
+    """Without publisher clients."""
+    return f"case when starts_with({url},'http://arxiv.org') or starts_with({url},'https://arxiv.org') then 'arxiv' else 'standard' end"
+
+
+def with_resolved(body: str, *names: str, more: str = "", channel=channel_of) -> str:
     """``body`` over the resolved entries; ``more`` adds WITH items."""
     head = statement("", "manifest", "captured", *names).rstrip("\n")
-    return head + ",\n" + RESOLVED + more + "\n" + body
+    return head + ",\n" + _resolved(channel) + more + "\n" + body
 
 
 @query("entry_split", with_resolved(

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from checks import adapters as a
-from checks.manifest_queries import with_resolved
+from checks.manifest_queries import plain_channel, with_resolved
 from checks.registry import query
 from checks.sql import path_of, statement, uuid_of
+from sheaf.functions import paths
 from sheaf.functions.paths import SERVICES, storage_path
 from sheaf.operators import backlog as b
 from sheaf.operators import dedup
@@ -316,7 +317,7 @@ from status s"""
 
 @query("apply_processing", statement(PROCESSED, "status", "outputs"))
 def apply_processing(spark, sf):
-    return _plain(run_apply(a.status(spark, sf).drop("line_no"), a.outputs(spark, sf), "0.8.9"))
+    return _plain(run_apply(a.status(spark, sf).drop("line_no"), a.outputs(spark, sf), "0.8.9").status)
 
 
 @query(
@@ -331,48 +332,56 @@ def evolve_status(spark, sf):
     return _plain(st.evolve_status(st.devolve_status(a.status(spark, sf).drop("line_no"))))
 
 
-@query(
-    "harvest_batch",
-    with_resolved(
-        """select 'status' as kind, uuid as id, harvester_used as a, url_used as b, domain as c from status
+HARVESTED = """select 'status' as kind, uuid as id, harvester_used as a, url_used as b, domain as c from status
 union all select 'status', id, harvester_used, url_used, domain from missing where result = 'success' and valid_fulltext_pdf
 union all select 'failure', id, result, last_url, null from missing where not (result = 'success' and valid_fulltext_pdf)
-union all select 'ledger', id, harvester_used, case when valid_fulltext_pdf then 'json,pdf' else 'json' end, domain from missing""",
-        "status",
-        more=",\nmissing as (select * from entries where doi not in (select doi from status))",
-    ),
-)
-def harvest_batch(spark, sf):
+union all select 'ledger', id, harvester_used, case when valid_fulltext_pdf then 'json,pdf' else 'json' end, domain from missing
+union all select 'report', cast(count(*) as varchar), cast(count_if(not (result = 'success' and valid_fulltext_pdf)) as varchar),
+  cast((select count(*) from status) as varchar), cast((select count(*) from status) + count_if(result = 'success' and valid_fulltext_pdf) as varchar)
+from missing"""
+NEW = ",\nmissing as (select * from entries where doi not in (select doi from status))"
+
+
+def _harvest(spark, sf, **options):
     out = run_harvest(
-        a.records(spark, sf),
-        a.status(spark, sf).drop("line_no"),
-        a.captured_outcomes(spark, sf),
-        NOW,
+        a.records(spark, sf), a.status(spark, sf).drop("line_no"), a.captured_outcomes(spark, sf), NOW, **options
     )
-    return (
-        out.status.select(
-            F.lit("status").alias("kind"),
-            F.col("uuid").alias("id"),
-            F.col("harvester_used").alias("a"),
-            F.col("url_used").alias("b"),
-            F.col("domain").alias("c"),
-        )
-        .unionByName(
-            out.failures.select(
-                F.lit("failure").alias("kind"),
-                "id",
-                F.col("result").alias("a"),
-                F.col("url").alias("b"),
-                F.lit(None).cast("string").alias("c"),
-            )
-        )
-        .unionByName(
-            out.ledger.select(
-                F.lit("ledger").alias("kind"),
-                "id",
-                F.col("harvester_used").alias("a"),
-                F.array_join("resources", ",").alias("b"),
-                F.col("domain").alias("c"),
-            )
-        )
+    kinds = [
+        out.status.select(F.lit("status").alias("kind"), "uuid", "harvester_used", "url_used", "domain"),
+        out.failures.select(F.lit("failure"), "id", "result", "url", F.lit(None).cast("string")),
+        out.ledger.select(F.lit("ledger"), "id", "harvester_used", F.array_join("resources", ","), "domain"),
+        out.report.select(F.lit("report"), *[F.col(c).cast("string") for c in ("n_entries", "n_failed", "n_before", "n_after")]),
+    ]
+    rows = kinds[0]
+    for part in kinds[1:]:
+        rows = rows.union(part)
+    return rows.toDF("kind", "id", "a", "b", "c")
+
+
+@query("harvest_batch", with_resolved(HARVESTED, "status", more=NEW))
+def harvest_batch(spark, sf):
+    return _harvest(spark, sf)
+
+
+# Of the DOIs an unfinished run knew, those of half have a PDF in its ledger.
+_DIGIT = "substr(md5(doi), 1, 1)"
+
+
+@query("harvest_batch_reprocess", with_resolved(
+    HARVESTED, "status",
+    more=f""",
+missing as (select * replace (case when {_DIGIT} < '8' then concat('known-', id) else id end as id) from entries
+  where doi not in (select doi from status) and not {_DIGIT} < '4')"""))
+def harvest_batch_reprocess(spark, sf):
+    dois = a.pubs(spark, sf).where("doi is not null").select("doi").distinct().withColumn("digit", F.substring(F.md5("doi"), 1, 1))
+    known = dois.where("digit < '8'").select("doi", F.concat(F.lit("known-"), paths.uuid_from_doi(F.col("doi"))).alias("uuid"), "digit")
+    ledger = known.select(
+        F.col("uuid").alias("id"),
+        F.when(F.col("digit") < "4", F.array(F.lit("json"), F.lit("pdf"))).otherwise(F.array(F.lit("json"))).alias("resources"),
     )
+    return _harvest(spark, sf, known=known.select("doi", "uuid"), ledger=ledger, reprocess=True)
+
+
+@query("harvest_batch_without_clients", with_resolved(HARVESTED, "status", more=NEW, channel=plain_channel))
+def harvest_batch_without_clients(spark, sf):
+    return _harvest(spark, sf, wiley=False, elsevier=False)

@@ -107,7 +107,7 @@ def distinct_dois(by_doi: DataFrame, name: str) -> DataFrame:
 
 def intersect_harvested(by_doi: DataFrame, status: DataFrame, name: str) -> DataFrame:
     """DOIs of a class that are harvested."""
-    return distinct_dois(by_doi, name).intersect(harvested_dois(status))
+    return distinct_dois(by_doi, name).join(harvested_dois(status), "doi", "left_semi")
 
 
 def missing_dois(by_doi: DataFrame, status: DataFrame, name: str) -> DataFrame:

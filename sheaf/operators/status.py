@@ -55,8 +55,13 @@ def status_rows(confirmed: DataFrame, ledger: DataFrame, now) -> DataFrame:
     known = ledger.select(
         F.col("id").alias("uuid"), "harvester_used", "domain", "url_used"
     )
+    return new_status_rows(confirmed.join(known, "uuid"), now)
+
+
+def new_status_rows(stored: DataFrame, now) -> DataFrame:
+    """Status rows of ``(doi, uuid, harvester_used, domain, url_used)``, not yet processed by any service."""
     version = F.lit(INITIAL_VERSION)
-    return confirmed.join(known, "uuid").select(
+    return stored.select(
         "doi",
         "uuid",
         F.lit("1").alias("is_harvested"),

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -13,7 +15,7 @@ from sheaf.operators.backlog import (
     zip_batches,
 )
 from sheaf.operators.index import first_batch
-from sheaf.operators.status import INITIAL_VERSION, changed_rows, upsert_status
+from sheaf.operators.status import INITIAL_VERSION, apply_versions, unknown_uuids
 
 
 def plan_processing(
@@ -49,9 +51,15 @@ def processing_events(outputs: DataFrame, grobid_version: str, versions: str = "
     )
 
 
+@dataclass
+class ProcessingResult:
+    status: DataFrame
+    unknown: DataFrame
+
+
 def apply_processing(
     status: DataFrame, outputs: DataFrame, grobid_version: str, versions: str = "batch"
-) -> DataFrame:
-    """The status table after the outputs of a batch are folded in."""
+) -> ProcessingResult:
+    """The status table after the outputs of a batch are folded in, and the uuids it does not have."""
     events = processing_events(outputs, grobid_version, versions)
-    return upsert_status(status, changed_rows(status, events))
+    return ProcessingResult(apply_versions(status, events), unknown_uuids(status, events))
