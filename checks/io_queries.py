@@ -15,7 +15,7 @@ from sheaf.operators import backlog as b
 from sheaf.operators import candidates as cand
 from sheaf.operators import coverage as c
 from sheaf.operators import dedup
-from sheaf.operators.index import line_index, slice_ids
+from sheaf.operators.index import global_index, line_index, slice_ids
 from sheaf.operators.ledger import failure_rows, ledger_rows
 from sheaf.plans import manifest as m
 from sheaf.schemas import PUBLICATION, STATUS, VERSION_EVENT
@@ -69,6 +69,25 @@ def scan_many(spark, sf):
     return _seen(pubs.scan_publications(spark, f"{folder}/dump-*", DUMP))
 
 
+@query("convert_dump", statement(RECORDS, "rec", "rlatest"))
+def convert_dump(spark, sf):
+    path = scratch(spark, "dump-parquet")
+    sinks.write_dump(spark, _dump(spark, sf, "dump"), path, DUMP)
+    return _seen(pubs.scan_dump(spark, path, DUMP))
+
+
+@query(
+    "write_slices",
+    """select o_orderkey as line_no, row_number() over (order by o_orderkey) - 1 as idx,
+  least((row_number() over (order by o_orderkey) - 1) // (count(*) over () // 13), 13) as slice_id from orders""",
+)
+def write_slices(spark, sf):
+    path = scratch(spark, "slices")
+    lines = a.table(spark, sf, "orders").select(F.col("o_orderkey").alias("line_no"))
+    sinks.write_slices(global_index(lines, ["line_no"], unique=True), 13, path)
+    return spark.read.schema("line_no bigint, idx bigint, slice_id bigint").parquet(path)
+
+
 @query("count_records", "select count(*) as n from orders")
 def count_records(spark, sf):
     return pubs.count_records(spark, _dump(spark, sf, "dump"))
@@ -137,9 +156,21 @@ def export_status_csv(spark, sf):
 
 @query("scan_service_outputs", statement("select path, uuid, service, version from outputs", "outputs"))
 def scan_service_outputs(spark, sf):
-    path = scratch(spark, "outputs")
-    a.outputs(spark, sf).write.parquet(path)
-    return b.output_versions(spark.read.schema("path string, body string").parquet(path), "0.8.9")
+    folder = scratch(spark, "outputs")
+
+    def write(rows):
+        # Real files under the names the services give them; the queries run on one machine.
+        import os
+
+        for row in rows:
+            path = f"{folder.removeprefix('file:')}/{row.path}"
+            os.makedirs(os.path.dirname(path), exist_ok=True)
+            with open(path, "w") as file:
+                file.write(row.body)
+
+    a.outputs(spark, sf).foreachPartition(write)
+    found = b.output_versions(obj.scan_service_outputs(spark, folder), "0.8.9")
+    return found.withColumn("path", F.substring_index("path", folder.removeprefix("file:") + "/", -1))
 
 
 @query("scan_objects", statement("select path from objects where starts_with(path, 'publication/a')", "objects"))

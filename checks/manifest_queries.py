@@ -424,7 +424,14 @@ def resolve_fetches(spark, sf):
 
 @query(
     "resolve_urls",
-    statement("select url, final_url, hops from reach", "capture", more=WALK, recursive=True),
+    statement(
+        """select w.start as url, case when c.is_pdf or c.redirect is null then w.url else c.redirect end as final_url, w.hops,
+  case when c.is_pdf then 'pdf' when c.redirect is null then 'dead end' else 'open' end as reason
+from walk w join capture c on c.url = w.url where c.is_pdf or c.redirect is null or w.hops = 5""",
+        "capture",
+        more=WALK,
+        recursive=True,
+    ),
 )
 def resolve_urls(spark, sf):
     return att.resolve_urls(a.capture(spark, sf))

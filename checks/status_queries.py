@@ -48,7 +48,7 @@ def version_backlog(spark, sf):
     return b.version_backlog(a.status(spark, sf), SPEC)
 
 
-@query("backlog_files", statement(FILES, "status"))
+@query("backlog_files", statement(f"select *, row_number() over (order by service, path) - 1 as position from ({FILES}) f", "status"))
 def backlog_files(spark, sf):
     return b.backlog_files(a.status(spark, sf), SPEC)
 
@@ -228,7 +228,7 @@ def fixed_batches(spark, sf):
     return ix.batch_numbers(ix.global_index(files, ["path"], unique=True), 100)
 
 
-@query("sorted_paths", "select url as path from pages order by url")
+@query("sorted_paths", "select url as path, row_number() over (order by url) - 1 as position from pages")
 def sorted_paths(spark, sf):
     return b.sorted_paths(a.table(spark, sf, "pages").select(F.col("url").alias("path")))
 

@@ -39,7 +39,7 @@ def join_path(*parts: Column) -> Column:
 
 
 def shard_path(identifier: Column) -> Column:
-    """``123456789`` -> ``12/34/56/78/123456789``."""
+    """Four folders named by the first four pairs of characters, then the identifier itself."""
     pairs = [F.substring(identifier, start, 2) for start in (1, 3, 5, 7)]
     return join_path(*pairs, identifier)
 

@@ -15,13 +15,48 @@ def valid_pdf(content: Column) -> Column:
     return F.coalesce(head == PDF_MAGIC, F.lit(False))
 
 
+# An attribute: its name, and its value in double quotes, single quotes or none.
+_ATTRIBUTE = r"""([^\s"'<>/=]+)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)"""
+_ANCHOR = r"""<[aA]\s(?:[^>"']|"[^"]*"|'[^']*')*>"""
+# The named references that are decoded.
+_NAMED = {"amp": "&", "quot": '"', "apos": "'", "lt": "<", "gt": ">"}
+
+
+def decode_references(text: Column) -> Column:
+    """Character references by name (five), number or hexadecimal number up to U+FFFF, decoded once."""
+    parts = F.split(text, "&")
+
+    def decoded(part: Column) -> Column:
+        body, rest = F.substring_index(part, ";", 1), F.substring(part, F.instr(part, ";") + 1, F.length(part))
+        number = F.when(body.rlike("^#[0-9]{1,5}$"), F.substring(body, F.lit(2), F.length(body)).cast("int")).when(
+            body.rlike("^#[xX][0-9a-fA-F]{1,4}$"), F.conv(F.substring(body, F.lit(3), F.length(body)), 16, 10).cast("int")
+        )
+        known = F.when((number > 0) & (number < 0x10000), F.decode(F.unhex(F.lpad(F.hex(number), 4, "0")), "UTF-16BE"))
+        for name, char in _NAMED.items():
+            known = F.when(body == name, F.lit(char)).otherwise(known)
+        whole = F.concat(F.lit("&"), part)
+        return F.when(F.instr(part, ";") > 0, F.coalesce(F.concat(known, rest), whole)).otherwise(whole)
+
+    rest = F.transform(F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 1, F.lit(0))), decoded)
+    return F.when(F.contains(text, F.lit("&")), F.concat(F.get(parts, F.lit(0)), F.array_join(rest, ""))).otherwise(text)
+
+
 def redirect_target(html: Column) -> Column:
-    """``href`` of the first ``<a id="redirect">`` of a page; null without one."""
-    tag = F.regexp_extract(
-        html,
-        r"""<[aA]\s(?:[^>]*\s)?(?i:id)\s*=\s*(?:"redirect"|'redirect'|redirect(?=[\s>]))[^>]*>""",
-        0,
-    )
-    attribute = r"""\s(?i:href)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))"""
-    href = F.concat(*[F.regexp_extract(tag, attribute, group) for group in (1, 2, 3)])
-    return F.when(tag != "", F.replace(href, F.lit("&amp;"), F.lit("&")))
+    """``href`` of the first anchor of a page whose id is ``redirect``; null without one.
+
+    Comments are no part of the page, a quoted attribute value is one unit whatever is in it, and
+    character references in the target are decoded.
+    """
+    page = F.regexp_replace(html.cast("string"), r"(?s)<!--.*?(?:-->|$)", "")
+
+    def value(tag: Column, name: str) -> Column:
+        names = F.regexp_extract_all(tag, F.lit(_ATTRIBUTE), F.lit(1))
+        values = F.regexp_extract_all(tag, F.lit(_ATTRIBUTE), F.lit(2))
+        at = F.array_position(F.transform(names, F.lower), name)
+        raw = F.get(values, (at - 1).cast("int"))
+        quoted = raw.rlike("^[\"']")
+        return F.when(quoted, F.substring(raw, F.lit(2), F.length(raw) - 2)).otherwise(raw)
+
+    anchors = F.regexp_extract_all(page, F.lit(_ANCHOR), F.lit(0))
+    found = F.get(F.filter(anchors, lambda tag: value(tag, "id") == "redirect"), F.lit(0))
+    return F.when(F.contains(html.cast("string"), F.lit("redirect")), decode_references(value(found, "href")))

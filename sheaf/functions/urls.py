@@ -7,26 +7,32 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Source classes in fetch order, as predicates over one location map ``loc``.
-# The first that holds gives the rank. Append or replace entries to change the strategy.
-LOCATION_RULES = (
-    "loc['repository_normalized'] = 'arXiv'",
-    "loc['repository_normalized'] = 'PubMed Central'",
-    "loc['repository_normalized'] = 'HAL'",
-    "map_contains_key(loc, 'repository_normalized') and loc['host_type'] = 'repository'",
-    "contains(loc['url_for_pdf'], 'wiley')",
+# Source classes in fetch order; the first that holds gives the rank. ``{repo}``,
+# ``{has_repo}``, ``{host}`` and ``{url}`` stand for what a location has. Append or replace entries to
+# change the strategy.
+SOURCE_CLASSES = (
+    "{repo} = 'arXiv'",
+    "{repo} = 'PubMed Central'",
+    "{repo} = 'HAL'",
+    "{has_repo} and {host} = 'repository'",
+    "contains({url}, 'wiley')",
     "true",
 )
 
-# The same classes for a flat location table with columns repo, host_type, url.
-FLAT_RULES = (
-    "repo = 'arXiv'",
-    "repo = 'PubMed Central'",
-    "repo = 'HAL'",
-    "repo is not null and host_type = 'repository'",
-    "contains(url, 'wiley')",
-    "true",
+
+def rules_for(**names: str) -> tuple[str, ...]:
+    """The source classes as SQL predicates over a location's own fields."""
+    return tuple(rule.format(**names) for rule in SOURCE_CLASSES)
+
+
+# Over one location map ``loc``, and over a flat location table with columns repo, host_type, url.
+LOCATION_RULES = rules_for(
+    repo="loc['repository_normalized']",
+    has_repo="map_contains_key(loc, 'repository_normalized')",
+    host="loc['host_type']",
+    url="loc['url_for_pdf']",
 )
+FLAT_RULES = rules_for(repo="repo", has_repo="repo is not null", host="host_type", url="url")
 
 # Closed-access URL prefix by publisher.
 CLOSED_ACCESS_BASE = {

@@ -15,6 +15,7 @@ from sheaf.session import durable, lookup_side
 # Outcomes, and how many redirects are followed.
 SUCCESS, FAIL, ERROR = "success", "fail", "error"
 MAX_REDIRECTS = 5
+FOUND, DEAD_END, STILL_OPEN = "pdf", "dead end", "open"
 CHANNELS = [ARXIV, WILEY, ELSEVIER, STANDARD]
 
 
@@ -101,45 +102,51 @@ def resolve_urls(captured: DataFrame, max_redirects: int = MAX_REDIRECTS) -> Dat
     """Follow page redirects inside the captured ``(page_id, url, content)``.
 
     The first capture of a URL counts. With a column ``status_code``, only pages with 200 are read.
-    Gives ``(url, final_url, hops)`` for each URL that leads to a PDF in at most
-    ``max_redirects`` steps. Pages are parsed once into a narrow table; only the chains still open
-    take part in the next step, and each step is a join on a unique URL.
+    Gives ``(url, final_url, hops, reason)`` for each URL: ``pdf`` where it leads to one in at most
+    ``max_redirects`` steps, ``dead end`` where the last page has no redirect or was not captured, and
+    ``open`` where more redirects would follow; ``final_url`` is how far it got. Pages are parsed once
+    into a narrow table; only the chains still open take part in the next step, and each step is a join
+    on a unique URL. Runs a job for each step while the plan is being made.
     """
     answered = F.col("status_code") == 200 if "status_code" in captured.columns else F.lit(True)
     content = F.when(answered, F.col("content"))
-    # Parsed before the exchange of the dedup, so that only narrow rows are sent.
+    is_pdf = valid_pdf(content)
+    # Parsed before the exchange of the dedup, so that only narrow rows are sent; PDFs are not parsed.
     pages = captured.select(
-        "url",
-        "page_id",
-        valid_pdf(content).alias("is_pdf"),
-        redirect_target(content).alias("next_url"),
+        "url", "page_id", is_pdf.alias("is_pdf"), redirect_target(F.when(~is_pdf, content)).alias("next_url")
     )
     pages = durable(first_by(pages, ["url"], ["page_id"]).drop("page_id"), "pages")
     target = pages.select(
         F.col("url").alias("final_url"), F.col("is_pdf").alias("__pdf"), F.col("next_url").alias("__next")
     )
-    done = pages.where("is_pdf").select("url", F.col("url").alias("final_url"), F.lit(0).alias("hops"))
-    open_chains = pages.where("not is_pdf and next_url is not null").select(
-        "url", F.col("next_url").alias("final_url")
-    )
-    for hop in range(1, max_redirects + 1):
+
+    def ended(reached: DataFrame, hops: int) -> DataFrame:
+        found = F.coalesce("__pdf", F.lit(False))
+        return reached.where(found | F.col("__next").isNull()).select(
+            "url", "final_url", F.lit(hops).alias("hops"), F.when(found, FOUND).otherwise(DEAD_END).alias("reason")
+        )
+
+    reached = pages.select("url", F.col("url").alias("final_url"), F.col("is_pdf").alias("__pdf"), F.col("next_url").alias("__next"))
+    done = ended(reached, 0)
+    for hop in range(1, max_redirects + 2):
+        still_open = reached.where("not __pdf and __next is not null").select("url", F.col("__next").alias("final_url"))
+        if hop > max_redirects:
+            return done.unionByName(
+                still_open.withColumn("hops", F.lit(max_redirects)).withColumn("reason", F.lit(STILL_OPEN))
+            )
+        if still_open.isEmpty():
+            return done
         # Written, as each step is read for the chains that end and for those that go on; without
         # that every step would join all steps before it again.
-        reached = durable(
-            open_chains.join(target, "final_url").where("__pdf or __next is not null"), "hop"
-        )
-        done = done.unionByName(
-            reached.where("__pdf").select("url", "final_url", F.lit(hop).alias("hops"))
-        )
-        open_chains = reached.where("not __pdf").select("url", F.col("__next").alias("final_url"))
-        if open_chains.isEmpty():
-            break
+        reached = durable(still_open.join(target, "final_url", "left"), "hop")
+        done = done.unionByName(ended(reached, hop))
     return done
 
 
 def resolve_fetches(plan: DataFrame, captured: DataFrame, max_redirects: int = MAX_REDIRECTS) -> DataFrame:
     """Apply a fetch plan ``(id, attempt_no, url)`` to captured content: the first valid PDF wins."""
-    reached = lookup_side(resolve_urls(captured, max_redirects))
+    found = resolve_urls(captured, max_redirects).where(F.col("reason") == FOUND).drop("reason")
+    reached = lookup_side(found)
     tried = plan.join(reached, "url", "left").withColumn("__ok", F.col("final_url").isNotNull())
     first = F.min_by(
         F.when(F.col("__ok"), F.struct("url", "final_url", "hops")),

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sheaf.functions.paths import SERVICES, service_of_path, storage_path, uuid_from_path
-from sheaf.operators.index import batch_numbers, group_index
+from sheaf.operators.index import batch_numbers, global_index, group_index
 from sheaf.operators.status import INITIAL_VERSION
 
 
@@ -43,7 +43,7 @@ def version_backlog(status: DataFrame, spec: dict[str, str], semver: bool = Fals
 
 
 def backlog_files(status: DataFrame, spec: dict[str, str], semver: bool = False) -> DataFrame:
-    """``(service, path)`` of the payloads to process, sorted."""
+    """``(service, path, position)`` of the payloads to process, in the order of ``position``."""
     return sorted_paths(
         version_backlog(status, spec, semver).select("service", storage_path(F.col("uuid")).alias("path")),
         "service",
@@ -52,8 +52,8 @@ def backlog_files(status: DataFrame, spec: dict[str, str], semver: bool = False)
 
 
 def sorted_paths(paths: DataFrame, *columns: str) -> DataFrame:
-    """Total order on paths, by bytes."""
-    return paths.orderBy(*(columns or ("path",)))
+    """Total order on paths, by bytes, as ``position`` from 0; equal rows have neighbouring ones."""
+    return global_index(paths, list(columns or ("path",)), "position")
 
 
 def service_batches(status: DataFrame, spec: dict[str, str], size: int = 1_000) -> DataFrame:

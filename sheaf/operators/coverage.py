@@ -22,6 +22,7 @@ from sheaf.functions.report import percent, share, thousands
 from sheaf.operators.dedup import harvested_dois
 from sheaf.session import lookup_side
 
+# Names of the access classes.
 CLASSES = ["ca", "oa", "wiley_ca", "wiley_oa", "elsevier_ca"]
 
 

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+# External ids a ledger row has.
 EXTERNAL_IDS = ["doi", "pmid", "pmcid", "istexId", "ark", "pii"]
 
 

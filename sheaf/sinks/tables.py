@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Sequence
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sheaf.functions.paths import shard, uuid_from_path
 from sheaf.operators.coverage import class_lists
+from sheaf.operators.index import slice_ids
+from sheaf.schemas import PUBLICATION
+from sheaf.sources.publications import parse_lines, scan_lines
 
 
 def _by_shard(df: DataFrame, column: str) -> DataFrame:
@@ -40,13 +45,13 @@ def write_payloads(
     path: str,
     codec: str = "gzip",
     digits: int = 2,
-    exchange: bool = True,
+    exchange: bool = False,
     mode: str = "errorifexists",
 ) -> None:
     """``(path, content)`` as compressed binary, in folders by the first characters of the id.
 
-    ``exchange=False`` lets every task write what it holds to all folders: more and smaller files,
-    but the contents are not sent over the network.
+    Every task writes what it holds to all folders, so that contents are not sent over the network;
+    ``exchange=True`` sends them first, for fewer and larger files.
     """
     rows = payloads.withColumn("shard", shard(uuid_from_path(F.col("path")), digits))
     if exchange:
@@ -54,6 +59,24 @@ def write_payloads(
     rows.write.mode(mode).partitionBy("shard").option("compression", codec).parquet(path)
 
 
+def write_dump(spark: SparkSession, paths: str | Sequence[str], path: str, schema=PUBLICATION, mode: str = "errorifexists") -> None:
+    """A dump as Parquet: the raw line, the parsed fields, and the columns that keep its order.
+
+    A gzip file is read by one task, once; from then on readers take the columns they need from many.
+    """
+    parse_lines(scan_lines(spark, paths), schema).write.mode(mode).parquet(path)
+
+
+def write_slices(
+    indexed: DataFrame, total: int, path: str, mode: str = "complete", index: str = "idx", save: str = "errorifexists"
+) -> None:
+    """All slices of indexed rows in one pass, one folder for each; see :func:`sheaf.operators.index.slice_ids`.
+
+    Slices have about equal sizes; one too large for a task is split by the adaptive rebalance.
+    """
+    _by_shard(slice_ids(indexed, total, mode, index), "slice_id").write.mode(save).partitionBy("slice_id").parquet(path)
+
+
 def write_class_lists(classified: DataFrame, path: str, mode: str = "errorifexists") -> None:
     """DOIs by class, in one folder per class; with ``append`` a run adds to what is there.
 

@@ -79,6 +79,12 @@ def parse_lines(lines: DataFrame, schema: T.StructType = PUBLICATION) -> DataFra
     )
 
 
+def scan_dump(spark: SparkSession, path: str, schema: T.StructType = PUBLICATION) -> DataFrame:
+    """A dump written as Parquet: raw line, ``DUMP_ORDER`` columns and parsed fields; unused ones are not read."""
+    order = [T.StructField("source_file", T.StringType()), T.StructField("block_start", T.LongType()), T.StructField("scan_seq", T.LongType())]
+    return spark.read.schema(T.StructType([T.StructField("value", T.StringType()), *order, *schema])).parquet(path)
+
+
 def count_records(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
     """Lines of the dumps; a missing path fails."""
     return spark.read.text(list(paths) if not isinstance(paths, str) else paths).agg(
