@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -51,6 +53,13 @@ def pieces(batches: Iterator[pa.RecordBatch], limit: int = PIECE_BYTES) -> Itera
                 yield part
 
 
+def hand_back() -> None:
+    """Give memory that a task has freed back to the system: idle Python workers of an executor keep it else."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # other C libraries have no such call
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def map_pieces(
     df: DataFrame, fn: Callable[[pa.RecordBatch], dict | None], schema: str, limit: int = PIECE_BYTES
 ) -> DataFrame:
@@ -64,6 +73,7 @@ def map_pieces(
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(out[f.name], type=f.type, from_pandas=False) for f in types], schema=types
                 )
+        hand_back()
 
     return df.mapInArrow(run, schema)
 
@@ -82,6 +92,7 @@ def map_rows(df: DataFrame, fn: Callable[[pa.RecordBatch], list], out: DataFrame
             made = fn(part)
             columns = made if isinstance(made, list) else part.filter(made).columns
             yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, types)], schema=types)
+        hand_back()
 
     return df.toDF(*(f"c{k}" for k in range(len(df.columns)))).mapInArrow(run, inner).toDF(*like.names)
 
@@ -90,7 +101,11 @@ def pa_schema(spark: SparkSession, schema: str) -> pa.Schema:
     return to_arrow_schema(StructType.fromDDL(schema))
 
 
-CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+# While a table is written: shuffle files go when nothing reads them any more, and batches for Python are small.
+WRITING = {
+    "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true",
+    "spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20),
+}
 
 
 def stored(df: DataFrame, label: str) -> DataFrame:
@@ -100,12 +115,14 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     the plan is made.
     """
     conf = df.sparkSession.conf
-    before = conf.get(CLEAN_UP, "false")
-    conf.set(CLEAN_UP, "true")
+    before = {key: conf.get(key) for key in WRITING}
+    for key, value in WRITING.items():
+        conf.set(key, value)
     try:
         return durable(df, label)
     finally:
-        conf.set(CLEAN_UP, before)
+        for key, value in before.items():
+            conf.set(key, value)
 
 
 def row_key(doc_id: str = "doc_id", text: str = "text") -> Column:

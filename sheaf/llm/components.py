@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sheaf.llm.common import stored
+from sheaf.llm.common import hand_back, stored
 
 
 EDGES = "a long, b long"
@@ -68,6 +68,8 @@ def local_stars(edges: DataFrame) -> DataFrame:
                 yield edge_table(forest.stars())
                 forest = Forest()
         yield edge_table(forest.stars())
+        del forest
+        hand_back()
 
     return edges.mapInArrow(run, EDGES)
 

@@ -22,7 +22,7 @@ def _reach(n: int) -> None:
     """Make the tables of powers reach to n."""
     global _powers, _inverse
     if len(_powers) <= n:
-        size = max(n + 1, min(2 * len(_powers), 1 << 23))
+        size = max(n + 1, min(2 * len(_powers), 1 << 21))
         bases = np.full(size, BASE, np.uint64), np.full(size, pow(BASE, -1, 1 << 64), np.uint64)
         for column in bases:
             column[0] = 1
@@ -37,11 +37,12 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def prefix_of(numbers: np.ndarray) -> np.ndarray:
-    """Prefix sums for ``span_hashes`` over any numbers, uint64 that are spread well."""
+    """Prefix sums for ``span_hashes`` over any numbers, uint64 that are spread well; they are overwritten."""
     _reach(len(numbers))
     sums = np.empty(len(numbers) + 1, np.uint64)
     sums[0] = 0
-    np.cumsum(numbers * _powers[: len(numbers)], out=sums[1:])
+    numbers *= _powers[: len(numbers)]
+    np.cumsum(numbers, out=sums[1:])
     return sums
 
 

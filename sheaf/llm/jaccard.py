@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sheaf.llm.common import fresh, own_columns, pa_schema, query, row_key, stored, table, text_partitions
+from sheaf.llm.common import fresh, hand_back, own_columns, pa_schema, query, row_key, stored, table, text_partitions
 from sheaf.llm.components import EDGES, Forest, components, edge_table
 from sheaf.llm.hashing import mix, pack_words, prefix, span_hashes
 from sheaf.llm.rounds import LOW, NO_ID, Rounds, bucket_key, bucket_runs, piece_texts, squeeze, text_pieces, unsqueeze
@@ -308,6 +308,8 @@ def candidate_edges(sets: DataFrame) -> DataFrame:
         n = len(least[0]) if local else 0
         columns = [np.concatenate((np.full(len(a), None, object), least[0][:n])), [*a, *least[1][:n].tolist()], [*b, *[None] * n]]
         yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["shingle", "a", "b"])
+        del forest, least, columns, a, b
+        hand_back()
 
     def merge(parts, forest):
         shingle, node = (np.concatenate(c) for c in zip(*parts))

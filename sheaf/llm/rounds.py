@@ -17,7 +17,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sheaf.llm.common import map_pieces, pa_schema, row_key, stored
+from sheaf.llm.common import PIECE_BYTES, hand_back, map_pieces, pa_schema, row_key, stored
 
 NO_ID = (1 << 63) - 1
 LOW = np.uint64(0xFFFFFFFF)
@@ -52,7 +52,7 @@ SENT = "bucket int, piece string, n int, data array<binary>"
 REPLY = "piece string, bucket int, n int, reply binary"
 
 
-def text_pieces(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", piece_bytes: int = 4_000_000) -> DataFrame:
+def text_pieces(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", piece_bytes: int = PIECE_BYTES) -> DataFrame:
     """Rows gathered into pieces, written once; a piece keeps its name from then on."""
 
     def gather(part):
@@ -121,6 +121,8 @@ class Rounds:
                     rows = list(fn(*([row["piece"]] if named else []), make(row), replies))
                     columns = [pa.array([r[i] for r in rows], f.type) for i, f in enumerate(types)]
                     yield pa.RecordBatch.from_arrays(columns, schema=types)
+                    del replies, rows, columns
+            hand_back()
 
         known, wants_more = self.known(given), more is not None
         return (known.join(more, "piece", "left") if wants_more else known).mapInArrow(run, schema)
@@ -136,6 +138,7 @@ class Rounds:
         def reply(group: pa.Table) -> pa.Table:
             rows = group.to_pydict()
             found = meet(rows["data"], rows["n"])
+            hand_back()
             return pa.table([pa.array(c, f.type) for c, f in zip((rows["piece"], rows["bucket"], rows["n"], found), types)], schema=types)
 
         def sent(name, piece, replies):

@@ -13,7 +13,7 @@ of them one shuffle by a name's hash, so that equal names lie side by side in a
 3. For names with several refinements the remaining suffixes, those of the places just before, are merged
    through their sampled neighbour: their strings of 50 bytes are sorted, adjacent ones compared.
 
-Texts travel as compressed pieces of about four megabytes that are written once; what a round finds goes
+Texts travel as compressed pieces of some megabytes that are written once; what a round finds goes
 back to its piece as a few bits per name. Equal texts and names inside a piece are sent once, with their
 smallest doc_id, so a group of copies costs no more than one of them for each piece.
 
@@ -47,6 +47,8 @@ MERGED_STRINGS = 150_000
 
 def cover_for(length: int) -> tuple[int, tuple[int, ...]]:
     """The cover of the largest modulus that leaves more than half of the length to the names."""
+    if length < 5:
+        raise ValueError("length is 5 or more")
     modulus = max(v for v in COVERS if 2 * (v - 1) < length)
     return modulus, COVERS[modulus]
 
