@@ -144,8 +144,9 @@ def distance(a, b):
     return above[-1]
 
 
-def plain_lines(rows, edits=2, least=24):
-    """The multiset of (doc_id, lines, removed, kept text)."""
+def plain_lines(rows, edits=2, least=24, near=None):
+    """(doc_id, lines, removed, kept text) of each row; ``near`` tells whether two lines are within reach."""
+    near = near or (lambda a, b: len(a) < 1000 and distance(a, b) <= edits)
     order = sorted(range(len(rows)), key=lambda k: number(rows[k][0]))
     lines = {line for _, t in rows for line in (t or "").split("\n") if line.strip(BLANK)}
     long = sorted(line for line in lines if len(line) >= least)
@@ -158,7 +159,7 @@ def plain_lines(rows, edits=2, least=24):
 
     for x, a in enumerate(long):
         for b in long[:x]:
-            if abs(len(a) - len(b)) <= edits and root(a) != root(b) and len(a) < 1000 and distance(a, b) <= edits:
+            if abs(len(a) - len(b)) <= edits and root(a) != root(b) and near(a, b):
                 up[root(a)] = root(b)
     seen, out = set(), [None] * len(rows)
     for k in order:
