@@ -383,8 +383,9 @@ def with_resolved(body: str, *names: str, more: str = "", channel=channel_of) ->
     """select id, result, harvester_used, url_used, valid_fulltext_pdf, last_url,
   result = 'success' and valid_fulltext_pdf as good from entries"""))
 def entry_split(spark, sf):
-    steps = cand.url_steps(m.build_manifest(a.records(spark, sf)))
-    good, bad = att.split_outcomes(att.resolve_steps(steps, a.captured_outcomes(spark, sf)))
+    built = m.build_manifest(a.records(spark, sf))
+    outcomes = att.resolve_steps(cand.url_steps(built), a.captured_outcomes(spark, sf), built.select("id", "urls"))
+    good, bad = att.split_outcomes(outcomes)
     return good.withColumn("good", F.lit(True)).unionByName(bad.withColumn("good", F.lit(False)))
 
 

@@ -47,47 +47,67 @@ def first_success(
     )
 
 
-def resolve_steps(steps: DataFrame, captured: DataFrame) -> DataFrame:
-    """Outcome of each publication, from its URL steps and the captured ``(url, channel, outcome)``.
+def step_codes(steps: DataFrame, captured: DataFrame) -> DataFrame:
+    """Per publication, as numbers: ``first_code``, null without success, and ``last_rank``.
 
-    Each URL takes its own channel, then ``standard``; an error of the channel skips that second
-    attempt, and a capture that is missing is a failure. Outcomes of one URL are brought into one
-    row first, so a step needs one join. ``valid_file`` in the capture, when there, tells whether
-    the stored file is a PDF.
+    ``first_code`` is eight times the rank of the first URL that succeeded, plus twice the place of its
+    channel in ``CHANNELS``, plus one if its file is valid. The least code of a publication is kept in a
+    hash aggregate, whatever its URLs are.
     """
     valid = F.col("valid_file") if "valid_file" in captured.columns else F.lit(True)
-    # Outcome and validity as one small number: its maximum is kept in a hash aggregate. A URL
-    # captured twice in one channel counts by its better outcome.
+    # Outcome and validity as one small number. A URL captured twice in one channel counts by its
+    # better outcome.
     better = F.when(F.col("outcome") == SUCCESS, 4).when(F.col("outcome") == FAIL, 2).when(F.col("outcome") == ERROR, 0)
     code = better + F.when(valid, 1).otherwise(0)
     by_url = captured.groupBy("url").agg(
         *[F.max(F.when(F.col("channel") == c, code)).alias(f"by_{c}") for c in CHANNELS]
     )
     own = F.coalesce(*[F.when(F.col("channel") == c, F.col(f"by_{c}")) for c in CHANNELS])
+    place = F.coalesce(*[F.when(F.col("channel") == c, F.lit(k)) for k, c in enumerate(CHANNELS)])
     plain = F.col(f"by_{STANDARD}")
-    outcome = F.when(
-        own >= 4, F.struct(F.col("channel").alias("h"), (own == 5).alias("v"))
-    ).when(
+    outcome = F.when(own >= 4, 2 * place + (own - 4)).when(
         # No outcome of the channel's own is a failure; an error skips the second attempt.
         (F.coalesce(own, F.lit(2)) >= 2) & (plain >= 4),
-        F.struct(F.lit(STANDARD).alias("h"), (plain == 5).alias("v")),
+        2 * CHANNELS.index(STANDARD) + (plain - 4),
     )
     tried = steps.join(lookup_side(by_url), "url", "left").withColumn("__out", outcome)
-    first = F.min_by(
-        F.when(F.col("__out").isNotNull(), F.struct("__out.h", "__out.v", "url")),
-        F.when(F.col("__out").isNotNull(), F.col("url_rank")),
+    return tried.groupBy("id").agg(
+        F.min(8 * F.col("url_rank") + F.col("__out")).alias("first_code"), F.max("url_rank").alias("last_rank")
     )
-    return (
-        tried.groupBy("id")
-        .agg(first.alias("__first"), F.max_by("url", "url_rank").alias("last_url"))
-        .select(
-            "id",
-            F.when(F.col("__first").isNotNull(), SUCCESS).otherwise(FAIL).alias("result"),
-            F.coalesce(F.col("__first.h"), F.lit("")).alias("harvester_used"),
-            F.coalesce(F.col("__first.url"), F.lit("")).alias("url_used"),
-            F.coalesce(F.col("__first.v"), F.lit(False)).alias("valid_fulltext_pdf"),
-            "last_url",
-        )
+
+
+def resolve_steps(steps: DataFrame, captured: DataFrame, manifest: DataFrame | None = None) -> DataFrame:
+    """Outcome of each publication, from its URL steps and the captured ``(url, channel, outcome)``.
+
+    Each URL takes its own channel, then ``standard``; an error of the channel skips that second
+    attempt, and a capture that is missing is a failure. Outcomes of one URL are brought into one
+    row first, so a step needs one join. ``valid_file`` in the capture, when there, tells whether
+    the stored file is a PDF. URLs are looked up by rank: in ``urls`` of ``manifest(id, urls)``, whose
+    other columns are then kept, or in the steps themselves.
+    """
+    codes = step_codes(steps, captured)
+    first = F.floor(F.col("first_code") / 8)
+    if manifest is None:
+        by_rank = steps.select("id", F.col("url_rank").alias("__rank"), "url")
+        codes = codes.withColumn("__first", first)
+        won = by_rank.withColumnRenamed("__rank", "__first").withColumnRenamed("url", "__won")
+        last = by_rank.withColumnRenamed("__rank", "last_rank").withColumnRenamed("url", "last_url")
+        found = codes.join(won, ["id", "__first"], "left").join(last, ["id", "last_rank"], "left")
+        kept = []
+    else:
+        at = lambda rank: F.get("urls", (rank - 1).cast("int"))
+        found = manifest.join(codes, "id").withColumn("__won", at(first)).withColumn("last_url", at(F.col("last_rank")))
+        kept = [c for c in manifest.columns if c not in ("id", "urls")]
+    rest = F.pmod("first_code", F.lit(8))
+    channels = F.array(*map(F.lit, CHANNELS))
+    return found.select(
+        "id",
+        *kept,
+        F.when(F.col("first_code").isNotNull(), SUCCESS).otherwise(FAIL).alias("result"),
+        F.coalesce(F.get(channels, F.floor(rest / 2).cast("int")), F.lit("")).alias("harvester_used"),
+        F.coalesce("__won", F.lit("")).alias("url_used"),
+        F.coalesce(rest % 2 == 1, F.lit(False)).alias("valid_fulltext_pdf"),
+        "last_url",
     )
 
 

@@ -21,6 +21,7 @@ def rank_flat_locations(
     rules: Sequence[str] = FLAT_RULES,
     hot_rows: int = 1_000_000,
     counted: DataFrame | None = None,
+    sizes: DataFrame | None = None,
 ) -> DataFrame:
     """Rank the PDF URLs of a flat location table inside each key; adds ``url_rank`` from 1.
 
@@ -37,6 +38,7 @@ def rank_flat_locations(
         "url_rank",
         hot_rows,
         locations if counted is None else counted,
+        sizes,
     )
     return ranked.withColumn("url_rank", F.col("url_rank") + 1).drop("__class")
 

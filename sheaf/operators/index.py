@@ -130,18 +130,21 @@ def rank_within(
     name: str = "rank",
     hot_rows: int = 1_000_000,
     counted: DataFrame | None = None,
+    sizes: DataFrame | None = None,
 ) -> DataFrame:
     """0-based position of each row inside its group, many small groups and a few large ones.
 
     Groups of up to ``hot_rows`` rows are ranked by a window; larger ones, of which there are at
     most ``rows / hot_rows``, are spread over tasks by :func:`group_index`. Ties of ``order_by`` are
     broken by the other columns that can be ordered, from left to right, in both. Group sizes are
-    counted in ``counted`` where given: a frame cheaper to read whose groups are at least as large.
+    counted in ``counted`` where given: a frame cheaper to read whose groups are at least as large; or
+    they are in ``sizes``, a row of ``group_by`` and ``count`` for each group, where they are known.
     """
     order_by = [*order_by, *_tie_break(df, [*group_by, *order_by])]
     window = Window.partitionBy(*group_by).orderBy(*order_by)
     position = (F.row_number().over(window) - 1).cast("bigint")
-    sizes = (df if counted is None else counted).groupBy(*group_by).count()
+    if sizes is None:
+        sizes = (df if counted is None else counted).groupBy(*group_by).count()
     hot = _group_keys(sizes.where(F.col("count") > hot_rows), group_by)
     if hot.isEmpty():
         return df.withColumn(name, position)

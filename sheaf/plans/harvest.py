@@ -82,8 +82,9 @@ def harvest_batch(
     manifest = durable(
         build_manifest(wanted, order_by, country, rules, status, known, ledger, reprocess), "manifest"
     )
-    outcomes = resolve_steps(url_steps(manifest, wiley, elsevier), captured)
-    entries = durable(manifest.select("id", "doi", "domain").join(outcomes, "id"), "outcomes")
+    steps = url_steps(manifest, wiley, elsevier)
+    outcomes = resolve_steps(steps, captured, manifest.select("id", "doi", "domain", "urls"))
+    entries = durable(outcomes, "outcomes")
     good, bad = split_outcomes(entries)
     if objects is not None:
         listed = objects.select(F.col("path").alias("__path"))

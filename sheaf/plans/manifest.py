@@ -122,20 +122,24 @@ def build_manifest_tables(
     ).select("line_no", "doi", "domain", "publisher_normalized")
     # The greatest (label, flag) pair holds the latest label and, within it, whether any location
     # is open: one aggregate instead of a lookup of the label and a second pass.
-    latest = locations.groupBy("line_no").agg(F.max(F.struct("obs_key", "loc_oa")).alias("m"))
+    latest = locations.groupBy("line_no").agg(
+        F.max(F.struct("obs_key", "loc_oa")).alias("m"), F.count("*").alias("count")
+    )
     heads = kept.join(latest, "line_no").select(
-        *kept.columns, F.col("m.obs_key").alias("obs_key"), F.col("m.loc_oa").alias("is_oa")
+        *kept.columns, F.col("m.obs_key").alias("obs_key"), F.col("m.loc_oa").alias("is_oa"), "count"
     )
     # Read for the open records and again for the closed ones.
     heads = durable(heads, "heads")
     opened = heads.where("is_oa").select("line_no", "obs_key", "doi", "domain")
+    # A record has one latest label, so ranks by record and label are those by record, and the exchange
+    # of the join serves them, too. Locations of a record are at least as many as those of one label.
     ranked = rank_flat_locations(
         locations.join(opened, ["line_no", "obs_key"]),
-        ["line_no"],
+        ["line_no", "obs_key"],
         tie_break,
         rules,
         hot_rows,
-        counted=locations,
+        sizes=heads.where("is_oa").select("line_no", "obs_key", "count"),
     ).select("doi", "domain", "url_rank", "url")
     closed = heads.where("not is_oa").select(
         "doi",
