@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
 from contextlib import contextmanager
@@ -16,6 +17,8 @@ BROADCAST_BYTES = 16_000_000
 # By application: the temporary folder of a local session, and the scratch tables made.
 _LOCAL: dict[str, str] = {}
 _SCRATCH: dict[str, list[str]] = {}
+# By application and folder: do executors see it?
+_SEEN: dict[str, bool] = {}
 
 
 def spark_session(master: str | None = None, app: str = "sheaf", **conf) -> SparkSession:
@@ -44,11 +47,11 @@ def shared_folder(spark: SparkSession) -> str:
     context = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if named:
-        # Over several executors a plain path on the local file system is each one's own disk; one
-        # that says file: itself is taken to be a mount they share.
+        # Over several executors a plain path may be each machine's own disk; one with a scheme is taken
+        # as it is, file: for a mount they share.
         alone = context.master.startswith("local") and "cluster" not in context.master
-        if not alone and "://" not in named and not named.startswith("file:") and _scheme(spark, named) == "file":
-            raise ValueError(f"{named} is on each machine's own disk; name a shared store, or file: for a shared mount")
+        if not alone and ":" not in named and not _seen_by_executors(spark, named):
+            raise ValueError(f"executors do not see {named}; name a shared store, or file: for a shared mount")
         return named.rstrip("/")
     if not context.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder all executors share")
@@ -61,8 +64,26 @@ def _file_system(spark: SparkSession, path: str):
     return spark._jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark._jsc.hadoopConfiguration())
 
 
-def _scheme(spark: SparkSession, path: str) -> str:
-    return _file_system(spark, path).getScheme()
+def _seen_by_executors(spark: SparkSession, folder: str) -> bool:
+    """Whether tasks find a file that the driver writes there; asked once in an application."""
+    key = f"{spark.sparkContext.applicationId}|{folder}"
+    if key not in _SEEN:
+        system, jvm_path = _file_system(spark, folder), spark._jvm.org.apache.hadoop.fs.Path
+        if system.getScheme() != "file":
+            _SEEN[key] = True
+        else:
+            marker = f"{folder.rstrip('/')}/sheaf-seen-{uuid.uuid4().hex}"
+            system.create(jvm_path(marker)).close()
+
+            def look(batches):
+                for batch in batches:
+                    yield batch.assign(id=int(os.path.exists(marker)))
+
+            tasks = 4 * spark.sparkContext.defaultParallelism
+            found = spark.range(tasks).repartition(tasks).mapInPandas(look, "id long")
+            _SEEN[key] = found.where("id = 0").isEmpty()
+            system.delete(jvm_path(marker), False)
+    return _SEEN[key]
 
 
 def delete_path(spark: SparkSession, path: str) -> None:

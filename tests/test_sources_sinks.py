@@ -251,6 +251,24 @@ def test_shared_folder_when_none_is_named():
         shared_folder(Unset("yarn"))
 
 
+def test_shared_folder_is_seen_by_executors(spark, tmp_path):
+    from sheaf import session
+
+    assert session._seen_by_executors(spark, str(tmp_path))
+    assert list(tmp_path.iterdir()) == []
+    master = spark.sparkContext.master
+    try:
+        spark.sparkContext.master = "spark://host:7077"
+        assert session.shared_folder(spark) == spark.conf.get("spark.checkpoint.dir")
+        key = f"{spark.sparkContext.applicationId}|{session.shared_folder(spark)}"
+        session._SEEN[key] = False  # as on machines that do not share the folder
+        with pytest.raises(ValueError):
+            session.shared_folder(spark)
+    finally:
+        spark.sparkContext.master = master
+        session._SEEN.clear()
+
+
 def test_dump_order_decides_the_first_record(spark, conf, tmp_path):
     from sheaf.plans.manifest import build_manifest
 
