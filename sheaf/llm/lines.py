@@ -37,7 +37,7 @@ LEAST = 24
 BLANKS = b" \t\n\x0b\x0c\r"
 # Entries to a bucket; lines to a block of a family, and to a task of small families.
 BUCKET_ENTRIES = 1_000_000
-BLOCK = 4_000
+BLOCK = 1_000
 
 
 # the distance

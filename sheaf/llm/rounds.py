@@ -17,7 +17,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sheaf.llm.common import PIECE_BYTES, hand_back, map_pieces, pa_schema, row_key, stored
+from sheaf.llm.common import hand_back, map_pieces, pa_schema, row_key, stored
 
 NO_ID = (1 << 63) - 1
 LOW = np.uint64(0xFFFFFFFF)
@@ -52,7 +52,7 @@ SENT = "bucket int, piece string, n int, data array<binary>"
 REPLY = "piece string, bucket int, n int, reply binary"
 
 
-def text_pieces(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", piece_bytes: int = PIECE_BYTES) -> DataFrame:
+def text_pieces(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Rows gathered into pieces, written once; a piece keeps its name from then on."""
 
     def gather(part):
@@ -66,7 +66,7 @@ def text_pieces(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", pie
         }
 
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), row_key(doc_id, text).alias("key"), F.col(text).alias("text"))
-    return stored(map_pieces(rows, gather, PIECES, piece_bytes), "pieces")
+    return stored(map_pieces(rows, gather, PIECES), "pieces")
 
 
 def piece_texts(row: dict) -> list[bytes]:
@@ -94,12 +94,12 @@ class Rounds:
         self.replies: list[DataFrame] = []
 
     def known(self, given: tuple[int, ...]) -> DataFrame:
-        """The pieces with the replies of these rounds."""
+        """The pieces with the replies of these rounds; joined in one way, however few replies there are."""
         out = self.pieces
         for k in given:
             reply = self.replies[k]
             lists = reply.groupBy("piece").agg(F.collect_list(F.struct("bucket", "n", "reply")).alias(f"reply{k}"))
-            out = out.join(lists, "piece", "left")
+            out = out.join(lists.hint("merge"), "piece", "left")
         return out
 
     def each(self, fn, schema: str, named: bool = False, given: tuple[int, ...] | None = None, more: DataFrame | None = None) -> DataFrame:
@@ -125,7 +125,7 @@ class Rounds:
             hand_back()
 
         known, wants_more = self.known(given), more is not None
-        return (known.join(more, "piece", "left") if wants_more else known).mapInArrow(run, schema)
+        return (known.join(more.hint("merge"), "piece", "left") if wants_more else known).mapInArrow(run, schema)
 
     def round(self, send: str, meet: Callable[[list, list], list[bytes]], given: tuple[int, ...] | None = None) -> None:
         """Shuffle what pieces send by bucket, let it meet there, and write the replies.
