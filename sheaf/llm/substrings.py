@@ -3,11 +3,13 @@
 Super-k-mer partitioning: each window has a minimiser, the least hash among its runs of three words.
 Consecutive windows with the same minimiser travel as one packed string to the bucket of that minimiser, so
 a word is sent about three times instead of thirteen, and equal windows always meet. In a bucket the windows
-are sorted by two 64-bit hashes of their words, and each learns the smallest doc_id that has it.
+are sorted by two 64-bit hashes of their words, and each learns whether a smaller doc_id has it; a bit for
+each window goes back to the piece of text it came from.
 
-Equal strings of a slice of texts are sent once, with the list of their places, so a passage that a third of
-all documents share costs a string per slice. The number of buckets follows the bytes of text, so that a
-bucket stays small; a bucket that is large all the same is taken in slices of the hash space.
+Equal texts and equal strings of a piece are sent once, with their smallest doc_id, so a passage that a third
+of all documents share costs a string for each piece, however often it is there. The number of buckets
+follows the bytes of text, so that a bucket stays small; a bucket that is large all the same is sorted in
+slices of the hash space.
 
 Words lie between ASCII blanks. A null text has no words; a null doc_id counts as larger than any other, so
 nothing is removed for its sake; rows with the same doc_id are not earlier than each other. Repeated rows get
@@ -16,22 +18,22 @@ equal results, an empty table gives an empty result, and other columns are not r
 
 from __future__ import annotations
 
+from functools import cached_property
+
 import numpy as np
-import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sheaf.llm.common import map_pieces, pa_schema, query, row_key, table, text_partitions
+from sheaf.llm.common import query, table, text_partitions
 from sheaf.llm.hashing import covered, pack_words, prefix, scan_words, span_hashes
-from sheaf.llm.rounds import NO_ID
-from sheaf.session import durable
+from sheaf.llm.rounds import NO_ID, Rounds, piece_texts, squeeze, text_pieces, unsqueeze
 
 WINDOW = 13
 MINIMISER = 3
 # Bytes of text to a bucket, and windows that are sorted at a time.
-BUCKET_BYTES = 8_000_000
-SORTED_WINDOWS = 3_000_000
+BUCKET_BYTES = 6_000_000
+SORTED_WINDOWS = 1_500_000
 
 
 def sliding_min(values: np.ndarray, width: int) -> np.ndarray:
@@ -59,57 +61,75 @@ def super_strings(packed, window: int, minimiser: int) -> tuple[np.ndarray, np.n
     return at[first], np.diff(np.append(first, len(at))), least[first]
 
 
-PACKED = "bucket int, strings binary, places binary, counts binary, keys binary, ids binary"
-
-
-def pack(part, buckets: int, window: int, minimiser: int) -> dict | None:
-    """A row for each bucket: the distinct strings for it, and for each its places (document, first word)."""
-    packed = pack_words([(t or "").encode().split() for t in part.column("text").to_pylist()])
-    first, windows, least = super_strings(packed, window, minimiser)
-    if not len(first):
-        return None
-    keys = np.asarray(part.column("key").to_numpy(zero_copy_only=False), np.int64)
-    ids = np.asarray(part.column("id").to_numpy(zero_copy_only=False), np.int64)
-    starts, ends = packed.starts[first].tolist(), packed.ends[first + windows + window - 2].tolist()
-    bucket = (least % np.uint64(buckets)).astype(np.int64)
-    document = packed.text[first]
-    place = first - packed.first[document]
-    order = np.argsort(bucket, kind="stable")
-    cuts = np.flatnonzero(np.diff(bucket[order], prepend=-1))
-    out: dict[str, list] = {c: [] for c in ("bucket", "strings", "places", "counts", "keys", "ids")}
-    press = zstandard.ZstdCompressor(level=1).compress
-    for low, high in zip(cuts.tolist(), [*cuts[1:].tolist(), len(order)]):
-        of: dict[bytes, list[int]] = {}
-        for k in order[low:high].tolist():
-            of.setdefault(packed.data[starts[k] : ends[k]], []).append(k)
-        own = np.array([k for places in of.values() for k in places])
-        documents, local = np.unique(document[own], return_inverse=True)
-        out["bucket"].append(int(bucket[order[low]]))
-        out["strings"].append(press(b"\n".join(of) + b"\n"))
-        out["counts"].append(press(np.array([len(places) for places in of.values()], "<u4").tobytes()))
-        out["places"].append(press(np.stack((local, place[own])).astype("<u4").tobytes()))
-        out["keys"].append(keys[documents].astype("<i8").tobytes())
-        out["ids"].append(ids[documents].astype("<i8").tobytes())
-    return out
-
-
-class Bucket:
-    """The strings of a bucket, row by row as they were sent."""
-
-    def __init__(self, rows: pa.Table):
-        self.rows = rows
-        self.unpress = zstandard.ZstdDecompressor().decompress
-
-    def places(self, k: int) -> tuple[np.ndarray, ...]:
-        """Of row k, for each place: string, key and id of its document, first word."""
-        cell = lambda name: self.rows.column(name)[k].as_py()
-        counts = np.frombuffer(self.unpress(cell("counts")), "<u4")
-        local, first = np.frombuffer(self.unpress(cell("places")), "<u4").reshape(2, -1).astype(np.int64)
-        string = np.repeat(np.arange(len(counts)), counts)
-        return string, np.frombuffer(cell("keys"), "<i8")[local], np.frombuffer(cell("ids"), "<i8")[local], first
-
-    def words(self, k: int):
-        return scan_words(self.unpress(self.rows.column("strings")[k].as_py()))
+def ranges(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """start, start + 1, .. for each of the counts, one after the other."""
+    return np.repeat(starts - (np.cumsum(counts) - counts), counts) + np.arange(counts.sum())
+
+
+class Windows:
+    """Some documents' texts, and the distinct strings of windows in them, in the order they are sent."""
+
+    def __init__(self, row: dict, window: int, minimiser: int, buckets: int):
+        self.window, self.minimiser, self.buckets = window, minimiser, buckets
+        self.doc_ids = row["doc_ids"]
+        self.row_id = np.array([NO_ID if i is None else i for i in self.doc_ids], np.int64)
+        number: dict[bytes, int] = {}
+        self.row_text = [number.setdefault(t, len(number)) for t in piece_texts(row)]
+        self.owner = np.full(len(number), NO_ID, np.int64)
+        np.minimum.at(self.owner, self.row_text, self.row_id)
+        self.texts = [t.split() for t in number]
+        self.packed = pack_words(self.texts)
+
+    @cached_property
+    def places(self):
+        """First word and number of windows of each string, sorted by bucket."""
+        first, windows, least = super_strings(self.packed, self.window, self.minimiser)
+        bucket = (least % np.uint64(self.buckets)).astype(np.int64)
+        order = np.argsort(bucket, kind="stable")
+        return first[order], windows[order], bucket[order]
+
+    @cached_property
+    def strings(self):
+        """The distinct strings with their bucket, windows and smallest owner; and the one at each place."""
+        first, windows, bucket = self.places
+        starts, ends = self.packed.starts[first].tolist(), self.packed.ends[first + windows + self.window - 2].tolist()
+        data, number = self.packed.data, {}
+        which = np.fromiter((number.setdefault(data[a:b], len(number)) for a, b in zip(starts, ends)), np.int64, len(first))
+        _, at = np.unique(which, return_index=True)
+        owner = np.full(len(number), NO_ID, np.int64)
+        np.minimum.at(owner, which, self.owner[self.packed.text[first]])
+        return list(number), bucket[at], windows[at], owner, which
+
+    def send_strings(self):
+        strings, bucket, windows, owner, _ = self.strings
+        cuts = np.flatnonzero(np.diff(bucket, prepend=-1)).tolist()
+        press = zstandard.ZstdCompressor(level=4).compress
+        for low, high in zip(cuts, [*cuts[1:], len(strings)]):
+            packed = press(b"\n".join(strings[low:high]) + b"\n")
+            yield int(bucket[low]), [packed, squeeze(owner[low:high])], int(windows[low:high].sum())
+
+    def removed(self, late: np.ndarray) -> np.ndarray:
+        """Which words of the distinct texts go; ``late``: for each window sent, whether a smaller id has it."""
+        first, windows, _ = self.places
+        _, _, sizes, owner, which = self.strings
+        begin = np.cumsum(sizes) - sizes
+        again = self.owner[self.packed.text[first]] > owner[which]  # an earlier text here has the whole string
+        hit = late[ranges(begin[which], windows)] | np.repeat(again, windows)
+        at = ranges(first, windows)[hit]
+        return covered(len(self.packed.starts), at, at + self.window)
+
+    def cut(self, late: np.ndarray):
+        """doc_id, words, removed ones, and those that stay joined by one space."""
+        gone = self.removed(late)
+        first = self.packed.first
+        for doc, row_id, k in zip(self.doc_ids, self.row_id.tolist(), self.row_text):
+            words, own = self.texts[k], gone[first[k] : first[k + 1]]
+            if row_id > self.owner[k] and len(words) >= self.window:
+                yield doc, len(words), len(words), ""
+            else:
+                n = int(own.sum())
+                kept = [w for w, g in zip(words, own.tolist()) if not g] if n else words
+                yield doc, len(words), n, b" ".join(kept).decode()
 
 
 def earliest(first_hash: np.ndarray, second_hash: np.ndarray, owner: np.ndarray) -> np.ndarray:
@@ -128,123 +148,42 @@ def earliest(first_hash: np.ndarray, second_hash: np.ndarray, owner: np.ndarray)
     return out
 
 
-def bucket_hits(rows: pa.Table, window: int) -> dict[str, np.ndarray]:
-    """The spans [from, to) of words that are removed on account of this bucket's windows."""
-    bucket = Bucket(rows)
-    total = 0
-    for k in range(rows.num_rows):
-        total += len(bucket.words(k).windows(window))
-    slices = max(1, -(-total // SORTED_WINDOWS))
-    found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+def meet_strings(rows: list[list[bytes]], counts: list[int], window: int) -> list[bytes]:
+    """For each row sent, the bits of its windows that a smaller doc_id has too."""
+    unpress = zstandard.ZstdDecompressor().decompress
+    slices = max(1, -(-sum(counts) // SORTED_WINDOWS))
+    late = [np.zeros(n, bool) for n in counts]
     for piece in range(slices):
         entries = []
-        for k in range(rows.num_rows):
-            words = bucket.words(k)
-            string, _, ids, _ = bucket.places(k)
-            first = np.flatnonzero(np.diff(string, prepend=-1))
-            owner = np.minimum.reduceat(ids, first)
+        for k, row in enumerate(rows):
+            words, owner = scan_words(unpress(row[0])), unsqueeze(row[1], "<i8")
             at = words.windows(window)
             one, two = (span_hashes(prefix(words.buffer, seed), words.starts[at], words.ends[at + window - 1]) for seed in (0, 1))
+            mine = np.arange(len(at), dtype=np.int32)
             if slices > 1:
-                own = one % np.uint64(slices) == piece
-                at, one, two = at[own], one[own], two[own]
-            text = words.text[at]
-            entries.append((one, two, owner[text], np.full(len(at), k), text, at - words.first[text]))
-        one, two, owner, row, text, offset = map(np.concatenate, zip(*entries))
+                mine = mine[one % np.uint64(slices) == piece]
+            entries.append((one[mine], two[mine], owner[words.text[at[mine]]], np.full(len(mine), k, np.int32), mine))
+        one, two, owner, row, place = map(np.concatenate, zip(*entries))
         if not len(one):
             continue
-        late = np.flatnonzero(earliest(one, two, owner) < owner)
-        row, text, offset = row[late], text[late], offset[late]
+        hit = np.flatnonzero(earliest(one, two, owner) < owner)
+        row, place = row[hit], place[hit]
         for k in np.unique(row).tolist():
-            found.append((k, text[row == k], offset[row == k]))
-    out: dict[str, list] = {"key": [], "id": [], "from": [], "to": []}
-
-    def put(keys, ids, start, end):
-        for name, values in zip(out, (keys, ids, start, end)):
-            out[name].append(values)
-
-    late_by_row: dict[int, list] = {}
-    for k, text, offset in found:
-        late_by_row.setdefault(k, []).append((text, offset))
-    for k in range(rows.num_rows):
-        string, keys, ids, first = bucket.places(k)
-        start_of = np.flatnonzero(np.diff(string, prepend=-1))
-        owner = np.minimum.reduceat(ids, start_of)[string]
-        again = ids > owner  # the slice of texts itself has an earlier document with the whole string
-        if again.any():
-            lengths = bucket.words(k).counts()
-            put(keys[again], ids[again], first[again], first[again] + lengths[string[again]])
-        if k in late_by_row:
-            text, offset = (np.concatenate(c) for c in zip(*late_by_row[k]))
-            place = np.flatnonzero(~again)
-            # each late window at each place of its string that the owner has
-            order = np.lexsort((offset, text))
-            text, offset = text[order], offset[order]
-            begin = np.concatenate(([True], (text[1:] != text[:-1]) | (offset[1:] != offset[:-1] + 1)))
-            begin = np.flatnonzero(begin)
-            span_text, span_from = text[begin], offset[begin]
-            span_to = offset[np.append(begin[1:], len(offset)) - 1] + window
-            low, high = np.searchsorted(string[place], span_text), np.searchsorted(string[place], span_text, side="right")
-            times = high - low
-            which = np.repeat(np.arange(len(span_text)), times)
-            at = place[np.repeat(low, times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)]
-            put(keys[at], ids[at], first[at] + span_from[which], first[at] + span_to[which])
-    return {name: np.concatenate(v) if v else np.empty(0, np.int64) for name, v in out.items()}
-
-
-SPANS = "key long, id long, from int, to int"
-
-
-def late_spans(rows: DataFrame, window: int = WINDOW, minimiser: int = MINIMISER, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
-    """key, id, from, to: words of the row (key, id, text) inside windows that a row with a smaller id has."""
-    buckets, _ = text_partitions(rows, bucket_bytes)
-    packed = map_pieces(rows.select("key", "id", "text"), lambda part: pack(part, buckets, window, minimiser), PACKED)
-    types = pa_schema(rows.sparkSession, SPANS)
-
-    def hits(group: pa.Table) -> pa.Table:
-        found = bucket_hits(group, window)
-        return pa.table([pa.array(found[f.name], f.type) for f in types], schema=types)
-
-    return packed.groupBy("bucket").applyInArrow(hits, SPANS)
-
-
-def keyed(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    return docs.select(
-        F.col(doc_id).alias("doc_id"),
-        F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_ID)).alias("id"),
-        row_key(doc_id, text).alias("key"),
-        F.col(text).alias("text"),
-    )
-
-
-def with_spans(rows: DataFrame, spans: DataFrame) -> DataFrame:
-    """Each row with its spans as arrays, null where it has none."""
-    spans = durable(spans, "spans")
-    lists = spans.groupBy("key", "id").agg(F.collect_list(F.struct("from", "to")).alias("spans"))
-    return rows.join(lists, ["key", "id"], "left").select("doc_id", "text", F.col("spans.from").alias("from"), F.col("spans.to").alias("to"))
-
-
-def substring_dedup(docs: DataFrame, window: int = WINDOW, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """doc_id, n_words, n_removed and kept, the words that stay joined by one space."""
-    rows = keyed(docs, doc_id, text)
-    kind = dict(docs.dtypes)[doc_id]
-
-    def cut(part):
-        out = {"doc_id": part.column("doc_id"), "n_words": [], "n_removed": [], "kept": []}
-        for text, start, end in zip(part.column("text").to_pylist(), *(part.column(c).to_pylist() for c in ("from", "to"))):
-            words = (text or "").encode().split()
-            out["n_words"].append(len(words))
-            if start:
-                gone = covered(len(words), np.array(start), np.array(end))
-                words_kept = [w for w, g in zip(words, gone.tolist()) if not g]
-            else:
-                words_kept = words
-            out["n_removed"].append(len(words) - len(words_kept))
-            out["kept"].append(b" ".join(words_kept).decode())
-        return out
+            late[k][place[row == k]] = True
+    return [np.packbits(bits).tobytes() for bits in late]
+
 
-    schema = f"doc_id {kind}, n_words long, n_removed long, kept string"
-    return map_pieces(with_spans(rows, late_spans(rows, window, **options)), cut, schema)
+def substring_dedup(
+    docs: DataFrame, window: int = WINDOW, doc_id: str = "doc_id", text: str = "text", minimiser: int = MINIMISER,
+    bucket_bytes: int = BUCKET_BYTES,
+) -> DataFrame:
+    """doc_id, n_words, n_removed and kept, the words that stay joined by one space."""
+    if not 1 <= minimiser <= window:
+        raise ValueError("a minimiser has at least one word and no more than a window")
+    buckets, _ = text_partitions(docs, bucket_bytes, text)
+    rounds = Rounds(text_pieces(docs, doc_id, text), lambda row: Windows(row, window, minimiser, buckets), ("bits",))
+    rounds.round("send_strings", lambda rows, counts: meet_strings(rows, counts, window))
+    return rounds.each(lambda piece, replies: piece.cut(*replies), "doc_id long, n_words long, n_removed long, kept string")
 
 
 SQL = rf"""

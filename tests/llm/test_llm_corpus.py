@@ -334,18 +334,17 @@ def test_windows_in_small_buckets(spark, seed, window, minimiser, bucket):
 
 
 def test_large_buckets_are_sorted_in_slices(monkeypatch):
-    import pyarrow as pa
-
     rows = families(5, groups=8)
-    part = pa.RecordBatch.from_pydict({"key": [k for k, _ in rows], "id": [k for k, _ in rows], "text": [t for _, t in rows]})
-    halves = [part.slice(0, 20), part.slice(20)]
-    packed = [substrings.pack(h, 1, 13, 3) for h in halves]
-    table = pa.table({c: [v for p in packed for v in p[c]] for c in packed[0]})
-    whole = substrings.bucket_hits(table, 13)
+    sent = []
+    for half in (rows[:20], rows[20:]):
+        texts = [t.encode() for _, t in half]
+        row = {"doc_ids": [k for k, _ in half], "lengths": [len(t) for t in texts], "texts": zstandard.compress(b"".join(texts))}
+        sent += substrings.Windows(row, 13, 3, 1).send_strings()
+    columns, counts = [s[1] for s in sent], [s[2] for s in sent]
+    whole = substrings.meet_strings(columns, counts, 13)
+    assert any(any(bits) for bits in whole)
     monkeypatch.setattr(substrings, "SORTED_WINDOWS", 50)
-    cut = substrings.bucket_hits(table, 13)
-    places = lambda found: {(k, p) for k, a, b in zip(found["key"], found["from"], found["to"]) for p in range(a, b)}
-    assert places(cut) == places(whole) and places(whole)
+    assert substrings.meet_strings(columns, counts, 13) == whole
 
 
 def test_strings_are_merged_in_slices(monkeypatch):
