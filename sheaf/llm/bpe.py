@@ -299,8 +299,9 @@ class WordBpe:
         return [" ".join(map(name, row.tolist())) for row in ids]
 
 
-@lru_cache(maxsize=2)
+@lru_cache(maxsize=1)
 def word_bpe(path: str) -> WordBpe:
+    """The vocabulary and the words kept, for the time of a task."""
     return WordBpe(path)
 
 
@@ -319,7 +320,7 @@ def bpe_encode(docs: DataFrame, path: str | None = None, doc_id: str = "doc_id",
         ids = word_bpe(path).encode(part.column("text").to_pylist())
         return {"doc_id": part.column("doc_id"), "ids": [row.astype("i8") for row in ids]}
 
-    return map_pieces(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), encode, f"doc_id {kind}, ids array<bigint>")
+    return map_pieces(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), encode, f"doc_id {kind}, ids array<bigint>", word_bpe.cache_clear)
 
 
 def bpe_decode(encoded: DataFrame, path: str | None = None, doc_id: str = "doc_id", ids: str = "ids") -> DataFrame:
@@ -331,7 +332,7 @@ def bpe_decode(encoded: DataFrame, path: str | None = None, doc_id: str = "doc_i
         rows = [np.asarray(row or [], "u4") for row in part.column("ids").to_pylist()]
         return {"doc_id": part.column("doc_id"), "text": word_bpe(path).decode(rows)}
 
-    return map_pieces(encoded.select(F.col(doc_id).alias("doc_id"), F.col(ids).alias("ids")), decode, f"doc_id {kind}, text string")
+    return map_pieces(encoded.select(F.col(doc_id).alias("doc_id"), F.col(ids).alias("ids")), decode, f"doc_id {kind}, text string", word_bpe.cache_clear)
 
 
 def bpe_digest(docs: DataFrame, path: str | None = None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -350,7 +351,7 @@ def bpe_digest(docs: DataFrame, path: str | None = None, doc_id: str = "doc_id",
         }
 
     schema = f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string"
-    return map_pieces(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), digest, schema)
+    return map_pieces(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), digest, schema, word_bpe.cache_clear)
 
 
 @query("op4_bpe")

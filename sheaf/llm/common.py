@@ -61,18 +61,23 @@ def hand_back() -> None:
 
 
 def map_pieces(
-    df: DataFrame, fn: Callable[[pa.RecordBatch], dict | None], schema: str, limit: int = PIECE_BYTES
+    df: DataFrame, fn: Callable[[pa.RecordBatch], dict | None], schema: str, done: Callable[[], object] | None = None
 ) -> DataFrame:
-    """Apply ``fn`` to slices of bounded bytes; it gives the output columns by name, or None for no rows."""
+    """Apply ``fn`` to slices of bounded bytes; it gives the output columns by name, or None for no rows.
+
+    ``done`` is called at the end of a task, to let go of what it kept.
+    """
     types = pa_schema(df.sparkSession, schema)
 
     def run(batches):
-        for part in pieces(batches, limit):
+        for part in pieces(batches):
             out = fn(part)
             if out is not None:
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(out[f.name], type=f.type, from_pandas=False) for f in types], schema=types
                 )
+        if done:
+            done()
         hand_back()
 
     return df.mapInArrow(run, schema)

@@ -24,9 +24,6 @@ from collections import Counter
 from typing import NamedTuple
 
 import pyarrow as pa
-from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import CountVectorizerModel, VectorAssembler
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -114,13 +111,18 @@ def telling_words(sample: DataFrame, names: list[str], each: int) -> list[str]:
 
 
 def fit(train: DataFrame, name: str, features: str):
-    return LogisticRegression(featuresCol=features, labelCol=name, regParam=1e-3, maxIter=40, probabilityCol="p", predictionCol="guess").fit(train)
+    from pyspark.ml.classification import LogisticRegression  # here, as tasks need none of it
+
+    return LogisticRegression(featuresCol=features, labelCol=name, regParam=1e-3, maxIter=15, tol=1e-4, probabilityCol="p", predictionCol="guess").fit(train)
 
 
 def train_chain(
     docs: DataFrame, labels: DataFrame, categories: tuple[Category, ...] = CATEGORIES, doc_id: str = "doc_id",
     text: str = "text", sample_rows: int = SAMPLE_ROWS, words_each: int = WORDS_EACH,
 ) -> list[Link]:
+    from pyspark.ml.feature import CountVectorizerModel, VectorAssembler
+    from pyspark.ml.functions import vector_to_array
+
     names = [c.name for c in categories]
     sample = labelled_sample(docs, labels, categories, doc_id, text, sample_rows)
     vocabulary = telling_words(sample, names, words_each)
