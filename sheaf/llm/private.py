@@ -4,7 +4,9 @@ Found values are validated (check digits, number plans, calendars) and then perm
 values of their format: a card number becomes another one with the same first digit and a right check
 digit, a date another date, an address another one of the same shape. The permutation depends on the key and
 the format only, so equal values stay equal across all documents, different ones stay different, and whoever
-has the key can turn them back. What is not valid is left as it is.
+has the key can turn them back. What is not valid is left as it is; shorter spans and other starts within it
+are tried. Where a span that failed would become valid beside the pseudonym, the permutation goes on until it
+does not, so that the way back finds the same spans; only there may a value get another pseudonym than elsewhere.
 
 A null text stays null, an empty one empty. Texts are treated whole, row by row; repeated rows get equal
 results and an empty table an empty one. Other columns are kept as they are; columns that carry the name of
@@ -16,6 +18,7 @@ from __future__ import annotations
 import datetime
 import hashlib
 import re
+from bisect import bisect_right
 from collections.abc import Callable, Iterator
 from math import isqrt, prod
 from typing import NamedTuple
@@ -67,6 +70,19 @@ class Feistel:
                 return x
 
 
+class Still(Feistel):
+    """Leaves all values as they are: tells what is valid without the cost of a permutation."""
+
+    def __init__(self):
+        pass
+
+    def permute(self, x: int, size: int, tweak: str, valid: Callable[[int], bool] = lambda _: True, back: bool = False) -> int:
+        return x
+
+
+STILL = Still()
+
+
 # numbers with a format
 
 DIGITS, LOWER, HEX, BASE36 = "0123456789", "abcdefghijklmnopqrstuvwxyz", "0123456789abcdef", "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -127,7 +143,7 @@ def luhn_digit(payload: str) -> str:
 def card(text: str, net: Feistel, back: bool) -> str | None:
     """13 to 19 digits with a right check digit. The first digit stays, the check digit follows."""
     digits = digits_of(text)
-    if digits[0] == "0" or luhn_digit(digits[:-1]) != digits[-1]:
+    if not 13 <= len(digits) <= 19 or digits[0] == "0" or luhn_digit(digits[:-1]) != digits[-1]:
         return None
     inner = digits[1:-1]
     new = net.permute(int(inner), 10 ** len(inner), f"card|{len(digits)}|{digits[0]}", back=back)
@@ -248,9 +264,62 @@ class Kind(NamedTuple):
     hint: re.Pattern | str  # without which a text has none
     pattern: re.Pattern  # the value is the last group, or all of the match
     new: Callable[[str, Feistel, bool], str | None]
+    spans: Callable[[str, int, int], list[tuple[int, int]]] | None = None  # of a run, in the order they are tried
+
 
+def groups_of(text: str, start: int, end: int) -> list[tuple[int, int]]:
+    return [(m.start(), m.end()) for m in GROUP.finditer(text, start, end)]
 
-DIGIT = re.compile("[0-9]")
+
+def whole_spans(text: str, start: int, end: int) -> list[tuple[int, int]]:
+    """Spans of a run of digit groups that are written as cards are: all of the run or of the groups of one size,
+    a single group, or 4-4-4-4-3, 4-6-5 and 4-6-4, with one separator. Groups that a point, slash or colon
+    ties to other digits, as in 12/25, are none of a card here. Longest first."""
+    groups = groups_of(text, start, end)
+    if start >= 2 and TIED_BEFORE.match(text, start - 2):
+        groups = groups[1:]
+    if TIED_AFTER.match(text, end):
+        groups = groups[:-1]
+    sizes = [e - s for s, e in groups]
+    out = []
+    for at in range(len(groups)):
+        n = 0
+        for to in range(at, min(len(groups), at + 19)):
+            n += sizes[to]
+            if n > 19 or to > at + 1 and text[groups[to - 1][1]] != text[groups[at][1]]:
+                break
+            shape = tuple(sizes[at : to + 1])
+            even = len(set(shape)) == 1 and sizes[at - 1 : at] != [shape[0]] and sizes[to + 1 : to + 2] != [shape[0]]
+            if n >= 13 and (even or len(shape) in (1, len(groups)) or shape in SHAPES):
+                out.append((-n, groups[at][0], groups[to][1]))
+    return [(s, e) for _, s, e in sorted(out)]
+
+
+def loose_spans(text: str, start: int, end: int) -> list[tuple[int, int]]:
+    """All spans of 13 to 19 digits from one group border to another, of six groups at most. Longest first."""
+    groups = groups_of(text, start, end)
+    out = []
+    for at in range(len(groups)):
+        n = 0
+        for s, e in groups[at : at + 6]:
+            n += e - s
+            if 13 <= n <= 19:
+                out.append((-n, groups[at][0], e))
+    return [(s, e) for _, s, e in sorted(out)]
+
+
+def shorter_spans(text: str, start: int, end: int, pattern: re.Pattern) -> Iterator[tuple[int, int]]:
+    """The match, and what is left of it without its last groups, as far as the pattern allows."""
+    yield start, end
+    for k in range(end - 1, start, -1):
+        if text[k - 1].isalnum() and not text[k].isalnum() and pattern.fullmatch(text, start, k):
+            yield start, k
+
+
+DIGIT, GROUP = re.compile("[0-9]"), re.compile("[0-9]+")
+TIED_BEFORE, TIED_AFTER = re.compile("[0-9][./:]"), re.compile("[./:][0-9]")
+SHAPES = {(4, 4, 4, 4), (4, 4, 4, 4, 3), (4, 6, 5), (4, 6, 4)}
+RUN = re.compile(r"(?<![\w-])[0-9]+(?:[ -][0-9]+)*(?![\w-])")
 # Earlier kinds win where two meet.
 KINDS = (
     Kind("email", "@", re.compile(r"(?<![\w.%+-])[\w.%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}"), email),
@@ -258,30 +327,90 @@ KINDS = (
     Kind("secret", re.compile(r"(?i)passw|secret|token|api.?key"), re.compile(r"""(?i:\b(?:password|passwd|secret|token|api[_-]?key))["']?\s*[=:]\s*["']?([A-Za-z0-9_./+-]{8,}[A-Za-z0-9])"""), secret),
     Kind("iban", DIGIT, re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"), iban),
     Kind("ip", DIGIT, re.compile(r"(?<![\w.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?!\w|\.[0-9])"), ip),
-    Kind("card", DIGIT, re.compile(r"(?<![\w-])[0-9](?:[ -]?[0-9]){12,18}(?![\w-])"), card),
-    Kind("phone", DIGIT, re.compile(r"(?<!\w)(?:\+1[ .-]?)?(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?!\w)"), phone),
+    Kind("card", DIGIT, RUN, card, whole_spans),
+    Kind("phone", DIGIT, re.compile(r"(?<!\w)(?<![0-9][.,])(?:\+1[ .-]?)?(?:\([0-9]{3}\) ?|[0-9]{3}[ .-]?)[0-9]{3}[ .-]?[0-9]{4}(?!\w|[.,][0-9])|(?<!\w)(?:\+1[ .-]?)?(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?!\w)"), phone),
     Kind("phone_abroad", "+", re.compile(r"(?<![\w+])\+[2-9][0-9]{0,2}(?:[ .-]?\(?[0-9]{2,4}\)?){2,5}(?!\w)"), phone_abroad),
     Kind("ssn", DIGIT, re.compile(r"(?<![\w-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\w-])"), ssn),
-    Kind("date", DIGIT, re.compile(r"(?<![\w./-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}|[0-9]{1,2}\.[0-9]{1,2}\.[0-9]{4})(?![\w/-])"), date),
+    Kind("date", DIGIT, re.compile(r"(?<![\w./-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}(?:(?=[Tt][0-9]{2})|(?![\w/-]))|(?:[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}|[0-9]{1,2}\.[0-9]{1,2}\.[0-9]{4})(?![\w/-]))"), date),
 )
+# Cards grouped in another way give way to the other kinds.
+ALL_KINDS = (*KINDS, Kind("card", DIGIT, RUN, card, loose_spans))
+
+
+def valid_spans(kind: Kind, text: str, taken: bytearray) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
+    """The spans of a kind that are free and valid, which are taken then, and those that were tried and are not valid."""
+    good: list[tuple[int, int]] = []
+    bad: list[tuple[int, int]] = []
+    at = 0
+    while match := kind.pattern.search(text, at):
+        start, end = match.span(match.lastindex or 0)
+        # the spans of a run are all tried; else another start within the match may do
+        at = match.end() if kind.spans or match.lastindex else match.start() + 1
+        for s, e in kind.spans(text, start, end) if kind.spans else shorter_spans(text, start, end, kind.pattern):
+            if taken.find(1, s, e) >= 0:
+                continue
+            if kind.new(text[s:e], STILL, False) is None:
+                bad.append((s, e))
+                continue
+            good.append((s, e))
+            taken[s:e] = b"\1" * (e - s)
+            if not kind.spans:
+                at = max(at, e)
+                break
+    return good, bad
+
+
+def renewed(text: str, good: list[tuple[int, int, Kind]], bad: list[tuple[int, int, Kind]], net: Feistel, back: bool) -> list[str]:
+    """A pseudonym for each span, beside which the spans that failed fail again.
+
+    One after the other, on the way back in the opposite order: so each is permuted beside the same neighbours.
+    """
+    shown = [text[s:e] for s, e, _ in good]
+    meets: list[list[tuple[int, int, Kind]]] = [[] for _ in good]  # failed spans by the values they meet
+    ends = [e for _, e, _ in good]
+    for span in bad:
+        for k in range(bisect_right(ends, span[0]), len(good)):
+            if good[k][0] >= span[1]:
+                break
+            meets[k].append(span)
+
+    def fails(s: int, e: int, kind: Kind) -> bool:
+        parts, at = [], s
+        for k in range(bisect_right(ends, s), len(good)):
+            start, end, _ = good[k]
+            if start >= e:
+                break
+            # within a value, places count from its end, as only what comes first in it may change its length
+            first = max(0, len(shown[k]) - (end - s)) if s > start else 0
+            parts += [text[at:start], shown[k][first : len(shown[k]) - max(0, end - e)]]
+            at = end
+        return kind.new("".join([*parts, text[at:e]]), STILL, False) is None
+
+    for k in reversed(range(len(good))) if back else range(len(good)):
+        kind = good[k][2]
+        while True:
+            shown[k] = kind.new(shown[k], net, back)
+            if all(fails(*span) for span in meets[k]):
+                break
+    return shown
 
 
 def find_private(text: str, net: Feistel, back: bool = False) -> Iterator[tuple[int, int, str, str]]:
     """(start, end, kind, pseudonym) of all values, apart from each other; a found one hides what overlaps it."""
     has_digit = DIGIT.search(text) is not None
-    taken: list[tuple[int, int]] = []
-    for kind in KINDS:
+    taken = bytearray(len(text))
+    good: list[tuple[int, int, Kind]] = []
+    bad: list[tuple[int, int, Kind]] = []
+    for kind in ALL_KINDS:
         hint = kind.hint
         if not (hint in text if isinstance(hint, str) else has_digit if hint is DIGIT else hint.search(text)):
             continue
-        for match in kind.pattern.finditer(text):
-            start, end = match.span(match.lastindex or 0)
-            if any(start < e and s < end for s, e in taken):
-                continue
-            new = kind.new(text[start:end], net, back)
-            if new is not None:
-                taken.append((start, end))
-                yield start, end, kind.name, new
+        right, wrong = valid_spans(kind, text, taken)
+        good += [(s, e, kind) for s, e in right]
+        bad += [(s, e, kind) for s, e in wrong]
+    good.sort(key=lambda span: span[:2])
+    for (start, end, kind), new in zip(good, renewed(text, good, bad, net, back)):
+        yield start, end, kind.name, new
 
 
 def pseudonymise_text(text: str, net: Feistel, back: bool = False) -> tuple[str, dict[str, int]]:

@@ -246,6 +246,42 @@ def test_pseudonyms():
     assert len({private.digits_of(v) for v in shown}) == 1  # linked, however written
 
 
+# text, the values that go, their kinds
+BESIDE = [
+    ("4111 1111 1111 1111 12/25", ["4111 1111 1111 1111"], {"card": 1}),
+    ("4111111111111111 123", ["4111111111111111"], {"card": 1}),
+    ("1 4111111111111111", ["4111111111111111"], {"card": 1}),
+    ("2024-01-05 4111 1111 1111 1111", ["4111 1111 1111 1111", "2024-01-05"], {"card": 1, "date": 1}),
+    ("4111 1111 1111 1111 5500-0000-0000-0004 12 99", ["4111 1111 1111 1111", "5500-0000-0000-0004"], {"card": 2}),
+    ("41111111 11111111 123 7", ["41111111 11111111"], {"card": 1}),
+    ("+15552345678", ["5552345678"], {"phone": 1}),
+    ("5552345678", ["5552345678"], {"phone": 1}),
+    ("(555)2345678", ["(555)2345678"], {"phone": 1}),
+    ("555-234-5678 555-987-6543", ["555-234-5678", "555-987-6543"], {"phone": 2}),
+    ("2024-03-01T12:00:00Z", ["2024-03-01"], {"date": 1}),
+    ("GB82 WEST 1234 5698 7654 32 BIC", ["GB82 WEST 1234 5698 7654 32"], {"iban": 1}),
+    ("BE68 5390 0754 7034 BANK", ["BE68 5390 0754 7034"], {"iban": 1}),
+]
+
+
+def test_pseudonyms_beside_other_digits():
+    nets = [private.Feistel(b"%d" % k) for k in range(40)]
+    for text, values, kinds in BESIDE:
+        for net in nets:
+            new, counts = private.pseudonymise_text(f"see {text}, now", net)
+            assert counts == kinds and not any(v in new for v in values), text
+            assert private.pseudonymise_text(new, net, back=True)[0] == f"see {text}, now"
+    net = nets[0]
+    one, two = (private.pseudonymise_text(v, net)[0] for v in ("2024-03-01", "2024-03-01T12:00:00Z"))
+    assert two == one + "T12:00:00Z"
+    shown = [private.pseudonymise_text(v, net)[0] for v in ("+15552345678", "5552345678", "(555)2345678", "+1 555-234-5678")]
+    assert len({private.digits_of(v)[-10:] for v in shown}) == 1
+    own = random.Random(7)
+    for _ in range(300):  # numbers side by side, whatever is valid among them
+        text = "".join(str(own.randrange(10 ** own.randrange(1, 6))) + own.choice("  -./ +") for _ in range(60))
+        assert private.pseudonymise_text(private.pseudonymise_text(text, net)[0], net, back=True)[0] == text
+
+
 def test_pseudonyms_on_tables(spark):
     rows = [(1, "mail a.b@c.org"), (2, "A.B@C.org twice a.b@c.org"), (2, "A.B@C.org twice a.b@c.org"), (3, None), (None, ""), (4, "y " * 100_000 + "a.b@c.org")]
     docs = awkward(spark, rows)
