@@ -157,12 +157,17 @@ def nanp_valid(number: int) -> bool:
 
 
 def phone(text: str, net: Feistel, back: bool) -> str | None:
-    """Ten digits of the North American plan, with or without +1; area and exchange start with 2 to 9."""
+    """Ten digits of the North American plan, with or without +1; area and exchange start with 2 to 9. Others go too
+    if +1 or brackets tell that a phone is meant, and stay outside of the plan."""
     digits = digits_of(text)
     number = int(digits[-10:])
-    if not nanp_valid(number):
+    if nanp_valid(number):
+        new = net.permute(number, 10**10, "phone", nanp_valid, back)
+    elif "(" in text or text[0] == "+":
+        new = net.permute(number, 10**10, "phone outside", lambda n: not nanp_valid(n), back)
+    else:
         return None
-    return with_digits(text, digits[:-10] + str(net.permute(number, 10**10, "phone", nanp_valid, back)).zfill(10))
+    return with_digits(text, digits[:-10] + str(new).zfill(10))
 
 
 def phone_abroad(text: str, net: Feistel, back: bool) -> str | None:

@@ -282,6 +282,18 @@ def test_pseudonyms_beside_other_digits():
         assert private.pseudonymise_text(private.pseudonymise_text(text, net)[0], net, back=True)[0] == text
 
 
+def test_phones_outside_of_the_plan():
+    nets = [private.Feistel(b"%d" % k) for k in range(20)]
+    for value in ("+1 (017) 555-7713", "(212) 155-7713", "+10175557713"):
+        for net in nets:
+            new, counts = private.pseudonymise_text(f"call {value}.", net)
+            assert counts == {"phone": 1} and value not in new
+            assert not private.nanp_valid(int(private.digits_of(new)[-10:]))
+            assert private.pseudonymise_text(new, net, back=True)[0] == f"call {value}."
+    for value in ("017-555-7713", "1700000000"):
+        assert private.pseudonymise_text(value, nets[0]) == (value, {})
+
+
 def test_pseudonyms_on_tables(spark):
     rows = [(1, "mail a.b@c.org"), (2, "A.B@C.org twice a.b@c.org"), (2, "A.B@C.org twice a.b@c.org"), (3, None), (None, ""), (4, "y " * 100_000 + "a.b@c.org")]
     docs = awkward(spark, rows)
