@@ -32,6 +32,7 @@ from sheaf.llm.common import map_pieces, map_rows, query, stored, table
 SAMPLE_ROWS = 20_000
 WORDS_EACH = 400
 FOLDS = 3
+ITERATIONS = 300  # a bound; models converge before it
 WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -113,7 +114,7 @@ def telling_words(sample: DataFrame, names: list[str], each: int) -> list[str]:
 def fit(train: DataFrame, name: str, features: str):
     from pyspark.ml.classification import LogisticRegression  # here, as tasks need none of it
 
-    return LogisticRegression(featuresCol=features, labelCol=name, regParam=1e-3, maxIter=15, tol=1e-4, probabilityCol="p", predictionCol="guess").fit(train)
+    return LogisticRegression(featuresCol=features, labelCol=name, regParam=1e-3, maxIter=ITERATIONS, probabilityCol="p", predictionCol="guess").fit(train)
 
 
 def train_chain(

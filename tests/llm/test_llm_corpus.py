@@ -188,6 +188,21 @@ def test_chain_learns_the_words(spark):
     assert toxicity.toxicity(docs.limit(0), chain).count() == 0 and toxicity.drop_toxic(docs.limit(0), chain).count() == 0
 
 
+def test_models_converge(spark):
+    from pyspark.ml.linalg import Vectors
+
+    own = random.Random(3)
+    rows = []
+    for _ in range(400):
+        x = [float(own.random() < 0.5 / (1 + k % 9)) for k in range(60)]
+        rows.append((Vectors.dense(x), int(sum(v * (k % 5 - 2) for k, v in enumerate(x)) + own.gauss(0, 1) > 0)))
+    model = toxicity.fit(spark.createDataFrame(rows, ["x", "y"]), "y", "x")
+    x, y = np.array([r[0].toArray() for r in rows]), np.array([r[1] for r in rows])
+    w = model.coefficients.toArray()
+    slope = x.T @ (1 / (1 + np.exp(-(x @ w + model.intercept))) - y) / len(y) + 1e-3 * w * x.var(axis=0, ddof=1)
+    assert model.summary.totalIterations < model.getMaxIter() and np.abs(slope).max() < 2e-4
+
+
 def test_chain_without_enough_labels(spark):
     rows, truth = toxic_rows(spark, 20)
     docs = awkward(spark, rows)
