@@ -9,8 +9,8 @@ Equal texts count once there. Its words are those that tell most about each cate
 and only such as tell more than the best of so many words would by chance (likelihood ratio). Scoring goes
 through all documents in one narrow pass with the words and weights, whose number is bounded, in hand.
 
-A null or empty text has no words and gets what the intercepts give. Labels that are null, that no document
-has, or that contradict each other for one id (they are then left out) train nothing. Without any labelled
+A null or empty text has no words and gets what the intercepts give. Labels that no document has take no place
+in the sample; ids whose labels contradict each other are left out. A row trains the categories whose label it has. Without any labelled
 row, or without both values of a category among them, its probability is that value for all (0 if unknown).
 Repeated rows get equal results, an empty table an empty result; other columns are not read, and
 ``drop_toxic`` keeps them as they are.
@@ -61,14 +61,16 @@ def words_of(text: str | None) -> set[str]:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, categories: tuple[Category, ...], doc_id: str, text: str, rows: int) -> DataFrame:
-    """text, fold and a column 0/1 for each category; written, as it is read many times."""
+    """text, fold and a column 0/1 (null if unknown) for each category; written, as it is read many times."""
     names = [c.name for c in categories]
-    truth = labels.select(F.col("doc_id").alias("id"), *(F.expr(c.truth).cast("int").alias(c.name) for c in categories)).dropna()
+    truth = labels.select(F.col("doc_id").alias("id"), *(F.expr(c.truth).cast("int").alias(c.name) for c in categories))
+    truth = truth.dropna(subset=["id"]).dropna("all", subset=names)
     agreed = truth.groupBy("id").agg(*(F.min(n).alias(n) for n in names), *(F.max(n).alias(f"most_{n}") for n in names))
-    agreed = agreed.where(" and ".join(f"{n} = most_{n}" for n in names)).select("id", *names)
+    agreed = agreed.where(" and ".join(f"{n} <=> most_{n}" for n in names)).select("id", *names)
+    own = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text"))
+    agreed = agreed.join(own.select("id"), "id", "left_semi")
     # bounded by the number of rows that are asked for, hence small enough to go to every task
     drawn = agreed.orderBy(F.xxhash64("id"), "id").limit(rows)
-    own = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text"))
     found = own.join(F.broadcast(drawn), "id").withColumn("same", F.xxhash64("text"))
     found = found.groupBy("same").agg(F.first("text").alias("text"), F.min("id").alias("id"), *(F.min(n).alias(n) for n in names))
     found = found.withColumn("fold", F.pmod(F.xxhash64("id", F.lit(5)), F.lit(FOLDS)))
@@ -81,31 +83,38 @@ def telling_words(sample: DataFrame, names: list[str], each: int) -> list[str]:
     def count(part):
         total: Counter[str] = Counter()
         positive: list[Counter[str]] = [Counter() for _ in names]
+        unknown: list[Counter[str]] = [Counter() for _ in names]
         truth = [part.column(n).to_pylist() for n in names]
         for k, text in enumerate(part.column("text").to_pylist()):
             words = words_of(text)
             total.update(words)
-            for own, counter in zip(truth, positive):
-                if own[k]:
+            for own, counter, without in zip(truth, positive, unknown):
+                if own[k] is None:
+                    without.update(words)
+                elif own[k]:
                     counter.update(words)
-        return {"word": list(total), "n": list(total.values())} | {f"n_{c}": [p[w] for w in total] for c, p in zip(names, positive)}
+        out = {"word": list(total), "n": list(total.values())}
+        for c, p, u in zip(names, positive, unknown):
+            out |= {f"n_{c}": [p[w] for w in total], f"known_{c}": [n - u[w] for w, n in total.items()]}
+        return out
 
-    schema = "word string, n long, " + ", ".join(f"n_{c} long" for c in names)
+    schema = "word string, n long, " + ", ".join(f"n_{c} long, known_{c} long" for c in names)
     counts = map_pieces(sample.select("text", *names), count, schema).groupBy("word").agg(
-        F.sum("n").alias("n"), *(F.sum(f"n_{c}").alias(f"n_{c}") for c in names)
+        F.sum("n").alias("n"), *(F.sum(f"{x}_{c}").alias(f"{x}_{c}") for c in names for x in ("n", "known"))
     )
     counts = stored(counts.where("n > 1"), "words")
-    sums = sample.agg(F.count("*").alias("rows"), *(F.sum(c).alias(c) for c in names)).first()
+    sums = sample.agg(*(F.count(c).alias(f"rows_{c}") for c in names), *(F.sum(c).alias(c) for c in names)).first()
     # so much evidence one word in so many has by chance, and a margin
     least = 2 * (math.log(max(1, counts.count())) + 2)
     out: dict[str, None] = {}
     for c in names:
-        rows, positive = float(sums["rows"]), float(sums[c] or 0)
+        rows, positive = float(sums[f"rows_{c}"]), float(sums[c] or 0)
         if not 0 < positive < rows:
             continue
         evidence = F.lit(0.0)
-        for seen, share in ((F.col(f"n_{c}"), positive / rows), (F.col("n") - F.col(f"n_{c}"), 1 - positive / rows)):
-            evidence += F.when(seen > 0, 2 * seen * F.log(seen / (F.col("n") * share))).otherwise(0.0)
+        n = F.col(f"known_{c}")
+        for seen, share in ((F.col(f"n_{c}"), positive / rows), (n - F.col(f"n_{c}"), 1 - positive / rows)):
+            evidence += F.when(seen > 0, 2 * seen * F.log(seen / (n * share))).otherwise(0.0)
         best = counts.select("word", evidence.alias("evidence")).where(F.col("evidence") > least)
         out.update(dict.fromkeys(r["word"] for r in best.orderBy(F.desc("evidence"), "word").limit(each).collect()))
     return list(out)
@@ -127,7 +136,7 @@ def train_chain(
     names = [c.name for c in categories]
     sample = labelled_sample(docs, labels, categories, doc_id, text, sample_rows)
     vocabulary = telling_words(sample, names, words_each)
-    known = sample.agg(F.count("*").alias("rows"), *(F.sum(n).alias(n) for n in names)).first()
+    known = sample.agg(*(F.count(n).alias(f"rows_{n}") for n in names), *(F.sum(n).alias(n) for n in names)).first()
     chosen = set(vocabulary)
 
     def present(part):
@@ -143,20 +152,21 @@ def train_chain(
     earlier: list[str] = []
     for at, name in enumerate(names):
         positive = known[name] or 0
-        if not vocabulary or positive in (0, known["rows"]):
+        if not vocabulary or positive in (0, known[f"rows_{name}"]):
             certain = 40.0 if positive else -40.0
             chain.append(Link(name, {}, (0.0,) * at, certain))
             rows = rows.withColumn(f"p_{name}", F.lit(1.0 if positive else 0.0))
         else:
             rows = VectorAssembler(inputCols=["bag", *earlier], outputCol=f"x_{name}").transform(rows)
-            model = fit(rows, name, f"x_{name}")
+            labelled = rows.where(F.col(name).isNotNull())
+            model = fit(labelled, name, f"x_{name}")
             weights = model.coefficients.toArray().tolist()
             words = {w: v for w, v in zip(vocabulary, weights) if v}
             chain.append(Link(name, words, tuple(weights[len(vocabulary) :]), model.intercept))
             if at + 1 < len(names):  # what the next models train on
                 parts = []
                 for fold in range(FOLDS):
-                    own = fit(rows.where(F.col("fold") != fold), name, f"x_{name}").transform(rows.where(F.col("fold") == fold))
+                    own = fit(labelled.where(F.col("fold") != fold), name, f"x_{name}").transform(rows.where(F.col("fold") == fold))
                     parts.append(own.withColumn(f"p_{name}", vector_to_array("p")[1]).select(*rows.columns, f"p_{name}"))
                 rows = parts[0].union(parts[1])
                 for part in parts[2:]:

@@ -203,6 +203,21 @@ def test_models_converge(spark):
     assert model.summary.totalIterations < model.getMaxIter() and np.abs(slope).max() < 2e-4
 
 
+def test_labels_in_part(spark):
+    rows, truth = toxic_rows(spark)
+    docs = awkward(spark, rows)
+    # each row has one of the labels; most labelled ids have no document
+    known = [(k, q, None) if k % 2 else (k, None, t) for k, q, t in truth] + [(k, 1, 0) for k in range(10_000, 20_000)]
+    labels = spark.createDataFrame([*known, (9, None, None), (None, 1, 1)], "doc_id long, quality int, toxic int")
+    sample = toxicity.labelled_sample(docs, labels, toxicity.CATEGORIES, "doc_id", "text", 300)
+    got = sample.agg(F.count("*"), F.count("junk"), F.count("toxic")).first()
+    assert got[0] == min(300, len(rows)) and got[1] + got[2] == got[0] and got[1] and got[2]
+    chain = toxicity.train_chain(docs, labels)
+    assert {"vile", "rotten", "awful"} >= set(chain[-1].words) != set()
+    found = {r["doc_id"]: r["toxic"] for r in toxicity.toxicity(docs, chain).collect()}
+    assert sum(found[k] == bool(t) for k, _, t in truth) >= 0.99 * len(truth)
+
+
 def test_chain_without_enough_labels(spark):
     rows, truth = toxic_rows(spark, 20)
     docs = awkward(spark, rows)
