@@ -3,15 +3,16 @@
 A difference cover D modulo v samples the suffixes that start at places in D modulo v. For any two places
 there is a shift below v after which both are sampled, so equal strings of v - 1 + d bytes always share a
 sampled place whose next d bytes are equal. With v = 21 and 50 bytes, d is 30. Three rounds follow, each
-of them one shuffle by a name's hash, so that equal names lie side by side in a sorted bucket:
+of them one shuffle by a name's hash, so that equal names lie side by side in a sorted bucket. Order is by hash
+throughout: no suffix array and no lexicographic order is built.
 
-1. The sampled suffixes are sorted by their first d bytes and named. A name that one document alone has
+1. The sampled suffixes are named by hashes of their first d bytes, and sorted by them. A name that one document alone has
    ends there: no string through that place repeats. All others stay.
 2. Names are refined by all that strings of the wanted length through the place can reach (70 bytes, the
    name and what is left and right of it). Within a refined name, all but the smallest doc_id lose those
    strings. A name with one refinement is done. As matches count from 50 bytes on, names need not go deeper.
 3. For names with several refinements the remaining suffixes, those of the places just before, are merged
-   through their sampled neighbour: their strings of 50 bytes are sorted, adjacent ones compared.
+   through their sampled neighbour: the hashes of their strings of 50 bytes are sorted, adjacent ones compared.
 
 Texts travel as compressed pieces of some megabytes that are written once; what a round finds goes
 back to its piece as a few bits per name. Equal texts and names inside a piece are sent once, with their
