@@ -8,9 +8,14 @@ A line is cut into edits + 1 segments. At most ``edits`` edits leave one of them
 reach has that segment as a substring, at one of a few places that follow from both lengths. A line therefore
 files its segments under (length, segment number, content), and looks up such substrings for all lengths it
 can be matched with. One round tells pieces of text which of their lines met another line; only those are
-sent, once for each distinct line, and hung together over shared entries into families. In a family the same
-index is probed, and candidates that are not connected yet are verified by a banded bit-parallel edit
-distance. Large families are cut into blocks; each pair of blocks is a task.
+sent, once for each distinct line, with the entries that met.
+
+Pairs to be compared come from the entries alone: each entry pairs the lines filed under it with all that are
+there. What lies before and after the matching segment are gaps, of which it is known how many edits they may
+hold. An entry with many pairs is parted further: the widest gap is cut into segments as the line was, and the
+lines file and look up these under longer keys, until few share a key or the gaps are too narrow to be cut.
+Such last entries are dealt in blocks, by hash. Tasks take entries by their number of pairs, and verify all pairs
+side by side with a banded bit-parallel edit distance.
 
 A null text is an empty text; a null doc_id comes after all others. Rows with the same doc_id are told apart
 by their texts, of repeated rows one is the first. Texts are treated whole. An empty table gives an empty
@@ -20,24 +25,29 @@ result; ``dedup_lines`` keeps all other columns as they are.
 from __future__ import annotations
 
 from functools import cached_property
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sheaf.llm.common import fresh, own_columns, query, row_key, stored, table, text_partitions
+from sheaf.llm.common import fresh, hand_back, own_columns, query, row_key, stored, table, text_partitions
 from sheaf.llm.components import EDGES, Forest, components, edge_table
 from sheaf.llm.hashing import mix, prefix, prefix_of, span_hashes
-from sheaf.llm.jaccard import candidate_edges
 from sheaf.llm.rounds import LOW, NO_ID, Rounds, bucket_key, bucket_runs, piece_texts, squeeze, text_pieces, unsqueeze
 
 EDITS = 2
 LEAST = 24
 BLANKS = b" \t\n\x0b\x0c\r"
-# Entries to a bucket; lines to a block of a family, and to a task of small families.
+# Entries to a bucket; pairs, or rows, of an entry from which on it is parted; lines to a block of one that cannot
+# be; pairs that a task verifies, all of them and at a time.
 BUCKET_ENTRIES = 1_000_000
-BLOCK = 1_000
+ENTRY_PAIRS = 500_000
+ENTRY_ROWS = 20_000
+BLOCK = 500
+TASK_PAIRS = 500_000
+STEP_PAIRS = 200_000
 
 
 # the distance
@@ -90,6 +100,59 @@ def within(a: str, b: str, limit: int) -> bool:
     return cost <= limit
 
 
+def same_from(sums: np.ndarray, x: np.ndarray, y: np.ndarray, most: np.ndarray, back: bool = False) -> np.ndarray:
+    """How many characters are the same from places x and y on, or before them; by hashes of halves."""
+    low, high = np.zeros(len(x), np.int64), most.copy()
+    while (open_ := np.flatnonzero(low < high)).size:
+        half = (low[open_] + high[open_] + 1) // 2
+        i, j = (x[open_], y[open_]) if not back else (x[open_] - half, y[open_] - half)
+        same = span_hashes(sums, i, i + half) == span_hashes(sums, j, j + half)
+        low[open_[same]] = half[same]
+        high[open_[~same]] = half[~same] - 1
+    return low
+
+
+def within_all(points: np.ndarray, sums: np.ndarray, x: np.ndarray, nx: np.ndarray, y: np.ndarray, ny: np.ndarray, limit: int) -> np.ndarray:
+    """``within`` for pairs of texts, given by their places and lengths in an array of characters, side by side."""
+    swap = nx > ny
+    x, nx, y, ny = np.where(swap, y, x), np.where(swap, ny, nx), np.where(swap, x, y), np.where(swap, nx, ny)
+    out = np.zeros(len(x), bool)
+    pair = np.flatnonzero(ny - nx <= limit)
+    start = same_from(sums, x[pair], y[pair], nx[pair])
+    end = same_from(sums, (x + nx)[pair], (y + ny)[pair], nx[pair] - start, back=True)
+    x, nx, y, ny = x[pair] + start, nx[pair] - start - end, y[pair] + start, ny[pair] - start - end
+    out[pair[nx == 0]] = True
+    pair, x, nx, y, ny = (c[nx > 0] for c in (pair, x, nx, y, ny))
+    u = np.uint64
+    full, top, one = u((1 << 64) - 1), u(63), u(1)
+    up = np.full(len(pair), full & ~u((1 << 63 - limit) - 1))
+    down, cost = np.zeros(len(pair), u), np.minimum(limit, nx)
+    j = 0
+    while len(pair):
+        char = points[y + j]
+        match = np.zeros(len(pair), u)
+        for d in range(2 * limit + 1):  # rows of the band, from the lowest one up
+            row = j + limit - d
+            if row >= 0:
+                inside = row < nx
+                match |= (inside & (points[np.where(inside, x + row, 0)] == char)).astype(u) << u(63 - d)
+        zero = ((match & up) + up) ^ up | match | down
+        plus = down | ~(zero | up)
+        minus = zero & up
+        diagonal = j < nx - limit
+        row = np.maximum(62 + nx - limit - j, 0).astype(u)
+        last = ((plus >> row) & one).astype(np.int64) - ((minus >> row) & one).astype(np.int64)
+        cost = cost + np.where(diagonal, (~zero >> top).astype(np.int64), np.where(62 + nx - limit - j >= 0, last, 0))
+        up, down = minus | ~((zero >> one) | plus), (zero >> one) & plus
+        j += 1
+        ended = j >= ny
+        out[pair[ended]] = cost[ended] <= limit
+        live = ~ended & ~(diagonal & (cost > 2 * limit + ny - nx))
+        if not live.all():
+            pair, x, nx, y, ny, up, down, cost = (c[live] for c in (pair, x, nx, y, ny, up, down, cost))
+    return out
+
+
 # entries of the index
 
 
@@ -100,19 +163,51 @@ def segments(lengths: np.ndarray, edits: int, number: int) -> tuple[np.ndarray,
     return number * short + np.maximum(0, number - plain), short + (number >= plain)
 
 
-def line_entries(lines: list[str], edits: int, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(line, key, is it filed or only looked up) for all entries of lines of at least ``least`` characters."""
-    lengths = np.fromiter(map(len, lines), np.int64, len(lines))
-    points = np.frombuffer("".join(lines).encode("utf-32-le"), "<u4").astype(np.uint64)
-    sums = prefix_of(mix(points + np.uint64(1)))
-    starts = np.cumsum(lengths) - lengths
+class Texts:
+    """Lines end to end, with hashes of all their parts."""
+
+    def __init__(self, lines: list[str]):
+        self.lengths = np.fromiter(map(len, lines), np.int64, len(lines))
+        self.starts = np.cumsum(self.lengths) - self.lengths
+        self.points = np.frombuffer("".join(lines).encode("utf-32-le"), "<u4")
+        self.sums = prefix_of(mix(self.points.astype(np.uint64) + np.uint64(1)))
+
+    def within(self, x: np.ndarray, y: np.ndarray, limit: int) -> np.ndarray:
+        """For pairs of lines: are they so few edits apart?"""
+        return within_all(self.points, self.sums, self.starts[x], self.lengths[x], self.starts[y], self.lengths[y], limit)
+
+
+class Entries(NamedTuple):
+    """Entries of the index. Gaps: start and end in the line, edits it may hold, and its length in the filed line."""
+
+    line: np.ndarray
+    key: np.ndarray
+    filed: np.ndarray
+    gaps: np.ndarray | None
+
+    def at(self, which: np.ndarray) -> Entries:
+        return Entries(*(None if c is None else c[which] for c in self))
+
+
+def line_entries(lines: list[str] | Texts, edits: int, least: int, gaps: bool = False) -> Entries:
+    """All entries of lines of at least ``least`` characters."""
+    texts = lines if isinstance(lines, Texts) else Texts(lines)
+    lengths = texts.lengths
     line = np.flatnonzero(lengths >= least)
     out = []
 
-    def add(which, length, number, start, size, filed):
-        begin = starts[which] + start
+    def add(which, length, number, start, move, size, filed):
+        own = start + move
+        begin = texts.starts[which] + own
         shape = (length * (edits + 1) + number).astype(np.uint64)
-        out.append((which, mix(span_hashes(sums, begin, begin + size) ^ mix(shape + np.uint64(7))), np.full(len(which), filed)))
+        sides = np.zeros((len(which), 2, 4), np.int32)
+        if gaps:
+            columns = (0, own, number, start), (own + size, lengths[which], edits - number, length - start - size)
+            for side, column in enumerate(columns):
+                for k, value in enumerate(column):
+                    sides[:, side, k] = value
+        key = mix(span_hashes(texts.sums, begin, begin + size) ^ mix(shape + np.uint64(7)))
+        out.append((which, key, np.full(len(which), filed), sides))
 
     for shorter in range(edits + 1):
         for number in range(edits + 1):
@@ -123,11 +218,62 @@ def line_entries(lines: list[str], edits: int, least: int) -> tuple[np.ndarray,
             high = min(number, shorter + (edits - number))
             for move in range(low, high + 1):
                 if not shorter and not move:
-                    add(own, length, number, start, size, True)
+                    add(own, length, number, start, move, size, True)
                     continue
                 fits = (start + move >= 0) & (start + move + size <= lengths[own])
-                add(own[fits], length[fits], number, start[fits] + move, size[fits], False)
-    return tuple(map(np.concatenate, zip(*out)))
+                add(own[fits], length[fits], number, start[fits], move, size[fits], False)
+    line, key, filed, sides = map(np.concatenate, zip(*out))
+    return Entries(line, key, filed, packed_gaps([sides], max(1, edits)) if gaps else None)
+
+
+def packed_gaps(parts: list[np.ndarray], most: int) -> np.ndarray:
+    """Gaps side by side, those without edits left out; at most so many hold any."""
+    every = np.concatenate(parts, axis=1)
+    order = np.argsort(every[:, :, 2] == 0, axis=1, kind="stable")
+    out = np.zeros((len(every), most, 4), np.int32)
+    every = np.take_along_axis(every, order[:, :, None], 1)[:, :most]
+    out[:, : every.shape[1]] = np.where(every[:, :, 2:3] > 0, every, 0)
+    return out
+
+
+def parted(texts: Texts, entries: Entries) -> tuple[Entries, np.ndarray]:
+    """Entries under longer keys, one gap cut into segments; and which entries have no gap that can be cut.
+
+    Which gap that is follows from its edits and its length in the filed line, which all lines of a key agree on.
+    """
+    gaps = entries.gaps
+    edits, wide = gaps[:, :, 2].astype(np.int64), gaps[:, :, 3].astype(np.int64)
+    open_ = (edits > 0) & (wide > edits)
+    last = ~open_.any(1)
+    which = np.flatnonzero(~last)
+    chosen = np.where(open_, wide, -1)[which].argmax(1)
+    start, end, budget, length = (gaps[which, chosen, k].astype(np.int64) for k in range(4))
+    rest = gaps[which].copy()
+    rest[np.arange(len(which)), chosen] = 0
+    longer = end - start - length
+    line, key, filed = entries.line[which], entries.key[which], entries.filed[which]
+    out = []
+    for most in np.unique(budget).tolist():
+        for more in np.unique(longer[budget == most]).tolist():
+            own = np.flatnonzero((budget == most) & (longer == more))
+            for number in range(most + 1):
+                place, size = segments(length[own], most, number)
+                for move in range(max(-number, more - (most - number)), min(number, more + (most - number)) + 1):
+                    fits = (place + move >= 0) & (place + move + size <= (end - start)[own])
+                    k, at, n = own[fits], (start[own] + place + move)[fits], size[fits]
+                    begin = texts.starts[line[k]] + at
+                    shape = mix(key[k] + ((chosen[k] * 64 + most) * 64 + number).astype(np.uint64))
+                    sides = np.zeros((len(k), 2, 4), np.int32)
+                    columns = (start[k], at, number, place[fits]), (at + n, end[k], most - number, length[k] - place[fits] - n)
+                    for side, column in enumerate(columns):
+                        for c, value in enumerate(column):
+                            sides[:, side, c] = value
+                    new = mix(span_hashes(texts.sums, begin, begin + n) ^ shape)
+                    out.append((line[k], new, filed[k] if not move and not more else np.zeros(len(k), bool), rest[k], sides))
+    if not out:
+        return entries.at(np.empty(0, np.int64)), last
+    line, key, filed, rest, sides = map(np.concatenate, zip(*out))
+    return Entries(line, key, filed, packed_gaps([rest, sides], gaps.shape[1])), last
 
 
 def line_nodes(lines: list[str]) -> np.ndarray:
@@ -193,7 +339,7 @@ class Lines:
     def entries(self):
         if not self.lines:
             return (np.empty(0, np.int64), np.empty(0, np.uint64), np.empty(0, bool), np.empty(0, np.uint64))
-        line, full, filed = line_entries(self.lines, self.edits, self.least)
+        line, full, filed, _ = line_entries(self.lines, self.edits, self.least)
         key = bucket_key(full, self.buckets)
         order = np.lexsort((line, key))
         return line[order], key[order], filed[order], full[order]
@@ -257,89 +403,146 @@ def meet_entries(rows: list[list[bytes]], counts: list[int]) -> list[bytes]:
     return [np.packbits(met[e - n : e]).tobytes() for e, n in zip(ends, counts)]
 
 
-# families
+# pairs
+
+
+def pairs_of(entry: np.ndarray, node: np.ndarray, filed: np.ndarray):
+    """Arrays (x, y) of rows that share an entry, x filed there, in steps; rows come in the order of entries."""
+    first = np.flatnonzero(np.concatenate(([True], entry[1:] != entry[:-1]))) if len(entry) else np.empty(0, np.int64)
+    size = np.diff(np.append(first, len(entry)))
+    group = np.repeat(np.arange(len(first)), size)
+    x = np.flatnonzero(filed)
+    many = size[group[x]]
+    ends = np.cumsum(many)
+    low = 0
+    while low < len(x):
+        high = max(low + 1, int(np.searchsorted(ends, (ends[low - 1] if low else 0) + STEP_PAIRS, "right")))
+        own, n = x[low:high], many[low:high]
+        left = np.repeat(own, n)
+        right = np.arange(len(left)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first[group[own]], n)
+        keep = node[left] != node[right]
+        yield left[keep], right[keep]
+        low = high
+
+
+def pair_task(rows: pa.Table, edits: int) -> pa.RecordBatch:
+    """Stars over the lines of this task that are linked."""
+    entry, node, filed = (rows.column(c).to_numpy(zero_copy_only=False) for c in ("entry", "node", "filed"))
+    order = np.lexsort((node, entry))
+    entry, node, filed = entry[order], node[order], filed[order]
+    name, first, local = np.unique(node, return_index=True, return_inverse=True)
+    texts = Texts(rows.column("text").take(pa.array(order[first])).to_pylist())
+    forest = Forest()
+    for x, y in pairs_of(entry, local, filed):
+        x, y = local[x], local[y]
+        code = np.unique(np.minimum(x, y) * len(name) + np.maximum(x, y))
+        x, y = code // len(name), code % len(name)
+        near = np.abs(texts.lengths[x] - texts.lengths[y]) <= edits
+        near[near] = texts.within(x[near], y[near], edits)
+        for a, b in zip(name[x[near]].tolist(), name[y[near]].tolist()):
+            forest.join(a, b)
+    return edge_table(forest.stars())
 
 
-def join_lines(nodes: list[int], lines: list[str], side: np.ndarray, forest: Forest, edits: int, least: int) -> None:
-    """Join in the forest what lies within reach; if there are two sides, between them only."""
-    line, key, filed = line_entries(lines, edits, least)
-    order = np.lexsort((line, key))
-    line, key, filed = line[order], key[order], filed[order]
-    cuts = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if len(key) else []
-    two, failed = bool(side.any()), set()
+ENTRY = "key long, node long, filed boolean, gaps binary, last boolean"
+
+
+def entry_rows(nodes: DataFrame, edits: int, least: int) -> DataFrame:
+    """The entries, of lines that met another one, that met."""
+
+    def run(batches):
+        for batch in batches:
+            texts = Texts(batch.column("text").to_pylist())
+            found = line_entries(texts, edits, least, gaps=True)
+            met = np.unique(batch.column("met").flatten().to_numpy()).view(np.uint64)
+            yield entry_batch(found.at(np.isin(found.key, met)), batch.column("node"), False)
+        hand_back()
+
+    return nodes.select("node", "text", "met").mapInArrow(run, ENTRY)
+
+
+def entry_batch(entries: Entries, node: pa.Array, last: bool) -> pa.RecordBatch:
+    gaps = entries.gaps
+    width = gaps.shape[1] * 16
+    flat = pa.py_buffer(np.ascontiguousarray(gaps).tobytes())
+    columns = [
+        pa.array(entries.key.view(np.int64)),
+        node.take(pa.array(entries.line)),
+        pa.array(entries.filed),
+        pa.FixedSizeBinaryArray.from_buffers(pa.binary(width), len(gaps), [None, flat]).cast(pa.binary()),
+        pa.array(np.full(len(gaps), last)),
+    ]
+    return pa.RecordBatch.from_arrays(columns, names=["key", "node", "filed", "gaps", "last"])
+
+
+def part_entries(rows: DataFrame) -> DataFrame:
+    """The entries parted further; those that cannot be come back as they are, marked as the last ones."""
+
+    def run(batches):
+        for whole in batches:
+            for at in range(0, whole.num_rows, 20_000):
+                batch = whole.slice(at, 20_000)
+                texts = Texts(batch.column("text").to_pylist())
+                gaps = np.frombuffer(b"".join(batch.column("gaps").to_pylist()), np.int32).reshape(batch.num_rows, -1, 4)
+                filed = batch.column("filed").to_numpy(zero_copy_only=False)
+                own = Entries(np.arange(batch.num_rows), batch.column("key").to_numpy().view(np.uint64), filed, gaps)
+                new, last = parted(texts, own)
+                yield entry_batch(new, batch.column("node"), False)
+                yield entry_batch(own.at(np.flatnonzero(last)), batch.column("node"), True)
+        hand_back()
+
+    return rows.select("key", "node", "filed", "gaps", "text").mapInArrow(run, ENTRY)
+
+
+def pair_rows(nodes: DataFrame, edits: int, least: int, entry_pairs: int, block: int) -> tuple[DataFrame, int]:
+    """entry, node and filed of all that is to be paired: each filed row with all of its entry; and how many pairs."""
+    current = stored(entry_rows(nodes, edits, least), "entries")
+    done, total = [], 0
+    while True:
+        size = current.groupBy("key").agg(F.sum(F.col("filed").cast("long")).alias("f"), F.count("*").alias("n"), F.max("last").alias("end"))
+        size = stored(size.where("f >= 1 and n >= 2").withColumn("large", F.expr(f"f * n > {entry_pairs} or n > {ENTRY_ROWS}")), "entry_sizes")
+        pairs, large = size.agg(F.sum(F.when(~F.col("large") | F.col("end"), F.col("f") * F.col("n"))), F.count(F.when(F.col("large"), 1))).first()
+        total += pairs or 0
+        sized = current.join(size, "key")
+        done.append(sized.where("not large").select(F.col("key").alias("entry"), "node", "filed"))
+        if not large:
+            break
+        blocks = sized.where("large and end").withColumns({
+            "x": F.expr(f"pmod(xxhash64(node, 1), ceil(f / {block}))"), "y": F.expr(f"pmod(xxhash64(node, 2), ceil(n / {block}))"),
+        })
+        left = blocks.where("filed").select("key", "x", F.expr(f"explode(sequence(0, ceil(n / {block}) - 1))").alias("y"), "node", F.lit(True).alias("filed"))
+        right = blocks.select("key", F.expr(f"explode(sequence(0, ceil(f / {block}) - 1))").alias("x"), "y", "node", F.lit(False).alias("filed"))
+        done.append(left.unionByName(right).select(F.xxhash64("key", "x", "y").alias("entry"), "node", "filed"))
+        open_ = sized.where("large and not end").select("key", "node", "filed", "gaps")
+        current = stored(part_entries(open_.join(nodes.select("node", "text"), "node")), "entries")
+    rows = done[0]
+    for more in done[1:]:
+        rows = rows.union(more)
+    return rows, total
+
+
+def line_links(nodes: DataFrame, edits: int, least: int, entry_pairs: int = ENTRY_PAIRS, block: int = BLOCK) -> DataFrame:
+    """Edges between lines of a stored table of node, text and met that have the components of all links."""
+    rows, pairs = pair_rows(nodes, edits, least, entry_pairs, block)
+    tasks = max(int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-pairs // TASK_PAIRS))
 
-    def compare(x: int, y: int) -> None:
-        if x == y or two and side[x] == side[y] or forest.root(nodes[x]) == forest.root(nodes[y]):
-            return
-        pair = (min(x, y), max(x, y))
-        if pair in failed:
-            return
-        if within(lines[x], lines[y], edits):
-            forest.join(nodes[x], nodes[y])
-        else:
-            failed.add(pair)
-
-    for low, high in zip(cuts, [*cuts[1:], len(key)]):
-        if high - low < 2:
-            continue
-        own, is_filed = line[low:high].tolist(), filed[low:high].tolist()
-        filed_here = [x for x, f in zip(own, is_filed) if f]
-        for x in filed_here[:1]:  # mostly, this joins them all
-            for y in own:
-                compare(x, y)
-        for x in filed_here[1:]:
-            if len({forest.root(nodes[y]) for y in own}) == 1:
-                break
-            for y in own:
-                compare(x, y)
-
-
-def line_task(rows: pa.Table, edits: int, least: int) -> pa.RecordBatch:
-    family, side, node = (rows.column(c).to_numpy() for c in ("family", "side", "node"))
-    texts = rows.column("text").to_pylist()
-    forest = Forest()
-    order = np.lexsort((node, side, family))
-    cuts = np.flatnonzero(np.concatenate(([True], np.diff(family[order]) != 0))) if len(order) else []
-    for low, high in zip(cuts, [*cuts[1:], len(order)]):
-        mine = order[low:high]
-        join_lines(node[mine].tolist(), [texts[k] for k in mine], side[mine], forest, edits, least)
-    return edge_table(forest.stars())
+    def link(group: pa.Table) -> pa.Table:
+        out = pa.Table.from_batches([pair_task(group, edits)])
+        hand_back()
+        return out
+
+    rows = rows.join(nodes.select("node", "text"), "node").withColumn("task", F.pmod(F.xxhash64("entry"), F.lit(tasks)))
+    # a task is more work than its bytes say, so that the number of partitions is given
+    return rows.repartition(tasks, "task").groupBy("task").applyInArrow(link, EDGES)
 
 
-def line_tasks(members: DataFrame, edits: int, block: int) -> DataFrame:
-    """task, family, side, node, text: small families share tasks, of large ones each pair of blocks is a task."""
-    sizes = stored(members.groupBy("family").agg(F.count("*").alias("n")), "sizes")
-    total, largest = sizes.agg(F.sum(F.when(F.col("n") <= block, F.col("n"))), F.max("n")).first()
-    tasks = max(1, -(-(total or 0) // block))
-    rows = members.join(sizes, "family")
-    small = rows.where(F.col("n") <= block).select(
-        F.concat(F.lit("s"), F.pmod(F.xxhash64("family"), F.lit(tasks))).alias("task"), "family", F.lit(0).alias("side"), "node", "text"
-    )
-    if (largest or 0) <= block:
-        return small
-    by_length = Window.partitionBy("family").orderBy(F.length("text"), "node")
-    large = rows.where(F.col("n") > block).withColumn("block", F.floor((F.row_number().over(by_length) - 1) / block))
-    large = stored(large.select("family", "block", "node", "text"), "blocks")
-    blocks = stored(large.groupBy("family", "block").agg(F.min(F.length("text")).alias("low"), F.max(F.length("text")).alias("high")), "ranges")
-    other = blocks.select("family", F.col("block").alias("y"), F.col("low").alias("low_y"))
-    pairs = blocks.withColumnRenamed("block", "x").join(other, "family").where(f"x <= y and low_y - high <= {edits}").select("family", "x", "y")
-    pairs = stored(pairs, "pairs")
-    sides = pairs.select("family", "x", "y", F.col("x").alias("block"), F.lit(0).alias("side")).union(
-        pairs.where("x < y").select("family", "x", "y", F.col("y").alias("block"), F.lit(1).alias("side"))
-    )
-    paired = large.join(sides, ["family", "block"]).select(
-        F.concat_ws(":", F.lit("l"), "family", "x", "y").alias("task"), "family", "side", "node", "text"
-    )
-    return small.union(paired)
-
-
-NEAR = "piece string, node long, id long, key long, line long, rare array<bigint>, text string"
+NEAR = "piece string, node long, id long, key long, line long, met array<bigint>, text string"
 CUT = "doc_id long, key long, n_lines long, n_removed long, n_near long, kept string"
 
 
 def cut_lines(
     docs: DataFrame, edits: int = EDITS, least: int = LEAST, doc_id: str = "doc_id", text: str = "text",
-    bucket_entries: int = BUCKET_ENTRIES, block: int = BLOCK,
+    bucket_entries: int = BUCKET_ENTRIES, entry_pairs: int = ENTRY_PAIRS, block: int = BLOCK,
 ) -> DataFrame:
     """doc_id, key (of the row), n_lines, n_removed, n_near and kept, the text without the lines that go.
 
@@ -357,15 +560,10 @@ def cut_lines(
         return ((name, *line) for line in piece.near(*replies))
 
     near = stored(rounds.each(near_lines, NEAR, named=True, given=(1,)), "near_lines")
-    family = components(candidate_edges(near)).withColumnRenamed("component", "family")
     place = F.struct("id", "key", "line", "piece")
-    nodes = stored(near.groupBy("node").agg(F.first("text").alias("text"), F.min(place).alias("place")), "line_nodes")
-
-    def link(group: pa.Table) -> pa.Table:
-        return pa.Table.from_batches([line_task(group, edits, least)])
-
-    members = stored(nodes.select("node", "text").join(family, "node"), "members")
-    links = stored(line_tasks(members, edits, block).groupBy("task").applyInArrow(link, EDGES), "links")
+    nodes = near.groupBy("node").agg(F.first("text").alias("text"), F.first("met").alias("met"), F.min(place).alias("place"))
+    nodes = stored(nodes, "line_nodes")
+    links = stored(line_links(nodes, edits, least, entry_pairs, block), "links")
     linked = stored(components(links).join(nodes.select("node", "place"), "node"), "linked")
     first = linked.groupBy("component").agg(F.min("place").alias("first"))
     losers = linked.join(first, "component").where("place != first").select("node")

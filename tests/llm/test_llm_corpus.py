@@ -258,11 +258,69 @@ def test_lines_within_reach_share_an_entry(edits):
         a, b = "".join(a), "".join(b)
         if min(len(a), len(b)) < 8 or distance(a, b) > edits:
             continue
-        line, key, filed = lines.line_entries([a, b], edits, 8)
+        line, key, filed, _ = lines.line_entries([a, b], edits, 8)
         shorter = 0 if len(a) <= len(b) else 1
         assert set(key[(line == shorter) & filed].tolist()) & set(key[line != shorter].tolist()), (a, b)
 
 
+def changed_line(own, line, edits, letters):
+    line = list(line)
+    for _ in range(edits):
+        at = own.randrange(len(line) + 1)
+        line[at : at + own.randrange(2)] = [own.choice(letters)] * own.randrange(2)
+    return "".join(line)
+
+
+def test_distances_side_by_side():
+    own = random.Random(16)
+    for limit in range(5):
+        pairs = []
+        for _ in range(1500):
+            a = "".join(own.choice("abc") for _ in range(own.choice([0, 1, 2, 3, 8, 20, 70, 90])))
+            pairs.append((a, changed_line(own, a, own.randrange(6), "abc")))
+        texts = lines.Texts([t for pair in pairs for t in pair])
+        got = texts.within(np.arange(0, 2 * len(pairs), 2), np.arange(1, 2 * len(pairs), 2), limit)
+        assert got.tolist() == [distance(a, b) <= limit for a, b in pairs]
+
+
+@pytest.mark.parametrize("edits", [1, 2, 3])
+def test_parted_entries_still_meet(edits):
+    """However often its entries are parted, a pair within reach keeps one that they share, filed by the shorter."""
+    own = random.Random(edits)
+    for _ in range((0, 150, 60, 12)[edits]):
+        a = "".join(own.choice("ab") for _ in range(own.randrange(2 * edits + 1, 30)))
+        b = changed_line(own, a, edits, "ab")
+        if min(len(a), len(b)) <= 2 * edits or a == b or distance(a, b) > edits:
+            continue
+        texts = lines.Texts([a, b])
+        entries, shorter = lines.line_entries(texts, edits, 2 * edits + 1, gaps=True), int(len(a) > len(b))
+        ended = set()
+        while len(entries.line):
+            def keys(of, filed):
+                return set(of.key[(of.line == shorter) & of.filed if filed else of.line != shorter].tolist())  # noqa: B023
+
+            assert ended or keys(entries, True) & keys(entries, False), (a, b)
+            entries, last = (lambda old: (lines.parted(texts, old)[0], old.at(np.flatnonzero(lines.parted(texts, old)[1]))))(entries)
+            ended |= keys(last, True) & keys(last, False)
+        assert ended, (a, b)
+
+
+def template_lines(n):
+    own = random.Random(n)
+    return [f"Posted in category {own.randrange(10**9):09d} by user {own.randrange(10**9):09d} on a day" for _ in range(n)]
+
+
+def test_lines_of_one_template_are_told_apart_by_their_entries(spark):
+    """Lines that share most of their letters make fewer pairs than there are lines, not its square."""
+    for n in (1000, 4000):
+        own = sorted(set(template_lines(n)))
+        entries = lines.line_entries(own, 2, 24)
+        met = [entries.key[entries.line == k].view(np.int64).tolist() for k in range(len(own))]
+        nodes = spark.createDataFrame([(k, t, m) for k, (t, m) in enumerate(zip(own, met))], "node long, text string, met array<bigint>")
+        assert lines.pair_rows(nodes, 2, 24, 2_000, 50)[1] < n
+        assert lines.line_links(nodes, 2, 24, 2_000, 50).count() == 0
+
+
 def cut_rows(docs, **options):
     return ordered(lines.cut_lines(docs, **options).select("doc_id", "n_lines", "n_removed", "kept").collect())
 
@@ -282,10 +340,12 @@ def test_lines_of_awkward_rows(spark):
     assert cut_rows(docs.limit(0)) == [] and lines.dedup_lines(docs.limit(0)).count() == 0
 
 
-@pytest.mark.parametrize("seed,block,entries,edits", [(1, lines.BLOCK, 1_000_000, 2), (2, 2, 30, 2), (3, 3, 100, 1), (4, 2, 50, 0)])
-def test_lines_in_small_blocks_and_buckets(spark, seed, block, entries, edits):
+@pytest.mark.parametrize("seed,pairs,entries,edits,least", [
+    (1, lines.ENTRY_PAIRS, 1_000_000, 2, 24), (2, 4, 30, 2, 24), (3, 30, 100, 1, 24), (4, 2, 50, 0, 24), (5, 1, 500, 2, 5),
+])
+def test_lines_in_small_blocks_and_buckets(spark, seed, pairs, entries, edits, least):
     own, rows = random.Random(seed), []
-    bases = [prose(seed * 50 + k, own.randrange(3, 9), 30) for k in range(12)]
+    bases = [prose(seed * 50 + k, own.randrange(1 if least < 24 else 3, 9), 30) for k in range(12)]
     for doc in range(70):
         text = []
         for _ in range(own.randrange(1, 5)):
@@ -296,7 +356,8 @@ def test_lines_in_small_blocks_and_buckets(spark, seed, block, entries, edits):
             text.append("".join(line))
         rows.append((doc, "\n".join(text)))
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
-    assert cut_rows(docs, edits=edits, block=block, bucket_entries=entries) == ordered(plain_lines(rows, edits))
+    got = cut_rows(docs, edits=edits, least=least, entry_pairs=pairs, block=3, bucket_entries=entries)
+    assert got == ordered(plain_lines(rows, edits, least))
 
 
 # 9 and 10
