@@ -8,7 +8,7 @@ from checks import adapters as a
 from checks.registry import query
 from checks.sql import path_of, statement
 from checks.status_queries import APPLIED, NOW, TS, _COLUMNS, _plain
-from checks.manifest_queries import with_resolved
+from checks.manifest_queries import ANCHORED_LIMITS, ANCHORED_SQL, with_resolved
 from sheaf.functions import paths, records as r
 from sheaf.operators import attempts as att
 from sheaf.operators import backlog as b
@@ -292,3 +292,17 @@ def stream_request_rate(spark, sf):
     return jobs.read_request_rate(spark, folder).select(
         F.date_format("window_start", TS).alias("window_start"), "client", "n", "over_limit"
     )
+
+
+@query("stream_anchored_rate", ANCHORED_SQL)
+def stream_anchored_rate(spark, sf):
+    """The events come in three files, in the order of time but for some minutes."""
+    source, folder = scratch(spark, "stream-in"), scratch(spark, "stream-out")
+    requests = a.requests(spark, sf).select("client", "ts", (F.unix_seconds("ts") + F.pmod(F.hash("event_id"), F.lit(1800))).alias("came"))
+    ends = requests.agg(F.min("came").alias("low"), F.max("came").alias("high")).first()
+    cuts = [ends.low, ends.low + (ends.high - ends.low) // 3, ends.low + (ends.high - ends.low) // 2, ends.high + 1]
+    for low, high in zip(cuts, cuts[1:]):
+        requests.where((F.col("came") >= low) & (F.col("came") < high)).select("client", "ts").coalesce(1).write.mode("append").parquet(source)
+    stream = spark.readStream.schema("client string, ts timestamp").option("maxFilesPerTrigger", 1).parquet(source)
+    jobs.stream_anchored_rate(stream, folder, ANCHORED_LIMITS, 3600).awaitTermination()
+    return jobs.read_anchored_rate(spark, folder).select("client", F.unix_micros("window_start").alias("window_us"), "n", "over_limit")

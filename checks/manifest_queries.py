@@ -8,6 +8,7 @@ from checks import adapters as a
 from checks.registry import query
 from checks.sql import CLOSED_URL, channel_of, path_of, statement, uuid_of
 from sheaf.functions import paths, payload, records as r, urls
+from sheaf.operators import arrivals
 from sheaf.operators import attempts as att
 from sheaf.operators import candidates as cand
 from sheaf.operators import dedup
@@ -337,6 +338,53 @@ def throttle_schedule(spark, sf):
     )
 
 
+# Requests of a client to a window and its seconds.
+ARRIVAL_LIMITS = {"click": (2, 7200), "view": (4, 10_800), "purchase": (1, 600), "signup": (3, 4000.5)}
+
+
+@query(
+    "throttle_arrivals",
+    """with recursive arrived as (
+  select event_id, event_type as client, epoch_us(ts) as a, row_number() over (partition by event_type order by ts, event_id) as i from events
+), limits(client, most, span) as (
+  values ('click', 2, 7200000000), ('view', 4, 10800000000), ('purchase', 1, 600000000), ('signup', 3, 4000500000), ('error', 1, 3600000000)
+), sent(client, i, event_id, start, place, at_us) as (
+  select client, i, event_id, a, 1, a from arrived where i = 1
+  union all
+  select s.client, r.i, r.event_id,
+    case when r.a >= s.start + l.span then r.a when s.place < l.most then s.start else s.start + l.span end,
+    case when r.a >= s.start + l.span then 1 when s.place < l.most then s.place + 1 else 1 end,
+    case when r.a >= s.start + l.span then r.a when s.place < l.most then greatest(r.a, s.at_us) else s.start + l.span end
+  from sent s join limits l using (client) join arrived r on r.client = s.client and r.i = s.i + 1
+)
+select event_id, client, start as window_us, place::bigint as place, at_us as sent_us from sent""",
+)
+def throttle_arrivals(spark, sf):
+    sent = arrivals.throttle_arrivals(a.requests(spark, sf), "client", "ts", ARRIVAL_LIMITS, (1, 3600), ["event_id"])
+    return sent.select("event_id", "client", F.unix_micros("window_start").alias("window_us"), "place", F.unix_micros("sent_at").alias("sent_us"))
+
+
+# Windows of 2 and 3 hours and of 10 minutes for three clients, of one hour for the others.
+ANCHORED_SQL = """with recursive limits(client, most, secs) as (
+  select distinct event_type, case event_type when 'click' then 2 when 'view' then 4 else 1 end,
+    case event_type when 'click' then 7200 when 'view' then 10800 when 'purchase' then 600 else 3600 end from events
+), windows(client, start) as (
+  select event_type, min(ts) from events group by 1
+  union all
+  select w.client, min(e.ts) from windows w join limits l using (client) join events e on e.event_type = w.client and e.ts >= w.start + to_seconds(l.secs) group by w.client
+)
+select w.client, epoch_us(w.start) as window_us, count(*) as n, count(*) > any_value(l.most) as over_limit
+from windows w join limits l using (client) join events e on e.event_type = w.client and e.ts >= w.start and e.ts < w.start + to_seconds(l.secs)
+group by 1, 2"""
+ANCHORED_LIMITS = {"click": (2, 7200), "view": (4, 10_800), "purchase": (1, 600)}
+
+
+@query("anchored_rate", ANCHORED_SQL)
+def anchored_rate(spark, sf):
+    counts = arrivals.anchored_rate(a.requests(spark, sf), ANCHORED_LIMITS, 3600)
+    return counts.select("client", F.unix_micros("window_start").alias("window_us"), "n", "over_limit")
+
+
 @query(
     "first_success",
     statement(

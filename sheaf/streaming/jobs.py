@@ -9,9 +9,10 @@ from __future__ import annotations
 from collections.abc import Sequence
 from math import lcm
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StatefulProcessor, StreamingQuery
 
 from sheaf.plans.manifest import first_occurrences, with_urls
 from sheaf.operators.dedup import assign_ids
@@ -171,3 +172,114 @@ def read_request_rate(spark: SparkSession, folder: str) -> DataFrame:
         .agg(F.max(F.struct("batch", "n", "over_limit")).alias("last"))
         .select("window_start", "client", "last.n", "last.over_limit")
     )
+
+
+ANCHORED = "client string, start long, n long, over_limit boolean, final boolean, step long"
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+class AnchoredWindows(StatefulProcessor):
+    """The windows of one client, each opened by the first request after the one before has ended.
+
+    Requests wait, counted by time, until the watermark has passed them, as an earlier one may move all windows
+    after it. One timer for each client tells when the next of them, or the end of the open window, is passed.
+    Windows that are over for good are given once, as final ones. All others are given as they look so far, under a
+    new step each time, of which the last one holds; a row without a start marks the step itself.
+    """
+
+    def __init__(self, limits: dict[str, tuple[int, float]], seconds: float, default_max: int):
+        self.limits, self.default = limits, (default_max, seconds)
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.waiting = handle.getMapState("waiting", "ts long", "n long")
+        self.open = handle.getValueState("open", "start long, n long, step long")
+
+    def windows(self, client, window, times: list[tuple[int, int]]):
+        """All windows that these (time, requests) make after ``window``, the last of them still open."""
+        span = round(self.limits.get(client, self.default)[1] * 1_000_000)
+        out = [window] if window else []
+        for ts, n in times:
+            if not out or ts >= out[-1][0] + span:
+                out.append((ts, 0))
+            out[-1] = (out[-1][0], out[-1][1] + n)
+        return out, span
+
+    def settle(self, client, passed: int):
+        start, n, step = self.open.get() if self.open.exists() else (None, 0, 0)
+        times = sorted((ts, count) for (ts,), (count,) in self.waiting.iterator()) if self.waiting.exists() else []
+        due = [t for t in times if t[0] <= passed]
+        for ts, _ in due:
+            self.waiting.removeKey((ts,))
+        found, span = self.windows(client, None if start is None else (start, n), due)
+        over = [w for w in found if w is not found[-1] or w[0] + span <= passed]
+        window = found[-1] if len(over) < len(found) else None
+        self.open.update((*(window or (None, 0)), step + 1))
+        times = times[len(due) :]
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        ends = [t for t, _ in times[:1]] + ([window[0] + span] if window else [])
+        if ends:
+            self.handle.registerTimer(-(-min(ends) // 1000))
+        most = self.limits.get(client, self.default)[0]
+        rows = [(client, s, k, k > most, True, step + 1) for s, k in over]
+        rows += [(client, s, k, k > most, False, step + 1) for s, k in self.windows(client, window, times)[0]]
+        rows.append((client, None, 0, False, False, step + 1))
+        frame = pd.DataFrame(rows, columns=["client", "start", "n", "over_limit", "final", "step"])
+        return frame.astype({"start": "Int64"})
+
+    def handleInputRows(self, key, rows, timerValues):
+        for frame in rows:
+            for ts, n in frame["us"].value_counts().items():
+                before = self.waiting.getValue((int(ts),)) if self.waiting.exists() and self.waiting.containsKey((int(ts),)) else (0,)
+                self.waiting.updateValue((int(ts),), (before[0] + int(n),))
+        yield self.settle(key[0], timerValues.getCurrentWatermarkInMs() * 1000)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        yield self.settle(key[0], timerValues.getCurrentWatermarkInMs() * 1000)
+
+    def close(self) -> None:
+        pass
+
+
+def stream_anchored_rate(
+    requests: DataFrame,
+    folder: str,
+    limits: dict[str, tuple[int, float]],
+    seconds: float,
+    delay: str = "1 hour",
+    default_max: int = 1,
+    available_now: bool = True,
+) -> StreamingQuery:
+    """Keep the request counts of windows that a client's requests open; see :class:`AnchoredWindows`.
+
+    State is what has come within ``delay``, counted by time, and one window for each client, in RocksDB; later
+    requests, and those without ``ts``, are not counted. :func:`read_anchored_rate` gives the windows as they are.
+    """
+    spark = requests.sparkSession
+    out = f"{folder}/anchored"
+    _start_empty(spark, out, ANCHORED)
+    rows = requests.where(F.col("ts").isNotNull()).select("client", "ts", F.unix_micros("ts").alias("us"))
+    keyed = rows.withWatermark("ts", delay).groupBy("client")
+    counted = keyed.transformWithStateInPandas(AnchoredWindows(limits, seconds, default_max), ANCHORED, "update", "eventTime")
+
+    def step(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(_folder(out, batch_id))
+
+    provider = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(provider)
+    spark.conf.set(provider, ROCKSDB)  # the query keeps the settings it starts with
+    try:
+        return _run(counted, step, f"{folder}/checkpoint", "update", available_now)
+    finally:
+        spark.conf.set(provider, before)
+
+
+def read_anchored_rate(spark: SparkSession, folder: str) -> DataFrame:
+    """client, window_start, n and over_limit: the final windows, and of the others what was given last."""
+    rows = read_batches(spark, f"{folder}/anchored", ANCHORED)
+    last = rows.groupBy("client").agg(F.max(F.struct("batch", "step")).alias("last"))
+    last = last.select(F.col("client").alias("own"), "last.batch", F.col("last.step").alias("newest")).withColumnRenamed("batch", "newest_batch")
+    current = rows.join(last, F.col("client").eqNullSafe(F.col("own")))
+    current = current.where("start is not null and (final or (batch = newest_batch and step = newest))")
+    return current.select("client", F.timestamp_micros("start").alias("window_start"), "n", "over_limit")
