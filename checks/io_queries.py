@@ -22,6 +22,7 @@ from sheaf.schemas import PUBLICATION, STATUS, VERSION_EVENT
 from sheaf.session import durable, scratch
 from sheaf.sinks import status as status_sink
 from sheaf.sinks import tables as sinks
+from sheaf.sinks import version_log
 from sheaf.sources import objects as obj
 from sheaf.sources import publications as pubs
 from sheaf.sources import status as status_source
@@ -262,6 +263,38 @@ def stream_manifest(spark, sf):
     )
 
 
+def dump_stream(spark, sf):
+    """Files in dump order, taken one by one; the DOIs of one come again in later ones, too."""
+    source, records = scratch(spark, "stream-in"), a.records(spark, sf)
+    last = records.agg(F.max("line_no")).first()[0]
+    for part in range(3):
+        own = records.where((F.col("line_no") * 3 >= part * (last + 1)) & (F.col("line_no") * 3 < (part + 1) * (last + 1)))
+        again = records.where(F.col("line_no") * 3 < part * (last + 1))
+        own.unionByName(again).coalesce(1).write.mode("append").parquet(source)
+    return spark.readStream.schema(DUMP).option("maxFilesPerTrigger", 1).parquet(source)
+
+
+@query("stream_manifest_state", statement("select id, doi, domain, cast(url_rank as bigint) as url_rank, url from manifest", "manifest"))
+def stream_manifest_state(spark, sf):
+    folder = scratch(spark, "stream-out")
+    jobs.stream_manifest_state(dump_stream(spark, sf), folder).awaitTermination()
+    rows = jobs.read_manifest(spark, folder)
+    return cand.url_steps(rows).join(rows.select("id", "domain"), "id").select("id", "doi", "domain", "url_rank", "url")
+
+
+@query("stream_version_log", statement(APPLIED, "status", "newest"))
+def stream_version_log(spark, sf):
+    """The events of a uuid are spread over files, later ones come first, and shards are compacted in between."""
+    source, path, log = scratch(spark, "stream-in"), scratch(spark, "status-shards"), scratch(spark, "version-log")
+    status_sink.write_status_shards(a.status(spark, sf), path, digits=1)
+    events = a.version_events(spark, sf)
+    for kinds in ((4,), (1,), (2,), (3,)):
+        events.where((F.col("seq") % 10).isin(*kinds)).coalesce(1).write.mode("append").parquet(source)
+    stream = spark.readStream.schema(VERSION_EVENT).option("maxFilesPerTrigger", 1).parquet(source)
+    jobs.stream_version_log(stream, log, scratch(spark, "stream-state"), compact_bytes=4_000).awaitTermination()
+    return _plain(version_log.scan_status_merged(spark, path, log))
+
+
 @query("stream_upsert", statement(APPLIED, "status", "newest"))
 def stream_upsert(spark, sf):
     source, path = scratch(spark, "stream-in"), scratch(spark, "status-shards")

@@ -7,17 +7,20 @@ runs again after a failure leaves the same files.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from contextlib import contextmanager
 from math import lcm
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StreamingQuery
+from pyspark.sql.types import LongType, StructField, StructType
 
 from sheaf.plans.manifest import first_occurrences, with_urls
 from sheaf.operators.dedup import assign_ids
-from sheaf.session import durable, scratch_scope
+from sheaf.session import delete_path, durable, scratch_scope
 from sheaf.sinks.status import apply_versions_shards
+from sheaf.sinks.version_log import _folders, append_versions, compact_versions
 
 INDEX = "doi string, uuid string"
 MANIFEST = (
@@ -46,6 +49,21 @@ def _run(df: DataFrame, step, checkpoint: str, mode: str, available_now: bool) -
     return writer.start()
 
 
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+@contextmanager
+def rocksdb_state(spark: SparkSession):
+    """Queries started inside keep their state in RocksDB: a query keeps the settings it starts with."""
+    key = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(key)
+    spark.conf.set(key, ROCKSDB)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def stream_manifest(
     records: DataFrame,
     folder: str,
@@ -81,6 +99,79 @@ def read_manifest(spark: SparkSession, folder: str) -> DataFrame:
     return read_batches(spark, f"{folder}/manifest", MANIFEST).drop("batch")
 
 
+def stream_manifest_state(
+    records: DataFrame,
+    folder: str,
+    order_by: Sequence[str] = ("line_no",),
+    country: str = "fr",
+    available_now: bool = True,
+) -> StreamingQuery:
+    """New dump files -> manifest rows as :func:`stream_manifest` gives, the known DOIs in state instead of a table.
+
+    A first query writes each batch's first occurrences, a DOI once, under the number of the batch. A second one
+    keeps in RocksDB, for each DOI, the first batch that has it: DOIs whose first batch comes after all that were
+    taken before are new, and only those batches are read for their records. So what a batch reads does not grow
+    with the batches before it, and batches that are done may be deleted from ``<folder>/firsts``. A batch that
+    runs again finds its DOIs under the same first batch and writes the same rows.
+
+    With ``available_now`` the first query has ended when this returns the second; else both go on.
+    """
+    spark = records.sparkSession
+    firsts, out, progress = f"{folder}/firsts", f"{folder}/manifest", f"{folder}/progress"
+    layout = first_occurrences(spark.createDataFrame([], records.schema), order_by, country).schema
+    spark.createDataFrame([], layout).write.mode("ignore").parquet(_folder(firsts, -1))
+    _start_empty(spark, out, MANIFEST)
+
+    def stage(batch: DataFrame, batch_id: int) -> None:
+        first_occurrences(batch, order_by, country).write.mode("overwrite").parquet(_folder(firsts, batch_id))
+
+    staging = _run(records, stage, f"{folder}/checkpoint-firsts", "append", available_now)
+    if available_now:
+        staging.awaitTermination()
+
+    def step(found: DataFrame, batch_id: int) -> None:
+        spark = found.sparkSession
+        done = [int(name) for name in _folders(spark, progress, "batch") if int(name) < batch_id]
+        before = spark.read.parquet(_folder(progress, max(done))).first()["through"] if done else -1
+        with scratch_scope(spark):
+            found = durable(found.where(F.col("first") > before), "found")
+            rows = spark.read.schema(StructType([*layout, StructField("batch", LongType())])).parquet(firsts)
+            rows = rows.where(F.col("batch") > before)
+            new = found.select(F.col("doi").alias("found_doi"), "first")
+            rows = rows.join(new, (F.col("doi") == F.col("found_doi")) & (F.col("batch") == F.col("first")))
+            with_urls(assign_ids(rows.select(*layout.names))).write.mode("overwrite").parquet(_folder(out, batch_id))
+            through = found.agg(F.coalesce(F.max("first"), F.lit(before)).cast("long").alias("through"))
+            through.coalesce(1).write.mode("overwrite").parquet(_folder(progress, batch_id))
+        for old in sorted(done)[:-1]:
+            delete_path(spark, _folder(progress, old))
+
+    staged = spark.readStream.schema("doi string, batch bigint").parquet(firsts)
+    seen = staged.groupBy("doi").agg(F.min("batch").alias("first"))
+    with rocksdb_state(spark):
+        return _run(seen, step, f"{folder}/checkpoint", "update", available_now)
+
+
+def stream_version_log(
+    events: DataFrame,
+    log: str,
+    checkpoint: str,
+    digits: int = 1,
+    compact_bytes: int | None = 64 << 20,
+    available_now: bool = True,
+) -> StreamingQuery:
+    """Append each batch of version events to a log beside the status table, which ``scan_status_merged`` folds in.
+
+    A batch writes its own events only; shards of the log are compacted once they pass ``compact_bytes``.
+    """
+
+    def step(batch: DataFrame, batch_id: int) -> None:
+        append_versions(batch, log, batch_id, digits)
+        if compact_bytes is not None:
+            compact_versions(batch.sparkSession, log, compact_bytes)
+
+    return _run(events, step, checkpoint, "append", available_now)
+
+
 def stream_upsert(
     events: DataFrame,
     status_path: str,
@@ -175,9 +266,6 @@ def read_request_rate(spark: SparkSession, folder: str) -> DataFrame:
 
 
 ANCHORED = "client string, start long, n long, over_limit boolean, final boolean, step long"
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-
-
 class AnchoredWindows(StatefulProcessor):
     """The windows of one client, each opened by the first request after the one before has ended.
 
@@ -266,13 +354,8 @@ def stream_anchored_rate(
     def step(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(_folder(out, batch_id))
 
-    provider = "spark.sql.streaming.stateStore.providerClass"
-    before = spark.conf.get(provider)
-    spark.conf.set(provider, ROCKSDB)  # the query keeps the settings it starts with
-    try:
+    with rocksdb_state(spark):
         return _run(counted, step, f"{folder}/checkpoint", "update", available_now)
-    finally:
-        spark.conf.set(provider, before)
 
 
 def read_anchored_rate(spark: SparkSession, folder: str) -> DataFrame:
