@@ -59,12 +59,16 @@ def write_payloads(
     rows.write.mode(mode).partitionBy("shard").option("compression", codec).parquet(path)
 
 
-def write_dump(spark: SparkSession, paths: str | Sequence[str], path: str, schema=PUBLICATION, mode: str = "errorifexists") -> None:
+def write_dump(
+    spark: SparkSession, paths: str | Sequence[str], path: str, schema=PUBLICATION, mode: str = "errorifexists", bad_lines: str = "fail"
+) -> None:
     """A dump as Parquet: the raw line, the parsed fields, and the columns that keep its order.
 
+    Lines that are not JSON fail the job; with ``bad_lines="keep"`` they are in a column ``_corrupt_record``.
+
     A gzip file is read by one task, once; from then on readers take the columns they need from many.
     """
-    parse_lines(scan_lines(spark, paths), schema).write.mode(mode).parquet(path)
+    parse_lines(scan_lines(spark, paths), schema, bad_lines).write.mode(mode).parquet(path)
 
 
 def write_slices(

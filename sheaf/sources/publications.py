@@ -71,12 +71,25 @@ def scan_lines(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
     )
 
 
-def parse_lines(lines: DataFrame, schema: T.StructType = PUBLICATION) -> DataFrame:
-    """Parse the wanted fields of raw lines, which stay in ``value``."""
-    others = [c for c in lines.columns]
-    return lines.withColumn("__r", F.from_json("value", schema)).select(
-        *others, *[F.col(f"__r.{name}").alias(name) for name in schema.names]
-    )
+def parse_lines(lines: DataFrame, schema: T.StructType = PUBLICATION, bad_lines: str = "fail") -> DataFrame:
+    """Parse the wanted fields of raw lines, which stay in ``value``; blank lines have null fields.
+
+    Lines that are not JSON fail the job, or are in ``_corrupt_record`` with ``bad_lines="keep"``. The country is
+    read as by :func:`scan_publications`.
+    """
+    if bad_lines not in ("fail", "keep"):
+        raise ValueError(f"unknown treatment of bad lines {bad_lines!r}")
+    others, options = [c for c in lines.columns], {"mode": "FAILFAST"}
+    read = T.StructType([T.StructField(f.name, T.StringType()) if f.name == COUNTRY else f for f in schema])
+    if bad_lines == "keep":
+        read = T.StructType([*read, T.StructField(CORRUPT, T.StringType())])
+        options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT}
+
+    def field(name: str):
+        column = F.col(f"__r.{name}")
+        return (F.from_json(column, schema[name].dataType) if name == COUNTRY else column).alias(name)
+
+    return lines.withColumn("__r", F.from_json("value", read, options)).select(*others, *map(field, read.names))
 
 
 def scan_dump(spark: SparkSession, path: str, schema: T.StructType = PUBLICATION) -> DataFrame:

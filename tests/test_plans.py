@@ -5,6 +5,7 @@ import pytest
 from checks import adapters as a
 from checks.coverage_queries import by_doi
 from conftest import SF
+from sheaf.functions import payload
 from sheaf.functions.paths import storage_path
 from sheaf.operators import attempts as att
 from sheaf.operators import candidates
@@ -56,3 +57,11 @@ def test_payloads_are_not_exchanged(spark, tmp_path):
     spark.sparkContext.setJobGroup("", "")
     stages = [s for j in jobs for s in before.getJobInfo(j).stageIds]
     assert len(stages) == 1, json.dumps(stages)
+
+
+def test_patterns_of_a_redirect_run_once(spark):
+    pages = spark.createDataFrame([("<a id=redirect href='x&amp;y'>",)], "html string")
+    found = pages.select(payload.redirect_target(F.col("html")).alias("target"))
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_replace(") <= 1 and plan.count("regexp_extract_all(") <= 3 and plan.count("RLIKE") <= 2, plan
+    assert found.first().target == "x&y"

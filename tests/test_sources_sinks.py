@@ -44,6 +44,23 @@ def test_bad_lines(spark, tmp_path):
         pubs.scan_publications(spark, path, bad_lines="other")
 
 
+def test_bad_lines_of_parsed_dumps(spark, tmp_path):
+    path = gz(tmp_path / "d.gz", '{"doi": "10.1/a", "bso_country_corrected": ["fr"]}', "not json", '{"doi": "10.1/b", "bso_country_corrected": "fr"}', "", '{"doi": ')
+    with pytest.raises(Exception, match="MALFORMED|Malformed"):
+        pubs.parse_lines(pubs.scan_lines(spark, path)).collect()
+    with pytest.raises(Exception, match="(?is)malformed|failed"):
+        sinks.write_dump(spark, path, str(tmp_path / "out"))
+    with pytest.raises(ValueError, match="other"):
+        pubs.parse_lines(pubs.scan_lines(spark, path), bad_lines="other")
+    sinks.write_dump(spark, path, str(tmp_path / "kept"), bad_lines="keep")
+    rows = spark.read.parquet(str(tmp_path / "kept")).orderBy("scan_seq").collect()
+    assert [(r.doi, r.bso_country_corrected, r._corrupt_record) for r in rows] == [
+        ("10.1/a", ["fr"], None), (None, None, "not json"), ("10.1/b", None, None), (None, None, None), (None, None, '{"doi": '),
+    ]
+    assert pubs.scan_dump(spark, str(tmp_path / "kept")).where("doi is not null").count() == 2
+
+
+
 def test_counts(spark, tmp_path):
     gz(tmp_path / "a.jsonl.gz", "{}", "{}", "{}")
     gz(tmp_path / "b.jsonl.gz", "{}", "{}", end="")
