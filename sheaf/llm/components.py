@@ -3,7 +3,9 @@
 Each partition first joins its own edges into a spanning forest. Then, round by round, every node's larger
 neighbours are hung on its smallest one (large star), and its smaller neighbours on the smallest of them
 (small star), until nothing changes: about log(n) rounds, each written to the shared folder. A node with very
-many neighbours is met by partial aggregates and by joins whose hot side the adaptive join may split.
+many neighbours is met by partial aggregates, and the smallest neighbours are written before they are joined, so
+that they are broadcast if few and else both inputs of the join are plain exchanges, whose hot partitions the
+adaptive join splits.
 
 Self-loops, repeated edges and either direction are fine; edges with a null end are ignored.
 """
@@ -15,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sheaf.llm.common import hand_back, stored
+from sheaf.session import lookup_side
 
 
 EDGES = "a long, b long"
@@ -76,13 +79,13 @@ def local_stars(edges: DataFrame) -> DataFrame:
 
 def large_star(edges: DataFrame) -> DataFrame:
     both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
+    least = lookup_side(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")))
     return both.where("b > a").join(least, "a").select(F.col("m").alias("a"), "b")
 
 
 def small_star(edges: DataFrame) -> DataFrame:
     """Takes and gives edges with a < b."""
-    least = edges.groupBy("b").agg(F.min("a").alias("m"))
+    least = lookup_side(edges.groupBy("b").agg(F.min("a").alias("m")))
     moved = edges.join(least, "b").where("a > m").select(F.col("m").alias("a"), F.col("a").alias("b"))
     return moved.union(least.select(F.col("m").alias("a"), "b"))
 
@@ -95,7 +98,8 @@ def components(edges: DataFrame) -> DataFrame:
     current = stored(local_stars(edges).distinct(), "edges")
     before = current.agg(*mark).first()
     while before["n"]:
-        current = stored(local_stars(small_star(large_star(current))).distinct(), "edges")
+        larger = stored(large_star(current), "stars")
+        current = stored(local_stars(small_star(larger)).distinct(), "edges")
         after = current.agg(*mark).first()
         if after == before:
             break

@@ -10,6 +10,7 @@ from llm_cases import (
 )
 from pyspark.sql import functions as F
 
+from sheaf import session
 from sheaf.llm import components, hashing, jaccard, lines, substrings, suffixes, toxicity
 from sheaf.llm.common import stored
 from sheaf.llm.queries import QUERIES
@@ -468,3 +469,20 @@ def test_queries_that_have_sql(spark):
         columns = [c[0] for c in want.description]
         assert sorted(columns) == sorted(got.columns)
         assert ordered(got.select(*columns).collect()) == ordered(want.fetchall()), name
+
+
+def test_a_hub_is_split(spark, conf):
+    """One node with most of the edges: its partition is read by several tasks, when its side is not broadcast."""
+    conf(
+        spark__sql__autoBroadcastJoinThreshold="-1", spark__sql__adaptive__advisoryPartitionSizeInBytes="64k",
+        spark__sql__adaptive__skewJoin__skewedPartitionThresholdInBytes="64k", spark__sql__adaptive__skewJoin__skewedPartitionFactor="1.5",
+        spark__sql__shuffle__partitions="8",
+    )
+    edges = spark.range(1, 200_000).selectExpr("0L as a", "id as b").union(spark.range(200_000, 220_000).selectExpr("id as a", "id + 30000 as b"))
+    edges = stored(edges.repartition(16), "hub")
+    before, session.BROADCAST_ROWS = session.BROADCAST_ROWS, 0
+    try:
+        out = components.large_star(edges)
+        assert out.collect() and "skewed" in out._jdf.queryExecution().executedPlan().toString()
+    finally:
+        session.BROADCAST_ROWS = before
