@@ -119,15 +119,21 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     Nothing reads them again: the table is read from the shared folder from here on. This runs a job while
     the plan is made.
     """
-    conf = df.sparkSession.conf
-    before = {key: conf.get(key) for key in WRITING}
+    with writing(df.sparkSession):
+        return durable(df, label)
+
+
+@contextlib.contextmanager
+def writing(spark: SparkSession):
+    """The settings in ``WRITING`` for what is written inside."""
+    before = {key: spark.conf.get(key) for key in WRITING}
     for key, value in WRITING.items():
-        conf.set(key, value)
+        spark.conf.set(key, value)
     try:
-        return durable(df, label)
+        yield
     finally:
         for key, value in before.items():
-            conf.set(key, value)
+            spark.conf.set(key, value)
 
 
 def row_key(doc_id: str = "doc_id", text: str = "text") -> Column:
