@@ -12,11 +12,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sheaf.llm.bpe import bpe_digest
-from sheaf.llm.common import stored, table
+from sheaf.llm.common import table, writing
 from sheaf.llm.jaccard import keep_one
 from sheaf.llm.leaks import decontaminate
 from sheaf.llm.lines import dedup_lines
 from sheaf.llm.toxicity import drop_toxic, train_chain
+from sheaf.session import delete_path, scratch, scratch_scope
 
 
 def measured(docs: DataFrame) -> DataFrame:
@@ -64,7 +65,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """The rows of the last stage. Of the stages before it only the last one's result stays in the shared folder."""
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir), name)
+        path = scratch(spark, name)  # outside of the scope, so that it stays
+        with scratch_scope(spark), writing(spark):
+            made = stage(spark, docs, sf_dir)
+            made.write.parquet(path)
+        if before:
+            delete_path(spark, before)
+        docs, before = spark.read.schema(made.schema).parquet(path), path
     return STAGES[-1][1](spark, docs, sf_dir)
