@@ -8,7 +8,6 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from contextlib import contextmanager
-from math import lcm
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -200,23 +199,26 @@ RATE = "window_start timestamp, client string, n bigint, over_limit boolean"
 
 
 def request_rate(
-    requests: DataFrame, limits: dict[str, tuple[int, int]], seconds: int, default_max: int = 1
+    requests: DataFrame, limits: dict[str, tuple[int, int]], seconds: int, default_max: int = 1, delay: str | None = None
 ) -> DataFrame:
     """Requests per client and window of that client, flagged when over its maximum.
 
     ``limits`` is ``client -> (max requests, window seconds)``; other clients have ``default_max`` and
-    windows of ``seconds``. Windows start at multiples of their length. Works on a batch and on a
-    watermarked stream: each window lies in one of a common multiple of all lengths, which carries
-    the watermark, so that state of windows that are over goes.
+    windows of ``seconds``. Windows start at multiples of their length. Works on a batch and, with ``delay``, on a
+    stream: the end of a request's window carries the watermark, which leaves room for the longest window, so
+    that a window's state goes once it has been over for the delay and that length.
     """
     allowed, length = F.lit(default_max), F.lit(seconds)
     for client, (most, own) in limits.items():
         allowed = F.when(F.col("client") == client, F.lit(most)).otherwise(allowed)
         length = F.when(F.col("client") == client, F.lit(own)).otherwise(length)
-    common = lcm(seconds, *(own for _, own in limits.values()))
     since = F.unix_seconds("ts")
-    start = F.timestamp_seconds(since - F.pmod(since, length)).alias("window_start")
-    counts = requests.groupBy(F.window("ts", f"{common} seconds"), start, "client").agg(F.count("*").alias("n"))
+    start = since - F.pmod(since, length)
+    rows = requests.select("client", F.timestamp_seconds(start).alias("window_start"), F.timestamp_seconds(start + length).alias("window_end"))
+    if delay is not None:
+        longest = max([seconds, *(own for _, own in limits.values())])
+        rows = rows.withWatermark("window_end", f"{delay} {longest} seconds")
+    counts = rows.groupBy("window_end", "window_start", "client").agg(F.count("*").alias("n"))
     return counts.select("window_start", "client", "n", (F.col("n") > allowed).alias("over_limit"))
 
 
@@ -237,9 +239,10 @@ def stream_request_rate(
     default_max: int = 1,
     available_now: bool = True,
 ) -> StreamingQuery:
-    """Keep the request counts of every window; requests later than ``delay`` are not counted.
+    """Keep the request counts of every window; requests later than ``delay`` may not be counted.
 
-    :func:`late_rows` tells how many those were.
+    A request is left out if its window ended more than ``delay`` and the longest window before the end of the
+    newest one. :func:`late_rows` tells how many those were.
 
     Counts are written as they change, so the last windows are there before the watermark passes
     them; :func:`read_request_rate` takes the newest count of each window.
@@ -247,7 +250,7 @@ def stream_request_rate(
     spark = requests.sparkSession
     out = f"{folder}/rate"
     _start_empty(spark, out, RATE)
-    counted = request_rate(requests.withWatermark("ts", delay), limits, seconds, default_max)
+    counted = request_rate(requests, limits, seconds, default_max, delay)
 
     def step(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(_folder(out, batch_id))

@@ -136,3 +136,19 @@ def test_rate_counts_across_batches_and_drops_late_rows(spark, tmp_path):
     # The row at 3 s is later than the delay allows; the one at 190 s is not.
     assert counts() == {0: (3, True), 15: (1, False), 180: (1, False), 195: (2, False)}
     assert sum(late) == 1
+
+
+def test_rate_keeps_state_for_the_longest_window_only(spark, tmp_path):
+    """Lengths without a common factor: what is over goes, it is not kept for a common multiple of them."""
+    source, out = str(tmp_path / "in"), str(tmp_path / "out")
+    start, held = datetime(2024, 1, 1), []
+    for step in range(4):
+        data = [(c, start + timedelta(seconds=4_000 * step + s)) for c in ("a", "b", "other") for s in range(0, 600, 7)]
+        spark.createDataFrame(data, "client string, ts timestamp").coalesce(1).write.mode("append").parquet(source)
+        stream = spark.readStream.schema("client string, ts timestamp").parquet(source)
+        query = jobs.stream_request_rate(stream, out, {"a": (1, 599), "b": (1, 601)}, 7, delay="10 seconds")
+        query.awaitTermination()
+        held.append(max(state["numRowsTotal"] for p in query.recentProgress for state in p["stateOperators"]))
+    assert max(held[2:]) <= 2 * max(held[:2])
+    got = jobs.read_request_rate(spark, out)
+    assert got.agg(F.sum("n")).first()[0] == 4 * 3 * len(range(0, 600, 7))
