@@ -7,27 +7,38 @@ inside any occurrence of a window is hit.
 A null or empty text has no words. Items without words have no windows; an item_id given twice counts once; a
 null item_id counts as an item named by the empty string. Documents are treated row by row, whole, so repeated
 rows get equal results; an empty table gives an empty result; only the named columns are read, and
-``decontaminate`` keeps all others as they are. The hash set goes to every task, so the benchmark is taken in
-blocks of bounded bytes: beyond one block, documents pass through one narrow step for each block.
+``decontaminate`` keeps all others as they are.
+
+The hash set goes to every task, so the benchmark is taken in blocks of a bounded number of windows. Spark builds
+them as arrays, sorted hashes over packed words; the driver and a task hold one block. Beyond one block, the
+documents are read once for each: what the blocks but the last find is written, by two hashes of the text, and
+joined to the documents before the last step.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+from collections.abc import Iterator
+from functools import reduce
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sheaf.llm.common import fresh, map_pieces, map_rows, pa_schema, query, table
-from sheaf.llm.hashing import covered, pack_words, prefix, runs, span_hashes
+from sheaf.llm.common import fresh, map_pieces, map_rows, own_columns, pa_schema, query, stored, table
+from sheaf.llm.hashing import covered, pack_words, prefix, runs, scan_words, span_hashes
+from sheaf.session import lookup_side
 
 WINDOW = 10
-# Benchmark text that one hash set is made of.
-BLOCK_BYTES = 16_000_000
+# Windows of the benchmark that one hash set is made of: about 30 bytes each, and 32 MB for a filter before it.
+BLOCK_WINDOWS = 4_000_000
+# Windows of a part of a long item, and bytes of parts that are hashed at a time.
+PART_WINDOWS = 10_000
+CHUNK_BYTES = 2_000_000
 
 WORD_BYTES = bytes(range(0x30, 0x3A)) + bytes(range(0x61, 0x7B)) + bytes(range(0x80, 0x100))
 NORMAL = bytes(b + 32 if 0x41 <= b <= 0x5A else b if b in WORD_BYTES else 0x20 for b in range(256))
@@ -39,35 +50,110 @@ def words_of(text: str | None) -> list[bytes]:
 
 
 class Grams(NamedTuple):
-    """The windows of one length: hashes in order, with words and items side by side."""
+    """The windows of one length in one block: entries (window, item) in the order of the windows' hashes."""
 
     size: int
-    hashes: np.ndarray
-    words: list[bytes]
-    items: list[tuple[str, ...]]
+    hashes: np.ndarray  # uint64
+    starts: np.ndarray  # uint32, of the window in data
+    owners: np.ndarray  # uint32, the number of the item in names
+    data: bytes  # words joined by one space, a line feed after each part
+    names: list[str]
     seen: np.ndarray  # by the low bits of a hash: may it be there?
 
 
-SEEN_BITS = 22
+def slots(hashes: np.ndarray, seen: int) -> np.ndarray:
+    return hashes & np.uint64(seen - 1)
 
 
-def index_items(items: list[tuple[str, str | None]], window: int = WINDOW) -> list[Grams]:
-    by_size: dict[int, dict[bytes, set[str]]] = {}
-    for item, text in items:
-        words = words_of(text)
-        size = min(window, len(words))
-        for at in range(len(words) - size + 1 if size else 0):
-            by_size.setdefault(size, {}).setdefault(b" ".join(words[at : at + size]), set()).add(item)
-    out = []
-    for size, grams in sorted(by_size.items()):
-        packed = pack_words([g.split(b" ") for g in grams])
-        hashes = span_hashes(prefix(packed.buffer), packed.starts[packed.first[:-1]], packed.ends[packed.first[1:] - 1])
-        order = np.argsort(hashes, kind="stable")
-        seen = np.zeros(1 << SEEN_BITS, bool)
-        seen[hashes & np.uint64((1 << SEEN_BITS) - 1)] = True
-        texts, owners = list(grams), [tuple(sorted(i)) for i in grams.values()]
-        out.append(Grams(size, hashes[order], [texts[k] for k in order], [owners[k] for k in order], seen))
-    return out
+def part_rows(item: str, text: str | None, window: int) -> Iterator[tuple[str, int, int, bytes]]:
+    """(item, size, n_windows, words) of an item's parts, which have each of its windows once."""
+    words = words_of(text)
+    size = min(window, len(words))
+    for at in range(0, len(words) - size + 1 if size else 0, PART_WINDOWS):
+        part = words[at : at + PART_WINDOWS + size - 1]
+        yield item, size, len(part) - size + 1, b" ".join(part)
+
+
+def entries(size: int, items: list[str], parts: list[bytes]) -> dict:
+    """The columns of an index row, for parts of one size; an item's equal windows are one entry.
+
+    Windows are told apart by 128 bits here; what a document is compared with are the words themselves.
+    """
+    names = sorted(set(items))
+    number = {name: k for k, name in enumerate(names)}
+    found, offset, at = [], 0, 0
+    while at < len(parts):
+        end, room = at + 1, CHUNK_BYTES - len(parts[at])
+        while end < len(parts) and len(parts[end]) <= room:
+            room -= len(parts[end])
+            end += 1
+        packed = scan_words(b"".join(p + b"\n" for p in parts[at:end]))
+        first = packed.windows(size)
+        starts, ends = packed.starts[first], packed.ends[first + size - 1]
+        owner = np.array([number[i] for i in items[at:end]], np.uint32)[packed.text[first]]
+        both = (span_hashes(prefix(packed.buffer, seed), starts, ends) for seed in (0, 1))
+        found.append((*both, owner, (starts + offset).astype(np.uint32)))
+        offset += len(packed.data)
+        at = end
+    hashes, others, owners, starts = (np.concatenate(column) for column in zip(*found))
+    order = np.lexsort((owners, others, hashes))
+    hashes, others, owners, starts = hashes[order], others[order], owners[order], starts[order]
+    new = np.ones(len(hashes), bool)
+    new[1:] = (hashes[1:] != hashes[:-1]) | (others[1:] != others[:-1]) | (owners[1:] != owners[:-1])
+    columns = {"hashes": hashes, "starts": starts, "owners": owners}
+    data = b"".join(p + b"\n" for p in parts)
+    return {"size": size, "data": data, "names": names} | {c: v[new].tobytes() for c, v in columns.items()}
+
+
+def grams_of(row: dict) -> Grams:
+    hashes = np.frombuffer(row["hashes"], np.uint64)
+    seen = np.zeros(1 << min(25, max(16, (64 * len(hashes)).bit_length())), bool)
+    seen[slots(hashes, len(seen))] = True
+    starts, owners = (np.frombuffer(row[c], np.uint32) for c in ("starts", "owners"))
+    return Grams(row["size"], hashes, starts, owners, bytes(row["data"]), list(row["names"]), seen)
+
+
+PARTS = "item string, size int, n_windows long, words binary"
+INDEX = "block int, size int, hashes binary, starts binary, owners binary, data binary, names array<string>"
+
+
+def index_blocks(
+    benchmark: DataFrame, window: int = WINDOW, item_id: str = "item_id", text: str = "text", block_windows: int = BLOCK_WINDOWS
+) -> Iterator[list[Grams]]:
+    """The index of the benchmark's windows, block by block of about ``block_windows``, each made in one task.
+
+    A long item is cut into parts, which may lie in different blocks.
+    """
+    rows = benchmark.select(F.coalesce(F.col(item_id).cast("string"), F.lit("")).alias("item"), F.col(text).alias("text"))
+
+    def cut(part):
+        made = [r for i, t in zip(part["item"].to_pylist(), part["text"].to_pylist()) for r in part_rows(i, t, window)]
+        return dict(zip(("item", "size", "n_windows", "words"), zip(*made))) if made else None
+
+    parts = stored(map_pieces(rows, cut, PARTS), "leak_parts")
+    total = parts.agg(F.sum("n_windows")).first()[0] or 0
+    blocks = -(-total // block_windows)
+    types = pa_schema(benchmark.sparkSession, INDEX)
+
+    def build(group):
+        by_size: dict[int, tuple[list, list]] = {}
+        for batch in group.to_batches():
+            for item, size, words in zip(*(batch.column(c).to_pylist() for c in ("item", "size", "words"))):
+                items, texts = by_size.setdefault(size, ([], []))
+                items.append(item)
+                texts.append(words)
+        block = group.column("block")[0].as_py()
+        made = [{"block": block} | entries(size, *own) for size, own in sorted(by_size.items())]
+        return pa.Table.from_pylist(made, schema=types)
+
+    block = F.pmod(F.xxhash64("item", "words"), F.lit(blocks)).cast("int").alias("block")
+    index = None
+    if blocks:
+        index = parts.select("item", "size", "words", block).groupBy("block").applyInArrow(build, INDEX)
+        if blocks > 1:
+            index = stored(index, "leak_index")
+    for k in range(blocks):
+        yield [grams_of(row.asDict()) for row in index.where(F.col("block") == k).collect()]
 
 
 def find(texts: list[str | None], index: list[Grams]) -> tuple[np.ndarray, list[np.ndarray], list[set[str]]]:
@@ -81,41 +167,66 @@ def find(texts: list[str | None], index: list[Grams]) -> tuple[np.ndarray, list[
         if not len(at):
             continue
         hashes = span_hashes(sums, packed.starts[at], packed.ends[at + grams.size - 1])
-        may = np.flatnonzero(grams.seen[hashes & np.uint64((1 << SEEN_BITS) - 1)])
+        may = np.flatnonzero(grams.seen[slots(hashes, len(grams.seen))])
         at, hashes = at[may], hashes[may]
         low = np.searchsorted(grams.hashes, hashes, side="left")
         there = low < len(grams.hashes)
         there[there] = grams.hashes[low[there]] == hashes[there]
-        for word, k in zip(at[there].tolist(), low[there].tolist()):
+        at, low = at[there], low[there]
+        high = np.searchsorted(grams.hashes, hashes[there], side="right")
+        known: dict[tuple[int, bytes], bool] = {}
+        for word, k, end in zip(at.tolist(), low.tolist(), high.tolist()):
             own = packed.data[packed.starts[word] : packed.ends[word + grams.size - 1]]
-            same = grams.hashes[k]
-            while k < len(grams.words) and grams.hashes[k] == same:  # equal hashes, if ever, lie side by side
-                if grams.words[k] == own:
-                    text = int(packed.text[word])
-                    start = word - int(packed.first[text])
-                    spans[text].append((start, start + grams.size))
-                    items[text].update(grams.items[k])
-                    break
-                k += 1
+            text = int(packed.text[word])
+            if (text, own) not in known:
+                same = [e for e in range(k, end) if same_words(grams, e, own)]
+                known[text, own] = bool(same)
+                items[text].update(grams.names[grams.owners[e]] for e in same)
+            if known[text, own]:
+                start = word - int(packed.first[text])
+                spans[text].append((start, start + grams.size))
     return packed.counts(), [np.array(s, np.int64).reshape(-1, 2) for s in spans], items
 
 
-def item_blocks(benchmark: DataFrame, item_id: str, text: str, block_bytes: int):
-    """The benchmark's rows, block by block; a block has about ``block_bytes`` bytes of text."""
-    rows = benchmark.select(F.coalesce(F.col(item_id).cast("string"), F.lit("")).alias("item"), F.col(text).alias("text"))
-    total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = max(1, -(-total // block_bytes))
-    for k in range(blocks):
-        part = rows.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == k) if blocks > 1 else rows
-        yield [(r["item"], r["text"]) for r in part.collect()]
+def same_words(grams: Grams, entry: int, own: bytes) -> bool:
+    start = int(grams.starts[entry])
+    end = start + len(own)
+    return grams.data[start:end] == own and grams.data[end] in b" \n"
 
 
 FOUND = "struct<n_words: bigint, hit_from: array<bigint>, hit_to: array<bigint>, items: array<string>>"
 
 
+def found_in(texts: list[str | None], index: list[Grams], before: list[list[dict] | None]) -> list[dict]:
+    """Per text what ``FOUND`` says, joined with what was found in it before."""
+    out = []
+    for (n, own, names), earlier in zip(zip(*find(texts, index)), before):
+        for one in earlier or ():
+            own = np.concatenate((own, np.array([one["hit_from"], one["hit_to"]], np.int64).T))
+            names = names | set(one["items"])
+        start, end = runs(covered(int(n), own[:, 0], own[:, 1])) if len(own) else ((), ())
+        out.append({"n_words": int(n), "hit_from": list(map(int, start)), "hit_to": list(map(int, end)), "items": sorted(names)})
+    return out
+
+
+def hits_of(docs: DataFrame, text: str, index: Broadcast, block: int) -> DataFrame:
+    """Two hashes of each text that has hits in a block, and what was found."""
+    own = F.col("`" + text.replace("`", "``") + "`")
+    keyed = docs.select(own.alias("text"), F.xxhash64(own).alias("a"), F.xxhash64(own, F.lit(1)).alias("b"))
+
+    def search(part):
+        texts = part["text"].to_pylist()
+        found = found_in(texts, index.value, [None] * len(texts))
+        hit = [k for k, one in enumerate(found) if one["items"]]
+        columns = {c: part[c].take(pa.array(hit, pa.int64())) for c in ("a", "b")}
+        return columns | {"found": [found[k] for k in hit]} if hit else None
+
+    return map_pieces(keyed, search, f"a long, b long, found {FOUND}").withColumn("block", F.lit(block))
+
+
 def find_leaks(
     docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, text: str = "text", item_id: str = "item_id",
-    item_text: str = "text", block_bytes: int = BLOCK_BYTES, name: str = "leak",
+    item_text: str = "text", block_windows: int = BLOCK_WINDOWS, name: str = "leak",
 ) -> DataFrame:
     """All rows and columns of ``docs`` and a struct called ``name``: n_words, hit_from, hit_to, items.
 
@@ -124,25 +235,32 @@ def find_leaks(
     if name.lower() in (c.lower() for c in docs.columns):
         raise ValueError(f"there is a column {name} already")
     spark = docs.sparkSession
-    out = docs.withColumn(name, F.lit(None).cast(FOUND))
+    index, hits = spark.sparkContext.broadcast([]), []
+    for k, grams in enumerate(index_blocks(benchmark, window, item_id, item_text, block_windows)):
+        if k:  # the block before this one is not the last
+            hits.append(stored(hits_of(docs, text, index, k), "leak_hits"))
+        index.destroy()
+        index = spark.sparkContext.broadcast(grams)
+    out = docs.withColumn(name, F.lit(None).cast(f"array<{FOUND}>"))
+    if hits:
+        out = with_earlier(docs, text, name, reduce(DataFrame.unionAll, hits))
     at = docs.columns.index(text)
     kind = pa_schema(spark, f"leak {FOUND}").field(0).type
-    for rows in item_blocks(benchmark, item_id, item_text, block_bytes):
-        index = spark.sparkContext.broadcast(index_items(rows, window))
-
-        def search(part, index=index):
-            counts, spans, items = find(part.column(at).to_pylist(), index.value)
-            found = []
-            for n, own, names, before in zip(counts.tolist(), spans, items, part.columns[-1].to_pylist()):
-                if before:
-                    earlier = np.array([before["hit_from"], before["hit_to"]], np.int64).T
-                    own, names = np.concatenate((own, earlier)), names | set(before["items"])
-                start, end = runs(covered(n, own[:, 0], own[:, 1])) if len(own) else ((), ())
-                found.append({"n_words": n, "hit_from": list(map(int, start)), "hit_to": list(map(int, end)), "items": sorted(names)})
-            return [*part.columns[:-1], pa.array(found, kind)]
-
-        out = map_rows(out, search)
-    return out
+
+    def search(part, index=index):
+        return [*part.columns[:-1], pa.array(found_in(part.column(at).to_pylist(), index.value, part.columns[-1].to_pylist()), kind)]
+
+    return map_rows(out, search, docs.withColumn(name, F.lit(None).cast(FOUND)))
+
+
+def with_earlier(docs: DataFrame, text: str, name: str, hits: DataFrame) -> DataFrame:
+    """``docs`` and what earlier blocks found in a row's text, if anything."""
+    once = hits.dropDuplicates(["a", "b", "block"]).groupBy("a", "b").agg(F.collect_list("found").alias("found"))
+    a, b, found = fresh(docs, "leak_a", "leak_b", "leak_found")
+    own = F.col("`" + text.replace("`", "``") + "`")
+    keyed = docs.withColumns({a: F.xxhash64(own), b: F.xxhash64(own, F.lit(1))})
+    joined = keyed.join(lookup_side(once.toDF(a, b, found)), [a, b], "left")
+    return joined.select(*own_columns(docs), F.col(found).alias(name))
 
 
 def without_spans(text: str, hit_from: list[int], hit_to: list[int]) -> str:

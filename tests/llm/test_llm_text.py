@@ -37,16 +37,38 @@ def item_table(spark, items=ITEMS):
     return spark.createDataFrame(items, "item_id long, text string")
 
 
-@pytest.mark.parametrize("block_bytes", [leaks.BLOCK_BYTES, 40])
-def test_leaks(spark, block_bytes):
+@pytest.mark.parametrize("block_windows", [leaks.BLOCK_WINDOWS, 5])
+def test_leaks(spark, block_windows):
     rows = awkward_rows()
-    got = leaks.leak_digest(awkward(spark), item_table(spark), block_bytes=block_bytes).collect()
+    got = leaks.leak_digest(awkward(spark), item_table(spark), block_windows=block_windows).collect()
     want = [
         (doc, n, hit, len(names), sha(",".join(names)), hit > 0) for (doc, _), (n, hit, names) in zip(rows, plain_leaks(rows, ITEMS))
     ]
     assert ordered(got) == ordered(want)
 
 
+def test_leaks_of_long_items(spark, monkeypatch):
+    """Windows over the border of two parts, in any block; a window of many items; a text of many rows."""
+    monkeypatch.setattr(leaks, "PART_WINDOWS", 7)
+    long = " ".join(f"w{k}" for k in range(200))
+    items = [(1, long), (2, long), (3, " ".join(f"w{k}" for k in range(100, 120))), (4, "one two"), (5, "w5 " * 40)]
+    rows = [(k, " ".join(f"w{j}" for j in range(k, k + 12))) for k in range(0, 200, 3)]
+    rows += [(500 + k, "a one two b") for k in range(50)] + [(600, None), (601, "w5 " * 11), (602, "w5 " * 9), (603, "one twofold")]
+    want = [(d, n, hit, len(names), hit > 0) for (d, _), (n, hit, names) in zip(rows, plain_leaks(rows, items))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for windows in (leaks.BLOCK_WINDOWS, 60):
+        got = leaks.leak_digest(docs, item_table(spark, items), block_windows=windows).drop("items_sha256")
+        assert ordered(got.collect()) == ordered(want)
+
+
+def test_leaks_bounded(spark):
+    """A block has about as many windows as it was told to, whatever the items are like."""
+    text = " ".join(f"w{k}" for k in range(60_000))
+    blocks = list(leaks.index_blocks(item_table(spark, [(1, text), (2, "a b c")]), block_windows=20_000))
+    sizes = [sum(len(grams.hashes) for grams in block) for block in blocks]
+    assert sum(sizes) == 59_992 and len(blocks) == 3 and max(sizes) <= 40_000
+
+
 def test_leaks_removed(spark):
     rows, docs = awkward_rows(), awkward(spark)
     hit = [w[1] > 0 for w in plain_leaks(rows, ITEMS)]
