@@ -20,6 +20,7 @@ from sheaf.operators.ledger import failure_rows, ledger_rows
 from sheaf.plans import manifest as m
 from sheaf.schemas import PUBLICATION, STATUS, VERSION_EVENT
 from sheaf.session import durable, scratch
+from sheaf.sinks import packs
 from sheaf.sinks import status as status_sink
 from sheaf.sinks import tables as sinks
 from sheaf.sinks import version_log
@@ -207,6 +208,33 @@ def write_payloads(spark, sf):
     )
 
 
+def _packed(spark, sf):
+    """All payloads; then every fifth again, with what replaces them; the first packs compacted."""
+    root = scratch(spark, "packs")
+    path, again = paths.storage_path(F.col("uuid")).alias("path"), F.expr("line_no % 5 = 0")
+    for batch, (rows, head) in enumerate(((a.status(spark, sf), "%PDF-"), (a.status(spark, sf).where(again), "%PDF-2 "))):
+        packs.append_packs(rows.select(path, F.concat(F.lit(head), "doi").cast("binary").alias("content")), root, batch)
+        packs.compact_packs(spark, root, 1 << 20)
+    packs.vacuum_packs(spark, root)
+    return root
+
+
+PACKED = f"""select {path_of('uuid')} as path, case when line_no % 5 = 0 then concat('%PDF-2 ', doi) else concat('%PDF-', doi) end as body
+from status"""
+
+
+@query("write_packs", statement(PACKED, "status"))
+def write_packs(spark, sf):
+    return packs.scan_packs(spark, _packed(spark, sf)).select("path", F.decode("content", "utf-8").alias("body"))
+
+
+@query("read_packed", statement(f"{PACKED} where uuid like 'a%'", "status"))
+def read_packed(spark, sf):
+    wanted = a.status(spark, sf).where(F.col("uuid").startswith("a")).select(paths.storage_path(F.col("uuid")).alias("path"))
+    found = packs.read_packed(spark, _packed(spark, sf), wanted)
+    return found.select("path", F.decode("content", "utf-8").alias("body"))
+
+
 @query("write_checkpoints", statement(
     " union all ".join(f"select '{n}' as class, doi from classed where {n}" for n in c.CLASSES), "classed"))
 def write_checkpoints(spark, sf):
