@@ -204,6 +204,60 @@ def test_models_converge(spark):
     assert model.summary.totalIterations < model.getMaxIter() and np.abs(slope).max() < 2e-4
 
 
+def newton(x, y, penalty=1e-3):
+    """Weights and intercept of a logistic regression whose penalty is on weights times deviations."""
+    deviation = x.std(axis=0, ddof=1)
+    z = np.column_stack((x[:, deviation > 0] / deviation[deviation > 0], np.ones(len(x))))
+    ridge, w = np.full(z.shape[1], penalty), np.zeros(z.shape[1])
+    ridge[-1] = 0
+    for _ in range(60):
+        p = 1 / (1 + np.exp(-z @ w))
+        bend = z.T @ (z * (p * (1 - p))[:, None]) / len(y) + np.diag(ridge)
+        w = w - np.linalg.solve(bend, z.T @ (p - y) / len(y) + ridge * w)
+    out = np.zeros(x.shape[1])
+    out[deviation > 0] = w[:-1] / deviation[deviation > 0]
+    return out, w[-1]
+
+
+def test_chain_by_hand(spark):
+    """The chain again in numpy: the second model sees what models of other folds say of a row."""
+    own = random.Random(9)
+    rows, truth = [], []
+    for k in range(600):
+        junk, toxic = own.random() < 0.4, own.random() < 0.3
+        words = own.choices("calm river stone light".split(), k=6)
+        words += [w for w, odds in (("spam", 0.7), ("offer", 0.5)) if own.random() < (odds if junk else 0.15)]
+        words += [w for w, odds in (("vile", 0.6), ("rotten", 0.5), ("offer", 0.4)) if own.random() < (odds if toxic else 0.1)]
+        rows.append((k, " ".join([*words, f"x{k}"])))
+        truth.append((k, int(not junk), int(toxic), 7, 8, 9))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame(truth, "doc_id long, quality int, toxic int, junk int, fold int, same int")
+    names = ["junk", "toxic"]
+    sample = toxicity.labelled_sample(docs, labels, toxicity.CATEGORIES, "doc_id", "text", 1000)
+    vocabulary = toxicity.telling_words(sample, names, toxicity.WORDS_EACH)
+    assert {"spam", "vile"} <= set(vocabulary)
+    taught = sample.collect()
+    assert len(taught) == len(rows)
+
+    def bags(texts):
+        return np.array([[float(w in toxicity.words_of(t)) for w in vocabulary] for t in texts])
+
+    x, folds = bags([r["text"] for r in taught]), np.array([r["fold"] for r in taught])
+    junk, toxic = (np.array([r[n] for r in taught]) for n in names)
+    apart = np.zeros(len(x))
+    for fold in set(folds.tolist()):
+        w, b = newton(x[folds != fold], junk[folds != fold])
+        apart[folds == fold] = 1 / (1 + np.exp(-(x[folds == fold] @ w + b)))
+    w1, b1 = newton(x, junk)
+    w2, b2 = newton(np.column_stack((x, apart)), toxic)
+    z = bags([t for _, t in rows])
+    first = 1 / (1 + np.exp(-(z @ w1 + b1)))
+    last = 1 / (1 + np.exp(-(np.column_stack((z, first)) @ w2 + b2)))
+    got = {r["doc_id"]: r for r in toxicity.toxicity(docs, toxicity.train_chain(docs, labels)).collect()}
+    assert max(abs(got[k]["p_junk"] - first[k]) for k, _ in rows) < 2e-3
+    assert max(abs(got[k]["p_toxic"] - last[k]) for k, _ in rows) < 2e-3
+
+
 def test_labels_in_part(spark):
     rows, truth = toxic_rows(spark)
     docs = awkward(spark, rows)
