@@ -95,7 +95,11 @@ def latest_versions(events: DataFrame) -> DataFrame:
 
 def apply_versions(status: DataFrame, events: DataFrame) -> DataFrame:
     """The whole status table with version events folded in."""
-    newest = latest_versions(events)
+    return with_versions(status, latest_versions(events))
+
+
+def with_versions(status: DataFrame, newest: DataFrame) -> DataFrame:
+    """The whole status table with folded events, one row per uuid, in the place of older versions."""
     columns = [
         F.coalesce(f"new_{c.removesuffix('_version')}", c).alias(c) if c in VERSION_COLUMNS else F.col(c)
         for c in status.columns
