@@ -12,7 +12,10 @@ An empty table gives an empty result, and other columns are not read. A conversa
 order of its turns through one task, since what it is read back for (a digest) is sequential, but never
 held whole: output comes in chunks of turns, and of a long conversation only as many turns are rendered
 anew as the template may look back. For a template that may look back without bound (``memory=None``) all
-earlier turns of the open conversation are kept.
+earlier turns of the open conversation are kept. A template that declares how far it looks back is held to it: the
+first 32 turns are rendered as whole prefixes, and whenever turns are forgotten, the next turn is rendered with and
+without them; 32 turns are held for that before each power of two, eight more than declared elsewhere. A difference
+fails the job. What a template shows of turns further back than those held, or only at other turns, is not found.
 """
 
 from __future__ import annotations
@@ -98,30 +101,49 @@ def common_prefix(a: str, b: str) -> int:
     return low
 
 
+# Turns held beyond what the template needs, and those held where its declaration is put to the test.
+HELD, TESTED = 8, 32
+
+
 class Renderer:
     """The open conversation: the turns that may matter to the next one, and their rendering."""
 
     def __init__(self, template: Template, role_mask: str = "assistant"):
         self.template, self.mask = template, role_mask
         self.turns: list[tuple[str, str]] = []
-        self.out = ""
+        self.out, self.count = "", 0
+
+    def span(self, before: str, turns: list[tuple[str, str]], turn: tuple[str, str]) -> tuple[str, int, str]:
+        """The rendering with one turn more, where it parts from the one before, and what comes after."""
+        out = self.template.render([*turns, turn])
+        since = len(before) if out.startswith(before) else common_prefix(before, out)
+        return out, since, out[since:]
+
+    def room(self) -> int:
+        # The first 32 turns are rendered as whole prefixes, and 32 turns before each power of two are held together.
+        start = self.count < TESTED or (self.count + TESTED).bit_length() > self.count.bit_length()
+        return TESTED if start else HELD
+
+    def trim(self, turn: tuple[str, str]) -> None:
+        """Forget turns the template cannot look back to, now and then, so that prefixes stay short.
 
-    def trim(self) -> None:
-        """Forget turns the template cannot look back to, now and then, so that prefixes stay short."""
+        The declaration is tested each time: the next turn must add the same with and without the turns that go.
+        """
         memory = self.template.memory
-        if memory is not None and len(self.turns) >= 2 * memory + 8:
-            self.turns = self.turns[len(self.turns) - memory :]
-            self.out = self.template.render(self.turns) if self.turns else ""
+        if memory is None or len(self.turns) < 2 * memory + self.room():
+            return
+        kept = self.turns[len(self.turns) - memory :]
+        short = self.template.render(kept) if kept else ""
+        if self.span(self.out, self.turns, turn)[2] != self.span(short, kept, turn)[2]:
+            raise ValueError(f"the template looks back further than the {memory} turns it declares, at turn {self.count}")
+        self.turns, self.out = kept, short
 
     def add(self, role: str, text: str) -> tuple[str, int, int, bool]:
         """What the turn adds, where in it its own text starts and ends, and whether history was rewritten."""
-        self.trim()
+        self.trim((role, text))
         render = self.template.render
-        before, turns = self.out, [*self.turns, (role, text)]
-        out = render(turns)
-        rewritten = not out.startswith(before)
-        since = common_prefix(before, out) if rewritten else len(before)
-        span = out[since:]
+        out, since, span = self.span(self.out, self.turns, (role, text))
+        rewritten = since < len(self.out)
         first, second = (render([*self.turns, (role, probe)]) for probe in PROBES)
         head = common_prefix(first, second) - since
         tail = len(first) - since - head - 1
@@ -130,7 +152,7 @@ class Renderer:
             start = end = -1
         else:
             start, end = head, head + len(own)
-        self.turns, self.out = turns, out
+        self.turns, self.out, self.count = [*self.turns, (role, text)], out, self.count + 1
         return span, start, end, rewritten
 
 
@@ -241,15 +263,14 @@ def with_probe(conversations: DataFrame) -> DataFrame:
     return columns.union(probe)
 
 
-MARKS = r"\|turn\|>|\|end\|>|\|im_start\|>|\|im_end\|>|/?s>|/?INST\]|/?SYS>"
 SQL = rf"""
 with t as (
   select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
   union all select -1, 0, 'user', '{PROBE_TEXT}' union all select -1, 1, 'assistant', '{PROBE_TEXT}'
 ), e as (
   -- a control string takes one more backslash
-  select *, length(text) + len(regexp_extract_all(text, '[<\[]\\*(?:{MARKS})')) as shown,
-         length(replace(replace(role, '%', '%25'), chr(10), '%0A')) + len(regexp_extract_all(role, '[<\[]\\*(?:{MARKS})')) as named
+  select *, length(text) + len(regexp_extract_all(text, '[<\[]\\*(?:{CONTROL})')) as shown,
+         length(replace(replace(role, '%', '%25'), chr(10), '%0A')) + len(regexp_extract_all(role, '[<\[]\\*(?:{CONTROL})')) as named
   from t
 )
 select conv_id, cast(count(*) as bigint) as n_turns,

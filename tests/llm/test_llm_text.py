@@ -118,6 +118,44 @@ def test_chat(spark):
     assert chat.read_back(chat.format_conversations(table.limit(0))).count() == 0
 
 
+def test_a_template_that_lies_about_its_memory(spark):
+    turns = [("assistant" if k % 2 else "user", f"text {k}") for k in range(300)]
+
+    def counted(given):  # the number of a turn depends on all before it
+        return "".join(f"{k}[{role}] {text}\n" for k, (role, text) in enumerate(given))
+
+    def looks_back(given):  # a turn names the one three before it
+        return "".join(f"[{role}] {text} <{given[k - 3][1] if k >= 3 else ''}>\n" for k, (role, text) in enumerate(given))
+
+    def run(render, memory, n):
+        renderer = chat.Renderer(chat.Template(render, memory, lambda t: t))
+        return "".join(renderer.add(*turn)[0] for turn in turns[:n]), len(renderer.turns)
+
+    for render, memory in ((counted, 0), (counted, 5), (looks_back, 0), (looks_back, 2)):
+        assert run(render, memory, 32)[0] == render(turns[:32])
+        with pytest.raises(ValueError, match="looks back further"):
+            run(render, memory, 300)
+    text, held = run(looks_back, 3, 300)
+    assert text == looks_back(turns) and held < 20
+    assert run(counted, None, 300) == (counted(turns), 300)
+
+
+def test_a_rewrite_of_an_earlier_chunk(spark):
+    """The answer far back changes when the last turn comes: the chunk that brings it is marked, and the conversation."""
+
+    def render(given):
+        told = any(text == "forget" for _, text in given)
+        return "".join(f"[{role}] {'' if told and k == 1 else text}\n" for k, (role, text) in enumerate(given))
+
+    rows = [(1, k, "assistant" if k % 2 else "user", "forget" if k == 150 else f"t{k}") for k in range(152)]
+    table = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    chunks = chat.format_conversations(table, chat.Template(render, escape=lambda t: t)).orderBy("chunk").collect()
+    assert [c["rewrites"] for c in chunks] == [False, False, True]
+    assert [s["text_start"] >= 0 for c in chunks for s in c["spans"]] == [k != 150 for k in range(152)]
+    whole = chat.read_back(chat.format_conversations(table, chat.Template(render, escape=lambda t: t)))
+    assert [r["rewrites"] for r in whole.collect()] == [True]
+
+
 def test_templates_as_black_boxes(spark):
     turns = [("user", "hello"), ("assistant", "hello there"), ("user", "hello"), ("assistant", "bye")]
 
