@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sheaf.functions.paths import SERVICE_SUFFIX
+from sheaf.sources import listing
 
 
 def scan_objects(spark: SparkSession, inventory: str, prefix: str = "") -> DataFrame:
@@ -38,8 +39,12 @@ def scan_payloads(spark: SparkSession, folder: str, glob: str = "*") -> DataFram
 def scan_service_outputs(spark: SparkSession, folder: str) -> DataFrame:
     """``(path, body)`` of the output files of all services, one row per file.
 
-    GROBID bodies are not needed to know a version, so those files are listed but not read.
+    GROBID bodies are not needed to know a version, so those files are listed but not read. Tasks list and read, see
+    :mod:`sheaf.sources.listing`; where only Hadoop knows the file system, Spark's readers list on the driver.
     """
+    if listing.reachable(folder):
+        files = listing.read_service_outputs(spark, folder)
+        return files.select(F.concat(F.lit(folder.rstrip("/") + "/"), "path").alias("path"), "body")
     parts = []
     for service, suffix in SERVICE_SUFFIX.items():
         reader = spark.read.option("pathGlobFilter", f"*{suffix}").option("recursiveFileLookup", True)
