@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from checks import adapters as a
+from checks.files import in_parts
 from checks.registry import query
 from checks.sql import path_of, statement
 from checks.status_queries import APPLIED, NOW, TS, _COLUMNS, _plain
@@ -158,21 +159,12 @@ def export_status_csv(spark, sf):
 
 @query("scan_service_outputs", statement("select path, uuid, service, version from outputs", "outputs"))
 def scan_service_outputs(spark, sf):
-    folder = scratch(spark, "outputs")
+    def read(folder):
+        found = b.output_versions(obj.scan_service_outputs(spark, folder), "0.8.9")
+        return found.withColumn("path", F.substring_index("path", folder.removeprefix("file:") + "/", -1))
 
-    def write(rows):
-        # Real files under the names the services give them; the queries run on one machine.
-        import os
-
-        for row in rows:
-            path = f"{folder.removeprefix('file:')}/{row.path}"
-            os.makedirs(os.path.dirname(path), exist_ok=True)
-            with open(path, "w") as file:
-                file.write(row.body)
-
-    a.outputs(spark, sf).foreachPartition(write)
-    found = b.output_versions(obj.scan_service_outputs(spark, folder), "0.8.9")
-    return found.withColumn("path", F.substring_index("path", folder.removeprefix("file:") + "/", -1))
+    outputs = a.outputs(spark, sf).select("path", F.encode("body", "utf-8").alias("content"))
+    return in_parts(spark, outputs, "outputs", read)
 
 
 @query("scan_objects", statement("select path from objects where starts_with(path, 'publication/a')", "objects"))

@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import functions as F
 
 from checks import adapters as a
 from checks.coverage_queries import BY_DOI, PUBLISHERS, TOTALS
+from checks.files import in_parts
 from checks.registry import query
 from checks.sql import path_of, statement
 from checks.status_queries import APPLIED, _COLUMNS, _plain
@@ -59,44 +58,28 @@ def build_manifest_buckets(spark, sf):
     return cand.url_steps(built).join(built.select("id", "domain"), "id").select("id", "doi", "domain", "url_rank", "url")
 
 
-def _write_files(rows, folder):
-    """Real files by path; the queries run on one machine."""
-    root = folder.removeprefix("file:")
-
-    def write(part):
-        for row in part:
-            path = f"{root}/{row.path}"
-            os.makedirs(os.path.dirname(path), exist_ok=True)
-            with open(path, "wb") as file:
-                file.write(bytes(row.content))
-
-    rows.select("path", "content").foreachPartition(write)
-
-
-def _payload_files(spark, sf):
-    folder = scratch(spark, "payload-files")
+def _payload_files(spark, sf, read):
     path = paths.storage_path(F.col("uuid")).alias("path")
-    _write_files(a.status(spark, sf).select(path, F.concat(F.lit("%PDF-"), "doi").cast("binary").alias("content")), folder)
-    return folder
+    payloads = a.status(spark, sf).select(path, F.concat(F.lit("%PDF-"), "doi").cast("binary").alias("content"))
+    return in_parts(spark, payloads, "payload-files", read)
 
 
 @query("list_files", statement(
     f"select {path_of('uuid')} as path, cast(5 + length(doi) as bigint) as length from status where starts_with(uuid, 'a')", "status"))
 def list_files(spark, sf):
-    return listing.list_files(spark, _payload_files(spark, sf), "publication/a", depth=2)
+    return _payload_files(spark, sf, lambda folder: listing.list_files(spark, folder, "publication/a", depth=2))
 
 
 @query("read_files", statement(f"select {path_of('uuid')} as path, concat('%PDF-', doi) as body from status", "status"))
 def read_files(spark, sf):
-    files = listing.read_files(spark, _payload_files(spark, sf), depth=2).where(F.octet_length("content") == F.col("length"))
+    files = _payload_files(spark, sf, lambda folder: listing.read_files(spark, folder, depth=2).where(F.octet_length("content") == F.col("length")))
     return files.select("path", F.decode("content", "utf-8").alias("body"))
 
 
 @query("read_service_outputs", statement("select path, uuid, service, version from outputs", "outputs"))
 def read_service_outputs(spark, sf):
-    folder = scratch(spark, "outputs")
-    _write_files(a.outputs(spark, sf).select("path", F.encode("body", "utf-8").alias("content")), folder)
-    return b.output_versions(listing.read_service_outputs(spark, folder), "0.8.9")
+    outputs = a.outputs(spark, sf).select("path", F.encode("body", "utf-8").alias("content"))
+    return in_parts(spark, outputs, "outputs", lambda folder: b.output_versions(listing.read_service_outputs(spark, folder), "0.8.9"))
 
 
 def _sets(spark, sf):

@@ -5,12 +5,16 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
+from checks import adapters as a
+from checks import files as given_files
+from checks.queries import QUERIES
+from sheaf import session
 from sheaf.operators import bloom, class_sets
 from sheaf.operators.dedup import harvested_dois
 from sheaf.operators.status import apply_versions
 from sheaf.plans.manifest import build_manifest
 from sheaf.sinks import buckets
-from sheaf.sources import listing
+from sheaf.sources import listing, objects
 from test_skew import final_plan, plan
 
 
@@ -244,3 +248,54 @@ def test_sets_over_many_buckets(spark, tmp_path):
     shared = {r["class"]: r.shared for r in class_sets.overlap_sizes(merged, "seventh").collect()}
     assert shared == {"all": 14_286, "late": 0}
     assert merged.count() <= 4 + 4 + 2
+
+
+# --- large folders
+
+
+def test_contents_of_a_flat_folder_are_read_by_several_tasks(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(listing, "TASK_FILES", 10)
+    names = [f"softcite/u{n:03}.software.json" for n in range(95)]
+    (tmp_path / "softcite").mkdir()
+    for name in names:
+        (tmp_path / name).write_text(f'{{"version": "{name[-8:]}"}}')
+    files = listing.read_service_outputs(spark, str(tmp_path)).withColumn("task", F.spark_partition_id())
+    rows = files.collect()
+    assert sorted(r.path for r in rows) == names
+    assert len({r.task for r in rows}) == 10
+
+
+def test_a_local_folder_is_listed_name_by_name(tree, monkeypatch):
+    def whole(*args, **kwargs):
+        raise AssertionError("a folder's names at once")
+
+    root, names = tree
+    monkeypatch.setattr(listing.pafs, "FileSelector", whole)
+    reader = listing.FileReader(root, 1, "", (), ())
+    assert sorted(p for s in reader.partitions() for b in reader.read(s) for p in b.column("path").to_pylist()) == names
+
+
+def test_service_outputs_are_not_listed_on_the_driver(spark, tmp_path):
+    (tmp_path / "u1.software.json").write_text('{"version": "0.7.2"}')
+    (tmp_path / "u2.tei.xml").write_text("<TEI/>")
+    found = objects.scan_service_outputs(spark, str(tmp_path))
+    assert sorted(map(tuple, found.collect())) == [(f"{tmp_path}/u1.software.json", '{"version": "0.7.2"}'), (f"{tmp_path}/u2.tei.xml", None)]
+    assert not [path for path in found.inputFiles() if str(tmp_path) in path]
+
+
+@pytest.mark.parametrize("name", ["list_files", "read_files"])
+def test_only_some_files_are_on_the_disk_at_once(spark, monkeypatch, name):
+    sf, most, operator = "/root/testdata/sf0.001", [], getattr(listing, name)
+    whole = sorted(map(tuple, QUERIES[name](spark, sf).collect()))
+
+    def counted(spark, folder, *args, **options):
+        most.append(sum(len(names) for _, _, names in os.walk(folder.removeprefix("file:"))))
+        return operator(spark, folder, *args, **options)
+
+    monkeypatch.setattr(given_files, "FILES_AT_ONCE", 100)
+    monkeypatch.setattr(listing, name, counted)
+    before = set(session._SCRATCH[spark.sparkContext.applicationId])
+    assert sorted(map(tuple, QUERIES[name](spark, sf).collect())) == whole
+    made = [p for p in session._SCRATCH[spark.sparkContext.applicationId] if p not in before]
+    assert len(most) > 2 and sum(most) == a.status(spark, sf).count() and max(most) < 200
+    assert not [p for p in made if "payload-files-" in p and "found" not in p and os.path.exists(p.removeprefix("file:"))]
