@@ -9,6 +9,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from contextlib import contextmanager
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -269,6 +270,21 @@ def read_request_rate(spark: SparkSession, folder: str) -> DataFrame:
 
 
 ANCHORED = "client string, start long, n long, over_limit boolean, final boolean, step long"
+# Times to a block of the state.
+WAITING_BLOCK = 65_536
+
+
+def merged(times: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The times of all parts in order, each once, with the sums of their counts."""
+    if not times:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    joined, weights = np.concatenate(times), np.concatenate(counts)
+    order = np.argsort(joined, kind="stable")
+    joined, weights = joined[order], weights[order]
+    first = np.flatnonzero(np.concatenate(([True], joined[1:] != joined[:-1]))) if len(joined) else np.zeros(0, np.int64)
+    return joined[first], np.add.reduceat(weights, first) if len(first) else weights
+
+
 class AnchoredWindows(StatefulProcessor):
     """The windows of one client, each opened by the first request after the one before has ended.
 
@@ -283,48 +299,69 @@ class AnchoredWindows(StatefulProcessor):
 
     def init(self, handle) -> None:
         self.handle = handle
-        self.waiting = handle.getMapState("waiting", "ts long", "n long")
+        # Sorted times and counts, of 8 bytes each, in blocks: a call of the state store for each block, not for each time.
+        self.waiting = handle.getListState("waiting", "times binary, counts binary")
         self.open = handle.getValueState("open", "start long, n long, step long")
 
-    def windows(self, client, window, times: list[tuple[int, int]]):
-        """All windows that these (time, requests) make after ``window``, the last of them still open."""
+    def windows(self, client, window, times: np.ndarray, counts: np.ndarray):
+        """All windows that these sorted times, with so many requests each, make after ``window``, the last of them still open."""
         span = round(self.limits.get(client, self.default)[1] * 1_000_000)
-        out = [window] if window else []
-        for ts, n in times:
-            if not out or ts >= out[-1][0] + span:
-                out.append((ts, 0))
-            out[-1] = (out[-1][0], out[-1][1] + n)
+        starts, at = [] if window is None else [window[0]], 0
+        if starts:
+            at = int(np.searchsorted(times, starts[0] + span))
+        first = [0] if window is not None else []
+        while at < len(times):
+            starts.append(int(times[at]))
+            first.append(at)
+            at = max(at + 1, int(np.searchsorted(times, starts[-1] + span)))
+        sums = np.concatenate(([0], np.cumsum(counts)))
+        sizes = np.diff(sums[[*first, len(times)]]) if first else []
+        out = [(start, int(n)) for start, n in zip(starts, sizes)]
+        if window is not None:
+            out[0] = (out[0][0], out[0][1] + window[1])
         return out, span
 
-    def settle(self, client, passed: int):
+    def take(self) -> tuple[np.ndarray, np.ndarray]:
+        """What waits: times in order, each once, and their requests."""
+        blocks = list(self.waiting.get()) if self.waiting.exists() else []
+        times = [np.frombuffer(t, "<i8") for t, _ in blocks]
+        counts = [np.frombuffer(n, "<i8") for _, n in blocks]
+        return merged(times, counts)
+
+    def settle(self, client, passed: int, new: tuple[list, list] = ((), ())):
         start, n, step = self.open.get() if self.open.exists() else (None, 0, 0)
-        times = sorted((ts, count) for (ts,), (count,) in self.waiting.iterator()) if self.waiting.exists() else []
-        due = [t for t in times if t[0] <= passed]
-        for ts, _ in due:
-            self.waiting.removeKey((ts,))
-        found, span = self.windows(client, None if start is None else (start, n), due)
+        times, counts = self.take()
+        times, counts = merged([times, *new[0]], [counts, *new[1]])
+        due = int(np.searchsorted(times, passed, "right"))
+        found, span = self.windows(client, None if start is None else (start, n), times[:due], counts[:due])
         over = [w for w in found if w is not found[-1] or w[0] + span <= passed]
         window = found[-1] if len(over) < len(found) else None
         self.open.update((*(window or (None, 0)), step + 1))
-        times = times[len(due) :]
+        times, counts = times[due:], counts[due:]
+        self.waiting.clear()
+        cuts = range(0, len(times), WAITING_BLOCK)
+        blocks = [(times[k : k + WAITING_BLOCK].astype("<i8").tobytes(), counts[k : k + WAITING_BLOCK].astype("<i8").tobytes()) for k in cuts]
+        for block in blocks:
+            self.waiting.appendValue(block)
         for timer in list(self.handle.listTimers()):
             self.handle.deleteTimer(timer)
-        ends = [t for t, _ in times[:1]] + ([window[0] + span] if window else [])
+        ends = [int(t) for t in times[:1]] + ([window[0] + span] if window else [])
         if ends:
             self.handle.registerTimer(-(-min(ends) // 1000))
         most = self.limits.get(client, self.default)[0]
         rows = [(client, s, k, k > most, True, step + 1) for s, k in over]
-        rows += [(client, s, k, k > most, False, step + 1) for s, k in self.windows(client, window, times)[0]]
+        rows += [(client, s, k, k > most, False, step + 1) for s, k in self.windows(client, window, times, counts)[0]]
         rows.append((client, None, 0, False, False, step + 1))
         frame = pd.DataFrame(rows, columns=["client", "start", "n", "over_limit", "final", "step"])
         return frame.astype({"start": "Int64"})
 
     def handleInputRows(self, key, rows, timerValues):
+        new = [], []
         for frame in rows:
-            for ts, n in frame["us"].value_counts().items():
-                before = self.waiting.getValue((int(ts),)) if self.waiting.exists() and self.waiting.containsKey((int(ts),)) else (0,)
-                self.waiting.updateValue((int(ts),), (before[0] + int(n),))
-        yield self.settle(key[0], timerValues.getCurrentWatermarkInMs() * 1000)
+            times, counts = np.unique(frame["us"].to_numpy(np.int64), return_counts=True)
+            new[0].append(times)
+            new[1].append(counts.astype(np.int64))
+        yield self.settle(key[0], timerValues.getCurrentWatermarkInMs() * 1000, new)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
         yield self.settle(key[0], timerValues.getCurrentWatermarkInMs() * 1000)

@@ -4,6 +4,7 @@ import random
 from datetime import datetime, timedelta
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -128,3 +129,78 @@ def test_stream_moves_windows_when_an_earlier_request_comes(spark, tmp_path):
     run(("a", 3), ("a", 101), ("b", 95), counted=[("a", 101), ("b", 95)])  # too late by now
     run(("a", 300), ("c", 301))
     run(("a", 301), ("c", 302), ("c", 330))
+
+
+def test_the_stream_asks_its_state_by_block(monkeypatch):
+    """One call for each block of times, whatever the number of requests; windows as from one request at a time."""
+
+    class State:
+        def __init__(self):
+            self.rows, self.calls = [], 0
+
+        def called(self, result=None):
+            self.calls += 1
+            return result
+
+        def exists(self):
+            return self.called(bool(self.rows))
+
+        def get(self):
+            return self.called(iter(self.rows) if self.blocks else self.rows[0])
+
+        def clear(self):
+            self.rows = self.called([])
+
+        def appendValue(self, row):
+            self.rows = self.called([*self.rows, row])
+
+        def update(self, row):
+            self.rows = self.called([row])
+
+    class Handle:
+        def __init__(self):
+            self.made, self.timers = {}, []
+
+        def getListState(self, name, schema):
+            self.made[name] = State()
+            self.made[name].blocks = True
+            return self.made[name]
+
+        def getValueState(self, name, schema):
+            self.made[name] = State()
+            self.made[name].blocks = False
+            return self.made[name]
+
+        def listTimers(self):
+            return iter(self.timers)
+
+        def deleteTimer(self, timer):
+            self.timers.remove(timer)
+
+        def registerTimer(self, timer):
+            self.timers.append(timer)
+
+    class At:
+        def __init__(self, ms):
+            self.ms = ms
+
+        def getCurrentWatermarkInMs(self):
+            return self.ms
+
+    monkeypatch.setattr(jobs, "WAITING_BLOCK", 1000)
+    rng = np.random.default_rng(7)
+    times = rng.integers(0, 3_000, 20_000) * 1_000_000
+    for span in (10, 0):
+        handle, windows, final = Handle(), jobs.AnchoredWindows({"a": (2, span)}, 20, 1), {}
+        windows.init(handle)
+        done = 0
+        for low, high, passed in ((0, 8_000, -1), (8_000, 16_000, -1), (16_000, 20_000, 2_000)):
+            part = times[low:high]
+            frames = iter(pd.DataFrame({"us": part[k : k + 500]}) for k in range(0, len(part), 500))
+            out = pd.concat(windows.handleInputRows(("a",), frames, At(passed * 1000)))
+            out = out[out.start.notna()]
+            final.update({int(r.start): r.n for r in out[out.final].itertuples()})
+            done = final | {int(r.start): r.n for r in out[~out.final].itertuples()}
+        want = plain_windows([("a", int(t) // 1_000_000) for t in times], {"a": span}, 20)
+        assert done == {start * 1_000_000: n for (_, start), n in want.items()}
+        assert sum(s.calls for s in handle.made.values()) < 100
