@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from functools import wraps
+from math import ceil
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,6 +17,9 @@ from sheaf.session import durable, shared_folder
 LOC_TIE_BREAK = ["l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l_quantity", "l_extendedprice"]
 
 
+# Publications to a file of a stored input: all of them grow with the orders.
+FILE_ORDERS = 250_000
+
 STORED: list[Callable[[SparkSession, str], DataFrame]] = []
 _TABLES: dict[tuple[str, str, str, str], DataFrame] = {}
 
@@ -25,15 +29,23 @@ def stored(build):
 
     In use these are tables that exist: a converted dump, the status table, captured fetches.
     Readers then take only the columns and nested fields they need. The given tables are one file
-    and so one task each; a table written here has a file per core.
+    and so one task each; a table written here has a file per core at least, and one for each ``FILE_ORDERS`` orders.
     """
+    return _stored(build, lambda rows, parts: rows.repartition(parts))
+
+
+def stored_as_dealt(build):
+    """As :func:`stored`, of an input made inside the rows of a stored one: those are dealt already."""
+    return _stored(build, lambda rows, parts: rows)
 
+
+def _stored(build, deal):
     @wraps(build)
     def read(spark: SparkSession, sf: str) -> DataFrame:
         key = (spark.sparkContext.applicationId, shared_folder(spark), sf, build.__name__)
         if key not in _TABLES:
-            spread = build(spark, sf).repartition(spark.sparkContext.defaultParallelism)
-            _TABLES[key] = durable(spread, build.__name__)
+            parts = max(spark.sparkContext.defaultParallelism, ceil(table(spark, sf, "orders").count() / FILE_ORDERS))
+            _TABLES[key] = durable(deal(build(spark, sf), parts), build.__name__)
         return _TABLES[key]
 
     STORED.append(read)
@@ -113,7 +125,7 @@ _URL = """case when s.h % 11 = 0 then null when s.h % 11 = 1 then ''
   else concat('https://host', cast(s.h % 50 as string), '.example.org/p', cast(s.h as string), '.pdf') end"""
 
 
-@stored
+@stored_as_dealt
 def records(spark: SparkSession, sf: str) -> DataFrame:
     """Nested publication records, built inside each row: no grouping of another table.
 

@@ -265,39 +265,34 @@ def upsert_status_shards(spark, sf):
     return _plain(status_source.scan_status_shards(spark, path))
 
 
-@query("stream_manifest", statement("select id, doi, domain, cast(url_rank as bigint) as url_rank, url from manifest", "manifest"))
-def stream_manifest(spark, sf):
-    source, folder = scratch(spark, "stream-in"), scratch(spark, "stream-out")
-    # Files in dump order, taken one by one; the DOIs of one come again in later ones, too.
-    records = a.records(spark, sf)
+def over_dumps(spark, sf, start):
+    """Runs a stream over dumps that come one after the other; the DOIs of one come again in later ones, too.
+
+    A dump is as many files as tasks write it, and all of them are one batch.
+    """
+    source, records = scratch(spark, "stream-in"), a.records(spark, sf)
     last = records.agg(F.max("line_no")).first()[0]
     for part in range(3):
         own = records.where((F.col("line_no") * 3 >= part * (last + 1)) & (F.col("line_no") * 3 < (part + 1) * (last + 1)))
         again = records.where(F.col("line_no") * 3 < part * (last + 1))
-        own.unionByName(again).coalesce(1).write.mode("append").parquet(source)
-    stream = spark.readStream.schema(DUMP).option("maxFilesPerTrigger", 1).parquet(source)
-    jobs.stream_manifest(stream, folder).awaitTermination()
+        own.unionByName(again).write.mode("append").parquet(source)
+        start(spark.readStream.schema(DUMP).parquet(source)).awaitTermination()
+
+
+@query("stream_manifest", statement("select id, doi, domain, cast(url_rank as bigint) as url_rank, url from manifest", "manifest"))
+def stream_manifest(spark, sf):
+    folder = scratch(spark, "stream-out")
+    over_dumps(spark, sf, lambda stream: jobs.stream_manifest(stream, folder))
     steps = cand.url_steps(jobs.read_manifest(spark, folder))
     return steps.join(jobs.read_manifest(spark, folder).select("id", "domain"), "id").select(
         "id", "doi", "domain", "url_rank", "url"
     )
 
 
-def dump_stream(spark, sf):
-    """Files in dump order, taken one by one; the DOIs of one come again in later ones, too."""
-    source, records = scratch(spark, "stream-in"), a.records(spark, sf)
-    last = records.agg(F.max("line_no")).first()[0]
-    for part in range(3):
-        own = records.where((F.col("line_no") * 3 >= part * (last + 1)) & (F.col("line_no") * 3 < (part + 1) * (last + 1)))
-        again = records.where(F.col("line_no") * 3 < part * (last + 1))
-        own.unionByName(again).coalesce(1).write.mode("append").parquet(source)
-    return spark.readStream.schema(DUMP).option("maxFilesPerTrigger", 1).parquet(source)
-
-
 @query("stream_manifest_state", statement("select id, doi, domain, cast(url_rank as bigint) as url_rank, url from manifest", "manifest"))
 def stream_manifest_state(spark, sf):
     folder = scratch(spark, "stream-out")
-    jobs.stream_manifest_state(dump_stream(spark, sf), folder).awaitTermination()
+    over_dumps(spark, sf, lambda stream: jobs.stream_manifest_state(stream, folder))
     rows = jobs.read_manifest(spark, folder)
     return cand.url_steps(rows).join(rows.select("id", "domain"), "id").select("id", "doi", "domain", "url_rank", "url")
 

@@ -315,3 +315,41 @@ def test_status_files_from_before_a_column(spark, tmp_path):
     read = status_source.scan_status(spark, str(tmp_path / "s"))
     assert read.schema.names == STATUS.names and read.count() == 8
     assert read.where("harvesting_date is null").count() == 5
+
+
+def test_stored_inputs_have_more_files_for_more_rows(spark, monkeypatch):
+    from checks import adapters as a
+    from conftest import SF
+
+    monkeypatch.setattr(a, "_TABLES", {})
+    monkeypatch.setattr(a, "FILE_ORDERS", 100)
+    assert len(a.pubs(spark, SF).inputFiles()) >= 15
+    plans = a.records.__wrapped__(spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plans, "records are made where their publications are"
+    assert len(a.records(spark, SF).inputFiles()) > 0
+    assert a.records(spark, SF).count() == a.pubs(spark, SF).count() == 1_500
+
+
+def test_a_dump_of_the_streams_is_written_by_several_tasks(spark):
+    import os
+
+    from checks.io_queries import over_dumps
+    from checks.queries import QUERIES
+    from conftest import SF
+
+    class Idle:
+        def awaitTermination(self):
+            pass
+
+    seen = []
+    over_dumps(spark, SF, lambda stream: seen.append(len(stream.sparkSession.read.parquet(folder(stream)).inputFiles())) or Idle())
+    assert seen[0] > 1 and seen[1] > seen[0] + 1 and seen[2] > seen[1] + 1
+    for name in ("stream_manifest", "stream_manifest_state"):
+        ids = [r.id for r in QUERIES[name](spark, SF).select("id").distinct().collect()]
+        assert len(ids) == QUERIES["build_manifest"](spark, SF).select("id").distinct().count()
+
+
+def folder(stream):
+    import re
+
+    return re.search(r"(file:\S*sheaf-stream-in-\w+|/\S*sheaf-stream-in-\w+)", stream._jdf.queryExecution().toString()).group(1)
