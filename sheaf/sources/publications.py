@@ -3,18 +3,32 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from math import ceil
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sheaf.schemas import PUBLICATION
+from sheaf.session import _file_system
 
 CORRUPT = "_corrupt_record"
 COUNTRY = "bso_country_corrected"
 # Columns that put the records of a positioned scan in dump order: file, block, place in the block.
 DUMP_ORDER = ["source_file", "block_start", "scan_seq"]
 
+# Bytes of dump files, mostly compressed, to a partition of spread rows.
+SPREAD_BYTES = 16 << 20
+
+
+def _total_bytes(spark: SparkSession, paths: str | Sequence[str]) -> int:
+    total = 0
+    for path in [paths] if isinstance(paths, str) else paths:
+        system = _file_system(spark, path)
+        for found in system.globStatus(spark._jvm.org.apache.hadoop.fs.Path(path)) or []:
+            total += system.getContentSummary(found.getPath()).getLength()
+    return total
+
 
 def _positions():
     return [
@@ -37,7 +51,8 @@ def scan_publications(
     Only the fields of ``schema`` are parsed. A country that is not an array is null, so the country
     filter drops the record. ``bad_lines="keep"`` puts lines that are not JSON in
     ``_corrupt_record`` instead of failing. A gzip file is read by one task: ``spread`` shuffles
-    its rows over that many partitions before heavier work. ``position`` adds the ``DUMP_ORDER``
+    its rows over that many partitions before heavier work, or over one for each ``SPREAD_BYTES`` of the files if
+    those are more. ``position`` adds the ``DUMP_ORDER``
     columns, which need no shuffle.
     """
     if bad_lines not in ("fail", "keep"):
@@ -58,7 +73,7 @@ def scan_publications(
         records = records.withColumn(COUNTRY, F.from_json(COUNTRY, wanted[COUNTRY].dataType))
     if position:
         records = records.select("*", *_positions())
-    return records.repartition(spread) if spread else records
+    return records.repartition(max(spread, ceil(_total_bytes(spark, paths) / SPREAD_BYTES))) if spread else records
 
 
 def scan_lines(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:

@@ -353,3 +353,15 @@ def folder(stream):
     import re
 
     return re.search(r"(file:\S*sheaf-stream-in-\w+|/\S*sheaf-stream-in-\w+)", stream._jdf.queryExecution().toString()).group(1)
+
+
+def test_a_large_dump_is_spread_over_more_partitions(spark, tmp_path, monkeypatch):
+    from sheaf.sources import publications
+
+    for name in ("a", "b"):
+        (tmp_path / f"dump-{name}.jsonl").write_text('{"doi": "10.1/x"}\n' * 50)
+    paths = [str(tmp_path / "dump-a.jsonl"), str(tmp_path / "dump-[b]*")]
+    for most, parts in ((publications.SPREAD_BYTES, 3), (100, 18)):
+        monkeypatch.setattr(publications, "SPREAD_BYTES", most)
+        records = publications.scan_publications(spark, paths, spread=3)
+        assert records.rdd.getNumPartitions() == parts and records.count() == 100
