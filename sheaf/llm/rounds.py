@@ -4,12 +4,16 @@ Documents are gathered into pieces of some megabytes, written once under a name
 piece sends, for every bucket of a hash space, its entries for that bucket as a few compressed columns; one
 shuffle brings a bucket's entries together, and the answers go back to the pieces with a join on their names.
 Thus a corpus-wide count or comparison of many small things moves a few bytes for each, in few rows.
+
+A piece may send itself a note, to bucket ``OWN``: what it worked out in a round and needs in later ones.
 """
 
 from __future__ import annotations
 
 import uuid
+import zlib
 from collections.abc import Callable
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -21,17 +25,23 @@ from sheaf.llm.common import hand_back, map_pieces, pa_schema, row_key, stored
 
 NO_ID = (1 << 63) - 1
 LOW = np.uint64(0xFFFFFFFF)
+# The bucket of a note.
+OWN = -1
+
+# Made once in a process: a context takes longer to make than a short column to compress.
+compressor = lru_cache(lambda level: zstandard.ZstdCompressor(level=level))
+decompressor = lru_cache(lambda: zstandard.ZstdDecompressor())
 
 
 def squeeze(values: np.ndarray) -> bytes:
     """Compressed byte by byte: all first bytes, then all second ones."""
     planes = np.ascontiguousarray(values).view(np.uint8).reshape(len(values), -1).T
-    return zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
+    return compressor(1).compress(planes.tobytes())
 
 
 def unsqueeze(data: bytes, kind: str) -> np.ndarray:
     size = np.dtype(kind).itemsize
-    flat = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8)
+    flat = np.frombuffer(decompressor().decompress(data), np.uint8)
     return np.ascontiguousarray(flat.reshape(size, -1).T).view(kind).reshape(-1)
 
 
@@ -40,6 +50,20 @@ def bucket_key(hashes: np.ndarray, buckets: int) -> np.ndarray:
     return ((hashes >> np.uint64(32)) % np.uint64(buckets)) << np.uint64(32) | (hashes & LOW)
 
 
+def sort_keys(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The stable order of unsigned keys, and the keys in it.
+
+    Keys and places that fit side by side into 64 bits are sorted as one number, in a third of the time.
+    """
+    width = max(1, (len(key) - 1).bit_length())
+    if len(key) and int(key.max()).bit_length() + width <= 64:
+        both = key.astype(np.uint64) << np.uint64(width) | np.arange(len(key), dtype=np.uint64)
+        both.sort()
+        return (both & np.uint64((1 << width) - 1)).astype(np.int64), both >> np.uint64(width)
+    order = np.argsort(key, kind="stable")
+    return order, key[order]
+
+
 def bucket_runs(key: np.ndarray):
     """(bucket, low, high) of each run of sorted keys in one bucket."""
     bucket = (key >> np.uint64(32)).astype(np.int64)
@@ -70,13 +94,16 @@ def text_pieces(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
 
 
 def piece_texts(row: dict) -> list[bytes]:
-    data = zstandard.ZstdDecompressor().decompress(row["texts"])
+    data = decompressor().decompress(row["texts"])
     ends = np.cumsum(row["lengths"]).tolist()
     return [data[a:b] for a, b in zip([0, *ends[:-1]], ends)]
 
 
-def read_replies(cells: list[dict] | None, kind: str) -> np.ndarray:
-    """A round's replies to a piece, in the order in which it sent."""
+def read_replies(cells: list[dict] | None, kind: str):
+    """A round's replies to a piece, in the order in which it sent; of a kind "note and ..", (note or None, replies)."""
+    if kind.startswith("note and "):
+        note = next((c["reply"] for c in cells or [] if c["bucket"] < 0), None)
+        return note, read_replies([c for c in cells or [] if c["bucket"] >= 0], kind.removeprefix("note and "))
     parts = [np.empty(0, bool if kind == "bits" else kind)]
     for cell in sorted(cells or [], key=lambda c: c["bucket"]):
         if kind == "bits":
@@ -131,19 +158,20 @@ class Rounds:
         """Shuffle what pieces send by bucket, let it meet there, and write the replies.
 
         ``send`` names a method of the piece that takes the replies so far and gives (bucket, columns,
-        entries); ``meet`` takes the columns and numbers of entries of all pieces and gives their replies.
+        entries), or (OWN, [note], 0); ``meet`` takes the columns and numbers of entries of all pieces and gives their replies.
         """
         types = pa_schema(self.pieces.sparkSession, REPLY)
 
         def reply(group: pa.Table) -> pa.Table:
             rows = group.to_pydict()
-            found = meet(rows["data"], rows["n"])
+            found = [note for (note,) in rows["data"]] if rows["bucket"][0] < 0 else meet(rows["data"], rows["n"])
             hand_back()
             return pa.table([pa.array(c, f.type) for c, f in zip((rows["piece"], rows["bucket"], rows["n"], found), types)], schema=types)
 
         def sent(name, piece, replies):
             for bucket, data, n in getattr(piece, send)(*replies):
-                yield bucket, name, n, data
+                # Notes are dealt like buckets; those of two pieces may share one.
+                yield bucket if bucket != OWN else -1 - (zlib.crc32(name.encode()) >> 1), name, n, data
 
         out = self.each(sent, SENT, named=True, given=given).groupBy("bucket").applyInArrow(reply, REPLY)
         self.replies.append(stored(out, "replies"))

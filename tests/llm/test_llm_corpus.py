@@ -11,7 +11,7 @@ from llm_cases import (
 from pyspark.sql import functions as F
 
 from sheaf import session
-from sheaf.llm import components, hashing, jaccard, lines, substrings, suffixes, toxicity
+from sheaf.llm import components, hashing, jaccard, lines, rounds, substrings, suffixes, toxicity
 from sheaf.llm.common import stored
 from sheaf.llm.queries import QUERIES
 
@@ -505,6 +505,69 @@ def test_strings_are_merged_in_slices(monkeypatch):
     assert suffixes.meet_strings(rows, [150, 150], 8) == whole
 
 
+def in_rounds(piece, length):
+    """The masks of the one piece that there is, by rounds without Spark; the texts are hashed in the first two only."""
+    def round_(send, meet, *replies):
+        note, cells = None, []
+        for bucket, data, n in getattr(piece(), send)(*replies):
+            if bucket == rounds.OWN:
+                note = data[0]
+            else:
+                cells.append({"bucket": bucket, "n": n, "reply": meet([data], [n])[0]})
+        return note, cells
+
+    alive = rounds.read_replies(round_("send_names", suffixes.meet_names)[1], "bits")
+    note, cells = round_("send_refined", suffixes.meet_refined, alive)
+    told = rounds.read_replies([*cells, {"bucket": -7, "n": 0, "reply": note}], "note and u1")
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(suffixes, "prefix", None)
+        strings = list(piece().send_strings(told))
+    late = [{"bucket": b, "n": n, "reply": suffixes.meet_strings([data], [n], length)[0]} for b, data, n in strings]
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(suffixes, "prefix", None)
+        return piece().removed(told, rounds.read_replies(late, "<u4"))
+
+
+def test_later_rounds_of_suffixes_hash_nothing():
+    texts = [(i, t.encode()) for i, t in sorted(families(5, groups=4), key=str)]
+    row = {"doc_ids": [i for i, _ in texts], "lengths": [len(t) for _, t in texts], "texts": zstandard.compress(b"".join(t for _, t in texts))}
+
+    def piece():
+        return suffixes.Piece(row, 12, 3)
+
+    whole, gone = piece(), in_rounds(piece, 12)
+    rows = [(i, t.decode()) for i, t in texts]
+    for k, want in zip(range(len(rows)), plain_repeats(rows, lambda t: t.encode(), 12)):
+        number = whole.row_text[k]
+        if whole.row_id[k] == whole.owner[number]:
+            assert list(gone[whole.starts[number] : whole.stops[number]]) == list(want)
+
+
+def test_rows_of_a_suffix_piece_grow_slower_than_the_text():
+    buckets = [suffixes.bucket_count(n * 10**8, suffixes.BUCKET_NAMES) for n in (0, 1, 10, 14)]
+    assert buckets == [1, 64, 334, 467]  # 14: the names of 6 GB, once 934
+
+
+def test_pairs_whose_first_bits_are_equal_are_told_apart():
+    name = np.array([2, 1, 2, 1, 2, 2], np.uint64)
+    for more in ([8, 9, 8, 9, 9, 8], [8 << 60, 9 << 60, 8 << 60, 1, 3, 8 << 60]):
+        more = np.array(more, np.uint64)
+        for names in (name, name << np.uint64(61)):
+            order, new = suffixes.sort_pairs(names, more)
+            pairs = [(int(names[k]), int(more[k])) for k in order]
+            assert pairs == sorted(pairs) and [k == 0 or pairs[k] != pairs[k - 1] for k in range(6)] == new.tolist()
+
+
+def test_short_rows_of_strings_are_hashed_together(monkeypatch):
+    calls, real = [], suffixes.prefix
+    monkeypatch.setattr(suffixes, "prefix", lambda *args: calls.append(1) or real(*args))
+    row = [zstandard.compress(b"abcdefghij"), suffixes.squeeze(np.array([10], "u1"))]
+    rows = [[*row, suffixes.squeeze(np.array([k], "<i8"))] for k in range(200)]
+    found = [int(rounds.unsqueeze(r, "<u4")[0]) for r in suffixes.meet_strings(rows, [1] * 200, 8)]
+    assert found == [0] + [0b111] * 199 and len(calls) == 2
+    assert suffixes.batches(np.array([3, 5, 12, 13, 20]), 5) == [(0, 2), (2, 3), (3, 5)]
+
+
 # all queries
 
 
