@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from contextlib import contextmanager
 from functools import wraps
 from math import ceil
 
@@ -24,6 +25,24 @@ STORED: list[Callable[[SparkSession, str], DataFrame]] = []
 _TABLES: dict[tuple[str, str, str, str], DataFrame] = {}
 
 
+# While an input is made inside rows: a task for each file, not a few large ones in two waves; and expressions are compiled
+# in parts, as one method with all of them would be too long for the JVM's compiler.
+INSIDE_ROWS = {"spark.sql.files.maxPartitionBytes": "4m", "spark.sql.codegen.wholeStage": "false"}
+
+
+@contextmanager
+def settings(spark: SparkSession, wanted: dict[str, str]):
+    """The settings for what is written inside."""
+    before = {key: spark.conf.get(key) for key in wanted}
+    for key, value in wanted.items():
+        spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        for key, value in before.items():
+            spark.conf.set(key, value)
+
+
 def stored(build):
     """Write an input as a Parquet table, once per session and folder.
 
@@ -31,21 +50,22 @@ def stored(build):
     Readers then take only the columns and nested fields they need. The given tables are one file
     and so one task each; a table written here has a file per core at least, and one for each ``FILE_ORDERS`` orders.
     """
-    return _stored(build, lambda rows, parts: rows.repartition(parts))
+    return _stored(build, lambda rows, parts: rows.repartition(parts), {})
 
 
 def stored_as_dealt(build):
     """As :func:`stored`, of an input made inside the rows of a stored one: those are dealt already."""
-    return _stored(build, lambda rows, parts: rows)
+    return _stored(build, lambda rows, parts: rows, INSIDE_ROWS)
 
 
-def _stored(build, deal):
+def _stored(build, deal, wanted):
     @wraps(build)
     def read(spark: SparkSession, sf: str) -> DataFrame:
         key = (spark.sparkContext.applicationId, shared_folder(spark), sf, build.__name__)
         if key not in _TABLES:
             parts = max(spark.sparkContext.defaultParallelism, ceil(table(spark, sf, "orders").count() / FILE_ORDERS))
-            _TABLES[key] = durable(deal(build(spark, sf), parts), build.__name__)
+            with settings(spark, wanted):
+                _TABLES[key] = durable(deal(build(spark, sf), parts), build.__name__)
         return _TABLES[key]
 
     STORED.append(read)
@@ -111,18 +131,30 @@ def locs(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-# One location slot of a record, from the line number and the slot number ``i``.
-_SLOT = """
-  transform(if(slots > 0, sequence(0L, slots - 1), array()), i -> named_struct('i', i, 'h', line_no * 31 + i * 17))
-"""
-_OBS_KEY = "concat(cast(2018 + s.h % 4 as string), if(s.h % 3 = 0, concat('Q', cast(1 + s.h % 4 as string)), ''))"
-_REPO = "case s.h % 7 when 0 then 'arXiv' when 1 then 'PubMed Central' when 2 then 'HAL' when 3 then 'univoak.eu' end"
-_HOST = "if(s.h % 7 <= 5, 'repository', 'publisher')"
-_URL = """case when s.h % 11 = 0 then null when s.h % 11 = 1 then ''
-  when s.h % 7 = 0 then concat('https://arxiv.org/pdf/1501.', cast(s.h as string))
-  when s.h % 5 = 0 then concat('https://onlinelibrary.wiley.com/doi/pdfdirect/p', cast(s.h as string))
-  when s.h % 13 = 0 then concat('https://www.cairn.info/p', cast(s.h as string))
-  else concat('https://host', cast(s.h % 50 as string), '.example.org/p', cast(s.h as string), '.pdf') end"""
+# A record has up to so many locations; each has a number ``h``, from the line number and the place of the location.
+SLOTS = 6
+_OBS_KEY = "concat(cast(2018 + {h} % 4 as string), if({h} % 3 = 0, concat('Q', cast(1 + {h} % 4 as string)), ''))"
+_REPO = "case {h} % 7 when 0 then 'arXiv' when 1 then 'PubMed Central' when 2 then 'HAL' when 3 then 'univoak.eu' end"
+_HOST = "if({h} % 7 <= 5, 'repository', 'publisher')"
+_URL = """case when {h} % 11 = 0 then null when {h} % 11 = 1 then ''
+  when {h} % 7 = 0 then concat('https://arxiv.org/pdf/1501.', cast({h} as string))
+  when {h} % 5 = 0 then concat('https://onlinelibrary.wiley.com/doi/pdfdirect/p', cast({h} as string))
+  when {h} % 13 = 0 then concat('https://www.cairn.info/p', cast({h} as string))
+  else concat('https://host', cast({h} % 50 as string), '.example.org/p', cast({h} as string), '.pdf') end"""
+_FIELDS = f"""map_from_entries(concat(
+    array(named_struct('key', 'host_type', 'value', {_HOST})),
+    if({{h}} % 7 <= 4, array(named_struct('key', 'repository_normalized', 'value', {_REPO})), array()),
+    if({{h}} % 11 <> 0, array(named_struct('key', 'url_for_pdf', 'value', {_URL})), array())))"""
+
+
+def _observation(first: int) -> str:
+    """An array with the entry of the observation that location ``first`` is the first one of, or an empty one."""
+    same = [f"k{i} = k{first}" for i in range(first + 1, SLOTS)]
+    new = " and ".join([f"k{first} is not null", *[f"k{first} <> k{i}" for i in range(first)]])
+    is_oa = " or ".join([f"oa{first}", *[f"coalesce({s} and oa{i}, false)" for i, s in enumerate(same, first + 1)]])
+    locations = ", ".join([f"array(f{first})", *[f"if({s}, array(f{i}), array())" for i, s in enumerate(same, first + 1)]])
+    return f"""if({new}, array(named_struct('key', k{first}, 'value', named_struct(
+      'is_oa', {is_oa}, 'repository_normalized', hal, 'oa_locations', concat({locations})))), array())"""
 
 
 @stored_as_dealt
@@ -131,39 +163,30 @@ def records(spark: SparkSession, sf: str) -> DataFrame:
 
     A record has up to six locations in up to six observations. Among them are locations whose
     repository key is absent and others where it is there and null, records with one closed
-    observation, and records with none.
+    observation, and records with none. Locations are columns until they are put together: functions
+    of array elements are not compiled.
     """
-    slots = (
+    slots = range(SLOTS)
+    flat = (
         pubs(spark, sf)
         .withColumn("slots", F.expr("(line_no + line_no div 7) % 7"))
-        .withColumn("slot", F.expr(_SLOT))
-        .withColumn(
-            "loc",
-            F.expr(
-                f"""transform(slot, s -> named_struct(
-                'obs_key', {_OBS_KEY},
-                'loc_oa', s.h % 4 <> 1,
-                'fields', map_from_entries(filter(array(
-                    named_struct('key', 'host_type', 'value', {_HOST}),
-                    if(s.h % 7 <= 4, named_struct('key', 'repository_normalized', 'value', {_REPO}), null),
-                    if(s.h % 11 <> 0, named_struct('key', 'url_for_pdf', 'value', {_URL}), null)
-                ), e -> e is not null))))"""
-            ),
+        .withColumn("hal", F.expr("if(line_no % 9 = 0, 'HAL', cast(null as string))"))
+        .select("*", *[F.expr(f"if(slots > {i}, line_no * 31 + {i} * 17, null)").alias(f"h{i}") for i in slots])
+        .select(
+            "*",
+            *[F.expr(_OBS_KEY.format(h=f"h{i}")).alias(f"k{i}") for i in slots],
+            *[F.expr(f"h{i} % 4 <> 1").alias(f"oa{i}") for i in slots],
+            *[F.expr(f"if(h{i} is null, null, {_FIELDS.format(h=f'h{i}')})").alias(f"f{i}") for i in slots],
         )
-        .withColumn("keys", F.expr("array_distinct(transform(loc, l -> l.obs_key))"))
     )
-    hal = "if(line_no % 9 = 0, 'HAL', cast(null as string))"
     details = F.expr(
-        f"""case when slots > 0 then map_from_arrays(keys, transform(keys, k -> named_struct(
-              'is_oa', exists(loc, l -> l.obs_key = k and l.loc_oa),
-              'repository_normalized', {hal},
-              'oa_locations', transform(filter(loc, l -> l.obs_key = k), l -> l.fields))))
+        f"""case when slots > 0 then map_from_entries(concat({', '.join(map(_observation, slots))}))
             when line_no % 2 = 0 then map('2019', named_struct(
-              'is_oa', false, 'repository_normalized', {hal},
+              'is_oa', false, 'repository_normalized', hal,
               'oa_locations', cast(null as array<map<string, string>>)))
             else map() end"""
     )
-    return slots.select(
+    return flat.select(
         "line_no",
         "doi",
         "publisher_normalized",

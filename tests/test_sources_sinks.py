@@ -330,6 +330,22 @@ def test_stored_inputs_have_more_files_for_more_rows(spark, monkeypatch):
     assert a.records(spark, SF).count() == a.pubs(spark, SF).count() == 1_500
 
 
+def test_records_are_compiled_and_made_by_a_task_for_each_file(spark, conf, monkeypatch):
+    """However many files would go into one task; element functions (transform, filter, exists) are not compiled."""
+    from checks import adapters as a
+    from conftest import SF
+
+    conf(spark__sql__files__minPartitionNum="1")
+    monkeypatch.setattr(a, "_TABLES", {})
+    monkeypatch.setattr(a, "FILE_ORDERS", 100)
+    files = len(a.pubs(spark, SF).inputFiles())
+    with a.settings(spark, a.INSIDE_ROWS):
+        assert "lambda" not in a.records.__wrapped__(spark, SF)._jdf.queryExecution().executedPlan().toString()
+    before = {key: spark.conf.get(key) for key in a.INSIDE_ROWS}
+    assert files >= 15 and len(a.records(spark, SF).inputFiles()) == files
+    assert before == {key: spark.conf.get(key) for key in a.INSIDE_ROWS}
+
+
 def test_a_dump_of_the_streams_is_written_by_several_tasks(spark):
     import os
 
