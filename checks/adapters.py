@@ -58,14 +58,27 @@ def stored_as_dealt(build):
     return _stored(build, lambda rows, parts: rows, INSIDE_ROWS)
 
 
+def stored_by_key(build):
+    """As :func:`stored`, of an input that :func:`dealt` its rows by a key already: they are not sent a second time."""
+    return _stored(build, lambda rows, parts: rows, {})
+
+
+def file_count(spark: SparkSession, sf: str) -> int:
+    return max(spark.sparkContext.defaultParallelism, ceil(table(spark, sf, "orders").count() / FILE_ORDERS))
+
+
+def dealt(spark: SparkSession, sf: str, rows: DataFrame, key: str) -> DataFrame:
+    """The rows by a key, over as many tasks as a stored input has files: what is grouped by it needs no other exchange."""
+    return rows.repartition(file_count(spark, sf), key)
+
+
 def _stored(build, deal, wanted):
     @wraps(build)
     def read(spark: SparkSession, sf: str) -> DataFrame:
         key = (spark.sparkContext.applicationId, shared_folder(spark), sf, build.__name__)
         if key not in _TABLES:
-            parts = max(spark.sparkContext.defaultParallelism, ceil(table(spark, sf, "orders").count() / FILE_ORDERS))
             with settings(spark, wanted):
-                _TABLES[key] = durable(deal(build(spark, sf), parts), build.__name__)
+                _TABLES[key] = durable(deal(build(spark, sf), file_count(spark, sf)), build.__name__)
         return _TABLES[key]
 
     STORED.append(read)
@@ -199,7 +212,7 @@ def records(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-@stored
+@stored_by_key
 def status(spark: SparkSession, sf: str) -> DataFrame:
     """Status rows of every third publication, with the helper column ``line_no``."""
     line = F.col("line_no")
@@ -207,8 +220,8 @@ def status(spark: SparkSession, sf: str) -> DataFrame:
     def version(expression: str):
         return F.expr(expression)
 
-    some = pubs(spark, sf).where(F.col("doi").isNotNull() & (line % 3 == 0))
-    return first_by(some, ["doi"], ["line_no"]).select(
+    some = pubs(spark, sf).where(F.col("doi").isNotNull() & (line % 3 == 0)).select("line_no", "doi", "domain", "order_date")
+    return first_by(dealt(spark, sf, some, "doi"), ["doi"], ["line_no"]).select(
         "doi",
         uuid_from_doi(F.col("doi")).alias("uuid"),
         F.lit("1").alias("is_harvested"),
@@ -317,10 +330,10 @@ def record_urls(spark: SparkSession, sf: str) -> DataFrame:
         .select(F.col("loc")["url_for_pdf"].alias("url"))
     )
     closed = recs.select(closed_access_url(F.col("doi"), F.col("publisher_normalized")).alias("url"))
-    return listed.unionByName(closed).where("coalesce(url, '') <> ''").distinct()
+    return dealt(spark, sf, listed.unionByName(closed).where("coalesce(url, '') <> ''"), "url").distinct()
 
 
-@stored
+@stored_by_key
 def captured_outcomes(spark: SparkSession, sf: str) -> DataFrame:
     """``(url, channel, outcome, valid_file)``: what each channel gave for each URL."""
     digit = F.col("d")

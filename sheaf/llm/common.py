@@ -120,7 +120,7 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     the plan is made.
     """
     with writing(df.sparkSession):
-        return durable(df, label)
+        return durable(df, label, None)  # mostly columns that are compressed already
 
 
 @contextlib.contextmanager

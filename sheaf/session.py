@@ -122,19 +122,20 @@ def scratch_scope(spark: SparkSession):
             made.remove(path)
 
 
-def durable(df: DataFrame, label: str = "table") -> DataFrame:
+def durable(df: DataFrame, label: str = "table", codec: str | None = "zstd") -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
     Later jobs start from the written table: the lineage is cut, and the rows stay the same
     rows when executors are lost and tasks run again. This runs a job while a plan is being made.
+    ``codec`` None leaves the compression of the files to the session.
     """
-    return _written(df, label)[0]
+    return _written(df, label, codec)[0]
 
 
-def _written(df: DataFrame, label: str) -> tuple[DataFrame, str]:
+def _written(df: DataFrame, label: str, codec: str | None = "zstd") -> tuple[DataFrame, str]:
     spark = df.sparkSession
     path = scratch(spark, label)
-    df.write.parquet(path)
+    df.write.parquet(path, compression=codec)
     return spark.read.schema(df.schema).parquet(path), path
 
 

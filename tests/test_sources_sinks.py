@@ -346,6 +346,26 @@ def test_records_are_compiled_and_made_by_a_task_for_each_file(spark, conf, monk
     assert before == {key: spark.conf.get(key) for key in a.INSIDE_ROWS}
 
 
+def test_inputs_dealt_by_a_key_are_sent_once(spark, monkeypatch):
+    """Status rows and captures stay where their DOI or URL was sent to; they have files as others have."""
+    from checks import adapters as a
+    from conftest import SF
+
+    monkeypatch.setattr(a, "_TABLES", {})
+    monkeypatch.setattr(a, "FILE_ORDERS", 200)
+    for build in (a.status, a.captured_outcomes):
+        plans = build.__wrapped__(spark, SF)._jdf.queryExecution().executedPlan().toString()
+        assert plans.count("Exchange hashpartitioning") == 1 and "RoundRobin" not in plans
+        assert len(build(spark, SF).inputFiles()) == 8
+
+
+def test_durable_tables_are_compressed_with_zstd(spark):
+    from sheaf.session import durable
+
+    assert all(f.endswith(".zstd.parquet") for f in durable(spark.range(9)).inputFiles())
+    assert all(f.endswith(".snappy.parquet") for f in durable(spark.range(9), codec=None).inputFiles())
+
+
 def test_a_dump_of_the_streams_is_written_by_several_tasks(spark):
     import os
 
