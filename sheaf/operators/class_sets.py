@@ -62,10 +62,10 @@ def append_sets(lists: DataFrame, root: str, batch_id: int) -> None:
     # The numbers dealt so far are looked through once; all that follows is of the size of the batch.
     wanted = durable(lists.select("doi").distinct().join(known, "doi", "left"), "numbered")
     dealt = global_index(wanted.where("number is null").select("doi"), ["doi"], "number", unique=True)
-    dealt.select("doi", (F.col("number") + start + 1).alias("number")).write.mode("overwrite").parquet(f"{root}/numbers/{batch}")
+    dealt.select("doi", (F.col("number") + start + 1).alias("number")).write.mode("overwrite").parquet(f"{root}/numbers/{batch}", compression="zstd")
     new = spark.read.schema(NUMBERS).parquet(f"{root}/numbers/{batch}")
     numbers = wanted.where("number is not null").unionByName(new)
-    class_sets(lists, numbers).write.mode("overwrite").parquet(f"{root}/sets/{batch}")
+    class_sets(lists, numbers).write.mode("overwrite").parquet(f"{root}/sets/{batch}", compression="zstd")
 
 
 def merged_sets(spark: SparkSession, root: str) -> DataFrame:

@@ -299,3 +299,13 @@ def test_only_some_files_are_on_the_disk_at_once(spark, monkeypatch, name):
     made = [p for p in session._SCRATCH[spark.sparkContext.applicationId] if p not in before]
     assert len(most) > 2 and sum(most) == a.status(spark, sf).count() and max(most) < 200
     assert not [p for p in made if "payload-files-" in p and "found" not in p and os.path.exists(p.removeprefix("file:"))]
+
+
+def test_numbers_and_sets_are_compressed_with_zstd(spark, tmp_path):
+    from sheaf.operators import class_sets
+
+    lists = spark.range(50).selectExpr("'oa' as class", "concat('10.1/', id) as doi")
+    class_sets.append_sets(lists, str(tmp_path), 0)
+    written = [f.name for f in tmp_path.rglob("*.parquet")]
+    assert written and all(name.endswith(".zstd.parquet") for name in written)
+    assert [tuple(r) for r in class_sets.set_sizes(class_sets.merged_sets(spark, str(tmp_path))).collect()] == [("oa", 50)]
