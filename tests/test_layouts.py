@@ -1,6 +1,7 @@
 """Bloom-split anti-joins, bucketed tables, listing by tasks, and class sets: rows, plans and sizes."""
 
 import os
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -309,3 +310,55 @@ def test_numbers_and_sets_are_compressed_with_zstd(spark, tmp_path):
     written = [f.name for f in tmp_path.rglob("*.parquet")]
     assert written and all(name.endswith(".zstd.parquet") for name in written)
     assert [tuple(r) for r in class_sets.set_sizes(class_sets.merged_sets(spark, str(tmp_path))).collect()] == [("oa", 50)]
+
+
+def on_disk(root):
+    return {os.path.relpath(os.path.join(at, name), root): open(os.path.join(at, name), "rb").read() for at, _, names in os.walk(root) for name in names}
+
+
+def test_files_of_a_part_become_those_of_the_next(spark, monkeypatch):
+    seen, drops, drop, operator = [], [], given_files.drop_files, listing.list_files
+
+    def counted(spark, folder, *args, **options):
+        found = [os.path.join(at, name) for at, _, names in os.walk(folder.removeprefix("file:")) for name in names]
+        seen.append({os.stat(path).st_ino for path in found})
+        return operator(spark, folder, *args, **options)
+
+    whole = sorted(map(tuple, QUERIES["list_files"](spark, "/root/testdata/sf0.001").collect()))
+    monkeypatch.setattr(given_files, "FILES_AT_ONCE", 500)
+    monkeypatch.setattr(given_files, "drop_files", lambda spark, folder: (drops.append(folder), drop(spark, folder)))
+    monkeypatch.setattr(listing, "list_files", counted)
+    assert sorted(map(tuple, QUERIES["list_files"](spark, "/root/testdata/sf0.001").collect())) == whole
+    assert len(seen) > 2 and len(drops) == 1
+    assert all(len(now & before) > min(len(now), len(before)) // 2 for before, now in zip(seen, seen[1:]))
+
+
+def test_renamed_files_are_the_wanted_ones(tmp_path):
+    draw, root, held = random.Random(5), str(tmp_path), {}
+    for _ in range(30):
+        wanted = {}
+        for _ in range(draw.randrange(40)):
+            folders = [draw.choice("abc") for _ in range(draw.choice([1, 1, 3, 5]))]
+            wanted["/".join(["p", *folders, f"f{draw.randrange(30)}"])] = b"x" * draw.randrange(6)
+        given_files._replace(root, sorted(held), wanted)
+        assert on_disk(root) == wanted
+        held = wanted
+
+
+def test_a_task_that_broke_off_renames_again(tmp_path, monkeypatch):
+    root, rename, left = str(tmp_path), os.rename, [3]
+    old = {f"p/a{n}/b/c/old{n}": b"long old text" for n in range(4)}
+    new = {f"p/z{n}/y/x/new{n}": b"new" for n in range(4)}
+    given_files._replace(root, [], old)
+
+    def breaks(*names):
+        left[0] -= 1
+        if left[0] < 0:
+            raise KeyboardInterrupt
+        rename(*names)
+
+    with monkeypatch.context() as broken, pytest.raises(KeyboardInterrupt):
+        broken.setattr(os, "rename", breaks)
+        given_files._replace(root, sorted(old), new)
+    given_files._replace(root, sorted(old), new)
+    assert on_disk(root) == new
