@@ -6,14 +6,16 @@ import os
 import shutil
 from collections import Counter, defaultdict
 from collections.abc import Callable, Iterable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 from math import ceil
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sheaf.session import delete_path, scratch
 
-# Files and folders that are on the disk at once: a file of a few bytes takes a block, and so does each folder above it.
+# Files and folders on the disk at once, of a lane: a file of a few bytes takes a block, and so does each folder above it.
 FILES_AT_ONCE = 150_000
 # Leading names of a path that say which task writes the file: what lies below them is that task's alone.
 OWNED = 2
@@ -62,25 +64,30 @@ def _drop(path: str) -> None:
         os.remove(path)
 
 
-def _rename(root: str, old: tuple, new: tuple) -> None:
-    """Makes a file, and the folders that only it is in, those of another one."""
+def _renamed(root: str, old: tuple, new: tuple) -> bool:
+    """Whether a file, and the folders that only it is in, became those of another one; if not, it is deleted."""
     (_, old_top, old_names), (_, new_top, new_names) = old, new
     at = f"{root}/{new_top}"
     try:
-        os.rename(f"{root}/{old_top}", at)
-    except FileNotFoundError:
-        os.makedirs(os.path.dirname(at), exist_ok=True)
-        os.rename(f"{root}/{old_top}", at)
-    for before, after in zip(old_names, new_names):
-        os.rename(f"{at}/{before}", f"{at}/{after}")
-        at = f"{at}/{after}"
+        try:
+            os.rename(f"{root}/{old_top}", at)
+        except FileNotFoundError:
+            os.makedirs(os.path.dirname(at), exist_ok=True)
+            os.rename(f"{root}/{old_top}", at)
+        for before, after in zip(old_names, new_names):
+            os.rename(f"{at}/{before}", f"{at}/{after}")
+            at = f"{at}/{after}"
+    except OSError:
+        _drop(f"{root}/{old_top}")
+        return False
+    return True
 
 
 def _replace(root: str, gone: list[str], wanted: dict[str, bytes]) -> None:
     """Files that go become wanted ones where as many folders are theirs alone; others are deleted, and made.
 
-    To make and free inodes and blocks costs a disk far more than to rename them. A task that runs again finds files
-    renamed already: what it cannot rename it makes.
+    To make and free inodes and blocks costs a disk far more than to rename them. A task that runs again may find any of
+    its files renamed, in whole or in part: what it cannot rename it makes, in place of what is there.
     """
     spare = defaultdict(list)
     owners = {path: (path, top, names) for path, top, names in _own([*gone, *wanted])}
@@ -91,12 +98,9 @@ def _replace(root: str, gone: list[str], wanted: dict[str, bytes]) -> None:
             _drop(f"{root}/{path}")
     for path, content in wanted.items():
         own = owners.get(path)
-        if own and spare[len(own[2])]:
-            old = spare[len(own[2])].pop()
-            try:
-                _rename(root, old, own)
-            except OSError:
-                _drop(f"{root}/{old[1]}")
+        if own:
+            old = spare[len(own[2])]
+            if not (old and _renamed(root, old.pop(), own)):
                 _drop(f"{root}/{own[1]}")
         _make(f"{root}/{path}", content)
     for _, top, _ in (old for left in spare.values() for old in left):
@@ -113,7 +117,7 @@ def write_files(rows: DataFrame, folder: str, gone: DataFrame | None = None) ->
 
     def replace(part):
         old, new = [], {}
-        for row in sorted(part, key=lambda row: row.path):
+        for row in part:
             if row.gone:
                 old.append(row.path)
             else:
@@ -145,30 +149,41 @@ def drop_files(spark: SparkSession, folder: str) -> None:
     shutil.rmtree(root, ignore_errors=True)
 
 
-def in_parts(spark: SparkSession, rows: DataFrame, label: str, read: Callable[[str], DataFrame]) -> DataFrame:
-    """What ``read`` gives of a folder with the files of ``(path, content)``: of all, or of one part after the other.
+def in_parts(spark: SparkSession, rows: DataFrame, label: str, read: Callable[[str], DataFrame], lanes: int = 1) -> DataFrame:
+    """What ``read`` gives of folders with the files of ``(path, content)``: of one with all, or of parts one after the other.
 
-    Above ``FILES_AT_ONCE`` files and folders the folder has a part of the files at a time, drawn by a hash of the path,
-    and those of one part become those of the next. The rows are dealt to the parts once.
+    Above ``FILES_AT_ONCE`` files and folders the files are in parts, drawn by a hash of the path, and those of one part
+    become those of the next in its folder. The rows are dealt to the parts once. With more ``lanes`` as many folders have
+    a part each, so that files of one are made while those of another are read: of use where few tasks list.
     """
     rows = rows.select("path", "content")
     levels = F.greatest(F.size(F.split("path", "/")) - (OWNED - 1), F.lit(1))
-    parts = ceil((rows.agg(F.sum(levels)).first()[0] or 0) / FILES_AT_ONCE)
-    folder = scratch(spark, label)
-    if parts <= 1:
+    entries = rows.agg(F.sum(levels)).first()[0] or 0
+    if entries <= FILES_AT_ONCE:
+        folder = scratch(spark, label)
         write_files(rows, folder)
         return read(folder)
+    parts = ceil(entries / FILES_AT_ONCE)
     number = F.pmod(F.xxhash64("path"), F.lit(parts)).cast("int").alias("part")
-    dealt, found = scratch(spark, f"{label}-dealt"), scratch(spark, f"{label}-found")
+    dealt = scratch(spark, f"{label}-dealt")
     rows.select("*", number).repartition(parts, "part").write.partitionBy("part").parquet(dealt, compression="zstd")
     table = spark.read.schema("path string, content binary, part int").parquet(dealt)
-    gone, schema = None, None
-    for part in range(parts):
-        wanted = table.where(F.col("part") == part)
-        write_files(wanted, folder, gone)
-        seen = read(folder)
-        seen.write.mode("append").parquet(found)
-        gone, schema = wanted, seen.schema
-    drop_files(spark, folder)
+
+    def run(lane):
+        # Jobs that append to one folder at a time would delete each other's temporary files.
+        folder, found = scratch(spark, label), scratch(spark, f"{label}-found")
+        gone = schema = None
+        for part in range(lane, parts, lanes):
+            wanted = table.where(F.col("part") == part)
+            write_files(wanted, folder, gone)
+            seen = read(folder)
+            seen.write.mode("append").parquet(found)
+            gone, schema = wanted, seen.schema
+        drop_files(spark, folder)
+        return found, schema
+
+    with ThreadPoolExecutor(lanes) as pool:
+        done = [pool.submit(inheritable_thread_target(spark)(run), lane) for lane in range(min(lanes, parts))]
+    found, schemas = zip(*(lane.result() for lane in done))
     delete_path(spark, dealt)
-    return spark.read.schema(schema).parquet(found)
+    return spark.read.schema(schemas[0]).parquet(*found)

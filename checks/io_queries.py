@@ -164,7 +164,7 @@ def scan_service_outputs(spark, sf):
         return found.withColumn("path", F.substring_index("path", folder.removeprefix("file:") + "/", -1))
 
     outputs = a.outputs(spark, sf).select("path", F.encode("body", "utf-8").alias("content"))
-    return in_parts(spark, outputs, "outputs", read)
+    return in_parts(spark, outputs, "outputs", read, lanes=2)
 
 
 @query("scan_objects", statement("select path from objects where starts_with(path, 'publication/a')", "objects"))

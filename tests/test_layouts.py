@@ -333,6 +333,22 @@ def test_files_of_a_part_become_those_of_the_next(spark, monkeypatch):
     assert all(len(now & before) > min(len(now), len(before)) // 2 for before, now in zip(seen, seen[1:]))
 
 
+@pytest.mark.parametrize("name, lanes", [("read_files", 1), ("scan_service_outputs", 2), ("read_service_outputs", 2)])
+def test_folders_are_made_and_read_at_the_same_time(spark, monkeypatch, name, lanes):
+    sf, roots, write = "/root/testdata/sf0.001", [], given_files.write_files
+
+    def counted(rows, folder, gone=None):
+        roots.append(folder)
+        write(rows, folder, gone)
+
+    whole = sorted(map(tuple, QUERIES[name](spark, sf).collect()), key=str)
+    monkeypatch.setattr(given_files, "FILES_AT_ONCE", 200)
+    monkeypatch.setattr(given_files, "write_files", counted)
+    assert sorted(map(tuple, QUERIES[name](spark, sf).collect()), key=str) == whole
+    assert len(set(roots)) == lanes < len(roots)
+    assert not [root for root in roots if os.path.exists(root.removeprefix("file:"))]
+
+
 def test_renamed_files_are_the_wanted_ones(tmp_path):
     draw, root, held = random.Random(5), str(tmp_path), {}
     for _ in range(30):
@@ -360,5 +376,6 @@ def test_a_task_that_broke_off_renames_again(tmp_path, monkeypatch):
     with monkeypatch.context() as broken, pytest.raises(KeyboardInterrupt):
         broken.setattr(os, "rename", breaks)
         given_files._replace(root, sorted(old), new)
-    given_files._replace(root, sorted(old), new)
+    given_files._replace(root, sorted(old)[:2], dict(reversed(new.items())))
+    given_files._replace(root, sorted(old)[2:], {})
     assert on_disk(root) == new
