@@ -79,7 +79,7 @@ def read_files(spark, sf):
 @query("read_service_outputs", statement("select path, uuid, service, version from outputs", "outputs"))
 def read_service_outputs(spark, sf):
     outputs = a.outputs(spark, sf).select("path", F.encode("body", "utf-8").alias("content"))
-    return in_parts(spark, outputs, "outputs", lambda folder: b.output_versions(listing.read_service_outputs(spark, folder), "0.8.9"))
+    return in_parts(spark, outputs, "outputs", lambda folder: b.output_versions(listing.read_service_outputs(spark, folder), "0.8.9"), lanes=2)
 
 
 def _sets(spark, sf):
