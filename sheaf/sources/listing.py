@@ -28,6 +28,8 @@ BATCH_BYTES = 8 << 20
 # Files, and bytes, that one task reads.
 TASK_FILES = 20_000
 TASK_BYTES = 256 << 20
+# Tasks, for each core, that list shard folders whose names are written.
+LISTING_TASKS = 4
 
 
 class Shard(InputPartition):
@@ -170,9 +172,10 @@ def _files(spark: SparkSession, folder: str, prefix: str, depth: int, suffixes:
 def _with_contents(files: DataFrame, folder: str, bodies: Sequence[str]) -> DataFrame:
     """Adds ``content`` to listed files, null for those that do not end in one of ``bodies``.
 
-    The listing is written, so that the names of a large folder can be dealt among tasks by their number and bytes.
+    The listing is written, so that the names of a large folder can be dealt among tasks by their number and bytes; a task
+    lists several shard folders if there are many, and its names are one file.
     """
-    files = durable(files, "listing")
+    files = durable(files.coalesce(LISTING_TASKS * files.sparkSession.sparkContext.defaultParallelism), "listing")
     sizes = files.agg(F.count("*").alias("n"), F.coalesce(F.sum("length"), F.lit(0)).alias("bytes")).first()
     tasks = max(ceil(sizes["n"] / TASK_FILES), ceil(sizes["bytes"] / TASK_BYTES), files.sparkSession.sparkContext.defaultParallelism)
 

@@ -266,6 +266,17 @@ def test_contents_of_a_flat_folder_are_read_by_several_tasks(spark, tmp_path, mo
     assert len({r.task for r in rows}) == 10
 
 
+def test_a_task_lists_several_folders_if_there_are_many(spark, tmp_path, monkeypatch):
+    names, tasks, durable = [f"s{n:03}/f{n}" for n in range(60)], [], listing.durable
+    for name in names:
+        (tmp_path / name).parent.mkdir()
+        (tmp_path / name).write_text(name)
+    monkeypatch.setattr(listing, "durable", lambda files, label: (tasks.append(files.rdd.getNumPartitions()), durable(files, label))[1])
+    rows = listing.read_files(spark, str(tmp_path)).collect()
+    assert sorted((r.path, bytes(r.content).decode()) for r in rows) == [(name, name) for name in names]
+    assert tasks == [listing.LISTING_TASKS * spark.sparkContext.defaultParallelism]
+
+
 def test_a_local_folder_is_listed_name_by_name(tree, monkeypatch):
     def whole(*args, **kwargs):
         raise AssertionError("a folder's names at once")
